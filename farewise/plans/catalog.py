@@ -1,8 +1,8 @@
 """Registered queries: name -> callable(spark, sf_dir) -> DataFrame.
 
-Every query reads the driver's tables (``events`` through the trips
-projection, or ``lineitem``) in full; parameters that differ from the
-published defaults are stated here once.
+Every query reads the driver's tables in full (``events`` through the trips
+projection, or ``lineitem``); parameters that differ from the published
+defaults are stated here once.
 """
 
 from __future__ import annotations
@@ -10,13 +10,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from farewise.config import DEFAULT, P_HIGH, P_LOW, P_MEDIAN, PAYMENT_LABELS, PAYMENT_OTHER
+from farewise.functions import (
+    bucketize, decode, duration_minutes, grid_bin, grid_id, share, sum_components, unit_rate,
+)
+from farewise.operators import (
+    bernoulli_sample, clean, drop_incomplete, hash_sample, holdout_split, keep_top_n, percentiles, preview,
+    profile_shape, rate_guard, violation_counts, with_fare_per_mile, with_group_stat, within_bbox,
+)
+from farewise.plans import modelling as ml
 from farewise.plans import reports
-from farewise.sources import load_trips
+from farewise.plans.features import GRID, prepare, with_baseline_deviation, with_calendar
+from farewise.session import scratch_path
+from farewise.sources import TRIP_KEY, load_trips, table_path
+from farewise.sources.csv import ingest_counts, ingest_csv, read_ingested
+from farewise.sources.fixture import write_trips_csv
+from farewise.sources.parquet import read_trips_parquet, write_parquet
+from farewise.sources.report import read_report_csv, write_report_csv
 
-# Test-scale parameters: the published threshold of 5000 trips per cell is
-# never reached at sf0.01, so the grid reports use 20 (the cut at 100 still bites).
+# Test-scale parameters. The published threshold of 5000 trips per cell is
+# never reached at sf0.01, so the grid reports use 20 (the cut at 100 still
+# bites); the fixture has 60 pickup cells, so the category cut keeps 10.
 MIN_TRIPS_TEST = 20
+TOP_N_TEST = 10
+# Sample fraction of the modelling queries: Spark trains on every row.
+SAMPLE_FRACTION_ALL = 1.0
+# Forest size of the registered queries (pyspark.ml caps depth at 30).
+FOREST_TEST = {"num_trees": 20, "max_depth": 10, "min_instances": 5, "max_bins": 64, "max_memory_mb": 128}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -28,11 +50,355 @@ def register(name: str):
     return deco
 
 
+def _trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load_trips(spark, sf_dir)
+
+
+# ---------------------------------------------------------------- sources, sinks, profiling
+
+@register("trips_projection")
+def _q_trips(spark, sf_dir):
+    return _trips(spark, sf_dir)
+
+
+@register("parquet_roundtrip")
+def _q_parquet_roundtrip(spark, sf_dir):
+    path = write_parquet(_trips(spark, sf_dir), scratch_path(spark, "trips-parquet"), num_partitions=8)
+    return read_trips_parquet(spark, path)
+
+
+@register("csv_ingest")
+def _q_csv_ingest(spark, sf_dir):
+    trips = _trips(spark, sf_dir)
+    src = write_trips_csv(trips, scratch_path(spark, "trips-csv"))
+    out = ingest_csv(spark, src, scratch_path(spark, "trips-ingest"), schema=_csv_schema(trips))
+    return read_ingested(spark, out)
+
+
+@register("csv_ingest_counts")
+def _q_csv_ingest_counts(spark, sf_dir):
+    trips = _trips(spark, sf_dir)
+    src = write_trips_csv(trips, scratch_path(spark, "trips-csv"))
+    out = ingest_csv(spark, src, scratch_path(spark, "trips-ingest"), schema=_csv_schema(trips))
+    return ingest_counts(spark, out)
+
+
+@register("stream_ingest")
+def _q_stream_ingest(spark, sf_dir):
+    from farewise.streaming.ingest import run_ingest
+
+    trips = _trips(spark, sf_dir)
+    src = write_trips_csv(trips, scratch_path(spark, "trips-csv"))
+    out = run_ingest(spark, src, scratch_path(spark, "trips-stream"), scratch_path(spark, "stream-ckpt"),
+                     schema=_csv_schema(trips))
+    return read_ingested(spark, out)
+
+
+def _csv_schema(trips: DataFrame):
+    return trips.schema
+
+
+@register("report_csv_roundtrip")
+def _q_report_csv(spark, sf_dir):
+    rep = reports.payment_split(_trips(spark, sf_dir))
+    path = write_report_csv(rep, scratch_path(spark, "payment-split-csv"))
+    return read_report_csv(spark, path, rep.schema)
+
+
+@register("preview_head")
+def _q_preview(spark, sf_dir):
+    return preview(_trips(spark, sf_dir), [TRIP_KEY, "tpep_pickup_datetime", "trip_distance", "total_amount"], 5,
+                   [TRIP_KEY])
+
+
+@register("profile_shape")
+def _q_shape(spark, sf_dir):
+    return profile_shape(_trips(spark, sf_dir))
+
+
+@register("violation_counts")
+def _q_violations(spark, sf_dir):
+    return violation_counts(_trips(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- filters and profiles
+
+@register("bbox_filter")
+def _q_bbox(spark, sf_dir):
+    return within_bbox(_trips(spark, sf_dir))
+
+
+def _profile_query(profile: str):
+    def run(spark, sf_dir):
+        trips = _trips(spark, sf_dir)
+        return clean(trips, profile).select(*trips.columns)
+    return run
+
+
+for _p in ("analytics", "baseline", "deviation", "decomposition", "modelling"):
+    register(f"clean_{_p}")(_profile_query(_p))
+
+
+@register("rate_guard")
+def _q_rate_guard(spark, sf_dir):
+    df = with_fare_per_mile(_trips(spark, sf_dir))
+    return rate_guard(df).select(TRIP_KEY, "fare_per_mile")
+
+
+@register("drop_incomplete")
+def _q_drop_incomplete(spark, sf_dir):
+    return drop_incomplete(_trips(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- scalar features
+
+@register("trip_minutes")
+def _q_minutes(spark, sf_dir):
+    return _trips(spark, sf_dir).select(
+        TRIP_KEY, duration_minutes("tpep_pickup_datetime", "tpep_dropoff_datetime").alias("trip_minutes"))
+
+
+@register("calendar_features")
+def _q_calendar(spark, sf_dir):
+    df = with_calendar(_trips(spark, sf_dir), with_date=True)
+    return df.select(TRIP_KEY, "pickup_hour", "pickup_date", "pickup_dow", "is_weekend")
+
+
+@register("payment_label")
+def _q_payment_label(spark, sf_dir):
+    return _trips(spark, sf_dir).select(
+        TRIP_KEY, "payment_type", decode("payment_type", PAYMENT_LABELS, PAYMENT_OTHER).alias("payment_label"))
+
+
+@register("grid_bins")
+def _q_grid_bins(spark, sf_dir):
+    df = _trips(spark, sf_dir).select(
+        TRIP_KEY, grid_bin("pickup_latitude", 2).alias("pickup_lat_bin"),
+        grid_bin("pickup_longitude", 2).alias("pickup_lon_bin"))
+    return df.withColumn("pickup_grid", grid_id("pickup_lat_bin", "pickup_lon_bin"))
+
+
+@register("distance_regime")
+def _q_regime(spark, sf_dir):
+    cfg = DEFAULT
+    return _trips(spark, sf_dir).select(
+        TRIP_KEY, "trip_distance",
+        bucketize("trip_distance", cfg.regime_edges, cfg.regime_labels).alias("distance_regime"))
+
+
+@register("unit_rate")
+def _q_unit_rate(spark, sf_dir):
+    return _trips(spark, sf_dir).select(TRIP_KEY, unit_rate("fare_amount", "trip_distance").alias("fare_per_mile"))
+
+
+@register("fare_components")
+def _q_components(spark, sf_dir):
+    df = _trips(spark, sf_dir).select(
+        TRIP_KEY, "fare_amount",
+        sum_components(["extra", "mta_tax", "improvement_surcharge"]).alias("fixed_fees"),
+        F.coalesce(F.col("tolls_amount"), F.lit(0.0)).alias("tolls"))
+    return df.select(TRIP_KEY, "fixed_fees", "tolls", share("fixed_fees", "fare_amount").alias("fixed_fee_share"),
+                     share("tolls", "fare_amount").alias("toll_share"))
+
+
+@register("baseline_deviation")
+def _q_baseline_deviation(spark, sf_dir):
+    dev = with_baseline_deviation(prepare(_trips(spark, sf_dir), "deviation"))
+    return dev.select(TRIP_KEY, "distance_regime", "median_fare_per_mile", "expected_fare_baseline",
+                      "fare_deviation", "abs_deviation")
+
+
+# ---------------------------------------------------------------- group statistics on a second, larger input
+
+def _lineitem_rates(spark, sf_dir):
+    li = spark.read.parquet(table_path(sf_dir, "lineitem"))
+    return li.select("l_returnflag", "l_linestatus",
+                     unit_rate("l_extendedprice", "l_quantity").alias("unit_price"))
+
+
+@register("group_percentiles")
+def _q_group_percentiles(spark, sf_dir):
+    rates = _lineitem_rates(spark, sf_dir)
+    return percentiles(rates, ["l_returnflag", "l_linestatus"], "unit_price",
+                       {"p10_unit_price": P_LOW, "p50_unit_price": P_MEDIAN, "p90_unit_price": P_HIGH},
+                       count_as="items")
+
+
+@register("lineitem_price_deviation")
+def _q_lineitem_deviation(spark, sf_dir):
+    """with_group_stat + bucketize on lineitem: deviation of each unit price from its group median."""
+    rates = _lineitem_rates(spark, sf_dir).withColumn(
+        "size_band", bucketize("unit_price", [1000.0, 1500.0], ["low", "mid", "high"]))
+    keys = ["l_returnflag", "l_linestatus"]
+    stats = percentiles(rates, keys, "unit_price", {"median_unit_price": P_MEDIAN})
+    joined = with_group_stat(rates, stats, keys)
+    dev = F.abs(F.col("unit_price") - F.col("median_unit_price"))
+    return (joined.groupBy(*keys, "size_band")
+            .agg(F.count(F.lit(1)).alias("items"), F.round(F.avg(dev), 4).alias("avg_abs_dev"),
+                 F.round(F.max(dev), 4).alias("max_abs_dev")))
+
+
+# ---------------------------------------------------------------- reports
+
 @register("hourly_demand_revenue")
-def _q_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.hourly_demand_revenue(load_trips(spark, sf_dir))
+def _q_hourly(spark, sf_dir):
+    return reports.hourly_demand_revenue(_trips(spark, sf_dir))
+
+
+@register("weekend_vs_weekday_hourly")
+def _q_weekend(spark, sf_dir):
+    return reports.weekend_vs_weekday_hourly(_trips(spark, sf_dir))
+
+
+@register("payment_split")
+def _q_payment(spark, sf_dir):
+    return reports.payment_split(_trips(spark, sf_dir))
+
+
+@register("top_pickup_grids")
+def _q_top_grids(spark, sf_dir):
+    return reports.top_pickup_grids(_trips(spark, sf_dir))
+
+
+@register("regime_baseline")
+def _q_regime_baseline(spark, sf_dir):
+    return reports.regime_baseline(_trips(spark, sf_dir))
+
+
+@register("regime_deviation_summary")
+def _q_regime_dev(spark, sf_dir):
+    return reports.regime_deviation_summary(_trips(spark, sf_dir))
 
 
 @register("deviation_by_time")
-def _q_dev_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.deviation_by_time(load_trips(spark, sf_dir))
+def _q_dev_time(spark, sf_dir):
+    return reports.deviation_by_time(_trips(spark, sf_dir))
+
+
+@register("deviation_top_grids")
+def _q_dev_grids(spark, sf_dir):
+    return reports.deviation_top_grids(_trips(spark, sf_dir), min_trips=MIN_TRIPS_TEST)
+
+
+@register("decomposition_by_time")
+def _q_decomp_time(spark, sf_dir):
+    return reports.decomposition_by_time(_trips(spark, sf_dir))
+
+
+@register("toll_heavy_grids")
+def _q_toll_grids(spark, sf_dir):
+    return reports.toll_heavy_grids(_trips(spark, sf_dir), min_trips=MIN_TRIPS_TEST)
+
+
+# ---------------------------------------------------------------- modelling
+
+def _dataset(spark, sf_dir):
+    return ml.ml_fare_dataset(_trips(spark, sf_dir), top_n=TOP_N_TEST, key=TRIP_KEY)
+
+
+@register("ml_fare_dataset")
+def _q_ml_dataset(spark, sf_dir):
+    return _dataset(spark, sf_dir)
+
+
+@register("topn_or_other")
+def _q_topn(spark, sf_dir):
+    df = prepare(_trips(spark, sf_dir), "modelling")
+    return keep_top_n(df, GRID, TOP_N_TEST, "pickup_grid_top").select(TRIP_KEY, GRID, "pickup_grid_top")
+
+
+@register("hash_sample")
+def _q_hash_sample(spark, sf_dir):
+    return hash_sample(_dataset(spark, sf_dir), 0.1, key=TRIP_KEY).select(TRIP_KEY, ml.LABEL)
+
+
+@register("bernoulli_sample")
+def _q_bernoulli(spark, sf_dir):
+    return bernoulli_sample(_dataset(spark, sf_dir), 0.1).select(TRIP_KEY, ml.LABEL)
+
+
+@register("holdout_split")
+def _q_split(spark, sf_dir):
+    return holdout_split(_dataset(spark, sf_dir), key=TRIP_KEY).select(TRIP_KEY, "is_test")
+
+
+def _split(spark, sf_dir):
+    return ml.split_dataset(_dataset(spark, sf_dir), TRIP_KEY, SAMPLE_FRACTION_ALL)
+
+
+@register("linear_fit")
+def _q_linear_fit(spark, sf_dir):
+    fit = ml.linear_fit_frame(_split(spark, sf_dir).filter(~F.col("is_test")))
+    return fit.select(F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"), "n_train")
+
+
+def _linear_test(spark, sf_dir):
+    linear, test = ml.train_and_evaluate(_dataset(spark, sf_dir), TRIP_KEY, SAMPLE_FRACTION_ALL, with_forest=False)
+    return test
+
+
+def _both_test(spark, sf_dir):
+    _, test = ml.train_and_evaluate(_dataset(spark, sf_dir), TRIP_KEY, SAMPLE_FRACTION_ALL, with_forest=True,
+                                    forest_params=FOREST_TEST)
+    return test
+
+
+@register("linear_predictions")
+def _q_linear_pred(spark, sf_dir):
+    test = _linear_test(spark, sf_dir)
+    return test.select(TRIP_KEY, F.col(ml.LABEL).alias("y_true"), F.round(ml.PRED0, 6).alias(ml.PRED0))
+
+
+@register("linear_metrics")
+def _q_linear_metrics(spark, sf_dir):
+    return ml.model_metrics(_linear_test(spark, sf_dir), {ml.METRIC_NAMES[ml.PRED0]: ml.PRED0}, SAMPLE_FRACTION_ALL)
+
+
+@register("linear_residuals")
+def _q_linear_residuals(spark, sf_dir):
+    res = ml.residual_table(_linear_test(spark, sf_dir), {ml.ERR0: ml.PRED0}, key=TRIP_KEY)
+    return res.withColumn(ml.PRED0, F.round(ml.PRED0, 6)).withColumn(ml.ERR0, F.round(ml.ERR0, 6))
+
+
+def _linear_residuals(spark, sf_dir):
+    return ml.residual_table(_linear_test(spark, sf_dir), {ml.ERR0: ml.PRED0}, key=TRIP_KEY)
+
+
+@register("residuals_overall")
+def _q_res_overall(spark, sf_dir):
+    return ml.residuals_overall(_linear_residuals(spark, sf_dir), {ml.ERR0: ml.REPORT_NAMES[ml.ERR0]})
+
+
+@register("residuals_by_hour")
+def _q_res_hour(spark, sf_dir):
+    return ml.residuals_by(_linear_residuals(spark, sf_dir), "pickup_hour", [ml.ERR0])
+
+
+@register("residuals_by_weekend")
+def _q_res_weekend(spark, sf_dir):
+    return ml.residuals_by(_linear_residuals(spark, sf_dir), "is_weekend", [ml.ERR0])
+
+
+@register("residuals_by_regime")
+def _q_res_regime(spark, sf_dir):
+    return ml.residuals_by_regime(_linear_residuals(spark, sf_dir), [ml.ERR0])
+
+
+@register("one_hot_features")
+def _q_one_hot(spark, sf_dir):
+    split = _split(spark, sf_dir)
+    enc = ml.encode_features(split.filter(~F.col("is_test")), split.filter(F.col("is_test")))
+    return enc.select(TRIP_KEY, "features")
+
+
+@register("model_metrics")
+def _q_model_metrics(spark, sf_dir):
+    models = {name: pred for pred, name in ml.METRIC_NAMES.items()}
+    return ml.model_metrics(_both_test(spark, sf_dir), models, SAMPLE_FRACTION_ALL)
+
+
+@register("residual_report_both")
+def _q_res_both(spark, sf_dir):
+    res = ml.residual_table(_both_test(spark, sf_dir), {ml.ERR0: ml.PRED0, ml.ERR1: ml.PRED1}, key=TRIP_KEY)
+    return ml.residuals_by(res, "pickup_hour", [ml.ERR0, ml.ERR1])
+

@@ -84,3 +84,35 @@ def trips_sql(source: str = "events") -> str:
         f"SELECT\n  {outer}\nFROM (\n  SELECT event_id, ts, user_id, event_type, value,\n    {inner}\n"
         f"  FROM {source}\n) AS ev"
     )
+
+
+# --- fixed values: malformed cells written into the fixture CSV ---
+BAD_INT_EVERY = 37      # VendorID written as "x"
+BAD_DOUBLE_EVERY = 41   # fare_amount written as "bad"
+# --- end of fixed values ---
+
+
+def write_trips_csv(trips: DataFrame, path: str) -> str:
+    """Write trips as multi-part CSV with a header, some lines carrying unparsable cells.
+
+    Every cell is rendered as text by Spark (timestamps with microseconds);
+    lines of every 37th trip get a non-integer VendorID and of every 41st a
+    non-numeric fare, so an ingest must reject exactly those.
+    """
+    from pyspark.sql import types as T
+
+    from farewise.sources.csv import TS_WRITE_FORMAT
+
+    key = F.col(TRIP_KEY)
+    cols = []
+    for f in trips.schema.fields:
+        c = F.col(f.name)
+        text = F.date_format(c, TS_WRITE_FORMAT) if isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType)) \
+            else c.cast("string")
+        if f.name == "VendorID":
+            text = F.when(key % BAD_INT_EVERY == 0, F.lit("x")).otherwise(text)
+        elif f.name == "fare_amount":
+            text = F.when(key % BAD_DOUBLE_EVERY == 0, F.lit("bad")).otherwise(text)
+        cols.append(text.alias(f.name))
+    trips.select(*cols).write.mode("overwrite").option("header", True).csv(path)
+    return path
