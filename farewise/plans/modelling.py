@@ -104,7 +104,7 @@ def feature_pipeline_stages(num_features=NUM_FEATURES, cat_features=CAT_FEATURES
     ohe_cols = [f"{c}__ohe" for c in cat_features]
     indexer = StringIndexer(inputCols=[f"{c}__str" for c in cat_features], outputCols=idx_cols,
                             handleInvalid="keep", stringOrderType="frequencyDesc")
-    encoder = OneHotEncoder(inputCols=idx_cols, outputCols=ohe_cols, dropLast=True, handleInvalid="keep")
+    encoder = OneHotEncoder(inputCols=idx_cols, outputCols=ohe_cols, dropLast=True)
     assembler = VectorAssembler(inputCols=list(num_features) + ohe_cols, outputCol=out)
     return [indexer, encoder, assembler]
 
