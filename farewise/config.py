@@ -55,8 +55,10 @@ LINEAR_REPORT_NAME = "Distance-only"
 FOREST_REPORT_NAME = "Context-aware RF"
 # --- end of fixed values ---
 
-# Rank error of percentile sketches is at most n / accuracy; 1e6 keeps groups
-# below ~500k rows exact while the sketch stays bounded in size.
+# Percentiles: "sketch" (percentile_approx, one pass, bounded memory) or
+# "exact" (distributed rank selection, several passes). Sketch rank error is at
+# most n / accuracy; 1e6 keeps groups below ~500k rows exact.
+PERCENTILE_METHOD = "sketch"
 PERCENTILE_ACCURACY = 1_000_000
 
 # Money, distance: summed and averaged as DECIMAL so results do not depend on
@@ -94,6 +96,7 @@ class FareConfig:
     rate_guard: tuple[float, float] = RATE_GUARD
     max_trip_minutes: float = MAX_TRIP_MINUTES
     percentile_accuracy: int = PERCENTILE_ACCURACY
+    percentile_method: str = PERCENTILE_METHOD
 
 
 DEFAULT = FareConfig()

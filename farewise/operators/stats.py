@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farewise.config import DEFAULT
-
 # Largest proven row bound for which a statistics side is broadcast.
 BROADCAST_ROW_LIMIT = 100_000
 
@@ -17,29 +15,16 @@ def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def quantiles(col: str | Column, levels: Sequence[float], accuracy: int | None = None) -> list[Column]:
-    """Aggregate expressions for several percentiles of one column.
+def percentiles(df: DataFrame, keys: Sequence[str], col: str, levels: dict[str, float],
+                accuracy: int | None = None, count_as: str | None = None, method: str | None = None) -> DataFrame:
+    """One row per group: optional row count and the named percentiles of ``col``.
 
-    All levels share a single mergeable sketch (``percentile_approx`` with an
-    array of levels): partial sketches are built map-side and merged after the
-    shuffle, so a hot group never ships its rows to one task. The result is the
-    smallest value v with at least p * n values <= v (``quantile_disc``); it is
-    exact while a group holds fewer than about accuracy / 2 rows and has rank
-    error at most n / accuracy beyond.
+    See ``operators.quantiles`` for the sketch and exact methods.
     """
-    acc = DEFAULT.percentile_accuracy if accuracy is None else accuracy
-    sketch = F.percentile_approx(_c(col), list(levels), acc)
-    return [sketch[i] for i in range(len(levels))]
+    from farewise.operators.quantiles import group_stats
 
-
-def percentiles(df: DataFrame, keys: Sequence[str], col: str, levels: dict[str, float],
-                accuracy: int | None = None, count_as: str | None = None) -> DataFrame:
-    """One row per group: optional row count and the named percentiles of ``col``."""
-    exprs = []
-    if count_as:
-        exprs.append(F.count(F.lit(1)).alias(count_as))
-    exprs += [q.alias(name) for q, name in zip(quantiles(col, list(levels.values()), accuracy), levels)]
-    return df.groupBy(*keys).agg(*exprs)
+    aggs = [F.count(F.lit(1)).alias(count_as)] if count_as else []
+    return group_stats(df, keys, aggs, {name: (col, p) for name, p in levels.items()}, method, accuracy)
 
 
 def broadcast_if_bounded(stats: DataFrame, max_rows: int | None,

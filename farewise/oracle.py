@@ -373,3 +373,7 @@ ORACLE["residuals_by_weekend"] = _with(MODELLING, _ML) + f"""
 SELECT is_weekend, {_r("avg(abs_err_model0)", 6)} AS abs_err_model0 FROM pred GROUP BY 1"""
 ORACLE["residuals_by_regime"] = _with(MODELLING, _ML) + f"""
 SELECT {_REGIME} AS distance_regime, {_r("avg(abs_err_model0)", 6)} AS abs_err_model0 FROM pred GROUP BY 1"""
+
+# exact-percentile variants state the same result
+for _name in ("group_percentiles", "deviation_by_time", "regime_deviation_summary", "decomposition_by_time"):
+    ORACLE[f"{_name}_exact"] = ORACLE[_name]

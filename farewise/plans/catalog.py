@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dataclasses import replace
+
 from farewise.config import DEFAULT, P_HIGH, P_LOW, P_MEDIAN, PAYMENT_LABELS, PAYMENT_OTHER
 from farewise.functions import (
     bucketize, decode, duration_minutes, grid_bin, grid_id, share, sum_components, unit_rate,
@@ -40,6 +42,9 @@ SAMPLE_FRACTION_ALL = 1.0
 # Forest size of the registered queries (pyspark.ml caps depth at 30).
 FOREST_TEST = {"num_trees": 20, "max_depth": 10, "min_instances": 5, "max_bins": 64, "max_memory_mb": 128}
 
+# Reports re-run with exact distributed percentiles (same oracle as the sketch).
+EXACT = replace(DEFAULT, percentile_method="exact")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -224,6 +229,14 @@ def _q_group_percentiles(spark, sf_dir):
                        count_as="items")
 
 
+@register("group_percentiles_exact")
+def _q_group_percentiles_exact(spark, sf_dir):
+    rates = _lineitem_rates(spark, sf_dir)
+    return percentiles(rates, ["l_returnflag", "l_linestatus"], "unit_price",
+                       {"p10_unit_price": P_LOW, "p50_unit_price": P_MEDIAN, "p90_unit_price": P_HIGH},
+                       count_as="items", method="exact")
+
+
 @register("lineitem_price_deviation")
 def _q_lineitem_deviation(spark, sf_dir):
     """with_group_stat + bucketize on lineitem: deviation of each unit price from its group median."""
@@ -275,6 +288,16 @@ def _q_dev_time(spark, sf_dir):
     return reports.deviation_by_time(_trips(spark, sf_dir))
 
 
+@register("deviation_by_time_exact")
+def _q_dev_time_exact(spark, sf_dir):
+    return reports.deviation_by_time(_trips(spark, sf_dir), EXACT)
+
+
+@register("regime_deviation_summary_exact")
+def _q_regime_dev_exact(spark, sf_dir):
+    return reports.regime_deviation_summary(_trips(spark, sf_dir), EXACT)
+
+
 @register("deviation_top_grids")
 def _q_dev_grids(spark, sf_dir):
     return reports.deviation_top_grids(_trips(spark, sf_dir), min_trips=MIN_TRIPS_TEST)
@@ -285,6 +308,11 @@ def _q_decomp_time(spark, sf_dir):
     return reports.decomposition_by_time(_trips(spark, sf_dir))
 
 
+@register("decomposition_by_time_exact")
+def _q_decomp_time_exact(spark, sf_dir):
+    return reports.decomposition_by_time(_trips(spark, sf_dir), EXACT)
+
+
 @register("toll_heavy_grids")
 def _q_toll_grids(spark, sf_dir):
     return reports.toll_heavy_grids(_trips(spark, sf_dir), min_trips=MIN_TRIPS_TEST)

@@ -9,7 +9,7 @@ from farewise.config import DEFAULT, FareConfig, P_MEDIAN
 from farewise.functions import (
     bucketize, day_name, grid_bin, grid_id, is_weekend, pickup_date, pickup_hour, share, sum_components, unit_rate,
 )
-from farewise.operators import clean, quantiles, with_group_stat
+from farewise.operators import clean, group_stats, with_group_stat
 from farewise.operators.profiles import FARE_PER_MILE
 
 REGIME = "distance_regime"
@@ -58,10 +58,10 @@ def with_components(df: DataFrame, cfg: FareConfig = DEFAULT, with_shares: bool
 
 def regime_rate_baseline(df: DataFrame, cfg: FareConfig = DEFAULT, count_as: str | None = None) -> DataFrame:
     """Median fare per mile of each distance regime (one row per regime)."""
-    exprs = [quantiles(FARE_PER_MILE, [P_MEDIAN], cfg.percentile_accuracy)[0].alias(MEDIAN_RATE)]
-    if count_as:
-        exprs.append(F.count(F.lit(1)).alias(count_as))
-    return df.groupBy(REGIME).agg(*exprs)
+    aggs = [F.count(F.lit(1)).alias(count_as)] if count_as else []
+    stats = group_stats(df, [REGIME], aggs, {MEDIAN_RATE: (FARE_PER_MILE, P_MEDIAN)},
+                        cfg.percentile_method, cfg.percentile_accuracy)
+    return stats.select(REGIME, MEDIAN_RATE, *([count_as] if count_as else []))
 
 
 def with_baseline_deviation(df: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:

@@ -19,7 +19,7 @@ from farewise.config import (
     TOP_PICKUP_GRIDS, TOP_TOLL_GRIDS, FareConfig,
 )
 from farewise.functions import decode, duration_seconds, round_measure_avg, round_measure_sum
-from farewise.operators import quantiles, top_k, within_bbox
+from farewise.operators import group_stats, top_k, within_bbox
 from farewise.operators.profiles import FARE_PER_MILE
 from farewise.plans.features import (
     HOUR, LAT_BIN, LON_BIN, MEDIAN_RATE, REGIME, WEEKEND, prepare, regime_rate_baseline, with_baseline_deviation,
@@ -102,20 +102,22 @@ def regime_baseline_from(df: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:
     return regime_rate_baseline(df, cfg, count_as="trips").orderBy(REGIME)
 
 
+def _stats(df: DataFrame, keys, aggs, quantiles, cfg: FareConfig) -> DataFrame:
+    return group_stats(df, keys, aggs, quantiles, cfg.percentile_method, cfg.percentile_accuracy)
+
+
 def regime_deviation_summary_from(df: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:
     dev = with_baseline_deviation(df, cfg)
-    p50, p90, p10 = quantiles("fare_deviation", [P_MEDIAN, P_HIGH, P_LOW], cfg.percentile_accuracy)
-    return (
-        dev.groupBy(REGIME)
-        .agg(
-            _count(),
-            F.round(F.avg("fare_deviation"), 2).alias("avg_deviation"),
-            F.round(p50, 2).alias("median_deviation"),
-            F.round(p90, 2).alias("p90_deviation"),
-            F.round(p10, 2).alias("p10_deviation"),
-        )
-        .orderBy(REGIME)
-    )
+    stats = _stats(dev, [REGIME], [_count(), F.avg("fare_deviation").alias("_avg")],
+                   {"_p50": ("fare_deviation", P_MEDIAN), "_p90": ("fare_deviation", P_HIGH),
+                    "_p10": ("fare_deviation", P_LOW)}, cfg)
+    return stats.select(
+        REGIME, "trips",
+        F.round("_avg", 2).alias("avg_deviation"),
+        F.round("_p50", 2).alias("median_deviation"),
+        F.round("_p90", 2).alias("p90_deviation"),
+        F.round("_p10", 2).alias("p10_deviation"),
+    ).orderBy(REGIME)
 
 
 def regime_baseline(trips: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:
@@ -130,17 +132,15 @@ def regime_deviation_summary(trips: DataFrame, cfg: FareConfig = DEFAULT) -> Dat
 
 def deviation_by_time_from(df: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:
     dev = with_baseline_deviation(df, cfg)
-    p50, p90 = quantiles("abs_deviation", [P_MEDIAN, P_HIGH], cfg.percentile_accuracy)
-    return (
-        dev.groupBy(REGIME, WEEKEND, HOUR)
-        .agg(
-            _count(),
-            F.round(p50, 2).alias("median_abs_dev"),
-            F.round(p90, 2).alias("p90_abs_dev"),
-            F.round(F.avg("fare_deviation"), 2).alias("avg_dev"),
-        )
-        .orderBy(REGIME, WEEKEND, HOUR)
-    )
+    keys = [REGIME, WEEKEND, HOUR]
+    stats = _stats(dev, keys, [_count(), F.avg("fare_deviation").alias("_avg")],
+                   {"_p50": ("abs_deviation", P_MEDIAN), "_p90": ("abs_deviation", P_HIGH)}, cfg)
+    return stats.select(
+        *keys, "trips",
+        F.round("_p50", 2).alias("median_abs_dev"),
+        F.round("_p90", 2).alias("p90_abs_dev"),
+        F.round("_avg", 2).alias("avg_dev"),
+    ).orderBy(*keys)
 
 
 def deviation_top_grids_from(df: DataFrame, cfg: FareConfig = DEFAULT, min_trips: int = MIN_GROUP_TRIPS,
@@ -151,13 +151,12 @@ def deviation_top_grids_from(df: DataFrame, cfg: FareConfig = DEFAULT, min_trips
     The p90 is rounded before sorting; group keys break ties.
     """
     dev = with_baseline_deviation(df, cfg)
-    p50, p90 = quantiles("abs_deviation", [P_MEDIAN, P_HIGH], cfg.percentile_accuracy)
-    cells = (
-        dev.groupBy(REGIME, LAT_BIN, LON_BIN)
-        .agg(_count(), F.round(p90, 2).alias("p90_abs_dev"), F.round(p50, 2).alias("median_abs_dev"))
-        .filter(F.col("trips") >= min_trips)
-    )
-    return top_k(cells, [F.desc("p90_abs_dev")], k, [REGIME, LAT_BIN, LON_BIN])
+    keys = [REGIME, LAT_BIN, LON_BIN]
+    stats = _stats(dev, keys, [_count()],
+                   {"_p50": ("abs_deviation", P_MEDIAN), "_p90": ("abs_deviation", P_HIGH)}, cfg)
+    cells = stats.filter(F.col("trips") >= min_trips).select(
+        *keys, "trips", F.round("_p90", 2).alias("p90_abs_dev"), F.round("_p50", 2).alias("median_abs_dev"))
+    return top_k(cells, [F.desc("p90_abs_dev")], k, keys)
 
 
 def deviation_by_time(trips: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:
@@ -172,33 +171,26 @@ def deviation_top_grids(trips: DataFrame, cfg: FareConfig = DEFAULT, min_trips:
 # ---------------------------------------------------------------- decomposition profile
 
 def decomposition_by_time_from(df: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:
-    acc = cfg.percentile_accuracy
-    (fixed50,) = quantiles("fixed_fees", [P_MEDIAN], acc)
-    (tolls50,) = quantiles("tolls", [P_MEDIAN], acc)
-    (share50,) = quantiles("fixed_fee_share", [P_MEDIAN], acc)
-    (toll_share90,) = quantiles("toll_share", [P_HIGH], acc)
-    return (
-        df.groupBy(REGIME, WEEKEND, HOUR)
-        .agg(
-            _count(),
-            F.round(fixed50, 2).alias("median_fixed_fees"),
-            F.round(tolls50, 2).alias("median_tolls"),
-            F.round(share50, 3).alias("median_fixed_fee_share"),
-            F.round(toll_share90, 3).alias("p90_toll_share"),
-        )
-        .orderBy(REGIME, WEEKEND, HOUR)
-    )
+    keys = [REGIME, WEEKEND, HOUR]
+    stats = _stats(df, keys, [_count()],
+                   {"_fixed50": ("fixed_fees", P_MEDIAN), "_tolls50": ("tolls", P_MEDIAN),
+                    "_share50": ("fixed_fee_share", P_MEDIAN), "_toll_share90": ("toll_share", P_HIGH)}, cfg)
+    return stats.select(
+        *keys, "trips",
+        F.round("_fixed50", 2).alias("median_fixed_fees"),
+        F.round("_tolls50", 2).alias("median_tolls"),
+        F.round("_share50", 3).alias("median_fixed_fee_share"),
+        F.round("_toll_share90", 3).alias("p90_toll_share"),
+    ).orderBy(*keys)
 
 
 def toll_heavy_grids_from(df: DataFrame, cfg: FareConfig = DEFAULT, min_trips: int = MIN_GROUP_TRIPS,
                           k: int = TOP_TOLL_GRIDS) -> DataFrame:
-    p50, p90 = quantiles("tolls", [P_MEDIAN, P_HIGH], cfg.percentile_accuracy)
-    cells = (
-        df.groupBy(REGIME, LAT_BIN, LON_BIN)
-        .agg(_count(), F.round(p50, 2).alias("median_tolls"), F.round(p90, 2).alias("p90_tolls"))
-        .filter(F.col("trips") >= min_trips)
-    )
-    return top_k(cells, [F.desc("p90_tolls")], k, [REGIME, LAT_BIN, LON_BIN])
+    keys = [REGIME, LAT_BIN, LON_BIN]
+    stats = _stats(df, keys, [_count()], {"_p50": ("tolls", P_MEDIAN), "_p90": ("tolls", P_HIGH)}, cfg)
+    cells = stats.filter(F.col("trips") >= min_trips).select(
+        *keys, "trips", F.round("_p50", 2).alias("median_tolls"), F.round("_p90", 2).alias("p90_tolls"))
+    return top_k(cells, [F.desc("p90_tolls")], k, keys)
 
 
 def decomposition_by_time(trips: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:

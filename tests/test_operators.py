@@ -189,3 +189,39 @@ def test_profile_shape_and_preview(spark):
 def test_reports_on_empty_input(spark, report):
     empty = spark.createDataFrame([], TRIP_SCHEMA)
     assert report(empty).count() == 0
+
+
+def test_exact_percentiles_split_a_hot_group_across_slices(spark):
+    import random
+
+    rnd = random.Random(7)
+    rows = [("hot", float(rnd.randint(0, 400))) for _ in range(3000)]        # many repeats
+    rows += [("warm", rnd.random() * 100) for _ in range(301)]               # all distinct
+    rows += [("tiny", 5.0), ("nulls", None), ("nulls", None), (None, 2.0), (None, 9.0), ("hot", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    levels = {"p10": 0.1, "p50": 0.5, "p90": 0.9, "p99": 0.99}
+    from farewise.operators import exact_percentiles
+
+    got = {r.g: r for r in exact_percentiles(df, ["g"], "v", levels, count_as="n", num_slices=7).collect()}
+    groups = {}
+    for g, v in rows:
+        groups.setdefault(g, []).append(v)
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        for name, p in levels.items():
+            assert got[g][name] == _disc(vs, p), (g, name)
+        assert got[g]["n"] == len(vs)
+
+
+def test_sketch_and_exact_agree_at_test_scale(spark):
+    from farewise.operators import group_stats
+
+    rows = [(i % 3, float((i * 7919) % 1000) / 7.0) for i in range(5000)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    q = {"a": ("v", 0.25), "b": ("v", 0.5), "c": ("v", 0.75)}
+    aggs = [F.count(F.lit(1)).alias("n")]
+    sketch = sorted(group_stats(df, ["g"], aggs, q, "sketch").collect())
+    exact = sorted(group_stats(df, ["g"], aggs, q, "exact").select("g", "n", "a", "b", "c").collect())
+    assert [tuple(r) for r in sketch] == [tuple(r) for r in exact]
+    with pytest.raises(ValueError):
+        group_stats(df, ["g"], aggs, q, "median-of-medians")
