@@ -131,6 +131,13 @@ ORACLE["csv_ingest"] = _with() + f"SELECT * FROM trips WHERE NOT {_CSV_BAD}"
 ORACLE["stream_ingest"] = ORACLE["csv_ingest"]
 ORACLE["csv_ingest_counts"] = _with() + f"""
 SELECT count(*) FILTER (WHERE NOT {_CSV_BAD}) AS kept, count(*) FILTER (WHERE {_CSV_BAD}) AS rejected FROM trips"""
+ORACLE["ingest_report"] = _with() + f"""
+SELECT count(*) AS rows,
+       count(*) FILTER (WHERE trip_distance < 0) AS negative_trip_distance,
+       count(*) FILTER (WHERE total_amount < 0) AS negative_total_amount,
+       count(*) FILTER (WHERE passenger_count < 0) AS negative_passenger_count,
+       20::integer AS columns
+FROM trips WHERE NOT {_CSV_BAD}"""
 ORACLE["preview_head"] = _with() + """
 SELECT trip_id, tpep_pickup_datetime, trip_distance, total_amount FROM trips ORDER BY trip_id LIMIT 5"""
 ORACLE["profile_shape"] = _with() + "SELECT count(*) AS rows, 20::integer AS columns FROM trips"

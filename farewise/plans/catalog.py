@@ -103,6 +103,15 @@ def _csv_schema(trips: DataFrame):
     return trips.schema
 
 
+@register("ingest_report")
+def _q_ingest_report(spark, sf_dir):
+    """Shape and rule violations of the kept rows of a CSV ingest (one pass over its output)."""
+    trips = _trips(spark, sf_dir)
+    src = write_trips_csv(trips, scratch_path(spark, "trips-csv"))
+    kept = read_ingested(spark, ingest_csv(spark, src, scratch_path(spark, "trips-ingest"), schema=trips.schema))
+    return violation_counts(kept).withColumn("columns", F.lit(len(kept.columns)).cast("int"))
+
+
 @register("report_csv_roundtrip")
 def _q_report_csv(spark, sf_dir):
     rep = reports.payment_split(_trips(spark, sf_dir))
@@ -389,7 +398,9 @@ def _q_linear_residuals(spark, sf_dir):
 
 
 def _linear_residuals(spark, sf_dir):
-    return ml.residual_table(_linear_test(spark, sf_dir), {ml.ERR0: ml.PRED0}, key=TRIP_KEY)
+    """The residual table handed over through Parquet, as between the training and report stages."""
+    res = ml.residual_table(_linear_test(spark, sf_dir), {ml.ERR0: ml.PRED0}, key=TRIP_KEY)
+    return read_trips_parquet(spark, write_parquet(res, scratch_path(spark, "residuals")))
 
 
 @register("residuals_overall")

@@ -92,12 +92,13 @@ BAD_DOUBLE_EVERY = 41   # fare_amount written as "bad"
 # --- end of fixed values ---
 
 
-def write_trips_csv(trips: DataFrame, path: str) -> str:
+def write_trips_csv(trips: DataFrame, path: str, with_key: bool = True) -> str:
     """Write trips as multi-part CSV with a header, some lines carrying unparsable cells.
 
     Every cell is rendered as text by Spark (timestamps with microseconds);
     lines of every 37th trip get a non-integer VendorID and of every 41st a
-    non-numeric fare, so an ingest must reject exactly those.
+    non-numeric fare, so an ingest must reject exactly those. Without the key
+    the file has the 19 raw columns.
     """
     from pyspark.sql import types as T
 
@@ -113,6 +114,7 @@ def write_trips_csv(trips: DataFrame, path: str) -> str:
             text = F.when(key % BAD_INT_EVERY == 0, F.lit("x")).otherwise(text)
         elif f.name == "fare_amount":
             text = F.when(key % BAD_DOUBLE_EVERY == 0, F.lit("bad")).otherwise(text)
-        cols.append(text.alias(f.name))
+        if with_key or f.name != TRIP_KEY:
+            cols.append(text.alias(f.name))
     trips.select(*cols).write.mode("overwrite").option("header", True).csv(path)
     return path
