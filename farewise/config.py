@@ -61,9 +61,10 @@ FOREST_REPORT_NAME = "Context-aware RF"
 PERCENTILE_METHOD = "sketch"
 PERCENTILE_ACCURACY = 1_000_000
 
-# Money, distance: summed and averaged as DECIMAL so results do not depend on
-# summation order (these columns are recorded in cents / hundredths).
-MEASURE_DECIMAL = "decimal(20,6)"
+# Money and distance carry at most 4 decimals; they are aggregated as whole
+# units of 1e-4 in a long (exact, independent of summation order, primitive
+# arithmetic; a long holds sums up to 9.2e14 currency units / miles).
+MEASURE_SCALE = 10_000
 
 
 @dataclass(frozen=True)

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from farewise.config import MEASURE_DECIMAL
+from farewise.config import MEASURE_SCALE
 
 
 def _c(col: str | Column) -> Column:
@@ -57,13 +57,16 @@ def bucketize(col: str | Column, edges: Sequence[float], labels: Sequence[str])
 
 
 def measure(col: str | Column) -> Column:
-    """A money / distance column as DECIMAL, so sums are exact and order-free."""
-    return _c(col).cast(MEASURE_DECIMAL)
+    """A money / distance column as whole units of 1 / MEASURE_SCALE (bigint)."""
+    return F.round(_c(col) * F.lit(float(MEASURE_SCALE))).cast("long")
 
 
 def round_measure_sum(col: str | Column, digits: int = 2) -> Column:
-    return F.round(F.sum(measure(col)), digits).cast("double")
+    """Exact sum of a measure, rounded HALF_UP."""
+    return F.round(F.try_divide(F.sum(measure(col)), F.lit(float(MEASURE_SCALE))), digits)
 
 
 def round_measure_avg(col: str | Column, digits: int = 2) -> Column:
-    return F.round(F.avg(measure(col)), digits).cast("double")
+    """Mean of a measure from its exact sum and count, rounded HALF_UP."""
+    units = measure(col)
+    return F.round(F.try_divide(F.try_divide(F.sum(units), F.count(units)), F.lit(float(MEASURE_SCALE))), digits)

@@ -7,7 +7,7 @@ compares them with the Spark results. Building blocks:
 * profile CTEs written out as plain WHERE clauses;
 * ``_r(x, d)``: Spark's ROUND on a double (HALF_UP on the shortest decimal
   representation), which DuckDB's ROUND on a double does not do;
-* money / distance aggregated as DECIMAL(20,6), like the Spark side.
+* money / distance aggregated as whole 1e-4 units in BIGINT, like the Spark side.
 """
 
 from __future__ import annotations
@@ -24,8 +24,16 @@ def _r(expr: str, digits: int) -> str:
     return f"round(cast(cast(({expr}) as varchar) as decimal(38,18)), {digits})::double"
 
 
-def _dec(expr: str) -> str:
-    return f"cast({expr} as decimal(20,6))"
+def _units(expr: str) -> str:
+    return f"cast(round({expr} * 10000e0) as bigint)"
+
+
+def _msum(expr: str, digits: int = 2) -> str:
+    return _r(f"sum({_units(expr)}) / 10000e0", digits)
+
+
+def _mavg(expr: str, digits: int = 2) -> str:
+    return _r(f"sum({_units(expr)}) / count({_units(expr)}) / 10000e0", digits)
 
 
 def _secs(start: str, end: str) -> str:
@@ -103,10 +111,10 @@ ORACLE: dict[str, str] = {}
 ORACLE["hourly_demand_revenue"] = _with(ANALYTICS) + f"""
 SELECT {_HOUR} AS pickup_hour,
        count(*) AS total_trips,
-       {_r(f"avg({_dec('trip_distance')})", 2)} AS avg_trip_distance_miles,
+       {_mavg('trip_distance')} AS avg_trip_distance_miles,
        {_r(f"sum({_secs('tpep_pickup_datetime', 'tpep_dropoff_datetime')}) / count(*) / 60e0", 2)}
          AS avg_trip_duration_mins,
-       round(sum({_dec('total_amount')}), 2)::double AS total_revenue_usd
+       {_msum('total_amount')} AS total_revenue_usd
 FROM analytics GROUP BY 1 ORDER BY 1
 """
 
@@ -230,17 +238,17 @@ FROM j GROUP BY 1, 2, 3"""
 
 ORACLE["weekend_vs_weekday_hourly"] = _with(ANALYTICS) + f"""
 SELECT {_WEEKEND} AS is_weekend, {_HOUR} AS pickup_hour, count(*) AS trips,
-       {_r(f"avg({_dec('total_amount')})", 2)} AS avg_total_amount_usd
+       {_mavg('total_amount')} AS avg_total_amount_usd
 FROM analytics GROUP BY 1, 2"""
 ORACLE["payment_split"] = _with(ANALYTICS) + f"""
 SELECT {_PAYMENT} AS payment_label, count(*) AS trips,
-       round(sum({_dec('total_amount')}), 2)::double AS revenue_usd,
-       {_r(f"avg({_dec('tip_amount')})", 2)} AS avg_tip_usd
+       {_msum('total_amount')} AS revenue_usd,
+       {_mavg('tip_amount')} AS avg_tip_usd
 FROM analytics GROUP BY 1"""
 ORACLE["report_csv_roundtrip"] = ORACLE["payment_split"]
 ORACLE["top_pickup_grids"] = _with(ANALYTICS) + f"""
 SELECT {_LAT_BIN} AS pickup_lat_bin, {_LON_BIN} AS pickup_lon_bin, count(*) AS trips,
-       {_r(f"avg({_dec('total_amount')})", 2)} AS avg_total_amount_usd
+       {_mavg('total_amount')} AS avg_total_amount_usd
 FROM analytics WHERE {_BBOX}
 GROUP BY 1, 2 ORDER BY trips DESC, 1 ASC NULLS FIRST, 2 ASC NULLS FIRST LIMIT 50"""
 

@@ -5,8 +5,8 @@ and returns a small sorted DataFrame. The ``*_from`` variants take a frame
 already prepared with ``features.prepare`` so several reports can share one
 cleaned, persisted input (see ``plans.runner``).
 
-Money and distance are summed / averaged as DECIMAL (exact, independent of
-partitioning); durations are averaged from whole seconds.
+Money and distance are summed / averaged as exact 1e-4 units in a long
+(independent of partitioning); durations are averaged from whole seconds.
 """
 
 from __future__ import annotations
