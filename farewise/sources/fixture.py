@@ -73,9 +73,37 @@ def trips_from_events(events: DataFrame) -> DataFrame:
 
 
 def load_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The projection itself (lazy; recomputed by every query that reads it)."""
     return trips_from_events(spark.read.parquet(table_path(sf_dir, "events")))
 
 
+_TABLES: dict[tuple, str] = {}
+
+
+def trips_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trips of ``sf_dir`` as a Parquet table, like the processed table the reports read.
+
+    Written once per application into the shared checkpoint folder and keyed
+    by the events file, so later queries scan compact Parquet (profile filters
+    reach the reader as pushed filters) instead of re-deriving every column.
+    """
+    from farewise.session import scratch_path
+    from farewise.sources.parquet import write_parquet
+
+    events = table_path(sf_dir, "events")
+    try:
+        st = os.stat(events)
+        stamp = (st.st_size, st.st_mtime_ns)
+    except OSError:
+        stamp = ()
+    key = (os.path.abspath(sf_dir), stamp, spark.sparkContext.applicationId)
+    path = _TABLES.get(key)
+    if path is None or not os.path.exists(os.path.join(path.replace("file:", ""), "_SUCCESS")):
+        path = write_parquet(load_trips(spark, sf_dir), scratch_path(spark, "trips"))
+        _TABLES[key] = path
+    return spark.read.parquet(path)
+
+
 def trips_sql(source: str = "events") -> str:
     """The same projection as SQL text, for a leading CTE of an oracle query."""
     inner = ",\n    ".join(f"{e} AS {n}" for n, e in _INNER.items())
