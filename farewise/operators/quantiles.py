@@ -11,7 +11,7 @@ any group size, without ever placing a whole group in one task:
 
 1. pre-aggregate (keys, value) -> count (map-side combine collapses repeats);
 2. range-partition by (keys, value): a hot group is cut into many slices;
-   the slice id is pinned by a reliable checkpoint;
+   the slice id is pinned by writing the slices to the checkpoint folder;
 3. running count inside each (keys, slice), bounded by the slice size;
 4. slice totals (at most #groups + #slices rows) give each slice's offset and
    each group's n;
@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from farewise.config import DEFAULT
+from farewise.session import materialize
 
 SKETCH = "sketch"
 EXACT = "exact"
@@ -58,9 +59,9 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], col: str, levels: Mapp
     v = F.col(col)
     counted = df.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_c"))
     counted = counted.withColumn("_cv", F.when(v.isNull(), F.lit(0)).otherwise(F.col("_c")))
-    ranged = (counted.repartitionByRange(slices, *[F.col(k).asc_nulls_first() for k in keys], v.asc_nulls_first())
-              .withColumn("_slice", F.spark_partition_id())
-              .checkpoint(eager=True))
+    ranged = materialize(
+        counted.repartitionByRange(slices, *[F.col(k).asc_nulls_first() for k in keys], v.asc_nulls_first())
+        .withColumn("_slice", F.spark_partition_id()), "percentile-slices")
     inner = Window.partitionBy(*keys, "_slice").orderBy(v.asc_nulls_first()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     local = ranged.withColumn("_cum", F.sum("_cv").over(inner))

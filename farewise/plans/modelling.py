@@ -25,6 +25,7 @@ from farewise.operators import drop_incomplete, hash_sample, holdout_split, keep
 from farewise.operators.profiles import FARE_PER_MILE, TRIP_DURATION_MINS
 from farewise.operators.sampling import SPLIT_COL
 from farewise.plans.features import GRID, HOUR, REGIME, WEEKEND, prepare
+from farewise.session import materialize
 
 LABEL = "label_fare_amount"
 GRID_TOP = "pickup_grid_top"
@@ -197,10 +198,10 @@ def train_and_evaluate(ds: DataFrame, key: str | None, sample_fraction: float =
     """Split, fit both models on the train part, predict the test part.
 
     Returns (linear model, test frame with predictions). The split frame is
-    checkpointed to the shared checkpoint folder: both models and every report
-    read it, and a lost executor then recomputes nothing upstream.
+    written as Parquet to the shared checkpoint folder: both models and every
+    report read it, and a lost executor then recomputes nothing upstream.
     """
-    split = split_dataset(ds, key, sample_fraction, seed=seed).checkpoint(eager=True)
+    split = materialize(split_dataset(ds, key, sample_fraction, seed=seed), "model-split")
     train = split.filter(~F.col(SPLIT_COL))
     test = split.filter(F.col(SPLIT_COL))
     linear = fit_linear(train)

@@ -57,3 +57,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path below the shared checkpoint folder for a written table."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df, name: str):
+    """Cut lineage: write ``df`` as Parquet below the shared checkpoint folder and read it back.
+
+    Columnar and compressed (smaller than a serialized RDD checkpoint), and a
+    lost executor never recomputes the plan above it.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
