@@ -23,7 +23,7 @@ from farewise.config import (
 from farewise.functions import bucketize
 from farewise.operators import drop_incomplete, hash_sample, holdout_split, keep_top_n
 from farewise.operators.profiles import FARE_PER_MILE, TRIP_DURATION_MINS
-from farewise.operators.sampling import SPLIT_COL
+from farewise.operators.sampling import SPLIT_COL, row_key
 from farewise.plans.features import GRID, HOUR, REGIME, WEEKEND, prepare
 from farewise.session import materialize
 
@@ -202,6 +202,11 @@ def train_and_evaluate(ds: DataFrame, key: str | None, sample_fraction: float =
     report read it, and a lost executor then recomputes nothing upstream.
     """
     split = materialize(split_dataset(ds, key, sample_fraction, seed=seed), "model-split")
+    # A layout that does not depend on file listing order: the forest's
+    # bootstrap follows row order, so the same seed gives the same forest.
+    k = row_key(split, key)
+    split = split.repartition(int(split.sparkSession.conf.get("spark.sql.shuffle.partitions")), k) \
+        .sortWithinPartitions(k)
     train = split.filter(~F.col(SPLIT_COL))
     test = split.filter(F.col(SPLIT_COL))
     linear = fit_linear(train)
