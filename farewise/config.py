@@ -55,10 +55,12 @@ LINEAR_REPORT_NAME = "Distance-only"
 FOREST_REPORT_NAME = "Context-aware RF"
 # --- end of fixed values ---
 
-# Percentiles: "sketch" (percentile_approx, one pass, bounded memory) or
-# "exact" (distributed rank selection, several passes). Sketch rank error is at
-# most n / accuracy; 1e6 keeps groups below ~500k rows exact.
-PERCENTILE_METHOD = "sketch"
+# Percentiles (see operators/quantiles.py): "kll" (two-level salted KLL
+# sketches, one pass, bounded memory and merge fan-in; exact below ~k rows per
+# group), "sketch" (percentile_approx; exact below ~accuracy / 2 rows) or
+# "exact" (distributed rank selection, several passes, exact at any size).
+PERCENTILE_METHOD = "kll"
+KLL_K = 65535
 PERCENTILE_ACCURACY = 1_000_000
 
 # Money and distance carry at most 4 decimals; they are aggregated as whole
@@ -98,6 +100,7 @@ class FareConfig:
     max_trip_minutes: float = MAX_TRIP_MINUTES
     percentile_accuracy: int = PERCENTILE_ACCURACY
     percentile_method: str = PERCENTILE_METHOD
+    kll_k: int = KLL_K
 
 
 DEFAULT = FareConfig()

@@ -1,9 +1,20 @@
-"""Group statistics with percentiles: mergeable sketch or exact rank selection.
+"""Group statistics with percentiles: mergeable sketches or exact rank selection.
 
-``method="sketch"`` (default): ``percentile_approx`` with an array of levels,
-one sketch per column; partial sketches are built map-side and merged, memory
-per sketch is bounded by the accuracy. Exact while a group holds fewer than
-about accuracy / 2 rows, rank error at most n / accuracy beyond.
+All methods return the discrete percentile (smallest v with at least
+ceil(p * n) values <= v, as SQL ``percentile_disc`` / ``quantile_disc``).
+
+``method="kll"`` (default): KLL sketches merged in two levels. Rows are first
+sketched per (keys, salt) with salt = input partition id mod S, then the S
+sketches of a group are merged. A group holding a third of all rows thus
+never funnels one partial sketch per map task into a single reducer: each
+merge sees about sqrt(#tasks) sketches. Sketch memory is bounded by k; exact
+while a group holds fewer than about k rows (k <= 65535), rank error of
+order 1/k beyond. Counts and means are carried through both levels, so the
+input is scanned once.
+
+``method="sketch"``: ``percentile_approx`` (the published analysis' choice),
+one sketch per column and group merged in one reducer per group; exact while
+a group holds fewer than about accuracy / 2 rows.
 
 ``method="exact"``: the discrete percentile (smallest v with at least
 ceil(p * n) values <= v, as SQL ``percentile_disc`` / ``quantile_disc``) for
@@ -20,6 +31,7 @@ any group size, without ever placing a whole group in one task:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,6 +42,7 @@ from farewise.session import materialize
 
 SKETCH = "sketch"
 EXACT = "exact"
+KLL = "kll"
 
 
 def _c(col: str | Column) -> Column:
@@ -85,32 +98,67 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], col: str, levels: Mapp
     return joined.groupBy(*keys).agg(*aggs)
 
 
-def group_stats(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column] = (),
-                quantiles: Mapping[str, tuple[str, float]] | None = None, method: str | None = None,
-                accuracy: int | None = None) -> DataFrame:
-    """One row per group: the given aggregates plus named percentiles ``{out: (column, level)}``.
-
-    With the sketch method everything is one aggregate (levels of one column
-    share a sketch). With the exact method each percentile column is selected
-    exactly and joined back to the plain aggregates on the (null-safe) keys;
-    those frames hold one row per group.
-    """
+def kll_salts(spark) -> int:
+    """Salt count for the two-level merge: about sqrt(16 x parallelism)."""
+    return max(1, math.ceil(math.sqrt(16 * spark.sparkContext.defaultParallelism)))
+
+
+def _kll_stats(df: DataFrame, keys: list[str], count_as: str | None, means: Mapping[str, str],
+               by_col: dict[str, dict[str, float]], k: int, salts: int | None) -> DataFrame:
+    salts = salts or kll_salts(df.sparkSession)
+    cols = list(by_col)
+    first = [F.kll_sketch_agg_double(F.col(c).cast("double"), k).alias(f"_sk{i}") for i, c in enumerate(cols)]
+    first += [F.count(F.lit(1)).alias("_n")]
+    for i, c in enumerate(means.values()):
+        first += [F.sum(F.col(c)).alias(f"_s{i}"), F.count(F.col(c)).alias(f"_c{i}")]
+    level1 = (df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+              .groupBy(*keys, "_salt").agg(*first))
+    second = [F.kll_merge_agg_double(f"_sk{i}").alias(f"_sk{i}") for i in range(len(cols))]
+    second += [F.sum("_n").alias("_n")]
+    for i in range(len(means)):
+        second += [F.sum(f"_s{i}").alias(f"_s{i}"), F.sum(f"_c{i}").alias(f"_c{i}")]
+    level2 = level1.groupBy(*keys).agg(*second)
+    out = [F.col(k_) for k_ in keys]
+    if count_as:
+        out.append(F.col("_n").alias(count_as))
+    for i, name in enumerate(means):
+        out.append(F.try_divide(F.col(f"_s{i}"), F.col(f"_c{i}")).alias(name))
+    for i, c in enumerate(cols):
+        levels = by_col[c]
+        q = F.kll_sketch_get_quantile_double(f"_sk{i}", F.array(*[F.lit(float(p)) for p in levels.values()]))
+        # a group whose values are all null has an empty sketch: no percentile
+        q = F.when(F.kll_sketch_get_n_double(f"_sk{i}") > 0, q)
+        out += [q[j].alias(name) for j, name in enumerate(levels)]
+    return level2.select(*out)
+
+
+def group_stats(df: DataFrame, keys: Sequence[str], count_as: str | None = None,
+                means: Mapping[str, str] | None = None, quantiles: Mapping[str, tuple[str, float]] | None = None,
+                method: str | None = None, accuracy: int | None = None, kll_k: int | None = None,
+                salts: int | None = None) -> DataFrame:
+    """One row per group: optional row count, named means ``{out: column}`` and named
+    percentiles ``{out: (column, level)}``, computed with one of the methods above."""
     keys = list(keys)
+    means = dict(means or {})
     quantiles = dict(quantiles or {})
     method = method or DEFAULT.percentile_method
-    acc = DEFAULT.percentile_accuracy if accuracy is None else accuracy
     by_col: dict[str, dict[str, float]] = {}
     for out, (col, p) in quantiles.items():
         by_col.setdefault(col, {})[out] = p
+    plain = ([F.count(F.lit(1)).alias(count_as)] if count_as else []) + [
+        F.avg(F.col(c)).alias(name) for name, c in means.items()]
+    if method == KLL:
+        return _kll_stats(df, keys, count_as, means, by_col, kll_k or DEFAULT.kll_k, salts)
     if method == SKETCH:
-        exprs = list(aggs)
+        acc = DEFAULT.percentile_accuracy if accuracy is None else accuracy
+        exprs = list(plain)
         for col, lv in by_col.items():
             sketch = F.percentile_approx(F.col(col), list(lv.values()), acc)
             exprs += [sketch[i].alias(out) for i, out in enumerate(lv)]
         return df.groupBy(*keys).agg(*exprs)
     if method != EXACT:
         raise ValueError(f"unknown percentile method {method!r}")
-    result = df.groupBy(*keys).agg(*aggs) if aggs else None
+    result = df.groupBy(*keys).agg(*plain) if plain else None
     for col, lv in by_col.items():
         part = exact_percentiles(df, keys, col, lv)
         result = part if result is None else _null_safe_join(result, part, keys, "left")

@@ -23,8 +23,8 @@ def percentiles(df: DataFrame, keys: Sequence[str], col: str, levels: dict[str,
     """
     from farewise.operators.quantiles import group_stats
 
-    aggs = [F.count(F.lit(1)).alias(count_as)] if count_as else []
-    return group_stats(df, keys, aggs, {name: (col, p) for name, p in levels.items()}, method, accuracy)
+    return group_stats(df, keys, count_as=count_as, quantiles={name: (col, p) for name, p in levels.items()},
+                       method=method, accuracy=accuracy)
 
 
 def broadcast_if_bounded(stats: DataFrame, max_rows: int | None,

@@ -58,9 +58,8 @@ def with_components(df: DataFrame, cfg: FareConfig = DEFAULT, with_shares: bool
 
 def regime_rate_baseline(df: DataFrame, cfg: FareConfig = DEFAULT, count_as: str | None = None) -> DataFrame:
     """Median fare per mile of each distance regime (one row per regime)."""
-    aggs = [F.count(F.lit(1)).alias(count_as)] if count_as else []
-    stats = group_stats(df, [REGIME], aggs, {MEDIAN_RATE: (FARE_PER_MILE, P_MEDIAN)},
-                        cfg.percentile_method, cfg.percentile_accuracy)
+    stats = group_stats(df, [REGIME], count_as=count_as, quantiles={MEDIAN_RATE: (FARE_PER_MILE, P_MEDIAN)},
+                        method=cfg.percentile_method, accuracy=cfg.percentile_accuracy, kll_k=cfg.kll_k)
     return stats.select(REGIME, MEDIAN_RATE, *([count_as] if count_as else []))
 
 

@@ -102,15 +102,15 @@ def regime_baseline_from(df: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:
     return regime_rate_baseline(df, cfg, count_as="trips").orderBy(REGIME)
 
 
-def _stats(df: DataFrame, keys, aggs, quantiles, cfg: FareConfig) -> DataFrame:
-    return group_stats(df, keys, aggs, quantiles, cfg.percentile_method, cfg.percentile_accuracy)
+def _stats(df: DataFrame, keys, quantiles, cfg: FareConfig, means=None) -> DataFrame:
+    return group_stats(df, keys, count_as="trips", means=means, quantiles=quantiles,
+                       method=cfg.percentile_method, accuracy=cfg.percentile_accuracy, kll_k=cfg.kll_k)
 
 
 def regime_deviation_summary_from(df: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:
     dev = with_baseline_deviation(df, cfg)
-    stats = _stats(dev, [REGIME], [_count(), F.avg("fare_deviation").alias("_avg")],
-                   {"_p50": ("fare_deviation", P_MEDIAN), "_p90": ("fare_deviation", P_HIGH),
-                    "_p10": ("fare_deviation", P_LOW)}, cfg)
+    stats = _stats(dev, [REGIME], {"_p50": ("fare_deviation", P_MEDIAN), "_p90": ("fare_deviation", P_HIGH),
+                                   "_p10": ("fare_deviation", P_LOW)}, cfg, {"_avg": "fare_deviation"})
     return stats.select(
         REGIME, "trips",
         F.round("_avg", 2).alias("avg_deviation"),
@@ -133,8 +133,8 @@ def regime_deviation_summary(trips: DataFrame, cfg: FareConfig = DEFAULT) -> Dat
 def deviation_by_time_from(df: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:
     dev = with_baseline_deviation(df, cfg)
     keys = [REGIME, WEEKEND, HOUR]
-    stats = _stats(dev, keys, [_count(), F.avg("fare_deviation").alias("_avg")],
-                   {"_p50": ("abs_deviation", P_MEDIAN), "_p90": ("abs_deviation", P_HIGH)}, cfg)
+    stats = _stats(dev, keys, {"_p50": ("abs_deviation", P_MEDIAN), "_p90": ("abs_deviation", P_HIGH)}, cfg,
+                   {"_avg": "fare_deviation"})
     return stats.select(
         *keys, "trips",
         F.round("_p50", 2).alias("median_abs_dev"),
@@ -152,8 +152,7 @@ def deviation_top_grids_from(df: DataFrame, cfg: FareConfig = DEFAULT, min_trips
     """
     dev = with_baseline_deviation(df, cfg)
     keys = [REGIME, LAT_BIN, LON_BIN]
-    stats = _stats(dev, keys, [_count()],
-                   {"_p50": ("abs_deviation", P_MEDIAN), "_p90": ("abs_deviation", P_HIGH)}, cfg)
+    stats = _stats(dev, keys, {"_p50": ("abs_deviation", P_MEDIAN), "_p90": ("abs_deviation", P_HIGH)}, cfg)
     cells = stats.filter(F.col("trips") >= min_trips).select(
         *keys, "trips", F.round("_p90", 2).alias("p90_abs_dev"), F.round("_p50", 2).alias("median_abs_dev"))
     return top_k(cells, [F.desc("p90_abs_dev")], k, keys)
@@ -172,9 +171,9 @@ def deviation_top_grids(trips: DataFrame, cfg: FareConfig = DEFAULT, min_trips:
 
 def decomposition_by_time_from(df: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:
     keys = [REGIME, WEEKEND, HOUR]
-    stats = _stats(df, keys, [_count()],
-                   {"_fixed50": ("fixed_fees", P_MEDIAN), "_tolls50": ("tolls", P_MEDIAN),
-                    "_share50": ("fixed_fee_share", P_MEDIAN), "_toll_share90": ("toll_share", P_HIGH)}, cfg)
+    stats = _stats(df, keys, {"_fixed50": ("fixed_fees", P_MEDIAN), "_tolls50": ("tolls", P_MEDIAN),
+                              "_share50": ("fixed_fee_share", P_MEDIAN), "_toll_share90": ("toll_share", P_HIGH)},
+                   cfg)
     return stats.select(
         *keys, "trips",
         F.round("_fixed50", 2).alias("median_fixed_fees"),
@@ -187,7 +186,7 @@ def decomposition_by_time_from(df: DataFrame, cfg: FareConfig = DEFAULT) -> Data
 def toll_heavy_grids_from(df: DataFrame, cfg: FareConfig = DEFAULT, min_trips: int = MIN_GROUP_TRIPS,
                           k: int = TOP_TOLL_GRIDS) -> DataFrame:
     keys = [REGIME, LAT_BIN, LON_BIN]
-    stats = _stats(df, keys, [_count()], {"_p50": ("tolls", P_MEDIAN), "_p90": ("tolls", P_HIGH)}, cfg)
+    stats = _stats(df, keys, {"_p50": ("tolls", P_MEDIAN), "_p90": ("tolls", P_HIGH)}, cfg)
     cells = stats.filter(F.col("trips") >= min_trips).select(
         *keys, "trips", F.round("_p50", 2).alias("median_tolls"), F.round("_p90", 2).alias("p90_tolls"))
     return top_k(cells, [F.desc("p90_tolls")], k, keys)

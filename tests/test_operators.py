@@ -213,15 +213,41 @@ def test_exact_percentiles_split_a_hot_group_across_slices(spark):
         assert got[g]["n"] == len(vs)
 
 
-def test_sketch_and_exact_agree_at_test_scale(spark):
+@pytest.mark.parametrize("method", ["kll", "sketch", "exact"])
+def test_methods_agree_at_test_scale(spark, method):
     from farewise.operators import group_stats
 
-    rows = [(i % 3, float((i * 7919) % 1000) / 7.0) for i in range(5000)]
-    df = spark.createDataFrame(rows, "g int, v double")
-    q = {"a": ("v", 0.25), "b": ("v", 0.5), "c": ("v", 0.75)}
-    aggs = [F.count(F.lit(1)).alias("n")]
-    sketch = sorted(group_stats(df, ["g"], aggs, q, "sketch").collect())
-    exact = sorted(group_stats(df, ["g"], aggs, q, "exact").select("g", "n", "a", "b", "c").collect())
-    assert [tuple(r) for r in sketch] == [tuple(r) for r in exact]
+    rows = [(i % 3, float((i * 7919) % 1000) / 7.0, float(i % 11)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "g int, v double, w double").repartition(6)
+    q = {"a": ("v", 0.25), "b": ("v", 0.5), "c": ("v", 0.75), "d": ("w", 0.9)}
+    got = sorted(tuple(r) for r in group_stats(df, ["g"], count_as="n", means={"m": "w"}, quantiles=q,
+                                               method=method, salts=4)
+                 .select("g", "n", "m", "a", "b", "c", "d").collect())
+    want = []
+    for g in range(3):
+        vs = [r[1] for r in rows if r[0] == g]
+        ws = [r[2] for r in rows if r[0] == g]
+        want.append((g, len(vs), pytest.approx(sum(ws) / len(ws)), _disc(vs, 0.25), _disc(vs, 0.5),
+                     _disc(vs, 0.75), _disc(ws, 0.9)))
+    assert got == want
+
+
+def test_unknown_percentile_method(spark):
+    from farewise.operators import group_stats
+
+    df = spark.createDataFrame([(1, 1.0)], "g int, v double")
     with pytest.raises(ValueError):
-        group_stats(df, ["g"], aggs, q, "median-of-medians")
+        group_stats(df, ["g"], quantiles={"a": ("v", 0.5)}, method="median-of-medians")
+
+
+def test_kll_two_level_merge_with_hot_group(spark):
+    from farewise.operators import group_stats
+
+    rows = [("hot", float(i % 997) / 3.0) for i in range(20000)] + [("cold", 1.0), ("cold", 3.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(16)
+    got = {r.g: r for r in group_stats(df, ["g"], count_as="n", quantiles={"p50": ("v", 0.5), "p99": ("v", 0.99)},
+                                       method="kll", salts=5).collect()}
+    for g in ("hot", "cold", "none"):
+        vs = [v for k, v in rows if k == g]
+        assert got[g].n == len(vs)
+        assert got[g].p50 == _disc(vs, 0.5) and got[g].p99 == _disc(vs, 0.99)
