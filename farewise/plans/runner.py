@@ -10,6 +10,7 @@ filter -> project) if an executor is lost.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -48,28 +49,39 @@ PROFILE_COLUMNS = {
 
 def run_reports(trips: DataFrame, cfg: FareConfig = DEFAULT, names: list[str] | None = None,
                 min_trips: int = MIN_GROUP_TRIPS, sink: Callable[[str, DataFrame], object] | None = None,
-                storage: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> dict[str, object]:
-    """Compute the named reports (default: all), grouped by profile.
+                storage: StorageLevel = StorageLevel.MEMORY_AND_DISK, parallelism: int = 4) -> dict[str, object]:
+    """Compute the named reports (default: all), sharing one prepared input per profile.
 
     ``sink(name, df)`` receives each report (e.g. a CSV writer); by default
-    the (small) report rows are collected. Returns name -> sink result.
+    the (small) report rows are collected. Reports are submitted as
+    concurrent Spark jobs (``parallelism`` at a time) so small report stages
+    fill idle executors; a persisted block is computed once even when two
+    jobs ask for it together. Returns name -> sink result.
     """
     names = list(REPORTS) if names is None else names
-    by_profile: dict[str, list[str]] = {}
+    frames: dict[str, DataFrame] = {}
+    shared: list[DataFrame] = []
+    members: dict[str, int] = {}
     for n in names:
-        by_profile.setdefault(REPORTS[n][0], []).append(n)
-    out: dict[str, object] = {}
-    for profile, members in by_profile.items():
+        members[REPORTS[n][0]] = members.get(REPORTS[n][0], 0) + 1
+    for profile, count in members.items():
         frame = prepare(trips, profile, cfg)
-        shared = len(members) > 1
-        if shared:
+        if count > 1:
             frame = frame.select(*PROFILE_COLUMNS[profile]).persist(storage)
-        try:
-            for n in members:
-                fn = REPORTS[n][1]
-                df = fn(frame, cfg, min_trips=min_trips) if n in _GRID_REPORTS else fn(frame, cfg)
-                out[n] = sink(n, df) if sink else df.collect()
-        finally:
-            if shared:
-                frame.unpersist()
-    return out
+            shared.append(frame)
+        frames[profile] = frame
+
+    def one(n: str) -> object:
+        profile, fn = REPORTS[n]
+        df = fn(frames[profile], cfg, min_trips=min_trips) if n in _GRID_REPORTS else fn(frames[profile], cfg)
+        return sink(n, df) if sink else df.collect()
+
+    try:
+        if parallelism <= 1:
+            return {n: one(n) for n in names}
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            futures = {n: pool.submit(one, n) for n in names}
+            return {n: f.result() for n, f in futures.items()}
+    finally:
+        for frame in shared:
+            frame.unpersist()
