@@ -21,7 +21,8 @@ HEADLINE = [
     "hourly_demand_revenue", "weekend_vs_weekday_hourly", "payment_split", "top_pickup_grids",
     "regime_baseline", "regime_deviation_summary", "deviation_by_time", "deviation_top_grids",
     "decomposition_by_time", "toll_heavy_grids", "deviation_by_time_exact", "group_percentiles",
-    "group_percentiles_exact", "lineitem_price_deviation", "ml_fare_dataset", "topn_or_other",
+    "group_percentiles_exact", "group_percentiles_sketch", "lineitem_price_deviation", "ml_fare_dataset",
+    "topn_or_other",
     "violation_counts", "clean_modelling",
 ]
 
