@@ -8,12 +8,11 @@ defaults are stated here once.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dataclasses import replace
-
 from farewise.config import DEFAULT, P_HIGH, P_LOW, P_MEDIAN, PAYMENT_LABELS, PAYMENT_OTHER
 from farewise.functions import (
     bucketize, decode, duration_minutes, grid_bin, grid_id, share, sum_components, unit_rate,
@@ -79,43 +78,41 @@ def _q_parquet_roundtrip(spark, sf_dir):
     return read_trips_parquet(spark, path)
 
 
+def _fixture_csv(spark, sf_dir) -> tuple[str, object]:
+    """The trips written as multi-part CSV (with the fixture's malformed cells) and their schema."""
+    trips = _trips(spark, sf_dir)
+    return write_trips_csv(trips, scratch_path(spark, "trips-csv")), trips.schema
+
+
+def _ingest(spark, sf_dir) -> str:
+    src, schema = _fixture_csv(spark, sf_dir)
+    return ingest_csv(spark, src, scratch_path(spark, "trips-ingest"), schema=schema)
+
+
 @register("csv_ingest")
 def _q_csv_ingest(spark, sf_dir):
-    trips = _trips(spark, sf_dir)
-    src = write_trips_csv(trips, scratch_path(spark, "trips-csv"))
-    out = ingest_csv(spark, src, scratch_path(spark, "trips-ingest"), schema=_csv_schema(trips))
-    return read_ingested(spark, out)
+    return read_ingested(spark, _ingest(spark, sf_dir))
 
 
 @register("csv_ingest_counts")
 def _q_csv_ingest_counts(spark, sf_dir):
-    trips = _trips(spark, sf_dir)
-    src = write_trips_csv(trips, scratch_path(spark, "trips-csv"))
-    out = ingest_csv(spark, src, scratch_path(spark, "trips-ingest"), schema=_csv_schema(trips))
-    return ingest_counts(spark, out)
+    return ingest_counts(spark, _ingest(spark, sf_dir))
 
 
 @register("stream_ingest")
 def _q_stream_ingest(spark, sf_dir):
     from farewise.streaming.ingest import run_ingest
 
-    trips = _trips(spark, sf_dir)
-    src = write_trips_csv(trips, scratch_path(spark, "trips-csv"))
+    src, schema = _fixture_csv(spark, sf_dir)
     out = run_ingest(spark, src, scratch_path(spark, "trips-stream"), scratch_path(spark, "stream-ckpt"),
-                     schema=_csv_schema(trips))
+                     schema=schema)
     return read_ingested(spark, out)
 
 
-def _csv_schema(trips: DataFrame):
-    return trips.schema
-
-
 @register("ingest_report")
 def _q_ingest_report(spark, sf_dir):
     """Shape and rule violations of the kept rows of a CSV ingest (one pass over its output)."""
-    trips = _trips(spark, sf_dir)
-    src = write_trips_csv(trips, scratch_path(spark, "trips-csv"))
-    kept = read_ingested(spark, ingest_csv(spark, src, scratch_path(spark, "trips-ingest"), schema=trips.schema))
+    kept = read_ingested(spark, _ingest(spark, sf_dir))
     return violation_counts(kept).withColumn("columns", F.lit(len(kept.columns)).cast("int"))
 
 

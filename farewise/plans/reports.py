@@ -20,10 +20,8 @@ from farewise.config import (
 )
 from farewise.functions import decode, duration_seconds, round_measure_avg, round_measure_sum
 from farewise.operators import group_stats, top_k, within_bbox
-from farewise.operators.profiles import FARE_PER_MILE
 from farewise.plans.features import (
-    HOUR, LAT_BIN, LON_BIN, MEDIAN_RATE, REGIME, WEEKEND, prepare, regime_rate_baseline, with_baseline_deviation,
-    with_grid,
+    HOUR, LAT_BIN, LON_BIN, REGIME, WEEKEND, prepare, regime_rate_baseline, with_baseline_deviation, with_grid,
 )
 
 
@@ -204,5 +202,5 @@ def toll_heavy_grids(trips: DataFrame, cfg: FareConfig = DEFAULT, min_trips: int
 __all__ = [
     "hourly_demand_revenue", "weekend_vs_weekday_hourly", "payment_split", "top_pickup_grids",
     "regime_baseline", "regime_deviation_summary", "deviation_by_time", "deviation_top_grids",
-    "decomposition_by_time", "toll_heavy_grids", "MEDIAN_RATE", "FARE_PER_MILE",
+    "decomposition_by_time", "toll_heavy_grids",
 ]
