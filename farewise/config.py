@@ -59,8 +59,11 @@ FOREST_REPORT_NAME = "Context-aware RF"
 # sketches, one pass, bounded memory and merge fan-in; exact below ~k rows per
 # group), "sketch" (percentile_approx; exact below ~accuracy / 2 rows) or
 # "exact" (distributed rank selection, several passes, exact at any size).
+# A KLL buffer holds about k doubles: k = 16384 is ~128 KB per group buffer
+# (<= ~16 MB per task before Spark's sort-based aggregation fallback at 128
+# groups) with rank error of order 1e-4, like percentile_approx at 1e4.
 PERCENTILE_METHOD = "kll"
-KLL_K = 65535
+KLL_K = 16384
 PERCENTILE_ACCURACY = 1_000_000
 
 # Money and distance carry at most 4 decimals; they are aggregated as whole

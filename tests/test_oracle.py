@@ -31,3 +31,27 @@ def test_entry_runs_with_stable_schema(spark):
     assert df.columns == ["distance_regime", "is_weekend", "pickup_hour", "trips", "median_abs_dev",
                           "p90_abs_dev", "avg_dev"]
     assert df.count() > 0
+
+
+@pytest.mark.parametrize("name,method", [
+    ("hourly_demand_revenue", "kll"), ("payment_split", "kll"), ("regime_deviation_summary", "kll"),
+    ("deviation_by_time", "kll"), ("decomposition_by_time", "kll"), ("deviation_by_time", "exact"),
+    ("decomposition_by_time", "sketch"),
+])
+def test_reports_do_not_depend_on_partitioning(spark, name, method):
+    """Trips spread over 13 partitions (many map tasks, several salts) give the oracle's answer."""
+    from dataclasses import replace
+
+    import duckdb
+
+    from farewise.config import DEFAULT
+    from farewise.plans import reports
+    from farewise.sources import trips_table
+
+    from conftest import SF_MED
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{SF_MED}/events.parquet')")
+    trips = trips_table(spark, SF_MED).repartition(13)
+    df = getattr(reports, name)(trips, replace(DEFAULT, percentile_method=method))
+    assert rows_of_spark(df) == rows_of_duck(con, ORACLE[name])
