@@ -4,7 +4,7 @@ Layout
   functions/  scalar column expressions (time, geography, fare arithmetic)
   operators/  DataFrame -> DataFrame operators (profiles, group statistics, sampling, profiling)
   sources/    scans and sinks (CSV with reject handling, Parquet, report CSV, test-data trips)
-  plans/      composed reports, the modelling pipeline and a multi-report runner
+  plans/      composed reports, the modelling stages and a multi-report runner
   streaming/  incremental ingest with Structured Streaming
 """
 

@@ -35,7 +35,7 @@ P_MEDIAN, P_HIGH, P_LOW = 0.5, 0.9, 0.1
 SAMPLE_FRACTION = 0.01
 TEST_FRACTION = 0.2
 SEED = 42
-# Payment codes (TLC): 1 Credit Card, 2 Cash, 3 No Charge, 4 Dispute, 5 Unknown, 6 Voided, else Other
+# Payment codes: 1 Credit Card, 2 Cash, 3 No Charge, 4 Dispute, 5 Unknown, 6 Voided, else Other
 PAYMENT_LABELS = {
     1: "Credit Card",
     2: "Cash",

@@ -93,7 +93,7 @@ def fit_linear(train: DataFrame, x: str = "trip_distance", y: str = LABEL) -> Li
 
 # ---------------------------------------------------------------- random forest
 
-def feature_pipeline_stages(num_features=NUM_FEATURES, cat_features=CAT_FEATURES, out: str = "features"):
+def feature_stages(num_features=NUM_FEATURES, cat_features=CAT_FEATURES, out: str = "features"):
     """Numeric pass-through + one-hot of the categories; unseen categories encode as all zeros.
 
     StringIndexer(handleInvalid='keep') maps unseen labels to an extra index
@@ -125,7 +125,7 @@ def fit_random_forest(train: DataFrame, num_trees: int = 200, max_depth: int = 3
                                maxDepth=max_depth, minInstancesPerNode=min_instances, maxBins=max_bins,
                                featureSubsetStrategy=subset, seed=seed, maxMemoryInMB=max_memory_mb,
                                cacheNodeIds=True)
-    return Pipeline(stages=feature_pipeline_stages() + [rf]).fit(with_category_strings(train))
+    return Pipeline(stages=feature_stages() + [rf]).fit(with_category_strings(train))
 
 
 def encode_features(train: DataFrame, apply_to: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def encode_features(train: DataFrame, apply_to: DataFrame) -> DataFrame:
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
 
-    model = Pipeline(stages=feature_pipeline_stages()).fit(with_category_strings(train))
+    model = Pipeline(stages=feature_stages()).fit(with_category_strings(train))
     out = model.transform(with_category_strings(apply_to))
     return out.withColumn("features", vector_to_array("features", "float64"))
 
