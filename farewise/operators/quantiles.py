@@ -103,26 +103,59 @@ def kll_salts(spark) -> int:
     return max(1, math.ceil(math.sqrt(16 * spark.sparkContext.defaultParallelism)))
 
 
-def _kll_stats(df: DataFrame, keys: list[str], count_as: str | None, means: Mapping[str, str],
-               by_col: dict[str, dict[str, float]], k: int, salts: int | None) -> DataFrame:
+SET_COL = "_set"
+
+
+def _grouped(df: DataFrame, sets: list[list[str]], all_keys: list[str], extra: list[str]):
+    """groupBy for one key set, GROUPING SETS (one scan, one shuffle) for several."""
+    if len(sets) == 1:
+        return df.groupBy(*sets[0], *extra)
+    return df.groupingSets([[*s, *extra] for s in sets], *all_keys, *extra)
+
+
+def _set_index(sets: list[list[str]], all_keys: list[str], extra: list[str]) -> Column:
+    """Map grouping_id() (bit set = column not grouped, first column = highest bit) to the set index."""
+    cols = all_keys + extra
+    expr = None
+    for i, s in enumerate(sets):
+        gid = sum(1 << (len(cols) - 1 - j) for j, c in enumerate(cols) if c not in s and c not in extra)
+        cond = F.col("_gid") == F.lit(gid)
+        expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
+    return expr
+
+
+def _plain_aggs(count_as, sums, means) -> list[Column]:
+    out = [F.count(F.lit(1)).alias(count_as)] if count_as else []
+    out += [F.sum(F.col(c)).alias(name) for name, c in sums.items()]
+    for i, (name, c) in enumerate(means.items()):
+        out += [F.sum(F.col(c)).alias(f"_ms{i}"), F.count(F.col(c)).alias(f"_mc{i}")]
+    return out
+
+
+def _mean_cols(means) -> list[Column]:
+    return [F.try_divide(F.col(f"_ms{i}"), F.col(f"_mc{i}")).alias(name) for i, name in enumerate(means)]
+
+
+def _kll_stats(df: DataFrame, sets, all_keys, count_as, sums, means, by_col, k: int, salts: int | None):
     salts = salts or kll_salts(df.sparkSession)
     cols = list(by_col)
     first = [F.kll_sketch_agg_double(F.col(c).cast("double"), k).alias(f"_sk{i}") for i, c in enumerate(cols)]
-    first += [F.count(F.lit(1)).alias("_n")]
-    for i, c in enumerate(means.values()):
-        first += [F.sum(F.col(c)).alias(f"_s{i}"), F.count(F.col(c)).alias(f"_c{i}")]
-    level1 = (df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-              .groupBy(*keys, "_salt").agg(*first))
+    first += _plain_aggs("_n", sums, means)
+    if len(sets) > 1:
+        first.append(F.grouping_id().alias("_gid"))
+    level1 = _grouped(df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts))), sets, all_keys,
+                      ["_salt"]).agg(*first)
+    gid = ["_gid"] if len(sets) > 1 else []
     second = [F.kll_merge_agg_double(f"_sk{i}").alias(f"_sk{i}") for i in range(len(cols))]
-    second += [F.sum("_n").alias("_n")]
+    second += [F.sum("_n").alias("_n")] + [F.sum(name).alias(name) for name in sums]
     for i in range(len(means)):
-        second += [F.sum(f"_s{i}").alias(f"_s{i}"), F.sum(f"_c{i}").alias(f"_c{i}")]
-    level2 = level1.groupBy(*keys).agg(*second)
-    out = [F.col(k_) for k_ in keys]
+        second += [F.sum(f"_ms{i}").alias(f"_ms{i}"), F.sum(f"_mc{i}").alias(f"_mc{i}")]
+    level2 = level1.groupBy(*gid, *all_keys).agg(*second)
+    out = [(_set_index(sets, all_keys, ["_salt"]) if gid else F.lit(0)).alias(SET_COL)]
+    out += [F.col(k_) for k_ in all_keys]
     if count_as:
         out.append(F.col("_n").alias(count_as))
-    for i, name in enumerate(means):
-        out.append(F.try_divide(F.col(f"_s{i}"), F.col(f"_c{i}")).alias(name))
+    out += [F.col(name) for name in sums] + _mean_cols(means)
     for i, c in enumerate(cols):
         levels = by_col[c]
         q = F.kll_sketch_get_quantile_double(f"_sk{i}", F.array(*[F.lit(float(p)) for p in levels.values()]))
@@ -132,36 +165,69 @@ def _kll_stats(df: DataFrame, keys: list[str], count_as: str | None, means: Mapp
     return level2.select(*out)
 
 
-def group_stats(df: DataFrame, keys: Sequence[str], count_as: str | None = None,
-                means: Mapping[str, str] | None = None, quantiles: Mapping[str, tuple[str, float]] | None = None,
-                method: str | None = None, accuracy: int | None = None, kll_k: int | None = None,
-                salts: int | None = None) -> DataFrame:
-    """One row per group: optional row count, named means ``{out: column}`` and named
-    percentiles ``{out: (column, level)}``, computed with one of the methods above."""
-    keys = list(keys)
-    means = dict(means or {})
-    quantiles = dict(quantiles or {})
+def _sketch_stats(df: DataFrame, sets, all_keys, count_as, sums, means, by_col, accuracy: int):
+    exprs = _plain_aggs(count_as, sums, means)
+    quant_names = []
+    for col, lv in by_col.items():
+        sketch = F.percentile_approx(F.col(col), list(lv.values()), accuracy)
+        exprs += [sketch[i].alias(out) for i, out in enumerate(lv)]
+        quant_names += list(lv)
+    if len(sets) > 1:
+        exprs.append(F.grouping_id().alias("_gid"))
+    agg = _grouped(df, sets, all_keys, []).agg(*exprs)
+    set_col = _set_index(sets, all_keys, []) if len(sets) > 1 else F.lit(0)
+    return agg.select(set_col.alias(SET_COL), *all_keys, *([count_as] if count_as else []), *sums,
+                      *_mean_cols(means), *quant_names)
+
+
+def group_stats_sets(df: DataFrame, sets: Sequence[Sequence[str]], count_as: str | None = None,
+                     sums: Mapping[str, str] | None = None, means: Mapping[str, str] | None = None,
+                     quantiles: Mapping[str, tuple[str, float]] | None = None, method: str | None = None,
+                     accuracy: int | None = None, kll_k: int | None = None, salts: int | None = None) -> DataFrame:
+    """Group statistics for several key sets in one pass (GROUPING SETS).
+
+    Returns ``_set`` (index into ``sets``), the union of all keys (null where
+    a key is not part of the row's set), the optional row count, named sums
+    ``{out: column}``, named means ``{out: column}`` (sum / count of non-null
+    values) and named percentiles ``{out: (column, level)}``.
+    """
+    sets = [list(s) for s in sets]
+    all_keys: list[str] = []
+    for s in sets:
+        all_keys += [k for k in s if k not in all_keys]
+    sums, means = dict(sums or {}), dict(means or {})
     method = method or DEFAULT.percentile_method
     by_col: dict[str, dict[str, float]] = {}
-    for out, (col, p) in quantiles.items():
+    for out, (col, p) in (quantiles or {}).items():
         by_col.setdefault(col, {})[out] = p
-    plain = ([F.count(F.lit(1)).alias(count_as)] if count_as else []) + [
-        F.avg(F.col(c)).alias(name) for name, c in means.items()]
     if method == KLL:
-        return _kll_stats(df, keys, count_as, means, by_col, kll_k or DEFAULT.kll_k, salts)
+        return _kll_stats(df, sets, all_keys, count_as, sums, means, by_col, kll_k or DEFAULT.kll_k, salts)
     if method == SKETCH:
         acc = DEFAULT.percentile_accuracy if accuracy is None else accuracy
-        exprs = list(plain)
-        for col, lv in by_col.items():
-            sketch = F.percentile_approx(F.col(col), list(lv.values()), acc)
-            exprs += [sketch[i].alias(out) for i, out in enumerate(lv)]
-        return df.groupBy(*keys).agg(*exprs)
+        return _sketch_stats(df, sets, all_keys, count_as, sums, means, by_col, acc)
     if method != EXACT:
         raise ValueError(f"unknown percentile method {method!r}")
-    result = df.groupBy(*keys).agg(*plain) if plain else None
-    for col, lv in by_col.items():
-        part = exact_percentiles(df, keys, col, lv)
-        result = part if result is None else _null_safe_join(result, part, keys, "left")
-    if result is None:
-        return df.select(*keys).distinct()
-    return result
+    parts = []
+    for i, keys in enumerate(sets):
+        plain = _plain_aggs(count_as, sums, means)
+        result = df.groupBy(*keys).agg(*plain).select(
+            *keys, *([count_as] if count_as else []), *sums, *_mean_cols(means)) if plain else None
+        for col, lv in by_col.items():
+            part = exact_percentiles(df, keys, col, lv)
+            result = part if result is None else _null_safe_join(result, part, keys, "left")
+        if result is None:
+            result = df.select(*keys).distinct()
+        parts.append(result.withColumn(SET_COL, F.lit(i)))
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_, allowMissingColumns=True)
+    return out.select(SET_COL, *all_keys, *[c for c in out.columns if c != SET_COL and c not in all_keys])
+
+
+def group_stats(df: DataFrame, keys: Sequence[str], count_as: str | None = None,
+                means: Mapping[str, str] | None = None, quantiles: Mapping[str, tuple[str, float]] | None = None,
+                method: str | None = None, accuracy: int | None = None, kll_k: int | None = None,
+                salts: int | None = None, sums: Mapping[str, str] | None = None) -> DataFrame:
+    """One row per group of ``keys``: see ``group_stats_sets`` (a single key set)."""
+    return group_stats_sets(df, [list(keys)], count_as, sums, means, quantiles, method, accuracy, kll_k,
+                            salts).drop(SET_COL)

@@ -63,20 +63,21 @@ def regime_rate_baseline(df: DataFrame, cfg: FareConfig = DEFAULT, count_as: str
     return stats.select(REGIME, MEDIAN_RATE, *([count_as] if count_as else []))
 
 
-def with_baseline_deviation(df: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:
+def with_baseline_deviation(df: DataFrame, cfg: FareConfig = DEFAULT, baseline: DataFrame | None = None) -> DataFrame:
     """Attach the regime baseline to each trip: expected fare, signed and absolute deviation.
 
-    The baseline has at most one row per regime label, so it is broadcast and
-    the trips are never shuffled for the join.
+    The baseline (computed here, or passed in when already known) has at most
+    one row per regime label, so it is broadcast and the trips are never
+    shuffled for the join.
     """
     c = cfg.cols
-    stats = regime_rate_baseline(df, cfg)
+    stats = regime_rate_baseline(df, cfg) if baseline is None else baseline.select(REGIME, MEDIAN_RATE)
     joined = with_group_stat(df, stats, [REGIME], max_groups=len(cfg.regime_labels))
     expected = F.col(c.distance) * F.col(MEDIAN_RATE)
-    deviation = F.col(c.fare) - F.col("expected_fare_baseline")
-    return (joined.withColumn("expected_fare_baseline", expected)
-            .withColumn("fare_deviation", deviation)
-            .withColumn("abs_deviation", F.abs(F.col("fare_deviation"))))
+    return joined.withColumn("expected_fare_baseline", expected).withColumns({
+        "fare_deviation": F.col(c.fare) - F.col("expected_fare_baseline"),
+        "abs_deviation": F.abs(F.col(c.fare) - F.col("expected_fare_baseline")),
+    })
 
 
 def prepare(trips: DataFrame, profile: str, cfg: FareConfig = DEFAULT) -> DataFrame:

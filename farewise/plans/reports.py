@@ -1,114 +1,250 @@
 """The analysis reports: demand, payments, hotspots, regime baselines, deviations, decomposition.
 
-Each public report takes the raw trip table, applies its own cleaning profile
-and returns a small sorted DataFrame. The ``*_from`` variants take a frame
-already prepared with ``features.prepare`` so several reports can share one
-cleaned, persisted input (see ``plans.runner``).
-
-Money and distance are summed / averaged as exact 1e-4 units in a long
-(independent of partitioning); durations are averaged from whole seconds.
+Each report is three parts:
+
+* the frame of its cleaning profile with the features all reports of that
+  profile read (``analytics_frame``, ``deviation_frame``, ``decomposition_frame``);
+* the group keys and the statistics it needs (``ReportSpec``);
+* a finishing projection over the per-group statistics (rounding, HAVING,
+  sort or top-k).
+
+A single report computes its statistics with ``group_stats``; the runner
+(``plans.runner``) computes the statistics of every report of a profile in
+one GROUPING SETS pass over one scan. Money and distance are aggregated as
+exact 1e-4 units in a long (independent of partitioning); durations from
+whole seconds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farewise.config import (
-    DEFAULT, MIN_GROUP_TRIPS, P_HIGH, P_LOW, P_MEDIAN, PAYMENT_LABELS, PAYMENT_OTHER, TOP_DEVIATION_GRIDS,
-    TOP_PICKUP_GRIDS, TOP_TOLL_GRIDS, FareConfig,
+    DEFAULT, MEASURE_SCALE, MIN_GROUP_TRIPS, P_HIGH, P_LOW, P_MEDIAN, PAYMENT_LABELS, PAYMENT_OTHER,
+    TOP_DEVIATION_GRIDS, TOP_PICKUP_GRIDS, TOP_TOLL_GRIDS, FareConfig,
 )
-from farewise.functions import decode, duration_seconds, round_measure_avg, round_measure_sum
-from farewise.operators import group_stats, top_k, within_bbox
+from farewise.functions import decode, duration_seconds, grid_bin, measure, within_bbox
+from farewise.operators import group_stats, group_stats_sets, top_k
 from farewise.plans.features import (
-    HOUR, LAT_BIN, LON_BIN, REGIME, WEEKEND, prepare, regime_rate_baseline, with_baseline_deviation, with_grid,
+    HOUR, LAT_BIN, LON_BIN, MEDIAN_RATE, REGIME, WEEKEND, prepare, regime_rate_baseline, with_baseline_deviation,
 )
 
+PAYMENT = "payment_label"
+TIME_KEYS = (REGIME, WEEKEND, HOUR)
+CELL_KEYS = (REGIME, LAT_BIN, LON_BIN)
 
-def _count(name: str = "trips"):
-    return F.count(F.lit(1)).alias(name)
 
+# ---------------------------------------------------------------- profile frames
 
-# ---------------------------------------------------------------- analytics profile
-
-def hourly_demand_revenue_from(df: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:
+def analytics_frame(trips: DataFrame, cfg: FareConfig = DEFAULT, mapping: Mapping | None = None) -> DataFrame:
+    """Analytics profile with hour, weekend, payment label, measure units, and grid
+    cells of pickups inside the bounding box (null outside)."""
     c = cfg.cols
-    secs = duration_seconds(c.pickup_ts, c.dropoff_ts)
-    return (
-        df.groupBy(HOUR)
-        .agg(
-            _count("total_trips"),
-            round_measure_avg(c.distance).alias("avg_trip_distance_miles"),
-            F.round(F.sum(secs) / F.count(secs) / F.lit(60.0), 2).alias("avg_trip_duration_mins"),
-            round_measure_sum(c.total).alias("total_revenue_usd"),
-        )
-        .orderBy(HOUR)
+    inside = within_bbox(c.pickup_lat, c.pickup_lon, cfg.bbox_lat, cfg.bbox_lon)
+    return prepare(trips, "analytics", cfg).select(
+        HOUR, WEEKEND,
+        decode(c.payment, PAYMENT_LABELS if mapping is None else mapping, PAYMENT_OTHER).alias(PAYMENT),
+        F.when(inside, grid_bin(c.pickup_lat, cfg.grid_digits)).alias(LAT_BIN),
+        F.when(inside, grid_bin(c.pickup_lon, cfg.grid_digits)).alias(LON_BIN),
+        measure(c.distance).alias("_u_dist"),
+        duration_seconds(c.pickup_ts, c.dropoff_ts).alias("_secs"),
+        measure(c.total).alias("_u_total"),
+        measure(c.tip).alias("_u_tip"),
     )
 
 
-def weekend_vs_weekday_hourly_from(df: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:
-    return (
-        df.groupBy(WEEKEND, HOUR)
-        .agg(_count(), round_measure_avg(cfg.cols.total).alias("avg_total_amount_usd"))
+def deviation_frame(trips: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:
+    """Deviation profile with each trip's deviation from its regime baseline."""
+    dev = with_baseline_deviation(prepare(trips, "deviation", cfg), cfg)
+    return dev.select(*TIME_KEYS, LAT_BIN, LON_BIN, "fare_deviation", "abs_deviation")
+
+
+def decomposition_frame(trips: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:
+    return prepare(trips, "decomposition", cfg).select(
+        *TIME_KEYS, LAT_BIN, LON_BIN, "fixed_fees", "tolls", "fixed_fee_share", "toll_share")
+
+
+FRAMES: dict[str, Callable[..., DataFrame]] = {
+    "analytics": analytics_frame,
+    "deviation": deviation_frame,
+    "decomposition": decomposition_frame,
+}
+
+
+# ---------------------------------------------------------------- finishing projections
+
+def _money(col: str, digits: int = 2):
+    return F.round(F.try_divide(F.col(col), F.lit(float(MEASURE_SCALE))), digits)
+
+
+def _hourly(st: DataFrame, cfg: FareConfig) -> DataFrame:
+    return st.select(
+        HOUR, F.col("trips").alias("total_trips"),
+        _money("_mean_dist").alias("avg_trip_distance_miles"),
+        F.round(F.col("_mean_secs") / F.lit(60.0), 2).alias("avg_trip_duration_mins"),
+        _money("_sum_total").alias("total_revenue_usd"),
+    ).orderBy(HOUR)
+
+
+def _weekend(st: DataFrame, cfg: FareConfig) -> DataFrame:
+    return st.select(WEEKEND, HOUR, "trips", _money("_mean_total").alias("avg_total_amount_usd")) \
         .orderBy(WEEKEND, HOUR)
-    )
 
 
-def payment_split_from(df: DataFrame, cfg: FareConfig = DEFAULT, mapping=None, other: str = PAYMENT_OTHER) -> DataFrame:
-    c = cfg.cols
-    mapping = PAYMENT_LABELS if mapping is None else mapping
-    return (
-        df.withColumn("payment_label", decode(c.payment, mapping, other))
-        .groupBy("payment_label")
-        .agg(
-            _count(),
-            round_measure_sum(c.total).alias("revenue_usd"),
-            round_measure_avg(c.tip).alias("avg_tip_usd"),
-        )
-        .orderBy(F.desc("trips"), "payment_label")
-    )
+def _payment(st: DataFrame, cfg: FareConfig) -> DataFrame:
+    return st.select(PAYMENT, "trips", _money("_sum_total").alias("revenue_usd"),
+                     _money("_mean_tip").alias("avg_tip_usd")).orderBy(F.desc("trips"), PAYMENT)
 
 
-def top_pickup_grids_from(df: DataFrame, cfg: FareConfig = DEFAULT, k: int = TOP_PICKUP_GRIDS) -> DataFrame:
-    cells = (
-        with_grid(within_bbox(df, cfg), cfg)
-        .groupBy(LAT_BIN, LON_BIN)
-        .agg(_count(), round_measure_avg(cfg.cols.total).alias("avg_total_amount_usd"))
-    )
+def _pickup_grids(st: DataFrame, cfg: FareConfig, k: int = TOP_PICKUP_GRIDS) -> DataFrame:
+    # pickups outside the box form the (null, null) cell, which is not a cell
+    cells = st.filter(F.col(LAT_BIN).isNotNull()).select(
+        LAT_BIN, LON_BIN, "trips", _money("_mean_total").alias("avg_total_amount_usd"))
     return top_k(cells, [F.desc("trips")], k, [LAT_BIN, LON_BIN])
 
 
-def hourly_demand_revenue(trips: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:
-    return hourly_demand_revenue_from(prepare(trips, "analytics", cfg), cfg)
+def _deviation_time(st: DataFrame, cfg: FareConfig) -> DataFrame:
+    return st.select(
+        *TIME_KEYS, "trips",
+        F.round("_abs50", 2).alias("median_abs_dev"),
+        F.round("_abs90", 2).alias("p90_abs_dev"),
+        F.round("_mean_dev", 2).alias("avg_dev"),
+    ).orderBy(*TIME_KEYS)
 
 
-def weekend_vs_weekday_hourly(trips: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:
-    return weekend_vs_weekday_hourly_from(prepare(trips, "analytics", cfg), cfg)
+def _deviation_cells(st: DataFrame, cfg: FareConfig, min_trips: int = MIN_GROUP_TRIPS,
+                     k: int = TOP_DEVIATION_GRIDS) -> DataFrame:
+    cells = st.filter(F.col("trips") >= min_trips).select(
+        *CELL_KEYS, "trips", F.round("_abs90", 2).alias("p90_abs_dev"), F.round("_abs50", 2).alias("median_abs_dev"))
+    return top_k(cells, [F.desc("p90_abs_dev")], k, list(CELL_KEYS))
 
 
-def payment_split(trips: DataFrame, cfg: FareConfig = DEFAULT, mapping=None) -> DataFrame:
-    return payment_split_from(prepare(trips, "analytics", cfg), cfg, mapping)
+def _decomposition_time(st: DataFrame, cfg: FareConfig) -> DataFrame:
+    return st.select(
+        *TIME_KEYS, "trips",
+        F.round("_fixed50", 2).alias("median_fixed_fees"),
+        F.round("_tolls50", 2).alias("median_tolls"),
+        F.round("_share50", 3).alias("median_fixed_fee_share"),
+        F.round("_toll_share90", 3).alias("p90_toll_share"),
+    ).orderBy(*TIME_KEYS)
+
+
+def _toll_cells(st: DataFrame, cfg: FareConfig, min_trips: int = MIN_GROUP_TRIPS,
+                k: int = TOP_TOLL_GRIDS) -> DataFrame:
+    cells = st.filter(F.col("trips") >= min_trips).select(
+        *CELL_KEYS, "trips", F.round("_tolls50", 2).alias("median_tolls"), F.round("_tolls90", 2).alias("p90_tolls"))
+    return top_k(cells, [F.desc("p90_tolls")], k, list(CELL_KEYS))
+
+
+# ---------------------------------------------------------------- specs
+
+@dataclass(frozen=True)
+class ReportSpec:
+    profile: str
+    keys: tuple[str, ...]
+    finish: Callable[..., DataFrame]
+    sums: Mapping[str, str] = field(default_factory=dict)
+    means: Mapping[str, str] = field(default_factory=dict)
+    quantiles: Mapping[str, tuple[str, float]] = field(default_factory=dict)
+    grid_params: bool = False  # finish takes min_trips and k
+
+
+_ABS = {"_abs50": ("abs_deviation", P_MEDIAN), "_abs90": ("abs_deviation", P_HIGH)}
+_TOLLS = {"_tolls50": ("tolls", P_MEDIAN), "_tolls90": ("tolls", P_HIGH)}
+
+SPECS: dict[str, ReportSpec] = {
+    "hourly_demand_revenue": ReportSpec(
+        "analytics", (HOUR,), _hourly, sums={"_sum_total": "_u_total"},
+        means={"_mean_dist": "_u_dist", "_mean_secs": "_secs"}),
+    "weekend_vs_weekday_hourly": ReportSpec(
+        "analytics", (WEEKEND, HOUR), _weekend, means={"_mean_total": "_u_total"}),
+    "payment_split": ReportSpec(
+        "analytics", (PAYMENT,), _payment, sums={"_sum_total": "_u_total"}, means={"_mean_tip": "_u_tip"}),
+    "top_pickup_grids": ReportSpec(
+        "analytics", (LAT_BIN, LON_BIN), _pickup_grids, means={"_mean_total": "_u_total"}),
+    "deviation_by_time": ReportSpec(
+        "deviation", TIME_KEYS, _deviation_time, means={"_mean_dev": "fare_deviation"}, quantiles=_ABS),
+    "deviation_top_grids": ReportSpec(
+        "deviation", CELL_KEYS, _deviation_cells, quantiles=_ABS, grid_params=True),
+    "decomposition_by_time": ReportSpec(
+        "decomposition", TIME_KEYS, _decomposition_time,
+        quantiles={"_fixed50": ("fixed_fees", P_MEDIAN), "_tolls50": ("tolls", P_MEDIAN),
+                   "_share50": ("fixed_fee_share", P_MEDIAN), "_toll_share90": ("toll_share", P_HIGH)}),
+    "toll_heavy_grids": ReportSpec(
+        "decomposition", CELL_KEYS, _toll_cells, quantiles=_TOLLS, grid_params=True),
+}
+
+
+def spec_stats(frame: DataFrame, names: list[str], cfg: FareConfig = DEFAULT) -> DataFrame:
+    """Statistics of several reports of one profile in one pass (GROUPING SETS over their keys);
+    column ``_set`` holds the position of the report in ``names``."""
+    specs = [SPECS[n] for n in names]
+    sums, means, quantiles = {}, {}, {}
+    for s in specs:
+        sums.update(s.sums)
+        means.update(s.means)
+        quantiles.update(s.quantiles)
+    return group_stats_sets(frame, [list(s.keys) for s in specs], count_as="trips", sums=sums, means=means,
+                            quantiles=quantiles, method=cfg.percentile_method, accuracy=cfg.percentile_accuracy,
+                            kll_k=cfg.kll_k)
+
+
+def finish(name: str, stats: DataFrame, cfg: FareConfig = DEFAULT, min_trips: int = MIN_GROUP_TRIPS,
+           k: int | None = None) -> DataFrame:
+    """The report ``name`` from its group statistics."""
+    spec = SPECS[name]
+    if spec.grid_params:
+        return spec.finish(stats, cfg, min_trips, k) if k else spec.finish(stats, cfg, min_trips)
+    if k and name == "top_pickup_grids":
+        return spec.finish(stats, cfg, k)
+    return spec.finish(stats, cfg)
+
+
+def _single(name: str, trips: DataFrame, cfg: FareConfig, frame: DataFrame | None = None, **params) -> DataFrame:
+    spec = SPECS[name]
+    frame = FRAMES[spec.profile](trips, cfg) if frame is None else frame
+    stats = group_stats(frame, list(spec.keys), count_as="trips", sums=spec.sums, means=spec.means,
+                        quantiles=spec.quantiles, method=cfg.percentile_method, accuracy=cfg.percentile_accuracy,
+                        kll_k=cfg.kll_k)
+    return finish(name, stats, cfg, **params)
+
+
+# ---------------------------------------------------------------- public reports
 
+def hourly_demand_revenue(trips: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:
+    return _single("hourly_demand_revenue", trips, cfg)
 
-def top_pickup_grids(trips: DataFrame, cfg: FareConfig = DEFAULT, k: int = TOP_PICKUP_GRIDS) -> DataFrame:
-    return top_pickup_grids_from(prepare(trips, "analytics", cfg), cfg, k)
 
+def weekend_vs_weekday_hourly(trips: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:
+    return _single("weekend_vs_weekday_hourly", trips, cfg)
 
-# ---------------------------------------------------------------- baseline profile
 
-def regime_baseline_from(df: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:
-    return regime_rate_baseline(df, cfg, count_as="trips").orderBy(REGIME)
+def payment_split(trips: DataFrame, cfg: FareConfig = DEFAULT, mapping: Mapping | None = None) -> DataFrame:
+    return _single("payment_split", trips, cfg, analytics_frame(trips, cfg, mapping))
 
 
-def _stats(df: DataFrame, keys, quantiles, cfg: FareConfig, means=None) -> DataFrame:
-    return group_stats(df, keys, count_as="trips", means=means, quantiles=quantiles,
-                       method=cfg.percentile_method, accuracy=cfg.percentile_accuracy, kll_k=cfg.kll_k)
+def top_pickup_grids(trips: DataFrame, cfg: FareConfig = DEFAULT, k: int = TOP_PICKUP_GRIDS) -> DataFrame:
+    return _single("top_pickup_grids", trips, cfg, k=k)
 
 
-def regime_deviation_summary_from(df: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:
-    dev = with_baseline_deviation(df, cfg)
-    stats = _stats(dev, [REGIME], {"_p50": ("fare_deviation", P_MEDIAN), "_p90": ("fare_deviation", P_HIGH),
-                                   "_p10": ("fare_deviation", P_LOW)}, cfg, {"_avg": "fare_deviation"})
+def regime_baseline(trips: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:
+    """Median fare per mile and trips per distance regime (baseline profile)."""
+    return regime_rate_baseline(prepare(trips, "baseline", cfg), cfg, count_as="trips").orderBy(REGIME)
+
+
+def regime_deviation_summary_from(base: DataFrame, cfg: FareConfig = DEFAULT,
+                                  baseline: DataFrame | None = None) -> DataFrame:
+    """Deviation summary of a prepared baseline-profile frame; ``baseline`` may be a
+    precomputed regime baseline (the runner shares it with ``regime_baseline``)."""
+    dev = with_baseline_deviation(base, cfg, baseline)
+    stats = group_stats(dev, [REGIME], count_as="trips", means={"_avg": "fare_deviation"},
+                        quantiles={"_p50": ("fare_deviation", P_MEDIAN), "_p90": ("fare_deviation", P_HIGH),
+                                   "_p10": ("fare_deviation", P_LOW)},
+                        method=cfg.percentile_method, accuracy=cfg.percentile_accuracy, kll_k=cfg.kll_k)
     return stats.select(
         REGIME, "trips",
         F.round("_avg", 2).alias("avg_deviation"),
@@ -118,89 +254,35 @@ def regime_deviation_summary_from(df: DataFrame, cfg: FareConfig = DEFAULT) -> D
     ).orderBy(REGIME)
 
 
-def regime_baseline(trips: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:
-    return regime_baseline_from(prepare(trips, "baseline", cfg), cfg)
-
-
 def regime_deviation_summary(trips: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:
     return regime_deviation_summary_from(prepare(trips, "baseline", cfg), cfg)
 
 
-# ---------------------------------------------------------------- deviation profile
-
-def deviation_by_time_from(df: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:
-    dev = with_baseline_deviation(df, cfg)
-    keys = [REGIME, WEEKEND, HOUR]
-    stats = _stats(dev, keys, {"_p50": ("abs_deviation", P_MEDIAN), "_p90": ("abs_deviation", P_HIGH)}, cfg,
-                   {"_avg": "fare_deviation"})
-    return stats.select(
-        *keys, "trips",
-        F.round("_p50", 2).alias("median_abs_dev"),
-        F.round("_p90", 2).alias("p90_abs_dev"),
-        F.round("_avg", 2).alias("avg_dev"),
-    ).orderBy(*keys)
+def deviation_by_time(trips: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:
+    return _single("deviation_by_time", trips, cfg)
 
 
-def deviation_top_grids_from(df: DataFrame, cfg: FareConfig = DEFAULT, min_trips: int = MIN_GROUP_TRIPS,
-                             k: int = TOP_DEVIATION_GRIDS) -> DataFrame:
+def deviation_top_grids(trips: DataFrame, cfg: FareConfig = DEFAULT, min_trips: int = MIN_GROUP_TRIPS,
+                        k: int = TOP_DEVIATION_GRIDS) -> DataFrame:
     """Cells by p90 absolute deviation among cells with at least ``min_trips`` trips.
 
     No bounding box here: the (0, 0) cell and a null cell are reported too.
     The p90 is rounded before sorting; group keys break ties.
     """
-    dev = with_baseline_deviation(df, cfg)
-    keys = [REGIME, LAT_BIN, LON_BIN]
-    stats = _stats(dev, keys, {"_p50": ("abs_deviation", P_MEDIAN), "_p90": ("abs_deviation", P_HIGH)}, cfg)
-    cells = stats.filter(F.col("trips") >= min_trips).select(
-        *keys, "trips", F.round("_p90", 2).alias("p90_abs_dev"), F.round("_p50", 2).alias("median_abs_dev"))
-    return top_k(cells, [F.desc("p90_abs_dev")], k, keys)
-
-
-def deviation_by_time(trips: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:
-    return deviation_by_time_from(prepare(trips, "deviation", cfg), cfg)
-
-
-def deviation_top_grids(trips: DataFrame, cfg: FareConfig = DEFAULT, min_trips: int = MIN_GROUP_TRIPS,
-                        k: int = TOP_DEVIATION_GRIDS) -> DataFrame:
-    return deviation_top_grids_from(prepare(trips, "deviation", cfg), cfg, min_trips, k)
-
-
-# ---------------------------------------------------------------- decomposition profile
-
-def decomposition_by_time_from(df: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:
-    keys = [REGIME, WEEKEND, HOUR]
-    stats = _stats(df, keys, {"_fixed50": ("fixed_fees", P_MEDIAN), "_tolls50": ("tolls", P_MEDIAN),
-                              "_share50": ("fixed_fee_share", P_MEDIAN), "_toll_share90": ("toll_share", P_HIGH)},
-                   cfg)
-    return stats.select(
-        *keys, "trips",
-        F.round("_fixed50", 2).alias("median_fixed_fees"),
-        F.round("_tolls50", 2).alias("median_tolls"),
-        F.round("_share50", 3).alias("median_fixed_fee_share"),
-        F.round("_toll_share90", 3).alias("p90_toll_share"),
-    ).orderBy(*keys)
-
-
-def toll_heavy_grids_from(df: DataFrame, cfg: FareConfig = DEFAULT, min_trips: int = MIN_GROUP_TRIPS,
-                          k: int = TOP_TOLL_GRIDS) -> DataFrame:
-    keys = [REGIME, LAT_BIN, LON_BIN]
-    stats = _stats(df, keys, {"_p50": ("tolls", P_MEDIAN), "_p90": ("tolls", P_HIGH)}, cfg)
-    cells = stats.filter(F.col("trips") >= min_trips).select(
-        *keys, "trips", F.round("_p50", 2).alias("median_tolls"), F.round("_p90", 2).alias("p90_tolls"))
-    return top_k(cells, [F.desc("p90_tolls")], k, keys)
+    return _single("deviation_top_grids", trips, cfg, min_trips=min_trips, k=k)
 
 
 def decomposition_by_time(trips: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:
-    return decomposition_by_time_from(prepare(trips, "decomposition", cfg), cfg)
+    return _single("decomposition_by_time", trips, cfg)
 
 
 def toll_heavy_grids(trips: DataFrame, cfg: FareConfig = DEFAULT, min_trips: int = MIN_GROUP_TRIPS,
                      k: int = TOP_TOLL_GRIDS) -> DataFrame:
-    return toll_heavy_grids_from(prepare(trips, "decomposition", cfg), cfg, min_trips, k)
+    return _single("toll_heavy_grids", trips, cfg, min_trips=min_trips, k=k)
 
 
 __all__ = [
     "hourly_demand_revenue", "weekend_vs_weekday_hourly", "payment_split", "top_pickup_grids",
     "regime_baseline", "regime_deviation_summary", "deviation_by_time", "deviation_top_grids",
-    "decomposition_by_time", "toll_heavy_grids",
+    "decomposition_by_time", "toll_heavy_grids", "SPECS", "FRAMES", "spec_stats", "finish", "MEDIAN_RATE",
 ]

@@ -1,10 +1,13 @@
-"""Run the report suite with one cleaned input per profile.
+"""Run the report suite with one pass per cleaning profile.
 
-Each report alone re-reads and re-cleans the trips. When several reports of
-a profile run together, the prepared frame (scan + profile filter + features,
-pruned to the columns the reports read) is persisted once and every report
-reads it. Persisted blocks are recomputed from the short lineage (scan ->
-filter -> project) if an executor is lost.
+Reports of the same profile differ only in their group keys and statistics,
+so the runner computes all of them with one GROUPING SETS aggregate over one
+scan of the profile (the statistics of every key set come out of the same
+Expand -> partial aggregate -> shuffle). The per-group result is small; it is
+persisted and each report's finishing projection (rounding, HAVING, sort or
+top-k) reads it. The regime baseline is computed once and shared by the
+baseline report and the deviation summary. Finishing jobs are submitted
+concurrently so their small stages fill idle executors.
 """
 
 from __future__ import annotations
@@ -12,76 +15,70 @@ from __future__ import annotations
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from farewise.config import DEFAULT, MIN_GROUP_TRIPS, FareConfig
+from farewise.operators import SET_COL
 from farewise.plans import reports as R
-from farewise.plans.features import prepare
+from farewise.plans.features import REGIME, prepare, regime_rate_baseline
 
-REPORTS: dict[str, tuple[str, Callable[..., DataFrame]]] = {
-    "hourly_demand_revenue": ("analytics", R.hourly_demand_revenue_from),
-    "weekend_vs_weekday_hourly": ("analytics", R.weekend_vs_weekday_hourly_from),
-    "payment_split": ("analytics", R.payment_split_from),
-    "top_pickup_grids": ("analytics", R.top_pickup_grids_from),
-    "regime_baseline": ("baseline", R.regime_baseline_from),
-    "regime_deviation_summary": ("baseline", R.regime_deviation_summary_from),
-    "deviation_by_time": ("deviation", R.deviation_by_time_from),
-    "deviation_top_grids": ("deviation", R.deviation_top_grids_from),
-    "decomposition_by_time": ("decomposition", R.decomposition_by_time_from),
-    "toll_heavy_grids": ("decomposition", R.toll_heavy_grids_from),
-}
+REPORT_NAMES = [
+    "hourly_demand_revenue", "weekend_vs_weekday_hourly", "payment_split", "top_pickup_grids",
+    "regime_baseline", "regime_deviation_summary", "deviation_by_time", "deviation_top_grids",
+    "decomposition_by_time", "toll_heavy_grids",
+]
+_BASELINE = ("regime_baseline", "regime_deviation_summary")
 
-_GRID_REPORTS = {"deviation_top_grids", "toll_heavy_grids"}
 
-# Columns the reports of each profile read (the persisted frame holds only these).
-_TS = ["tpep_pickup_datetime", "tpep_dropoff_datetime"]
-PROFILE_COLUMNS = {
-    "analytics": _TS + ["trip_distance", "total_amount", "tip_amount", "payment_type", "pickup_latitude",
-                        "pickup_longitude", "pickup_hour", "is_weekend"],
-    "baseline": ["trip_distance", "fare_amount", "distance_regime", "fare_per_mile"],
-    "deviation": ["trip_distance", "fare_amount", "fare_per_mile", "distance_regime", "pickup_hour", "is_weekend",
-                  "pickup_lat_bin", "pickup_lon_bin"],
-    "decomposition": ["distance_regime", "pickup_hour", "is_weekend", "pickup_lat_bin", "pickup_lon_bin",
-                      "fixed_fees", "tolls", "fixed_fee_share", "toll_share"],
-}
+def plan_reports(trips: DataFrame, cfg: FareConfig = DEFAULT, names: list[str] | None = None,
+                 min_trips: int = MIN_GROUP_TRIPS) -> tuple[dict[str, DataFrame], list[DataFrame]]:
+    """Report DataFrames sharing one aggregate per profile; returns (reports, frames to unpersist)."""
+    names = list(REPORT_NAMES) if names is None else names
+    out: dict[str, DataFrame] = {}
+    cached: list[DataFrame] = []
+    by_profile: dict[str, list[str]] = {}
+    for n in names:
+        if n not in _BASELINE:
+            by_profile.setdefault(R.SPECS[n].profile, []).append(n)
+    for profile, members in by_profile.items():
+        stats = R.spec_stats(R.FRAMES[profile](trips, cfg), members, cfg)
+        if len(members) > 1:
+            stats = stats.persist()
+            cached.append(stats)
+        for i, n in enumerate(members):
+            part = stats.filter(F.col(SET_COL) == F.lit(i)).drop(SET_COL)
+            out[n] = R.finish(n, part, cfg, min_trips=min_trips)
+    wanted = [n for n in _BASELINE if n in names]
+    if wanted:
+        base = prepare(trips, "baseline", cfg)
+        baseline = regime_rate_baseline(base, cfg, count_as="trips")
+        if len(wanted) > 1:
+            baseline = baseline.persist()
+            cached.append(baseline)
+        if "regime_baseline" in wanted:
+            out["regime_baseline"] = baseline.orderBy(REGIME)
+        if "regime_deviation_summary" in wanted:
+            out["regime_deviation_summary"] = R.regime_deviation_summary_from(base, cfg, baseline)
+    return {n: out[n] for n in names}, cached
 
 
 def run_reports(trips: DataFrame, cfg: FareConfig = DEFAULT, names: list[str] | None = None,
                 min_trips: int = MIN_GROUP_TRIPS, sink: Callable[[str, DataFrame], object] | None = None,
-                storage: StorageLevel = StorageLevel.MEMORY_AND_DISK, parallelism: int = 4) -> dict[str, object]:
-    """Compute the named reports (default: all), sharing one prepared input per profile.
-
-    ``sink(name, df)`` receives each report (e.g. a CSV writer); by default
-    the (small) report rows are collected. Reports are submitted as
-    concurrent Spark jobs (``parallelism`` at a time) so small report stages
-    fill idle executors; a persisted block is computed once even when two
-    jobs ask for it together. Returns name -> sink result.
-    """
-    names = list(REPORTS) if names is None else names
-    frames: dict[str, DataFrame] = {}
-    shared: list[DataFrame] = []
-    members: dict[str, int] = {}
-    for n in names:
-        members[REPORTS[n][0]] = members.get(REPORTS[n][0], 0) + 1
-    for profile, count in members.items():
-        frame = prepare(trips, profile, cfg)
-        if count > 1:
-            frame = frame.select(*PROFILE_COLUMNS[profile]).persist(storage)
-            shared.append(frame)
-        frames[profile] = frame
+                parallelism: int = 4) -> dict[str, object]:
+    """Compute the named reports (default: all). ``sink(name, df)`` receives each
+    report (e.g. a CSV writer); by default the small report rows are collected."""
+    frames, cached = plan_reports(trips, cfg, names, min_trips)
 
     def one(n: str) -> object:
-        profile, fn = REPORTS[n]
-        df = fn(frames[profile], cfg, min_trips=min_trips) if n in _GRID_REPORTS else fn(frames[profile], cfg)
-        return sink(n, df) if sink else df.collect()
+        return sink(n, frames[n]) if sink else frames[n].collect()
 
     try:
         if parallelism <= 1:
-            return {n: one(n) for n in names}
+            return {n: one(n) for n in frames}
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            futures = {n: pool.submit(one, n) for n in names}
+            futures = {n: pool.submit(one, n) for n in frames}
             return {n: f.result() for n, f in futures.items()}
     finally:
-        for frame in shared:
-            frame.unpersist()
+        for df in cached:
+            df.unpersist()

@@ -56,10 +56,18 @@ def test_grid_reports_threshold_and_cut(trips):
     assert reports.toll_heavy_grids(trips).count() == 0  # published threshold of 5000 trips
 
 
-def test_runner_equals_single_reports(trips):
-    shared = run_reports(trips, min_trips=MIN_TRIPS_TEST)
+@pytest.mark.parametrize("method", ["kll", "sketch", "exact"])
+def test_runner_equals_single_reports(trips, method):
+    """One GROUPING SETS pass per profile gives exactly the single-report results."""
+    from dataclasses import replace
+
+    from farewise.config import DEFAULT
+
+    cfg = replace(DEFAULT, percentile_method=method)
+    shared = run_reports(trips, cfg, min_trips=MIN_TRIPS_TEST)
+    assert len(shared) == 10
     for name, rows in shared.items():
         fn = getattr(reports, name)
-        single = fn(trips, min_trips=MIN_TRIPS_TEST) if "grids" in name and name != "top_pickup_grids" \
-            else fn(trips)
+        single = fn(trips, cfg, min_trips=MIN_TRIPS_TEST) if name in ("deviation_top_grids", "toll_heavy_grids") \
+            else fn(trips, cfg)
         assert rows == single.collect(), name
