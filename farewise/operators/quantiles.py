@@ -200,9 +200,10 @@ def group_stats_sets(df: DataFrame, sets: Sequence[Sequence[str]], count_as: str
     by_col: dict[str, dict[str, float]] = {}
     for out, (col, p) in (quantiles or {}).items():
         by_col.setdefault(col, {})[out] = p
-    if method == KLL:
+    if method == KLL and by_col:
         return _kll_stats(df, sets, all_keys, count_as, sums, means, by_col, kll_k or DEFAULT.kll_k, salts)
-    if method == SKETCH:
+    if method in (SKETCH, KLL):
+        # without percentiles every partial is a few numbers: one aggregate level suffices
         acc = DEFAULT.percentile_accuracy if accuracy is None else accuracy
         return _sketch_stats(df, sets, all_keys, count_as, sums, means, by_col, acc)
     if method != EXACT:
