@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from farewise.config import WEEKEND_DAYS
 
+# dayofweek numbers of the weekend day names (1 = Sun ... 7 = Sat)
+_DAY_NUMBERS = {"Sun": 1, "Mon": 2, "Tue": 3, "Wed": 4, "Thu": 5, "Fri": 6, "Sat": 7}
+_WEEKEND_NUMBERS = tuple(_DAY_NUMBERS[d] for d in WEEKEND_DAYS)
+
 
 def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -39,5 +43,9 @@ def day_name(ts: str | Column) -> Column:
 
 
 def is_weekend(ts: str | Column) -> Column:
-    """True on Saturday and Sunday; null for a null timestamp."""
-    return day_name(ts).isin(*WEEKEND_DAYS)
+    """True on Saturday and Sunday (day names in WEEKEND_DAYS); null for a null timestamp.
+
+    Evaluated as ``dayofweek`` (1 = Sunday, 7 = Saturday) rather than by
+    formatting a day name per row.
+    """
+    return F.dayofweek(_c(ts)).isin(*_WEEKEND_NUMBERS)
