@@ -179,18 +179,22 @@ SPECS: dict[str, ReportSpec] = {
 }
 
 
-def spec_stats(frame: DataFrame, names: list[str], cfg: FareConfig = DEFAULT) -> DataFrame:
-    """Statistics of several reports of one profile in one pass (GROUPING SETS over their keys);
-    column ``_set`` holds the position of the report in ``names``."""
+def spec_stats(frame: DataFrame, names: list[str], cfg: FareConfig = DEFAULT) -> tuple[DataFrame, dict[str, int]]:
+    """Statistics of several reports of one profile in one pass (GROUPING SETS over their
+    distinct key sets). Returns the statistics and, per report, its value of ``_set``."""
     specs = [SPECS[n] for n in names]
+    sets: list[tuple[str, ...]] = []
     sums, means, quantiles = {}, {}, {}
     for s in specs:
+        if s.keys not in sets:
+            sets.append(s.keys)
         sums.update(s.sums)
         means.update(s.means)
         quantiles.update(s.quantiles)
-    return group_stats_sets(frame, [list(s.keys) for s in specs], count_as="trips", sums=sums, means=means,
-                            quantiles=quantiles, method=cfg.percentile_method, accuracy=cfg.percentile_accuracy,
-                            kll_k=cfg.kll_k)
+    stats = group_stats_sets(frame, [list(k) for k in sets], count_as="trips", sums=sums, means=means,
+                             quantiles=quantiles, method=cfg.percentile_method, accuracy=cfg.percentile_accuracy,
+                             kll_k=cfg.kll_k)
+    return stats, {n: sets.index(SPECS[n].keys) for n in names}
 
 
 def finish(name: str, stats: DataFrame, cfg: FareConfig = DEFAULT, min_trips: int = MIN_GROUP_TRIPS,

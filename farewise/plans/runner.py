@@ -42,12 +42,12 @@ def plan_reports(trips: DataFrame, cfg: FareConfig = DEFAULT, names: list[str] |
         if n not in _BASELINE:
             by_profile.setdefault(R.SPECS[n].profile, []).append(n)
     for profile, members in by_profile.items():
-        stats = R.spec_stats(R.FRAMES[profile](trips, cfg), members, cfg)
+        stats, index = R.spec_stats(R.FRAMES[profile](trips, cfg), members, cfg)
         if len(members) > 1:
             stats = stats.persist()
             cached.append(stats)
-        for i, n in enumerate(members):
-            part = stats.filter(F.col(SET_COL) == F.lit(i)).drop(SET_COL)
+        for n in members:
+            part = stats.filter(F.col(SET_COL) == F.lit(index[n])).drop(SET_COL)
             out[n] = R.finish(n, part, cfg, min_trips=min_trips)
     wanted = [n for n in _BASELINE if n in names]
     if wanted:

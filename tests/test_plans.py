@@ -56,8 +56,16 @@ def _scans(plan: str) -> int:
 def test_runner_reads_each_profile_once(spark):
     trips = trips_table(spark, SF_SMALL)
     names = ["hourly_demand_revenue", "weekend_vs_weekday_hourly", "payment_split", "top_pickup_grids"]
-    plan = _plan(R.spec_stats(R.FRAMES["analytics"](trips), names))
+    plan = _plan(R.spec_stats(R.FRAMES["analytics"](trips), names)[0])
     assert _scans(plan) == 1 and "Expand" in plan
-    plan = _plan(R.spec_stats(R.FRAMES["deviation"](trips), ["deviation_by_time", "deviation_top_grids"]))
+    plan = _plan(R.spec_stats(R.FRAMES["deviation"](trips), ["deviation_by_time", "deviation_top_grids"])[0])
     assert _scans(plan) == 2                         # regime baseline + the combined aggregate
     assert "BroadcastHashJoin" in plan
+
+
+def test_reports_with_equal_keys_share_one_set(spark):
+    trips = trips_table(spark, SF_SMALL)
+    stats, index = R.spec_stats(R.FRAMES["analytics"](trips), ["hourly_demand_revenue", "hourly_demand_revenue",
+                                                                "payment_split"])
+    assert index == {"hourly_demand_revenue": 0, "payment_split": 1}
+    assert {r[0] for r in stats.select("_set").distinct().collect()} == {0, 1}
