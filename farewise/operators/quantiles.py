@@ -23,6 +23,8 @@ any group size, without ever placing a whole group in one task:
 1. pre-aggregate (keys, value) -> count (map-side combine collapses repeats);
 2. range-partition by (keys, value): a hot group is cut into many slices;
    the slice id is pinned by writing the slices to the checkpoint folder;
+   several columns and key sets share one pass (rows are expanded to one
+   row per (key set, column) first);
 3. running count inside each (keys, slice), bounded by the slice size;
 4. slice totals (at most #groups + #slices rows) give each slice's offset and
    each group's n;
@@ -208,21 +210,49 @@ def group_stats_sets(df: DataFrame, sets: Sequence[Sequence[str]], count_as: str
         return _sketch_stats(df, sets, all_keys, count_as, sums, means, by_col, acc)
     if method != EXACT:
         raise ValueError(f"unknown percentile method {method!r}")
-    parts = []
-    for i, keys in enumerate(sets):
-        plain = _plain_aggs(count_as, sums, means)
-        result = df.groupBy(*keys).agg(*plain).select(
-            *keys, *([count_as] if count_as else []), *sums, *_mean_cols(means)) if plain else None
-        for col, lv in by_col.items():
-            part = exact_percentiles(df, keys, col, lv)
-            result = part if result is None else _null_safe_join(result, part, keys, "left")
-        if result is None:
-            result = df.select(*keys).distinct()
-        parts.append(result.withColumn(SET_COL, F.lit(i)))
-    out = parts[0]
-    for p_ in parts[1:]:
-        out = out.unionByName(p_, allowMissingColumns=True)
-    return out.select(SET_COL, *all_keys, *[c for c in out.columns if c != SET_COL and c not in all_keys])
+    return _exact_stats(df, sets, all_keys, count_as, sums, means, by_col)
+
+
+def _exact_stats(df: DataFrame, sets, all_keys, count_as, sums, means, by_col) -> DataFrame:
+    """Exact percentiles of every (key set, column) in one rank-selection pass.
+
+    Each input row is expanded to one row per (key set, percentile column)
+    carrying the set id, the set's keys (others null), the column id and the
+    value; ``exact_percentiles`` then runs once over that long frame. Plain
+    aggregates come from one GROUPING SETS aggregate and are joined on
+    (set, keys) — both sides hold one row per group.
+    """
+    plain = _plain_aggs(count_as, sums, means)
+    result = None
+    if plain:
+        exprs = plain + ([F.grouping_id().alias("_gid")] if len(sets) > 1 else [])
+        agg = _grouped(df, sets, all_keys, []).agg(*exprs)
+        set_col = _set_index(sets, all_keys, []) if len(sets) > 1 else F.lit(0)
+        result = agg.select(set_col.alias(SET_COL), *all_keys, *([count_as] if count_as else []), *sums,
+                            *_mean_cols(means))
+    cols = list(by_col)
+    if cols:
+        types = {f.name: f.dataType for f in df.schema.fields}
+        entries = [
+            F.struct(F.lit(i).alias(SET_COL),
+                     *[(F.col(k) if k in s else F.lit(None).cast(types[k])).alias(k) for k in all_keys],
+                     F.lit(j).alias("_q"), F.col(c).cast("double").alias("_v"))
+            for i, s in enumerate(sets) for j, c in enumerate(cols)
+        ]
+        long = df.select(F.explode(F.array(*entries)).alias("_e")).select("_e.*")
+        levels = sorted({p for lv in by_col.values() for p in lv.values()})
+        names = {p: f"_l{n}" for n, p in enumerate(levels)}
+        part = exact_percentiles(long, [SET_COL, *all_keys, "_q"], "_v", {names[p]: p for p in levels})
+        picks = [F.max(F.when(F.col("_q") == F.lit(j), F.col(names[p]))).alias(out)
+                 for j, c in enumerate(cols) for out, p in by_col[c].items()]
+        pct = part.groupBy(SET_COL, *all_keys).agg(*picks)
+        result = pct if result is None else _null_safe_join(result, pct, [SET_COL, *all_keys], "left")
+    if result is None:
+        grouped = _grouped(df, sets, all_keys, []).agg(*([F.grouping_id().alias("_gid")] if len(sets) > 1 else []))
+        set_col = _set_index(sets, all_keys, []) if len(sets) > 1 else F.lit(0)
+        return grouped.select(set_col.alias(SET_COL), *all_keys)
+    quant_names = [out for c in cols for out in by_col[c]]
+    return result.select(SET_COL, *all_keys, *([count_as] if count_as else []), *sums, *means, *quant_names)
 
 
 def group_stats(df: DataFrame, keys: Sequence[str], count_as: str | None = None,
