@@ -72,7 +72,7 @@ def cmd_reports(spark, args) -> None:
     from farewise.plans.runner import run_reports
     from farewise.sources.report import write_report_csv
 
-    cfg = replace(DEFAULT, percentile_method=args.percentiles, percentile_accuracy=args.accuracy)
+    cfg = replace(DEFAULT, percentile_method=args.percentiles, percentile_accuracy=args.accuracy, kll_k=args.kll_k)
 
     def sink(name, df):
         return write_report_csv(df, os.path.join(args.out, name), MONEY.get(name, ()))
@@ -131,8 +131,9 @@ def main(argv=None) -> None:
     p.add_argument("--out", required=True)
     p.add_argument("--only", nargs="*")
     p.add_argument("--min-trips", type=int, default=MIN_GROUP_TRIPS)
-    p.add_argument("--percentiles", choices=["sketch", "exact"], default=DEFAULT.percentile_method)
-    p.add_argument("--accuracy", type=int, default=DEFAULT.percentile_accuracy)
+    p.add_argument("--percentiles", choices=["kll", "sketch", "exact"], default=DEFAULT.percentile_method)
+    p.add_argument("--accuracy", type=int, default=DEFAULT.percentile_accuracy, help="percentile_approx accuracy")
+    p.add_argument("--kll-k", type=int, default=DEFAULT.kll_k, help="KLL sketch size (8..65535)")
     p = sub.add_parser("ml-prepare")
     p.add_argument("--trips", required=True)
     p.add_argument("--out", required=True)

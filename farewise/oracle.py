@@ -396,3 +396,8 @@ for _name in ("group_percentiles", "deviation_by_time", "regime_deviation_summar
     ORACLE[f"{_name}_exact"] = ORACLE[_name]
 for _name in ("group_percentiles", "deviation_by_time"):
     ORACLE[f"{_name}_sketch"] = ORACLE[_name]
+
+# the report suite computes the same reports from one GROUPING SETS pass per profile
+for _name in ("hourly_demand_revenue", "top_pickup_grids", "regime_deviation_summary", "deviation_by_time",
+              "deviation_top_grids", "toll_heavy_grids"):
+    ORACLE[f"suite_{_name}"] = ORACLE[_name]

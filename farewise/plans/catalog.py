@@ -344,6 +344,23 @@ def _q_toll_grids(spark, sf_dir):
     return reports.toll_heavy_grids(_trips(spark, sf_dir), min_trips=MIN_TRIPS_TEST)
 
 
+# ---------------------------------------------------------------- report suite (one GROUPING SETS pass per profile)
+
+def _suite_query(name: str):
+    def run(spark, sf_dir):
+        from farewise.plans.runner import REPORT_NAMES, plan_reports
+
+        frames, _ = plan_reports(_trips(spark, sf_dir), names=list(REPORT_NAMES), min_trips=MIN_TRIPS_TEST,
+                                 persist=False)
+        return frames[name]
+    return run
+
+
+for _name in ("hourly_demand_revenue", "top_pickup_grids", "regime_deviation_summary", "deviation_by_time",
+              "deviation_top_grids", "toll_heavy_grids"):
+    register(f"suite_{_name}")(_suite_query(_name))
+
+
 # ---------------------------------------------------------------- modelling
 
 def _dataset(spark, sf_dir):

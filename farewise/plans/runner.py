@@ -32,8 +32,12 @@ _BASELINE = ("regime_baseline", "regime_deviation_summary")
 
 
 def plan_reports(trips: DataFrame, cfg: FareConfig = DEFAULT, names: list[str] | None = None,
-                 min_trips: int = MIN_GROUP_TRIPS) -> tuple[dict[str, DataFrame], list[DataFrame]]:
-    """Report DataFrames sharing one aggregate per profile; returns (reports, frames to unpersist)."""
+                 min_trips: int = MIN_GROUP_TRIPS, persist: bool = True) -> tuple[dict[str, DataFrame], list[DataFrame]]:
+    """Report DataFrames sharing one aggregate per profile; returns (reports, frames to unpersist).
+
+    With ``persist`` the shared per-group statistics are cached for the
+    reports that read them; without it each report recomputes its profile's
+    aggregate (for callers that use only one of the reports)."""
     names = list(REPORT_NAMES) if names is None else names
     out: dict[str, DataFrame] = {}
     cached: list[DataFrame] = []
@@ -43,7 +47,7 @@ def plan_reports(trips: DataFrame, cfg: FareConfig = DEFAULT, names: list[str] |
             by_profile.setdefault(R.SPECS[n].profile, []).append(n)
     for profile, members in by_profile.items():
         stats, index = R.spec_stats(R.FRAMES[profile](trips, cfg), members, cfg)
-        if len(members) > 1:
+        if persist and len(members) > 1:
             stats = stats.persist()
             cached.append(stats)
         for n in members:
@@ -53,7 +57,7 @@ def plan_reports(trips: DataFrame, cfg: FareConfig = DEFAULT, names: list[str] |
     if wanted:
         base = prepare(trips, "baseline", cfg)
         baseline = regime_rate_baseline(base, cfg, count_as="trips")
-        if len(wanted) > 1:
+        if persist and len(wanted) > 1:
             baseline = baseline.persist()
             cached.append(baseline)
         if "regime_baseline" in wanted:
