@@ -29,6 +29,7 @@ from farewise.config import (
 )
 from farewise.functions import decode, duration_seconds, grid_bin, measure, within_bbox
 from farewise.operators import group_stats, group_stats_sets, top_k
+from farewise.operators import within_bbox as keep_within_bbox
 from farewise.plans.features import (
     HOUR, LAT_BIN, LON_BIN, MEDIAN_RATE, REGIME, WEEKEND, prepare, regime_rate_baseline, with_baseline_deviation,
 )
@@ -232,7 +233,9 @@ def payment_split(trips: DataFrame, cfg: FareConfig = DEFAULT, mapping: Mapping
 
 
 def top_pickup_grids(trips: DataFrame, cfg: FareConfig = DEFAULT, k: int = TOP_PICKUP_GRIDS) -> DataFrame:
-    return _single("top_pickup_grids", trips, cfg, k=k)
+    # alone, the box is a row filter (pushed to the reader); in the suite the
+    # other analytics reports need the rows outside it
+    return _single("top_pickup_grids", trips, cfg, analytics_frame(keep_within_bbox(trips, cfg), cfg), k=k)
 
 
 def regime_baseline(trips: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:
