@@ -80,6 +80,14 @@ def load_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TABLES: dict[tuple, str] = {}
 
 
+def _is_local(path: str) -> bool:
+    return path.startswith("file:") or "://" not in path
+
+
+def _local(path: str) -> str:
+    return path[len("file:"):] if path.startswith("file:") else path
+
+
 def trips_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trips of ``sf_dir`` as a Parquet table, like the processed table the reports read.
 
@@ -98,7 +106,9 @@ def trips_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         stamp = ()
     key = (os.path.abspath(sf_dir), stamp, spark.sparkContext.applicationId)
     path = _TABLES.get(key)
-    if path is None or not os.path.exists(os.path.join(path.replace("file:", ""), "_SUCCESS")):
+    if path is not None and _is_local(path) and not os.path.exists(os.path.join(_local(path), "_SUCCESS")):
+        path = None  # a local scratch folder was removed meanwhile
+    if path is None:
         path = write_parquet(load_trips(spark, sf_dir), scratch_path(spark, "trips"))
         _TABLES[key] = path
     return spark.read.parquet(path)
