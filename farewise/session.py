@@ -39,8 +39,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, driver_me
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    Read from the session; only where it is unset (local tests) a private
-    folder is created and registered.
+    Read from the session. Only a local-mode session without one (tests) gets
+    a private folder; on a cluster a machine-local folder would not be shared
+    by the executors, so the setting is required there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,6 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get(_CHECKPOINT_KEY, None) or sc.getConf().get(_CHECKPOINT_KEY, None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder shared by all executors")
         configured = tempfile.mkdtemp(prefix="farewise-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
