@@ -398,6 +398,7 @@ for _name in ("group_percentiles", "deviation_by_time"):
     ORACLE[f"{_name}_sketch"] = ORACLE[_name]
 
 # the report suite computes the same reports from one GROUPING SETS pass per profile
-for _name in ("hourly_demand_revenue", "top_pickup_grids", "regime_deviation_summary", "deviation_by_time",
-              "deviation_top_grids", "toll_heavy_grids"):
+for _name in ("hourly_demand_revenue", "weekend_vs_weekday_hourly", "payment_split", "top_pickup_grids",
+              "regime_baseline", "regime_deviation_summary", "deviation_by_time", "deviation_top_grids",
+              "decomposition_by_time", "toll_heavy_grids"):
     ORACLE[f"suite_{_name}"] = ORACLE[_name]

@@ -356,8 +356,9 @@ def _suite_query(name: str):
     return run
 
 
-for _name in ("hourly_demand_revenue", "top_pickup_grids", "regime_deviation_summary", "deviation_by_time",
-              "deviation_top_grids", "toll_heavy_grids"):
+for _name in ("hourly_demand_revenue", "weekend_vs_weekday_hourly", "payment_split", "top_pickup_grids",
+              "regime_baseline", "regime_deviation_summary", "deviation_by_time", "deviation_top_grids",
+              "decomposition_by_time", "toll_heavy_grids"):
     register(f"suite_{_name}")(_suite_query(_name))
 
 

@@ -1,13 +1,20 @@
-"""Run the report suite with one pass per cleaning profile.
-
-Reports of the same profile differ only in their group keys and statistics,
-so the runner computes all of them with one GROUPING SETS aggregate over one
-scan of the profile (the statistics of every key set come out of the same
-Expand -> partial aggregate -> shuffle). The per-group result is small; it is
-persisted and each report's finishing projection (rounding, HAVING, sort or
-top-k) reads it. The regime baseline is computed once and shared by the
-baseline report and the deviation summary. Finishing jobs are submitted
-concurrently so their small stages fill idle executors.
+"""Run the report suite with as few scans as the statistics allow.
+
+Reports differ only in their group keys, statistics and row subset, so the
+runner computes them with GROUPING SETS aggregates (every key set comes out
+of the same Expand -> partial aggregate -> shuffle):
+
+* analytics profile (R1-R4): one scan;
+* fare profiles (R5-R10): the deviation and decomposition profiles are
+  subsets of the baseline profile, so one scan of the baseline rows computes
+  R5 and both regime baselines (the deviation baseline over the rows that
+  pass the deviation profile), and a second scan computes R6-R10 with
+  statistics over profile-masked columns (a value is null outside its
+  report's profile, and nulls are not aggregated).
+
+The per-group results are small; they are persisted and each report's
+finishing projection (rounding, HAVING, sort or top-k) reads them. Finishing
+jobs are submitted concurrently so their small stages fill idle executors.
 """
 
 from __future__ import annotations
@@ -18,52 +25,134 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farewise.config import DEFAULT, MIN_GROUP_TRIPS, FareConfig
-from farewise.operators import SET_COL
+from farewise.config import DEFAULT, MIN_GROUP_TRIPS, P_HIGH, P_LOW, P_MEDIAN, FareConfig
+from farewise.functions import bucketize, grid_bin, is_weekend, pickup_hour, share, sum_components, unit_rate
+from farewise.functions import within_bbox as in_bbox
+from farewise.operators import SET_COL, clean, group_stats, group_stats_sets, with_group_stat
+from farewise.operators.profiles import FARE_PER_MILE
 from farewise.plans import reports as R
-from farewise.plans.features import REGIME, prepare, regime_rate_baseline
+from farewise.plans.features import HOUR, LAT_BIN, LON_BIN, MEDIAN_RATE, REGIME, WEEKEND
 
 REPORT_NAMES = [
     "hourly_demand_revenue", "weekend_vs_weekday_hourly", "payment_split", "top_pickup_grids",
     "regime_baseline", "regime_deviation_summary", "deviation_by_time", "deviation_top_grids",
     "decomposition_by_time", "toll_heavy_grids",
 ]
-_BASELINE = ("regime_baseline", "regime_deviation_summary")
+
+
+_FARE_REPORTS = ("regime_baseline", "regime_deviation_summary", "deviation_by_time", "deviation_top_grids",
+                 "decomposition_by_time", "toll_heavy_grids")
+
+
+def fares_frame(trips: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:
+    """Baseline-profile rows with the features of R5-R10 and membership flags of the
+    deviation profile (``_dev``) and the decomposition profile (``_dec``).
+
+    deviation = baseline and fare > 0 and pickup time known and the rate guard;
+    decomposition = deviation and pickup inside the bounding box.
+    """
+    c = cfg.cols
+    lo, hi = cfg.rate_guard
+    rate = F.col(FARE_PER_MILE)
+    base = clean(trips, "baseline", cfg).withColumn(FARE_PER_MILE, unit_rate(c.fare, c.distance))
+    dev = (F.col(c.fare) > 0) & F.col(c.pickup_ts).isNotNull() & (rate >= lo) & (rate <= hi)
+    dec = dev & in_bbox(c.pickup_lat, c.pickup_lon, cfg.bbox_lat, cfg.bbox_lon)
+    fixed = sum_components([c.extra, c.mta_tax, c.surcharge])
+    tolls = F.coalesce(F.col(c.tolls), F.lit(0.0))
+    return base.select(
+        bucketize(c.distance, cfg.regime_edges, cfg.regime_labels).alias(REGIME),
+        pickup_hour(c.pickup_ts).alias(HOUR), is_weekend(c.pickup_ts).alias(WEEKEND),
+        grid_bin(c.pickup_lat, cfg.grid_digits).alias(LAT_BIN), grid_bin(c.pickup_lon, cfg.grid_digits).alias(LON_BIN),
+        F.col(c.distance), F.col(c.fare), rate,
+        F.coalesce(dev, F.lit(False)).alias("_dev"), F.coalesce(dec, F.lit(False)).alias("_dec"),
+        fixed.alias("fixed_fees"), tolls.alias("tolls"),
+        share(fixed, c.fare).alias("fixed_fee_share"), share(tolls, c.fare).alias("toll_share"),
+    )
+
+
+def _fare_reports(trips: DataFrame, cfg: FareConfig, names: list[str], min_trips: int, persist: bool,
+                  out: dict[str, DataFrame], cached: list[DataFrame]) -> None:
+    c = cfg.cols
+    fares = fares_frame(trips, cfg)
+    # scan 1: R5 and both regime baselines
+    baselines = group_stats(
+        fares.withColumn("_rate_dev", F.when(F.col("_dev"), F.col(FARE_PER_MILE))), [REGIME], count_as="trips",
+        quantiles={MEDIAN_RATE: (FARE_PER_MILE, P_MEDIAN), "_median_dev": ("_rate_dev", P_MEDIAN)},
+        method=cfg.percentile_method, accuracy=cfg.percentile_accuracy, kll_k=cfg.kll_k)
+    if persist:
+        baselines = baselines.persist()
+        cached.append(baselines)
+    if "regime_baseline" in names:
+        out["regime_baseline"] = baselines.select(REGIME, MEDIAN_RATE, "trips").orderBy(REGIME)
+    rest = [n for n in names if n != "regime_baseline"]
+    if not rest:
+        return
+    # scan 2: R6-R10 from one GROUPING SETS aggregate over profile-masked columns
+    joined = with_group_stat(fares, baselines.select(REGIME, MEDIAN_RATE, "_median_dev"), [REGIME],
+                             max_groups=len(cfg.regime_labels))
+    dev, dec = F.col("_dev"), F.col("_dec")
+    dev_d = F.col(c.fare) - F.col(c.distance) * F.col("_median_dev")
+    masked = joined.select(
+        REGIME, WEEKEND, HOUR, LAT_BIN, LON_BIN,
+        (F.col(c.fare) - F.col(c.distance) * F.col(MEDIAN_RATE)).alias("_dev_b"),
+        F.when(dev, dev_d).alias("_dev_d"), F.when(dev, F.abs(dev_d)).alias("_abs_d"),
+        F.when(dev, F.lit(1)).otherwise(F.lit(0)).alias("_one_dev"),
+        F.when(dec, F.lit(1)).otherwise(F.lit(0)).alias("_one_dec"),
+        *[F.when(dec, F.col(x)).alias(f"_m_{x}") for x in ("fixed_fees", "tolls", "fixed_fee_share", "toll_share")],
+    )
+    time_keys, cell_keys = list(R.TIME_KEYS), list(R.CELL_KEYS)
+    sets = [[REGIME], time_keys, cell_keys]
+    stats = group_stats_sets(
+        masked, sets, count_as="_rows", sums={"_n_dev": "_one_dev", "_n_dec": "_one_dec"},
+        means={"_avg": "_dev_b", "_mean_dev": "_dev_d"},
+        quantiles={"_p50": ("_dev_b", P_MEDIAN), "_p90": ("_dev_b", P_HIGH), "_p10": ("_dev_b", P_LOW),
+                   "_abs50": ("_abs_d", P_MEDIAN), "_abs90": ("_abs_d", P_HIGH),
+                   "_fixed50": ("_m_fixed_fees", P_MEDIAN), "_tolls50": ("_m_tolls", P_MEDIAN),
+                   "_tolls90": ("_m_tolls", P_HIGH), "_share50": ("_m_fixed_fee_share", P_MEDIAN),
+                   "_toll_share90": ("_m_toll_share", P_HIGH)},
+        method=cfg.percentile_method, accuracy=cfg.percentile_accuracy, kll_k=cfg.kll_k)
+    if persist:
+        stats = stats.persist()
+        cached.append(stats)
+
+    def part(i: int, trips_col: str) -> DataFrame:
+        st = stats.filter(F.col(SET_COL) == F.lit(i)).drop(SET_COL)
+        return st.filter(F.col(trips_col) > 0).withColumn("trips", F.col(trips_col))
+
+    if "regime_deviation_summary" in rest:
+        st = part(0, "_rows")
+        out["regime_deviation_summary"] = st.select(
+            REGIME, "trips", F.round("_avg", 2).alias("avg_deviation"), F.round("_p50", 2).alias("median_deviation"),
+            F.round("_p90", 2).alias("p90_deviation"), F.round("_p10", 2).alias("p10_deviation"),
+        ).orderBy(REGIME)
+    for n, i, count in (("deviation_by_time", 1, "_n_dev"), ("deviation_top_grids", 2, "_n_dev"),
+                        ("decomposition_by_time", 1, "_n_dec"), ("toll_heavy_grids", 2, "_n_dec")):
+        if n in rest:
+            out[n] = R.finish(n, part(i, count), cfg, min_trips=min_trips)
 
 
 def plan_reports(trips: DataFrame, cfg: FareConfig = DEFAULT, names: list[str] | None = None,
                  min_trips: int = MIN_GROUP_TRIPS, persist: bool = True) -> tuple[dict[str, DataFrame], list[DataFrame]]:
-    """Report DataFrames sharing one aggregate per profile; returns (reports, frames to unpersist).
+    """Report DataFrames sharing their scans; returns (reports, frames to unpersist).
 
     With ``persist`` the shared per-group statistics are cached for the
-    reports that read them; without it each report recomputes its profile's
+    reports that read them; without it each report recomputes its shared
     aggregate (for callers that use only one of the reports)."""
     names = list(REPORT_NAMES) if names is None else names
     out: dict[str, DataFrame] = {}
     cached: list[DataFrame] = []
-    by_profile: dict[str, list[str]] = {}
-    for n in names:
-        if n not in _BASELINE:
-            by_profile.setdefault(R.SPECS[n].profile, []).append(n)
-    for profile, members in by_profile.items():
-        stats, index = R.spec_stats(R.FRAMES[profile](trips, cfg), members, cfg)
-        if persist and len(members) > 1:
+    analytics = [n for n in names if n not in _FARE_REPORTS]
+    if analytics:
+        stats, index = R.spec_stats(R.FRAMES["analytics"](trips, cfg), analytics, cfg)
+        if persist and len(analytics) > 1:
             stats = stats.persist()
             cached.append(stats)
-        for n in members:
-            part = stats.filter(F.col(SET_COL) == F.lit(index[n])).drop(SET_COL)
-            out[n] = R.finish(n, part, cfg, min_trips=min_trips)
-    wanted = [n for n in _BASELINE if n in names]
-    if wanted:
-        base = prepare(trips, "baseline", cfg)
-        baseline = regime_rate_baseline(base, cfg, count_as="trips")
-        if persist and len(wanted) > 1:
-            baseline = baseline.persist()
-            cached.append(baseline)
-        if "regime_baseline" in wanted:
-            out["regime_baseline"] = baseline.orderBy(REGIME)
-        if "regime_deviation_summary" in wanted:
-            out["regime_deviation_summary"] = R.regime_deviation_summary_from(base, cfg, baseline)
+        for n in analytics:
+            out[n] = R.finish(n, stats.filter(F.col(SET_COL) == F.lit(index[n])).drop(SET_COL), cfg,
+                              min_trips=min_trips)
+    fare = [n for n in names if n in _FARE_REPORTS]
+    if fare:
+        _fare_reports(trips, cfg, fare, min_trips, persist, out, cached)
     return {n: out[n] for n in names}, cached
 
 

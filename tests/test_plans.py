@@ -69,3 +69,31 @@ def test_reports_with_equal_keys_share_one_set(spark):
                                                                 "payment_split"])
     assert index == {"hourly_demand_revenue": 0, "payment_split": 1}
     assert {r[0] for r in stats.select("_set").distinct().collect()} == {0, 1}
+
+
+def test_fare_suite_reads_the_trips_twice(spark):
+    from farewise.plans.runner import REPORT_NAMES, plan_reports
+
+    frames, _ = plan_reports(trips_table(spark, SF_SMALL), names=list(REPORT_NAMES), min_trips=5, persist=False)
+    for name in ("regime_deviation_summary", "deviation_by_time"):
+        plan = _plan(frames[name])
+        assert _scans(plan) == 2                     # regime baselines + one GROUPING SETS aggregate
+        assert "Expand" in plan and "BroadcastHashJoin" in plan
+    # alone, the toll report needs no baseline: Catalyst prunes the join and its scan
+    assert _scans(_plan(frames["toll_heavy_grids"])) == 1
+
+
+def test_profile_flags_select_exactly_the_profile_rows(spark):
+    from pyspark.sql import functions as F
+
+    from farewise.operators import clean
+    from farewise.plans.runner import fares_frame
+    from farewise.sources import load_trips
+
+    trips = load_trips(spark, SF_SMALL)
+    # compare row multisets on the columns both sides carry
+    flags = fares_frame(trips.withColumn("trip_distance", F.col("trip_distance")))
+    for flag, profile in (("_dev", "deviation"), ("_dec", "decomposition")):
+        got = sorted(tuple(r) for r in flags.filter(F.col(flag)).select("trip_distance", "fare_amount").collect())
+        want = sorted(tuple(r) for r in clean(trips, profile).select("trip_distance", "fare_amount").collect())
+        assert got == want, profile
