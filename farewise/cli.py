@@ -45,6 +45,7 @@ def cmd_ingest(spark, args) -> None:
     kept = read_ingested(spark, out)
     report = {**counts, **violation_counts(kept).first().asDict(), "columns": len(kept.columns)}
     print(json.dumps(report))
+    kept.printSchema()
 
 
 def cmd_check(spark, args) -> None:
@@ -56,6 +57,7 @@ def cmd_check(spark, args) -> None:
     if REJECT_FLAG in df.columns:
         df = df.filter(~F.col(REJECT_FLAG)).drop(REJECT_FLAG)
     print(json.dumps(profile_shape(df).first().asDict()))
+    df.printSchema()
     preview(df, ["tpep_pickup_datetime", "trip_distance", "total_amount"], 5,
             ["tpep_pickup_datetime", "trip_distance", "total_amount"]).show(truncate=False)
 

@@ -16,7 +16,9 @@ def test_stages_end_to_end(spark, capsys):
     csv = write_trips_csv(load_trips(spark, SF_SMALL), os.path.join(base, "raw"), with_key=False)
     trips = os.path.join(base, "taxi_parquet")
     cli.main(["ingest", "--csv", csv, "--out", trips])
-    report = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    lines = capsys.readouterr().out.strip().splitlines()
+    report = json.loads(next(line for line in lines if line.startswith("{")))
+    assert any(line.startswith("root") for line in lines)
     assert (report["kept"], report["rejected"]) == (948, 52) and report["rows"] == report["kept"]
     assert report["columns"] == 19
     cli.main(["check", "--trips", trips])
