@@ -8,17 +8,16 @@ sketched per (keys, salt) with salt = input partition id mod S, then the S
 sketches of a group are merged. A group holding a third of all rows thus
 never funnels one partial sketch per map task into a single reducer: each
 merge sees about sqrt(#tasks) sketches. Sketch memory is bounded by k; exact
-while a group holds fewer than about k rows (k <= 65535), rank error of
-order 1/k beyond. Counts and means are carried through both levels, so the
+while a group holds fewer than about k rows (default 16384, at most 65535),
+rank error of order 1/k beyond. Counts and means are carried through both levels, so the
 input is scanned once.
 
 ``method="sketch"``: ``percentile_approx`` (the published analysis' choice),
 one sketch per column and group merged in one reducer per group; exact while
 a group holds fewer than about accuracy / 2 rows.
 
-``method="exact"``: the discrete percentile (smallest v with at least
-ceil(p * n) values <= v, as SQL ``percentile_disc`` / ``quantile_disc``) for
-any group size, without ever placing a whole group in one task:
+``method="exact"``: exact for any group size, without ever placing a whole
+group in one task:
 
 1. pre-aggregate (keys, value) -> count (map-side combine collapses repeats);
 2. range-partition by (keys, value): a hot group is cut into many slices;
