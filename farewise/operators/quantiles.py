@@ -239,6 +239,9 @@ def _exact_stats(df: DataFrame, sets, all_keys, count_as, sums, means, by_col) -
             for i, s in enumerate(sets) for j, c in enumerate(cols)
         ]
         long = df.select(F.explode(F.array(*entries)).alias("_e")).select("_e.*")
+        if result is not None:
+            # groups come from the plain aggregate; null values add nothing to a percentile
+            long = long.filter(F.col("_v").isNotNull())
         levels = sorted({p for lv in by_col.values() for p in lv.values()})
         names = {p: f"_l{n}" for n, p in enumerate(levels)}
         part = exact_percentiles(long, [SET_COL, *all_keys, "_q"], "_v", {names[p]: p for p in levels})
