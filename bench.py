@@ -3,7 +3,7 @@
 Each query is timed end to end (plan + run); small reports are collected,
 row-level outputs are run into the ``noop`` sink so nothing large reaches
 the driver. ``all_reports_shared`` runs the ten reports through the runner
-(three scans in all). The test-data trips are materialised once as
+(two scans in all). The test-data trips are materialised once as
 Parquet (timed separately as ``trips_materialize``, not in the total), which
 is the processed table every report reads in production.
 """

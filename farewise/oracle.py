@@ -397,7 +397,7 @@ for _name in ("group_percentiles", "deviation_by_time", "regime_deviation_summar
 for _name in ("group_percentiles", "deviation_by_time"):
     ORACLE[f"{_name}_sketch"] = ORACLE[_name]
 
-# the report suite computes the same reports from three GROUPING SETS scans
+# the report suite computes the same reports from two GROUPING SETS scans
 for _name in ("hourly_demand_revenue", "weekend_vs_weekday_hourly", "payment_split", "top_pickup_grids",
               "regime_baseline", "regime_deviation_summary", "deviation_by_time", "deviation_top_grids",
               "decomposition_by_time", "toll_heavy_grids"):

@@ -344,7 +344,7 @@ def _q_toll_grids(spark, sf_dir):
     return reports.toll_heavy_grids(_trips(spark, sf_dir), min_trips=MIN_TRIPS_TEST)
 
 
-# ---------------------------------------------------------------- report suite (the runner's three-scan plan)
+# ---------------------------------------------------------------- report suite (the runner's two-scan plan)
 
 def _suite_query(name: str):
     def run(spark, sf_dir):

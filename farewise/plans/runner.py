@@ -1,16 +1,15 @@
-"""Run the report suite with as few scans as the statistics allow.
+"""Run the report suite in two scans of the trips.
 
 Reports differ only in their group keys, statistics and row subset, so the
 runner computes them with GROUPING SETS aggregates (every key set comes out
-of the same Expand -> partial aggregate -> shuffle):
+of the same Expand -> partial aggregate -> shuffle) over profile-masked
+columns (a value is null outside its report's profile and is not
+aggregated; row counts are sums of 0/1 flags):
 
-* analytics profile (R1-R4): one scan;
-* fare profiles (R5-R10): the deviation and decomposition profiles are
-  subsets of the baseline profile, so one scan of the baseline rows computes
-  R5 and both regime baselines (the deviation baseline over the rows that
-  pass the deviation profile), and a second scan computes R6-R10 with
-  statistics over profile-masked columns (a value is null outside its
-  report's profile, and nulls are not aggregated).
+* scan 1 (rows of the analytics or the baseline profile): R1-R4, R5 and both
+  regime baselines — the deviation profile is a subset of the baseline
+  profile, so its baseline is a masked statistic of the same rows;
+* scan 2 (baseline-profile rows, baselines broadcast): R6-R10.
 
 The per-group results are small; they are persisted and each report's
 finishing projection (rounding, HAVING, sort or top-k) reads them. Finishing
@@ -25,8 +24,13 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farewise.config import DEFAULT, MIN_GROUP_TRIPS, P_HIGH, P_LOW, P_MEDIAN, FareConfig
-from farewise.functions import bucketize, grid_bin, is_weekend, pickup_hour, share, sum_components, unit_rate
+from farewise.config import (
+    DEFAULT, MIN_GROUP_TRIPS, P_HIGH, P_LOW, P_MEDIAN, PAYMENT_LABELS, PAYMENT_OTHER, FareConfig,
+)
+from farewise.functions import (
+    bucketize, decode, duration_seconds, grid_bin, is_weekend, measure, pickup_hour, share, sum_components,
+    unit_rate,
+)
 from farewise.functions import within_bbox as in_bbox
 from farewise.operators import SET_COL, clean, group_stats, group_stats_sets, with_group_stat
 from farewise.operators.profiles import FARE_PER_MILE
@@ -70,18 +74,53 @@ def fares_frame(trips: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:
     )
 
 
+def first_pass_frame(trips: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:
+    """Rows of the analytics or the baseline profile, each profile's values masked to its rows.
+
+    One scan of this frame answers the analytics reports, R5 and both regime
+    baselines (the deviation baseline over the deviation-profile rows).
+    """
+    c = cfg.cols
+    lo, hi = cfg.rate_guard
+    secs = duration_seconds(c.pickup_ts, c.dropoff_ts)
+    minutes = secs / F.lit(60.0)
+    ana = (F.col(c.pickup_ts).isNotNull() & F.col(c.dropoff_ts).isNotNull() & F.col(c.distance).isNotNull()
+           & F.col(c.total).isNotNull() & (F.col(c.distance) >= 0) & (F.col(c.total) >= 0)
+           & (minutes > 0) & (minutes < F.lit(cfg.max_trip_minutes)))
+    base = F.col(c.distance).isNotNull() & F.col(c.fare).isNotNull() & (F.col(c.distance) > 0) & (F.col(c.fare) >= 0)
+    rate = unit_rate(c.fare, c.distance)
+    dev = base & (F.col(c.fare) > 0) & F.col(c.pickup_ts).isNotNull() & (rate >= lo) & (rate <= hi)
+    inside = in_bbox(c.pickup_lat, c.pickup_lon, cfg.bbox_lat, cfg.bbox_lon)
+    flagged = trips.withColumns({"_ana": F.coalesce(ana, F.lit(False)), "_base": F.coalesce(base, F.lit(False)),
+                                 "_devf": F.coalesce(dev, F.lit(False))}).filter(F.col("_ana") | F.col("_base"))
+    a, b = F.col("_ana"), F.col("_base")
+    return flagged.select(
+        pickup_hour(c.pickup_ts).alias(HOUR), is_weekend(c.pickup_ts).alias(WEEKEND),
+        decode(c.payment, PAYMENT_LABELS, PAYMENT_OTHER).alias(R.PAYMENT),
+        F.when(a & inside, grid_bin(c.pickup_lat, cfg.grid_digits)).alias(LAT_BIN),
+        F.when(a & inside, grid_bin(c.pickup_lon, cfg.grid_digits)).alias(LON_BIN),
+        F.when(a, measure(c.distance)).alias("_u_dist"), F.when(a, secs).alias("_secs"),
+        F.when(a, measure(c.total)).alias("_u_total"), F.when(a, measure(c.tip)).alias("_u_tip"),
+        F.when(a, F.lit(1)).otherwise(F.lit(0)).alias("_one_ana"),
+        bucketize(c.distance, cfg.regime_edges, cfg.regime_labels).alias(REGIME),
+        F.when(b, rate).alias("_rate_b"), F.when(F.col("_devf"), rate).alias("_rate_dev"),
+        F.when(b, F.lit(1)).otherwise(F.lit(0)).alias("_one_base"),
+    )
+
+
 def _fare_reports(trips: DataFrame, cfg: FareConfig, names: list[str], min_trips: int, persist: bool,
-                  out: dict[str, DataFrame], cached: list[DataFrame]) -> None:
+                  out: dict[str, DataFrame], cached: list[DataFrame], baselines: DataFrame | None = None) -> None:
     c = cfg.cols
     fares = fares_frame(trips, cfg)
-    # scan 1: R5 and both regime baselines
-    baselines = group_stats(
-        fares.withColumn("_rate_dev", F.when(F.col("_dev"), F.col(FARE_PER_MILE))), [REGIME], count_as="trips",
-        quantiles={MEDIAN_RATE: (FARE_PER_MILE, P_MEDIAN), "_median_dev": ("_rate_dev", P_MEDIAN)},
-        method=cfg.percentile_method, accuracy=cfg.percentile_accuracy, kll_k=cfg.kll_k)
-    if persist:
-        baselines = baselines.persist()
-        cached.append(baselines)
+    if baselines is None:
+        # R5 and both regime baselines
+        baselines = group_stats(
+            fares.withColumn("_rate_dev", F.when(F.col("_dev"), F.col(FARE_PER_MILE))), [REGIME], count_as="trips",
+            quantiles={MEDIAN_RATE: (FARE_PER_MILE, P_MEDIAN), "_median_dev": ("_rate_dev", P_MEDIAN)},
+            method=cfg.percentile_method, accuracy=cfg.percentile_accuracy, kll_k=cfg.kll_k)
+        if persist:
+            baselines = baselines.persist()
+            cached.append(baselines)
     if "regime_baseline" in names:
         out["regime_baseline"] = baselines.select(REGIME, MEDIAN_RATE, "trips").orderBy(REGIME)
     rest = [n for n in names if n != "regime_baseline"]
@@ -142,17 +181,37 @@ def plan_reports(trips: DataFrame, cfg: FareConfig = DEFAULT, names: list[str] |
     out: dict[str, DataFrame] = {}
     cached: list[DataFrame] = []
     analytics = [n for n in names if n not in _FARE_REPORTS]
-    if analytics:
-        stats, index = R.spec_stats(R.FRAMES["analytics"](trips, cfg), analytics, cfg)
-        if persist and len(analytics) > 1:
-            stats = stats.persist()
-            cached.append(stats)
-        for n in analytics:
-            out[n] = R.finish(n, stats.filter(F.col(SET_COL) == F.lit(index[n])).drop(SET_COL), cfg,
-                              min_trips=min_trips)
     fare = [n for n in names if n in _FARE_REPORTS]
+    # scan 1: analytics reports, R5 and both regime baselines (GROUPING SETS over masked columns)
+    sets: list[tuple[str, ...]] = []
+    sums, means = {"_n_ana": "_one_ana", "_n_base": "_one_base"}, {}
+    for n in analytics:
+        spec = R.SPECS[n]
+        if spec.keys not in sets:
+            sets.append(spec.keys)
+        sums.update(spec.sums)
+        means.update(spec.means)
+    quantiles = {}
+    if fare:
+        if (REGIME,) not in sets:
+            sets.append((REGIME,))
+        quantiles = {MEDIAN_RATE: ("_rate_b", P_MEDIAN), "_median_dev": ("_rate_dev", P_MEDIAN)}
+    stats = group_stats_sets(first_pass_frame(trips, cfg), [list(k) for k in sets], sums=sums, means=means,
+                             quantiles=quantiles, method=cfg.percentile_method, accuracy=cfg.percentile_accuracy,
+                             kll_k=cfg.kll_k)
+    if persist and len(analytics) + (1 if fare else 0) > 1:
+        stats = stats.persist()
+        cached.append(stats)
+
+    def part(keys: tuple[str, ...], count: str) -> DataFrame:
+        st = stats.filter(F.col(SET_COL) == F.lit(sets.index(keys))).drop(SET_COL)
+        return st.filter(F.col(count) > 0).withColumn("trips", F.col(count))
+
+    for n in analytics:
+        out[n] = R.finish(n, part(R.SPECS[n].keys, "_n_ana"), cfg, min_trips=min_trips)
     if fare:
-        _fare_reports(trips, cfg, fare, min_trips, persist, out, cached)
+        baselines = part((REGIME,), "_n_base").select(REGIME, MEDIAN_RATE, "trips", "_median_dev")
+        _fare_reports(trips, cfg, fare, min_trips, persist, out, cached, baselines)
     return {n: out[n] for n in names}, cached
 
 

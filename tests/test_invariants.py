@@ -58,7 +58,7 @@ def test_grid_reports_threshold_and_cut(trips):
 
 @pytest.mark.parametrize("method", ["kll", "sketch", "exact"])
 def test_runner_equals_single_reports(trips, method):
-    """The runner's three-scan plan (GROUPING SETS, masked statistics) equals the single reports."""
+    """The runner's two-scan plan (GROUPING SETS, masked statistics) equals the single reports."""
     from dataclasses import replace
 
     from farewise.config import DEFAULT
