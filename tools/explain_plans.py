@@ -22,8 +22,8 @@ HEADLINE = [
     "regime_baseline", "regime_deviation_summary", "deviation_by_time", "deviation_top_grids",
     "decomposition_by_time", "toll_heavy_grids", "deviation_by_time_exact", "group_percentiles",
     "group_percentiles_exact", "group_percentiles_sketch", "lineitem_price_deviation", "ml_fare_dataset",
-    "topn_or_other",
-    "violation_counts", "clean_modelling",
+    "topn_or_other", "violation_counts", "clean_modelling", "suite_hourly_demand_revenue",
+    "suite_regime_baseline", "suite_deviation_by_time",
 ]
 
 
