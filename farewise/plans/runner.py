@@ -91,8 +91,10 @@ def first_pass_frame(trips: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:
     rate = unit_rate(c.fare, c.distance)
     dev = base & (F.col(c.fare) > 0) & F.col(c.pickup_ts).isNotNull() & (rate >= lo) & (rate <= hi)
     inside = in_bbox(c.pickup_lat, c.pickup_lon, cfg.bbox_lat, cfg.bbox_lon)
-    flagged = trips.withColumns({"_ana": F.coalesce(ana, F.lit(False)), "_base": F.coalesce(base, F.lit(False)),
-                                 "_devf": F.coalesce(dev, F.lit(False))}).filter(F.col("_ana") | F.col("_base"))
+    # distance >= 0 is implied by both profiles and, unlike their OR, reaches the Parquet reader
+    flagged = trips.filter(F.col(c.distance) >= 0).withColumns({
+        "_ana": F.coalesce(ana, F.lit(False)), "_base": F.coalesce(base, F.lit(False)),
+        "_devf": F.coalesce(dev, F.lit(False))}).filter(F.col("_ana") | F.col("_base"))
     a, b = F.col("_ana"), F.col("_base")
     return flagged.select(
         pickup_hour(c.pickup_ts).alias(HOUR), is_weekend(c.pickup_ts).alias(WEEKEND),
