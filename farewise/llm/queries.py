@@ -5,20 +5,38 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from farewise.llm import fingerprints, licenses, packing, token_counts, token_files, words
+from farewise.llm import fingerprints, licenses, mixing, packing, token_counts, token_files, topk, toxicity, words
 from farewise.llm.common import table
-from farewise.session import scratch_path
+from farewise.session import materialize, scratch_path
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), words.tokenizer_path("word_bpe_49k.json"))
 
 
+def op2_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), words.tokenizer_path("byte_bpe_50k.json"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus' own number of tokens, mixed to 95 % of the greatest entropy over sources."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.token_column().alias("n_tokens"))
+    docs = materialize(docs, "tokens")
+    total = docs.agg(F.sum("n_tokens")).first()[0] or 0
+    mixed = mixing.mix_sources(docs, tokens=F.col("n_tokens"), entropy_share=0.95, budget_tokens=int(total))
+    return mixed.select("doc_id", "source", "n_tokens", "mix_weight", "mix_epoch", "mix_block_order", "mix_doc_order")
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -34,7 +52,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op5_packing, op7_fingerprints, op9_token_files, op10_license_scan)}
+    f.__name__: f for f in (op1_token_counts, op2_maxscore, op3_toxicity, op5_packing, op6_mixing,
+                                  op7_fingerprints, op9_token_files, op10_license_scan)}
 
 #: DuckDB statements of the queries that SQL can express.
-ORACLE: dict[str, str] = {"op10_license_scan": licenses.oracle()}
+ORACLE: dict[str, str] = {"op2_maxscore": topk.ORACLE, "op10_license_scan": licenses.oracle()}
