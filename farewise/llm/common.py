@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,3 +84,62 @@ def powers(base: int, n: int) -> np.ndarray:
         out[size:size + step] = out[:step] * np.uint64(pow(base, size, 2**64))
         size += step
     return out[:n]
+
+
+#: Bits of a ``KeyFilter``; the bitmap sent to tasks is 1 MB whatever the number of keys.
+FILTER_BITS = 23
+_BLOCK_BITS = 13
+
+
+def cell_of(*columns) -> "F.Column":
+    """The bit a key falls on."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 64 - FILTER_BITS).cast("int")
+
+
+def bitmap(cells: DataFrame) -> np.ndarray:
+    """Bits set for the ``cell`` column of a table, as an array of booleans; 1 MB reaches the driver at most."""
+    size = 1 << _BLOCK_BITS
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << FILTER_BITS, bool)
+        for batch in batches:
+            seen[batch.column("cell").to_numpy()] = True
+        blocks = seen.reshape(-1, size)
+        used = np.flatnonzero(blocks.any(axis=1))
+        yield pa.record_batch({"block": pa.array(used.tolist(), pa.int32()),
+                               "bits": pa.array([np.packbits(blocks[b]).tobytes() for b in used], pa.binary())})
+
+    def union(rows):
+        bits = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in rows["bits"]], axis=0)
+        return rows.iloc[:1].assign(bits=[bits.tobytes()])
+
+    parts = cells.select("cell").mapInArrow(partial, "block int, bits binary")
+    out = np.zeros((1 << FILTER_BITS) >> _BLOCK_BITS, dtype=f"({size},)?")
+    for r in parts.groupBy("block").applyInPandas(union, "block int, bits binary").collect():
+        out[r.block] = np.unpackbits(np.frombuffer(r.bits, np.uint8)).astype(bool)
+    return out.reshape(-1)
+
+
+def may_hold(spark: SparkSession, bits: np.ndarray):
+    """A column function: False for cells that no key has, True for all others (a few other cells among them)."""
+    shared = spark.sparkContext.broadcast(np.packbits(bits))
+
+    @F.pandas_udf("boolean")
+    def test(cell: pd.Series) -> pd.Series:
+        c = cell.to_numpy()
+        return pd.Series((shared.value[c >> 3] >> (7 - (c & 7))) & 1 == 1)
+
+    return test
+
+
+def keep_keys(df: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """Rows of ``df`` whose ``name`` is in the one-column table ``keys`` (distinct): only rows that may match are shuffled."""
+    test = may_hold(df.sparkSession, bitmap(keys.select(cell_of(name).alias("cell"))))
+    return df.filter(test(cell_of(name))).join(keys, name, "left_semi")
+
+
+def drop_keys(df: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """Rows of ``df`` whose ``name`` is not in ``keys``: rows that cannot match stay where they are."""
+    test = may_hold(df.sparkSession, bitmap(keys.select(cell_of(name).alias("cell"))))
+    suspect = test(cell_of(name))
+    return df.filter(~suspect).unionByName(df.filter(suspect).join(keys, name, "left_anti"))

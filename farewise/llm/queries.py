@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farewise.llm import fingerprints, licenses, mixing, packing, token_counts, token_files, topk, toxicity, words
+from farewise.llm import fingerprints, jaccard, licenses, mixing, packing, token_counts, token_files, topk, toxicity, words
 from farewise.llm.common import table
 from farewise.session import materialize, scratch_path
 
@@ -24,6 +24,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), words.tokenizer_path("byte_bpe_50k.json"))
 
@@ -52,7 +56,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_maxscore, op3_toxicity, op5_packing, op6_mixing,
+    f.__name__: f for f in (op1_token_counts, op2_maxscore, op3_toxicity, op4_jaccard_join, op5_packing, op6_mixing,
                                   op7_fingerprints, op9_token_files, op10_license_scan)}
 
 #: DuckDB statements of the queries that SQL can express.
