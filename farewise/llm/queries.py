@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farewise.llm import fingerprints, jaccard, licenses, mixing, packing, token_counts, token_files, topk, toxicity, words
+from farewise.llm import fingerprints, jaccard, licenses, mixing, packing, repeats, token_counts, token_files, topk, toxicity, words
 from farewise.llm.common import table
 from farewise.session import materialize, scratch_path
 
@@ -45,6 +45,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, words.tokenizer_path("word_bpe_49k.json"))
@@ -57,7 +61,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_counts, op2_maxscore, op3_toxicity, op4_jaccard_join, op5_packing, op6_mixing,
-                                  op7_fingerprints, op9_token_files, op10_license_scan)}
+                                  op7_fingerprints, op8_repeats, op9_token_files, op10_license_scan)}
 
 #: DuckDB statements of the queries that SQL can express.
 ORACLE: dict[str, str] = {"op2_maxscore": topk.ORACLE, "op10_license_scan": licenses.oracle()}
