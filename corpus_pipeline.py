@@ -1,9 +1,69 @@
-"""Corpus pipeline over ``documents``: stages are added as their operators land."""
+"""Corpus pipeline over ``documents``: toxicity, near duplicates, repeated passages, source mixing, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a table, which ``run`` writes as Parquet and reads again as the next
+one's docs. All but the last return the columns of ``documents``. A stage keeps every row that its operator does
+not decide against: null and empty texts, repeated rows and null ids pass through as the operators' modules state.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from farewise.llm import jaccard, mixing, packing, repeats, toxicity, words
+from farewise.llm.common import drop_keys, table
+from farewise.session import materialize
+
+#: No source is repeated more than this, and every document is kept at least once.
+MAX_REPETITION = 1.25
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity operator rejects go."""
+    machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, machine, keep=docs.columns)
+    return scored.filter("predicted = 0").select(*docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the least doc_id of each class of the Jaccard join stays (one row, should its id repeat)."""
+    classes = materialize(jaccard.jaccard_classes(docs), "classes")
+    others = classes.filter("component_id <> doc_id").select("doc_id").distinct()
+    kept = drop_keys(docs, materialize(others, "others"), "doc_id")
+    repeated = classes.filter("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().filter("count > 1")
+    repeated = materialize(repeated.select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    return drop_keys(kept, repeated, "doc_id").unionByName(
+        kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 200 bytes that stand more than once are cut out of every text."""
+    out = repeats.without_repeats(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Smaller sources are repeated towards equal weights, up to ``MAX_REPETITION``."""
+    return mixing.mix_sources(docs, max_repetition=MAX_REPETITION).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in windows."""
+    return packing.pack_documents(docs, words.tokenizer_path("byte_bpe_50k.json"))
+
+
+STAGES = [("toxicity", drop_toxic), ("ngram_jaccard_join", keep_one_of_each), ("suffix_dedup", cut_repeats),
+          ("source_mixing", mix), ("packing", pack)]
+
+#: The fitted model, the tokenizer and the hash orders are beyond SQL: see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name)
     return docs
