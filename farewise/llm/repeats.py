@@ -36,9 +36,11 @@ GRAM = 50
 #: Anchors counted in one task, on average.
 RANGE_ANCHORS = 500_000
 #: Text laid end to end for one sort; whole anchors, so a single anchor's segments may exceed it.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
+#: Text scanned at once; the arrays of a scan take about a hundred times as much.
+SCAN_BYTES = 1 << 20
 #: Long texts are scanned in pieces of this many window starts.
-PIECE = 4 << 20
+PIECE = 1 << 20
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -64,7 +66,7 @@ def anchor_runs(raw: np.ndarray, off: np.ndarray, length: int, gram: int):
     n = len(raw)
     if n < length:
         return none, none, none.astype(np.uint64)
-    values, up, down = _tables(1 << max(23, int(n).bit_length()))
+    values, up, down = _tables(1 << max(21, int(n).bit_length()))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(values[raw] * up[:n], out=sums[1:])
     h = mix64((sums[gram:] - sums[:-gram]) * down[:n - gram + 1])
@@ -110,7 +112,7 @@ def _repeated_anchors(rows: DataFrame, bits: int, length: int, gram: int) -> Dat
     """``key, tops``: per document, the anchors (their leading bits) that stand more than once; documents without any are left out."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=SCAN_BYTES):
             keys = batch.column("key").to_numpy()
             for raw, off, row, _ in _pieces(batch, length):
                 first, _, h = anchor_runs(raw, off, length, gram)
@@ -143,7 +145,7 @@ def _segments(rows: DataFrame, bits: int, length: int, gram: int) -> DataFrame:
     """``anchor, segment, keys, starts``: text of the windows of each repeated anchor and where it stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=SCAN_BYTES):
             keys = batch.column("key").to_numpy()
             tops = [np.sort(np.frombuffer(b"".join(x), np.uint64)) for x in batch.column("tops").to_pylist()]
             found: dict[tuple[int, bytes], tuple[list[int], list[int]]] = {}
