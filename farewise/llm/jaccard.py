@@ -38,6 +38,8 @@ PERCENT = 75
 #: Prefix shingles of more sets than this are common and go last in the order.
 COMMON = 32
 MAX_SIGNATURE_BITS = 4096
+#: Text scanned at once; the arrays of a scan take some fifty times as much.
+SCAN_BYTES = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -58,7 +60,7 @@ def shingle_sets(column: pa.Array, n_words: int = SHINGLE_WORDS) -> list[np.ndar
     size = len(raw)
     if not size:
         return [np.zeros(0, np.uint64)] * len(column)
-    values, up, down = _tables(1 << max(22, int(size).bit_length()))
+    values, up, down = _tables(1 << max(21, int(size).bit_length()))
     space = _SPACE[raw]
     edge = np.zeros(size + 1, bool)
     edge[off] = True
@@ -146,7 +148,7 @@ def _scan_sets(docs: DataFrame, bits: int, percent: int) -> DataFrame:
     """Per document its name and size (``part`` -1), and per range the prefix hashes of many documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=SCAN_BYTES):
             sets = shingle_sets(batch.column("text"))
             rows = {"part": [-1] * len(sets), "doc_id": batch.column("doc_id").to_pylist(),
                     "n": [len(s) for s in sets], "name": [set_name(s) for s in sets], "low": [None] * len(sets)}
@@ -177,7 +179,7 @@ def _lists(docs: DataFrame, bits: int, percent: int, cells: np.ndarray) -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(cells)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=SCAN_BYTES):
             done: set[int] = set()
             cols: tuple[list, list, list, list] = ([], [], [], [])
             for s in shingle_sets(batch.column("text")):
@@ -216,23 +218,20 @@ def _lists(docs: DataFrame, bits: int, percent: int, cells: np.ndarray) -> DataF
     return found.dropDuplicates(["list", "name"])
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``name, n, items, signature`` of the wanted (doc_id, name): one scan, one shuffle of the wanted sets."""
-    test = common.may_hold(docs.sparkSession, common.bitmap(wanted.select(common.cell_of("doc_id").alias("cell"))))
+def _of_sets(docs: DataFrame, wanted: DataFrame, make) -> DataFrame:
+    """``name, value`` with value = make(set) of each wanted (name, first): one scan, one shuffle of what is wanted."""
+    test = common.may_hold(docs.sparkSession, common.bitmap(wanted.select(common.cell_of("first").alias("cell"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=SCAN_BYTES):
             sets = shingle_sets(batch.column("text"))
             yield pa.record_batch({
                 "doc_id": batch.column("doc_id"), "name": pa.array([set_name(s) for s in sets], pa.int64()),
-                "n": pa.array([len(s) for s in sets], pa.int64()),
-                "items": pa.array([s.tobytes() for s in sets], pa.binary()),
-                "signature": pa.array([signature(s) for s in sets], pa.binary())})
+                "value": pa.array([make(s) for s in sets], pa.binary())})
 
-    sets = docs.filter(test(common.cell_of("doc_id"))) \
-        .mapInArrow(run, "doc_id long, name long, n long, items binary, signature binary")
+    made = docs.filter(test(common.cell_of("doc_id"))).mapInArrow(run, "doc_id long, name long, value binary")
     # the same doc_id and text may stand in several rows
-    return sets.join(wanted, ["doc_id", "name"], "left_semi").drop("doc_id").dropDuplicates(["name"])
+    return made.join(wanted, "name").filter("doc_id = first").select("name", "value").dropDuplicates(["name"])
 
 
 class Tile:
@@ -324,31 +323,37 @@ def _decide(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 linked.append(100 * both >= percent * (len(p) + len(q) - both))
             yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "linked": pa.array(linked)})
 
-    items = sets.select("name", "items")
-    left = pairs.join(items.withColumnsRenamed({"name": "a", "items": "x"}), "a")
-    return left.join(items.withColumnsRenamed({"name": "b", "items": "y"}), "b").select("a", "b", "x", "y") \
+    left = pairs.join(sets.withColumnsRenamed({"name": "a", "value": "x"}), "a")
+    return left.join(sets.withColumnsRenamed({"name": "b", "value": "y"}), "b").select("a", "b", "x", "y") \
         .mapInArrow(run, "a long, b long, linked boolean")
 
 
 def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT,
                     common_above: int = COMMON) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row. ``docs`` is read three times, so pass a table."""
+    """``doc_id, n_shingles, component_id`` of every row. ``docs`` is read several times, so pass a table."""
     rows, bits = id_text(docs, id_col, text_col), _range_bits(docs.sparkSession)
     scanned = materialize(_scan_sets(rows, bits, percent), "shingle-sets")
     cells = _common_cells(scanned, bits, common_above)
     named = scanned.filter("part = -1").select("doc_id", "n", "name")
     lists = materialize(_lists(rows, bits, percent, cells), "lists")
-    wanted = named.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id")) \
-        .join(lists.select("name").distinct(), "name", "left_semi")
-    sets = materialize(_sets(rows, materialize(wanted, "wanted")), "sets")
+    firsts = named.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("first"))
+    listed = materialize(firsts.join(lists.select("name").distinct(), "name", "left_semi"), "listed")
+    signatures = materialize(_of_sets(rows, listed, signature), "signatures")
 
     edges = band_edges(percent, max(2, (named.agg(F.max("n")).first()[0] or 0) + 1))
     bounds = F.array(*[F.lit(e).cast("long") for e in edges])
     band = F.size(F.filter(bounds, lambda e: e <= F.col("n")))
-    homes = lists.join(sets.select("name", "signature"), "name").withColumn("label", F.lit(0).cast("long"))
+    homes = lists.join(signatures.withColumnRenamed("value", "signature"), "name") \
+        .withColumn("label", F.lit(0).cast("long"))
     tiles = homes.withColumn("role", F.explode(F.array(F.lit(0), F.lit(1)))) \
         .withColumn("band", band + F.col("role")).withColumn("home", F.col("role") == 0)
-    decided = materialize(_decide(materialize(_tile_pairs(tiles, percent, False), "pairs"), sets, percent), "decided")
+
+    def decide(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("name")).unionAll(pairs.select("b")).distinct()
+        paired = materialize(listed.join(ends, "name", "left_semi"), "paired")
+        return materialize(_decide(pairs, _of_sets(rows, paired, np.ndarray.tobytes), percent), "decided")
+
+    decided = decide(materialize(_tile_pairs(tiles, percent, False), "pairs"))
     links = decided.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     labels = components(links)
     if not decided.filter("not linked").isEmpty():
@@ -356,7 +361,7 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         again = tiles.drop("label").join(labels.withColumnsRenamed({"node": "name"}), "name", "left") \
             .withColumn("label", F.coalesce("label", "name"))
         rest = _tile_pairs(again, percent, True).join(decided.select("a", "b"), ["a", "b"], "left_anti")
-        more = materialize(_decide(materialize(rest, "rest"), sets, percent), "more").filter("linked")
+        more = decide(materialize(rest, "rest")).filter("linked")
         if not more.isEmpty():
             labels = components(links.unionAll(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     named = named.join(labels.withColumnsRenamed({"node": "name"}), "name", "left") \
