@@ -36,9 +36,9 @@ GRAM = 50
 #: Anchors counted in one task, on average.
 RANGE_ANCHORS = 500_000
 #: Text laid end to end for one sort; whole anchors, so a single anchor's segments may exceed it.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 #: Text scanned at once; the arrays of a scan take about a hundred times as much.
-SCAN_BYTES = 1 << 20
+SCAN_BYTES = 1 << 19
 #: Long texts are scanned in pieces of this many window starts.
 PIECE = 1 << 20
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -66,7 +66,7 @@ def anchor_runs(raw: np.ndarray, off: np.ndarray, length: int, gram: int):
     n = len(raw)
     if n < length:
         return none, none, none.astype(np.uint64)
-    values, up, down = _tables(1 << max(21, int(n).bit_length()))
+    values, up, down = _tables(1 << max(20, int(n).bit_length()))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(values[raw] * up[:n], out=sums[1:])
     h = mix64((sums[gram:] - sums[:-gram]) * down[:n - gram + 1])
