@@ -9,8 +9,9 @@
    side, in the next one; sets further apart in size cannot link. Within a tile hashed bitmap signatures (one
    bit flipped per shingle) bound the overlap from above: |x & y| <= (|x| + |y| - bits that differ) / 2. A tile passes on a
    spanning forest of the pairs within the bound, never all pairs of a group.
-4. The pairs are decided by exact intersection of the sorted arrays. Where a pair of a forest fails, the tile is read again
-   and every pair within the bound that the links so far leave apart is decided too, so no link is lost.
+4. The pairs are decided by exact intersection of the sorted arrays. Where pairs of a forest fail, the tiles are read
+   again for forests between the classes found so far, by other pairs each time, while that links much; at last
+   every pair within the bound whose sets are still in different classes is decided, so no link is lost.
 5. Components of the links give each document the least doc_id of its class.
 
 Null and empty texts have no shingles and link with nothing; repeated rows are copies of one another. Two distinct sets share a
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farewise.llm import common
-from farewise.llm.common import FILTER_BITS, id_text, mix64, shuffle_partitions, text_buffers, text_slices
+from farewise.llm.common import FILTER_BITS, id_text, mix64, text_buffers, text_slices
 from farewise.llm.components import components
 from farewise.session import materialize
 
@@ -38,6 +39,10 @@ PERCENT = 75
 #: Prefix shingles of more sets than this are common and go last in the order.
 COMMON = 32
 MAX_SIGNATURE_BITS = 4096
+#: Prefix hashes dealt to one range.
+RANGE_HASHES = 4_000_000
+#: Rounds of a spanning forest between classes stop when a round links less than this share of its pairs.
+WORTH_ANOTHER = 0.05
 #: Text scanned at once; the arrays of a scan take some fifty times as much.
 SCAN_BYTES = 1 << 20
 
@@ -130,8 +135,11 @@ def band_edges(percent: int, most: int = 2**40) -> list[int]:
     return edges
 
 
-def _range_bits(spark) -> int:
-    return max(1, min(16, (shuffle_partitions(spark) - 1).bit_length()))
+def _range_bits(rows: DataFrame, percent: int) -> int:
+    """Hash ranges as a power of two: 64, or more where a range would hold over ``RANGE_HASHES`` prefix hashes."""
+    n_bytes = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    hashes = n_bytes // 6 * (100 - percent) // 100
+    return max(6, min(16, (hashes // RANGE_HASHES).bit_length()))
 
 
 def _cut(values: np.ndarray, bits: int) -> list[tuple[int, np.ndarray]]:
@@ -267,6 +275,27 @@ class Tile:
                 left = np.setdiff1d(left, hit, assume_unique=True)
         return out
 
+    def between(self, turn: int, joined: dict[int, int]) -> list[tuple[int, int]]:
+        """Pairs that may link and join different labels, each two labels joined once in ``joined`` (a task's forest)."""
+        def root(x: int) -> int:
+            while joined.get(x, x) != x:
+                x = joined[x]
+            return x
+
+        out, (values, counts) = [], np.unique(self.labels, return_counts=True)
+        if len(values) < 2:
+            return out
+        spin = mix64(self.names.astype(np.uint64) + np.uint64(turn))
+        for i in np.flatnonzero(self.labels != values[counts.argmax()]).tolist():
+            hit = self.near(i, np.flatnonzero(self.labels != self.labels[i]))
+            # another partner each turn and for each set: a failed pair says little about the next
+            for j in hit[np.argsort(spin[hit] ^ spin[i], kind="stable")].tolist():
+                a, b = root(int(self.labels[i])), root(int(self.labels[j]))
+                if a != b:
+                    joined[max(a, b)] = min(a, b)
+                    out.append((i, j))
+        return out
+
     def apart(self) -> list[tuple[int, int]]:
         """All pairs that may link and bear different labels."""
         out = []
@@ -279,19 +308,20 @@ class Tile:
         return out
 
 
-def _tile_pairs(tiles: DataFrame, percent: int, residual: bool) -> DataFrame:
-    """Distinct pairs ``a, b`` to decide, from rows sorted by (list, band) within partitions."""
+def _tile_pairs(tiles: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Distinct pairs ``a, b`` to decide: forests of sets (turn 0), of classes (turn > 0), or all apart (turn < 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
             if len(rows) < 2 or not any(r[2] for r in rows):
                 return []
             t = Tile(rows, percent)
-            found = t.apart() if residual else t.forest()
+            found = t.forest() if not turn else t.between(turn, joined) if turn > 0 else t.apart()
             return [(min(a, b), max(a, b)) for i, j in found
                     for a, b in [(int(t.names[i]), int(t.names[j]))]]
 
         key, rows, out = None, [], set()
+        joined: dict[int, int] = {}
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("list", "band", "name", "n", "home", "signature", "label")]
             for lst, band, *row in zip(*cols):
@@ -331,7 +361,8 @@ def _decide(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT,
                     common_above: int = COMMON) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row. ``docs`` is read several times, so pass a table."""
-    rows, bits = id_text(docs, id_col, text_col), _range_bits(docs.sparkSession)
+    rows = id_text(docs, id_col, text_col)
+    bits = _range_bits(rows, percent)
     scanned = materialize(_scan_sets(rows, bits, percent), "shingle-sets")
     cells = _common_cells(scanned, bits, common_above)
     named = scanned.filter("part = -1").select("doc_id", "n", "name")
@@ -348,22 +379,31 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     tiles = homes.withColumn("role", F.explode(F.array(F.lit(0), F.lit(1)))) \
         .withColumn("band", band + F.col("role")).withColumn("home", F.col("role") == 0)
 
-    def decide(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("name")).unionAll(pairs.select("b")).distinct()
-        paired = materialize(listed.join(ends, "name", "left_semi"), "paired")
-        return materialize(_decide(pairs, _of_sets(rows, paired, np.ndarray.tobytes), percent), "decided")
-
-    decided = decide(materialize(_tile_pairs(tiles, percent, False), "pairs"))
-    links = decided.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    labels = components(links)
-    if not decided.filter("not linked").isEmpty():
-        labels = materialize(labels, "labels")
+    pairs = materialize(_tile_pairs(tiles, percent, 0), "pairs")
+    ends = pairs.select(F.col("a").alias("name")).unionAll(pairs.select("b")).distinct()
+    paired = materialize(listed.join(ends, "name", "left_semi"), "paired")
+    # every set that may link with another stands in a pair of a forest: these are all the sets ever compared
+    sets = materialize(_of_sets(rows, paired, np.ndarray.tobytes), "sets")
+    links, decided, turn = None, None, 0
+    while True:
+        new = materialize(_decide(pairs, sets, percent), "decided")
+        decided = new if decided is None else decided.unionAll(new)
+        good = new.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        n_good, n_all = good.count(), new.count()
+        if n_good or links is None:
+            links = good if links is None else links.unionAll(good)
+            labels = materialize(components(links), "labels")
+        if turn < 0 or n_good == n_all and not turn:
+            break  # all pairs decided, or the first forest holds as it is
+        turn = turn + 1 if n_good > WORTH_ANOTHER * n_all else -1
         again = tiles.drop("label").join(labels.withColumnsRenamed({"node": "name"}), "name", "left") \
             .withColumn("label", F.coalesce("label", "name"))
-        rest = _tile_pairs(again, percent, True).join(decided.select("a", "b"), ["a", "b"], "left_anti")
-        more = decide(materialize(rest, "rest")).filter("linked")
-        if not more.isEmpty():
-            labels = components(links.unionAll(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        pairs = materialize(_tile_pairs(again, percent, turn).join(decided.select("a", "b"), ["a", "b"], "left_anti"),
+                            "pairs")
+        if turn > 0 and pairs.isEmpty():
+            turn = -1
+            pairs = materialize(_tile_pairs(again, percent, turn)
+                                .join(decided.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     named = named.join(labels.withColumnsRenamed({"node": "name"}), "name", "left") \
         .withColumn("label", F.coalesce("label", "name"))
     least = named.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
