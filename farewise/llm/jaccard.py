@@ -39,10 +39,12 @@ PERCENT = 75
 #: Prefix shingles of more sets than this are common and go last in the order.
 COMMON = 32
 MAX_SIGNATURE_BITS = 4096
+#: Signatures are so many times as wide where all pairs apart are looked at, for a bound close to the overlap itself.
+LAST_SCALE = 4
 #: Prefix hashes dealt to one range.
 RANGE_HASHES = 4_000_000
 #: Rounds of a spanning forest between classes stop when a round links less than this share of its pairs.
-WORTH_ANOTHER = 0.05
+WORTH_ANOTHER = 0.2
 #: Text scanned at once; the arrays of a scan take some fifty times as much.
 SCAN_BYTES = 1 << 20
 
@@ -112,9 +114,9 @@ def prefix(s: np.ndarray, common_cells: np.ndarray | None, percent: int) -> np.n
     return np.concatenate([s[~late], s[late]])[:take]
 
 
-def signature(s: np.ndarray) -> bytes:
-    """One bit flipped per shingle; as many bits as the set's size asks for, up to a bound."""
-    width = min(MAX_SIGNATURE_BITS, max(64, 1 << int(len(s)).bit_length()))
+def signature(s: np.ndarray, scale: int = 1) -> bytes:
+    """One bit flipped per shingle; ``scale`` times as many bits as the set's size asks for, up to a bound."""
+    width = scale * min(MAX_SIGNATURE_BITS, max(64, 1 << int(len(s)).bit_length()))
     bits = mix64(s ^ np.uint64(0xD6E8FEB86659FD93)) & np.uint64(width - 1)
     return np.packbits(np.bincount(bits.astype(np.int64), minlength=width) & 1, bitorder="little").tobytes()
 
@@ -374,12 +376,21 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     edges = band_edges(percent, max(2, (named.agg(F.max("n")).first()[0] or 0) + 1))
     bounds = F.array(*[F.lit(e).cast("long") for e in edges])
     band = F.size(F.filter(bounds, lambda e: e <= F.col("n")))
-    homes = lists.join(signatures.withColumnRenamed("value", "signature"), "name") \
-        .withColumn("label", F.lit(0).cast("long"))
-    tiles = homes.withColumn("role", F.explode(F.array(F.lit(0), F.lit(1)))) \
-        .withColumn("band", band + F.col("role")).withColumn("home", F.col("role") == 0)
 
-    pairs = materialize(_tile_pairs(tiles, percent, 0), "pairs")
+    def tiles(listing: DataFrame, signed: DataFrame) -> DataFrame:
+        homes = listing.join(signed.withColumnRenamed("value", "signature"), "name")
+        return homes.withColumn("role", F.explode(F.array(F.lit(0), F.lit(1)))) \
+            .withColumn("band", band + F.col("role")).withColumn("home", F.col("role") == 0)
+
+    def apart(labels: DataFrame) -> DataFrame:
+        """Lists whose sets bear different labels."""
+        now = lists.join(labels.withColumnsRenamed({"node": "name"}), "name", "left") \
+            .withColumn("label", F.coalesce("label", "name"))
+        mixed = now.groupBy("list").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y")
+        return now.join(mixed.select("list"), "list", "left_semi")
+
+    first = tiles(lists.withColumn("label", F.lit(0).cast("long")), signatures)
+    pairs = materialize(_tile_pairs(first, percent, 0), "pairs")
     ends = pairs.select(F.col("a").alias("name")).unionAll(pairs.select("b")).distinct()
     paired = materialize(listed.join(ends, "name", "left_semi"), "paired")
     # every set that may link with another stands in a pair of a forest: these are all the sets ever compared
@@ -396,14 +407,14 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if turn < 0 or n_good == n_all and not turn:
             break  # all pairs decided, or the first forest holds as it is
         turn = turn + 1 if n_good > WORTH_ANOTHER * n_all else -1
-        again = tiles.drop("label").join(labels.withColumnsRenamed({"node": "name"}), "name", "left") \
-            .withColumn("label", F.coalesce("label", "name"))
-        pairs = materialize(_tile_pairs(again, percent, turn).join(decided.select("a", "b"), ["a", "b"], "left_anti"),
-                            "pairs")
-        if turn > 0 and pairs.isEmpty():
-            turn = -1
-            pairs = materialize(_tile_pairs(again, percent, turn)
-                                .join(decided.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        mixed = materialize(apart(labels), "mixed")
+        if turn > 0:
+            pairs = _tile_pairs(tiles(mixed, signatures), percent, turn)
+        else:
+            again = listed.join(mixed.select("name").distinct(), "name", "left_semi")
+            wide = _of_sets(rows, materialize(again, "again"), lambda s: signature(s, LAST_SCALE))
+            pairs = _tile_pairs(tiles(mixed, wide), percent, turn)
+        pairs = materialize(pairs.join(decided.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     named = named.join(labels.withColumnsRenamed({"node": "name"}), "name", "left") \
         .withColumn("label", F.coalesce("label", "name"))
     least = named.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
