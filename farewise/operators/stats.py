@@ -41,8 +41,16 @@ def with_group_stat(df: DataFrame, stats: DataFrame, keys: Sequence[str], max_gr
     ``max_groups`` is a bound known from the key domain (e.g. the number of
     regime labels); with it the statistics side is broadcast and the big side
     is never shuffled. Without it the join is planned from runtime sizes.
+    Null keys form a group of their own, as in the grouping that made ``stats``.
     """
-    return df.join(broadcast_if_bounded(stats, max_groups), on=list(keys), how="left")
+    side = stats.withColumnsRenamed({k: f"_group_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & df[k].eqNullSafe(side[f"_group_{k}"])
+    joined = df.join(broadcast_if_bounded(side, max_groups), on=same, how="left")
+    others = [c for c in df.columns if c not in keys]
+    return joined.select(*[df[k] for k in keys], *[df[c] for c in others],
+                         *[side[c] for c in stats.columns if c not in keys])
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int, tie_keys: Sequence[str] = ()) -> DataFrame:
