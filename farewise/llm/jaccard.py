@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from farewise.llm import common
 from farewise.llm.common import FILTER_BITS, id_text, mix64, text_buffers, text_slices
-from farewise.llm.components import components
+from farewise.llm.components import components, merge_components
 from farewise.session import materialize
 
 SHINGLE_WORDS = 5
@@ -395,15 +395,16 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     paired = materialize(listed.join(ends, "name", "left_semi"), "paired")
     # every set that may link with another stands in a pair of a forest: these are all the sets ever compared
     sets = materialize(_of_sets(rows, paired, np.ndarray.tobytes), "sets")
-    links, decided, turn = None, None, 0
+    labels, decided, turn = None, None, 0
     while True:
         new = materialize(_decide(pairs, sets, percent), "decided")
         decided = new if decided is None else decided.unionAll(new)
         good = new.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
         n_good, n_all = good.count(), new.count()
-        if n_good or links is None:
-            links = good if links is None else links.unionAll(good)
-            labels = materialize(components(links), "labels")
+        if labels is None:
+            labels = materialize(components(good), "labels")
+        elif n_good:
+            labels = materialize(merge_components(labels, good), "labels")
         if turn < 0 or n_good == n_all and not turn:
             break  # all pairs decided, or the first forest holds as it is
         turn = turn + 1 if n_good > WORTH_ANOTHER * n_all else -1
