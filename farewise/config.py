@@ -55,14 +55,12 @@ LINEAR_REPORT_NAME = "Distance-only"
 FOREST_REPORT_NAME = "Context-aware RF"
 # --- end of fixed values ---
 
-# Percentiles (see operators/quantiles.py): "kll" (two-level salted KLL
-# sketches, one pass, bounded memory and merge fan-in; exact below ~k rows per
-# group), "sketch" (percentile_approx; exact below ~accuracy / 2 rows) or
-# "exact" (distributed rank selection, several passes, exact at any size).
-# A KLL buffer holds about k doubles: k = 16384 is ~128 KB per group buffer
-# (<= ~16 MB per task before Spark's sort-based aggregation fallback at 128
-# groups) with rank error of order 1e-4, like percentile_approx at 1e4.
-PERCENTILE_METHOD = "kll"
+# Percentiles (see operators/quantiles.py): "bracket" (exact and repeatable at any size: sketches give
+# brackets, a second scan ranks the values inside), "kll" (the sketches alone, one scan; exact below ~k rows
+# per group, random beyond), "sketch" (percentile_approx; exact below ~accuracy / 2 rows) or "exact"
+# (distributed rank selection over all distinct values).
+# A KLL buffer holds about k doubles: k = 16384 is ~128 KB per group buffer, with rank error of order 1e-4.
+PERCENTILE_METHOD = "bracket"
 KLL_K = 16384
 PERCENTILE_ACCURACY = 1_000_000
 

@@ -3,7 +3,15 @@
 All methods return the discrete percentile (smallest v with at least
 ceil(p * n) values <= v, as SQL ``percentile_disc`` / ``quantile_disc``).
 
-``method="kll"`` (default): KLL sketches merged in two levels. Rows are first
+NaN takes no part in a percentile, as null.
+
+``method="bracket"`` (default): exact and repeatable at any group size, in two scans. KLL sketches (below) give each
+group and level a bracket of values around the wanted rank; the second scan counts the values below it and combines
+(keys, value) counts of those inside, a few per mille of the rows, whose ranks are found as by "exact". A rank
+that lies outside its bracket is looked up among all values of its group. The result depends neither on the sketches' random
+choices nor on partitions. Jobs run while the DataFrame is built; the input is read twice and must not change between.
+
+``method="kll"``: KLL sketches merged in two levels. Rows are first
 sketched per (keys, salt) with salt = input partition id mod S, then the S
 sketches of a group are merged. A group holding a third of all rows thus
 never funnels one partial sketch per map task into a single reducer: each
@@ -44,6 +52,9 @@ from farewise.session import materialize
 SKETCH = "sketch"
 EXACT = "exact"
 KLL = "kll"
+BRACKET = "bracket"
+#: Half width of a bracket in ranks: three times the 99 % rank error of a KLL sketch of size k, 2.296 / k^0.9021.
+BRACKET_ERRORS = 3
 
 
 def _c(col: str | Column) -> Column:
@@ -51,8 +62,6 @@ def _c(col: str | Column) -> Column:
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    if not keys:
-        return left.join(right, how=how) if how != "inner" else left.join(right)
     r = right
     renamed = {k: f"__r_{k}" for k in keys}
     for k, nk in renamed.items():
@@ -64,18 +73,16 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(r, cond, how).drop(*renamed.values())
 
 
-def exact_percentiles(df: DataFrame, keys: Sequence[str], col: str, levels: Mapping[str, float],
-                      count_as: str | None = None, num_slices: int | None = None) -> DataFrame:
-    """Exact discrete percentiles of ``col`` per group (nulls ignored; all-null group -> null)."""
-    keys = list(keys)
-    spark = df.sparkSession
-    slices = num_slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _cumulated(counted: DataFrame, keys: Sequence[str], col: str, num_slices: int | None = None) -> DataFrame:
+    """Rows ``keys, col, _c`` (rows) ``, _cv`` (rows that count) with running counts ``_cum`` of their group.
+
+    Also ``_n`` and ``_all``, the group's totals of both. The order is by value, null first; a hot group is cut into
+    slices. Builds on a written table, so it runs a job.
+    """
     v = F.col(col)
-    counted = df.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_c"))
-    counted = counted.withColumn("_cv", F.when(v.isNull(), F.lit(0)).otherwise(F.col("_c")))
-    ranged = materialize(
-        counted.repartitionByRange(slices, *[F.col(k).asc_nulls_first() for k in keys], v.asc_nulls_first())
-        .withColumn("_slice", F.spark_partition_id()), "percentile-slices")
+    by = [*[F.col(k).asc_nulls_first() for k in keys], v.asc_nulls_first()]
+    ranged = counted.repartitionByRange(num_slices, *by) if num_slices else counted.repartitionByRange(*by)
+    ranged = materialize(ranged.withColumn("_slice", F.spark_partition_id()), "percentile-slices")
     inner = Window.partitionBy(*keys, "_slice").orderBy(v.asc_nulls_first()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     local = ranged.withColumn("_cum", F.sum("_cv").over(inner))
@@ -88,15 +95,27 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], col: str, levels: Mapp
         F.sum("_part").over(by_group).alias("_n"),
         F.sum("_rows").over(by_group).alias("_all"),
     )
-    joined = _null_safe_join(local, totals, keys + ["_slice"])
-    cum = F.col("_off") + F.col("_cum")
-    picks = []
-    for name, p in levels.items():
-        k = F.greatest(F.ceil(F.lit(float(p)) * F.col("_n")), F.lit(1))
-        hit = (F.col("_cv") > 0) & (cum >= k) & (cum - F.col("_cv") < k)
-        picks.append(F.max(F.when(hit, v)).alias(name))
+    return _null_safe_join(local, totals, [*keys, "_slice"]).withColumn("_cum", F.col("_off") + F.col("_cum"))
+
+
+def _rank(level: float, n: str) -> Column:
+    return F.greatest(F.ceil(F.lit(float(level)) * F.col(n)), F.lit(1))
+
+
+def _crosses(rank: Column) -> Column:
+    return (F.col("_cv") > 0) & (F.col("_cum") >= rank) & (F.col("_cum") - F.col("_cv") < rank)
+
+
+def exact_percentiles(df: DataFrame, keys: Sequence[str], col: str, levels: Mapping[str, float],
+                      count_as: str | None = None, num_slices: int | None = None) -> DataFrame:
+    """Exact discrete percentiles of ``col`` per group (nulls ignored; all-null group -> null)."""
+    keys = list(keys)
+    v = F.col(col)
+    counted = df.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_c"))
+    counted = counted.withColumn("_cv", F.when(v.isNull(), F.lit(0)).otherwise(F.col("_c")))
+    picks = [F.max(F.when(_crosses(_rank(p, "_n")), v)).alias(name) for name, p in levels.items()]
     aggs = picks + ([F.max("_all").alias(count_as)] if count_as else [])
-    return joined.groupBy(*keys).agg(*aggs)
+    return _cumulated(counted, keys, col, num_slices).groupBy(*keys).agg(*aggs)
 
 
 def kll_salts(spark) -> int:
@@ -137,7 +156,9 @@ def _mean_cols(means) -> list[Column]:
     return [F.try_divide(F.col(f"_ms{i}"), F.col(f"_mc{i}")).alias(name) for i, name in enumerate(means)]
 
 
-def _kll_stats(df: DataFrame, sets, all_keys, count_as, sums, means, by_col, k: int, salts: int | None):
+def _kll_stats(df: DataFrame, sets, all_keys, count_as, sums, means, by_col, k: int, salts: int | None,
+               sizes: bool = False):
+    """Statistics with percentiles from the sketches; ``sizes`` adds ``_n0, _n1, ...``, the values of each column."""
     salts = salts or kll_salts(df.sparkSession)
     cols = list(by_col)
     first = [F.kll_sketch_agg_double(F.col(c).cast("double"), k).alias(f"_sk{i}") for i, c in enumerate(cols)]
@@ -163,9 +184,82 @@ def _kll_stats(df: DataFrame, sets, all_keys, count_as, sums, means, by_col, k:
         # a group whose values are all null has an empty sketch: no percentile
         q = F.when(F.kll_sketch_get_n_double(f"_sk{i}") > 0, q)
         out += [q[j].alias(name) for j, name in enumerate(levels)]
+        if sizes:
+            out.append(F.kll_sketch_get_n_double(f"_sk{i}").alias(f"_n{i}"))
     return level2.select(*out)
 
 
+def _expanded(df: DataFrame, sets, all_keys, cols) -> DataFrame:
+    """One row per (key set, column ``_q``) of each row: the set's keys (others null) and the value ``_v``."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    entries = [
+        F.struct(F.lit(i).alias(SET_COL),
+                 *[(F.col(k) if k in s else F.lit(None).cast(types[k])).alias(k) for k in all_keys],
+                 F.lit(j).alias("_q"), F.col(c).cast("double").alias("_v"))
+        for i, s in enumerate(sets) for j, c in enumerate(cols)
+    ]
+    return df.select(F.explode(F.array(*entries)).alias("_e")).select("_e.*")
+
+
+def _in_brackets(values: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, _l, _x``: the value at rank ``_r`` of each level ``_l``, where it lies between ``_lo`` and ``_hi``.
+
+    ``brackets`` holds ``keys`` and an array ``_b`` of (_l, _r, _lo, _hi). Values below a bracket are one count (null
+    ``_x``, first in the order), those above are dropped; both combine before the shuffle.
+    """
+    held = _null_safe_join(values, brackets, keys)
+    held = held.select(*keys, "_v", F.explode(F.filter("_b", lambda e: F.col("_v") <= e["_hi"])).alias("_e"))
+    counted = held.select(*keys, "_e._l", "_e._r", F.when(F.col("_v") >= F.col("_e._lo"), F.col("_v")).alias("_x")) \
+        .groupBy(*keys, "_l", "_r", "_x").agg(F.count(F.lit(1)).alias("_c")).withColumn("_cv", F.col("_c"))
+    ranked = _cumulated(counted, [*keys, "_l", "_r"], "_x")
+    return ranked.filter(F.col("_x").isNotNull() & _crosses(F.col("_r"))).select(*keys, "_l", "_x")
+
+
+def _bracket_stats(df: DataFrame, sets, all_keys, count_as, sums, means, by_col, k: int, salts: int | None):
+    """Exact percentiles in two scans: brackets from sketches, then ranks among the values inside the brackets.
+
+    A sketch of at most ``k`` values still holds each of them and gives the percentile itself; the second scan ranks the
+    groups of more values.
+    """
+    half = min(1.0, BRACKET_ERRORS * 2.296 / k ** 0.9021)
+    cols = list(by_col)
+    levels = [sorted(set(by_col[c].values())) for c in cols]
+    ends = {c: {name: p for j, level in enumerate(levels[i])
+                for name, p in ((f"_lo{i}_{j}", max(level - half, 0.0)), (f"_at{i}_{j}", level),
+                                (f"_hi{i}_{j}", min(level + half, 1.0)))}
+            for i, c in enumerate(cols)}
+    groups = materialize(_kll_stats(df, sets, all_keys, count_as, sums, means, ends, k, salts, sizes=True),
+                         "percentile-brackets")
+    set_keys = [SET_COL, *all_keys]
+    keys = [*set_keys, "_q"]
+
+    def bracket(i: int, j: int) -> Column:
+        return F.struct(F.lit(j).alias("_l"), _rank(levels[i][j], f"_n{i}").alias("_r"),
+                        F.col(f"_lo{i}_{j}").alias("_lo"), F.col(f"_hi{i}_{j}").alias("_hi"))
+
+    per_col = [F.when(F.col(f"_n{i}") > k, F.struct(
+        F.lit(i).alias("_q"), F.array(*[bracket(i, j) for j in range(len(levels[i]))]).alias("_b"))) for i in range(len(cols))]
+    plain = [*set_keys, *([count_as] if count_as else []), *sums, *means]
+    named = [(i, levels[i].index(p), out) for i, c in enumerate(cols) for out, p in by_col[c].items()]
+    brackets = groups.select(*set_keys, F.explode(F.array(*per_col)).alias("_e")).filter("_e is not null") \
+        .select(*set_keys, "_e.*")
+    if brackets.isEmpty():
+        return groups.select(*plain, *[F.col(f"_at{i}_{j}").alias(out) for i, j, out in named])
+    values = _expanded(df, sets, all_keys, cols).filter(F.col("_v").isNotNull())
+    found = materialize(_in_brackets(values, brackets, keys), "percentiles")
+    wanted = brackets.select(*keys, F.explode("_b").alias("_e")).select(*keys, "_e._l", "_e._r")
+    missed = materialize(_null_safe_join(wanted, found, [*keys, "_l"], "left_anti"), "percentiles-missed")
+    if not missed.isEmpty():
+        # a rank outside its bracket: the whole group is the bracket
+        whole = missed.groupBy(*keys).agg(F.collect_list(F.struct(
+            "_l", "_r", F.lit(float("-inf")).alias("_lo"), F.lit(float("inf")).alias("_hi"))).alias("_b"))
+        found = found.unionByName(_in_brackets(values, whole, keys))
+    picks = [F.max(F.when((F.col("_q") == F.lit(i)) & (F.col("_l") == F.lit(j)), F.col("_x"))).alias(f"_x{i}_{j}")
+             for i, level in enumerate(levels) for j in range(len(level))]
+    ranked = _null_safe_join(groups, found.groupBy(*set_keys).agg(*picks), set_keys, "left")
+    return ranked.select(*plain, *[F.coalesce(f"_x{i}_{j}", f"_at{i}_{j}").alias(out) for i, j, out in named])
+
+
 def _sketch_stats(df: DataFrame, sets, all_keys, count_as, sums, means, by_col, accuracy: int):
     exprs = _plain_aggs(count_as, sums, means)
     quant_names = []
@@ -201,9 +295,16 @@ def group_stats_sets(df: DataFrame, sets: Sequence[Sequence[str]], count_as: str
     by_col: dict[str, dict[str, float]] = {}
     for out, (col, p) in (quantiles or {}).items():
         by_col.setdefault(col, {})[out] = p
+    types = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    for i, col in enumerate(list(by_col)):
+        if types[col] in ("double", "float"):  # NaN takes no part, as null
+            df = df.withColumn(f"_pv{i}", F.when(~F.isnan(col), F.col(col)))
+            by_col[f"_pv{i}"] = by_col.pop(col)
+    if method == BRACKET and by_col:
+        return _bracket_stats(df, sets, all_keys, count_as, sums, means, by_col, kll_k or DEFAULT.kll_k, salts)
     if method == KLL and by_col:
         return _kll_stats(df, sets, all_keys, count_as, sums, means, by_col, kll_k or DEFAULT.kll_k, salts)
-    if method in (SKETCH, KLL):
+    if method in (SKETCH, KLL, BRACKET):
         # without percentiles every partial is a few numbers: one aggregate level suffices
         acc = DEFAULT.percentile_accuracy if accuracy is None else accuracy
         return _sketch_stats(df, sets, all_keys, count_as, sums, means, by_col, acc)
@@ -231,14 +332,7 @@ def _exact_stats(df: DataFrame, sets, all_keys, count_as, sums, means, by_col) -
                             *_mean_cols(means))
     cols = list(by_col)
     if cols:
-        types = {f.name: f.dataType for f in df.schema.fields}
-        entries = [
-            F.struct(F.lit(i).alias(SET_COL),
-                     *[(F.col(k) if k in s else F.lit(None).cast(types[k])).alias(k) for k in all_keys],
-                     F.lit(j).alias("_q"), F.col(c).cast("double").alias("_v"))
-            for i, s in enumerate(sets) for j, c in enumerate(cols)
-        ]
-        long = df.select(F.explode(F.array(*entries)).alias("_e")).select("_e.*")
+        long = _expanded(df, sets, all_keys, cols)
         if result is not None:
             # groups come from the plain aggregate; null values add nothing to a percentile
             long = long.filter(F.col("_v").isNotNull())

@@ -16,15 +16,16 @@ def _c(col: str | Column) -> Column:
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], col: str, levels: dict[str, float],
-                accuracy: int | None = None, count_as: str | None = None, method: str | None = None) -> DataFrame:
+                accuracy: int | None = None, count_as: str | None = None, method: str | None = None,
+                kll_k: int | None = None) -> DataFrame:
     """One row per group: optional row count and the named percentiles of ``col``.
 
-    See ``operators.quantiles`` for the sketch and exact methods.
+    See ``operators.quantiles`` for the methods.
     """
     from farewise.operators.quantiles import group_stats
 
     return group_stats(df, keys, count_as=count_as, quantiles={name: (col, p) for name, p in levels.items()},
-                       method=method, accuracy=accuracy)
+                       method=method, accuracy=accuracy, kll_k=kll_k)
 
 
 def broadcast_if_bounded(stats: DataFrame, max_rows: int | None,

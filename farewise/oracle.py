@@ -394,6 +394,8 @@ SELECT {_REGIME} AS distance_regime, {_r("avg(abs_err_model0)", 6)} AS abs_err_m
 # exact-percentile variants state the same result
 for _name in ("group_percentiles", "deviation_by_time", "regime_deviation_summary", "decomposition_by_time"):
     ORACLE[f"{_name}_exact"] = ORACLE[_name]
+for _name in ("group_percentiles", "regime_baseline", "deviation_by_time", "decomposition_by_time"):
+    ORACLE[f"{_name}_bracket"] = ORACLE[_name]
 for _name in ("group_percentiles", "deviation_by_time"):
     ORACLE[f"{_name}_sketch"] = ORACLE[_name]
 

@@ -44,6 +44,8 @@ FOREST_TEST = {"num_trees": 20, "max_depth": 10, "min_instances": 5, "max_bins":
 # Reports re-run with the other percentile methods (same oracle as the default).
 EXACT = replace(DEFAULT, percentile_method="exact")
 SKETCH = replace(DEFAULT, percentile_method="sketch")
+# The default method with sketches so small that every group needs the second scan.
+BRACKET = replace(DEFAULT, percentile_method="bracket", kll_k=64)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -250,6 +252,14 @@ def _q_group_percentiles_exact(spark, sf_dir):
                        count_as="items", method="exact")
 
 
+@register("group_percentiles_bracket")
+def _q_group_percentiles_bracket(spark, sf_dir):
+    rates = _lineitem_rates(spark, sf_dir)
+    return percentiles(rates, ["l_returnflag", "l_linestatus"], "unit_price",
+                       {"p10_unit_price": P_LOW, "p50_unit_price": P_MEDIAN, "p90_unit_price": P_HIGH},
+                       count_as="items", method="bracket", kll_k=BRACKET.kll_k)
+
+
 @register("group_percentiles_sketch")
 def _q_group_percentiles_sketch(spark, sf_dir):
     rates = _lineitem_rates(spark, sf_dir)
@@ -324,6 +334,21 @@ def _q_regime_dev_exact(spark, sf_dir):
     return reports.regime_deviation_summary(_trips(spark, sf_dir), EXACT)
 
 
+@register("regime_baseline_bracket")
+def _q_regime_baseline_bracket(spark, sf_dir):
+    return reports.regime_baseline(_trips(spark, sf_dir), BRACKET)
+
+
+@register("deviation_by_time_bracket")
+def _q_dev_time_bracket(spark, sf_dir):
+    return reports.deviation_by_time(_trips(spark, sf_dir), BRACKET)
+
+
+@register("decomposition_by_time_bracket")
+def _q_decomp_time_bracket(spark, sf_dir):
+    return reports.decomposition_by_time(_trips(spark, sf_dir), BRACKET)
+
+
 @register("deviation_top_grids")
 def _q_dev_grids(spark, sf_dir):
     return reports.deviation_top_grids(_trips(spark, sf_dir), min_trips=MIN_TRIPS_TEST)

@@ -56,7 +56,7 @@ def test_grid_reports_threshold_and_cut(trips):
     assert reports.toll_heavy_grids(trips).count() == 0  # published threshold of 5000 trips
 
 
-@pytest.mark.parametrize("method", ["kll", "sketch", "exact"])
+@pytest.mark.parametrize("method", ["bracket", "sketch", "exact"])
 def test_runner_equals_single_reports(trips, method):
     """The runner's two-scan plan (GROUPING SETS, masked statistics) equals the single reports."""
     from dataclasses import replace

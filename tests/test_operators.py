@@ -213,7 +213,7 @@ def test_exact_percentiles_split_a_hot_group_across_slices(spark):
         assert got[g]["n"] == len(vs)
 
 
-@pytest.mark.parametrize("method", ["kll", "sketch", "exact"])
+@pytest.mark.parametrize("method", ["bracket", "kll", "sketch", "exact"])
 def test_methods_agree_at_test_scale(spark, method):
     from farewise.operators import group_stats
 
@@ -240,6 +240,52 @@ def test_unknown_percentile_method(spark):
         group_stats(df, ["g"], quantiles={"a": ("v", 0.5)}, method="median-of-medians")
 
 
+def test_bracket_percentiles_are_exact_and_repeatable_beyond_the_sketch(spark):
+    """A hot group far larger than its sketch, ties, a wide range and infinities; every call gives the same."""
+    from farewise.operators import group_stats
+
+    inf = float("inf")
+    rows = [("hot", float((i * 7919) % 20011) / 3.0) for i in range(20000)] + [("tied", 5.0)] * 900 + [("tied", 6.0)] * 100
+    rows += [("wide", x) for x in [-inf] * 40 + [float(i) ** 5 for i in range(300)] + [inf] * 60]
+    rows += [("cold", 1.0), ("cold", 3.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(16)
+    q = {"p01": ("v", 0.01), "p50": ("v", 0.5), "p90": ("v", 0.9), "p100": ("v", 1.0)}
+    calls = [{r.g: r for r in group_stats(df, ["g"], count_as="n", quantiles=q, method="bracket", kll_k=64,
+                                          salts=5).collect()} for _ in range(2)]
+    assert calls[0] == calls[1]
+    for g in ("hot", "tied", "wide", "cold", "none"):
+        vs = [v for k, v in rows if k == g]
+        assert calls[0][g].n == len(vs)
+        for name, (_, p) in q.items():
+            assert calls[0][g][name] == _disc(vs, p), (g, name)
+
+
+def test_bracket_looks_up_missed_ranks_in_the_whole_group(spark, monkeypatch):
+    """Brackets of no width miss their ranks; the answer stays exact."""
+    from farewise.operators import group_stats, quantiles
+
+    monkeypatch.setattr(quantiles, "BRACKET_ERRORS", 0)
+    rows = [(i % 2, float((i * 7919) % 10007)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "g int, v double").repartition(5)
+    got = {r.g: r for r in group_stats(df, ["g"], quantiles={"a": ("v", 0.3), "b": ("v", 0.77)}, method="bracket",
+                                       kll_k=8).collect()}
+    for g in (0, 1):
+        vs = [v for k, v in rows if k == g]
+        assert (got[g].a, got[g].b) == (_disc(vs, 0.3), _disc(vs, 0.77))
+
+
+@pytest.mark.parametrize("method", ["bracket", "kll", "sketch", "exact"])
+def test_nan_takes_no_part_in_percentiles(spark, method):
+    from farewise.operators import group_stats
+
+    rows = [("a", float(i)) for i in range(9)] + [("a", float("nan"))] * 5 + [("b", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    got = {r.g: r for r in group_stats(df, ["g"], count_as="n", quantiles={"m": ("v", 0.5), "h": ("v", 0.9)},
+                                       method=method).collect()}
+    assert (got["a"].n, got["a"].m, got["a"].h) == (14, 4.0, 8.0)
+    assert (got["b"].n, got["b"].m) == (1, None)
+
+
 def test_kll_two_level_merge_with_hot_group(spark):
     from farewise.operators import group_stats
 

@@ -43,7 +43,12 @@ def test_top_k_is_take_ordered(spark, name):
 
 
 def test_percentile_reports_merge_sketches_in_two_levels(spark):
-    plan = _plan(catalog.QUERIES["deviation_by_time"](spark, SF_SMALL))
+    from dataclasses import replace
+
+    from farewise.config import DEFAULT
+
+    cfg = replace(DEFAULT, percentile_method="kll")
+    plan = _plan(R.deviation_by_time(trips_table(spark, SF_SMALL), cfg))
     assert "kll_sketch_agg_double" in plan and "kll_merge_agg_double" in plan
     assert "percentile_approx" not in plan
     assert re.search(r"hashpartitioning\([^)]*_salt", plan)
