@@ -33,9 +33,10 @@ def _all_stars(edges: DataFrame) -> bool:
 def components(edges: DataFrame) -> DataFrame:
     """``node, label`` of every node of ``u, v`` edges (longs); the label is the least node of its component.
 
-    Neighbourhoods are never gathered: the least neighbour is an aggregate joined back to the edges.
+    Neighbourhoods are never gathered: the least neighbour is an aggregate joined back to the edges. ``edges`` is read
+    several times, so pass a written table; edges may repeat, and those from a node to itself are passed over.
     """
-    now = materialize(edges.select("u", "v").filter("u <> v").distinct(), "edges")
+    now = edges.select("u", "v").filter("u <> v")
     while True:
         now = materialize(_small(_large(now)), "stars")
         if _all_stars(now):
@@ -49,10 +50,11 @@ def merge_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
 
     Only the edges between different labels are joined up, not the whole graph again.
     """
-    ends = materialize(edges.select("u", "v"), "more-edges")
+    ends = edges.select("u", "v")
     for end in ("u", "v"):
         ends = ends.join(labels.withColumnsRenamed({"node": end, "label": "_label"}), end, "left") \
             .withColumn(end, F.coalesce("_label", end)).drop("_label")
+    ends = materialize(ends.filter("u <> v").distinct(), "edges")
     moved = components(ends).select(F.col("node").alias("label"), F.col("label").alias("_least"))
     kept = labels.join(moved, "label", "left").select("node", F.coalesce("_least", "label").alias("label"))
     alone = moved.join(labels.select(F.col("node").alias("label")), "label", "left_anti")

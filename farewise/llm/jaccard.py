@@ -9,9 +9,10 @@
    side, in the next one; sets further apart in size cannot link. Within a tile hashed bitmap signatures (one
    bit flipped per shingle) bound the overlap from above: |x & y| <= (|x| + |y| - bits that differ) / 2. A tile passes on a
    spanning forest of the pairs within the bound, never all pairs of a group.
-4. The pairs are decided by exact intersection of the sorted arrays. Where pairs of a forest fail, the tiles are read
-   again for forests between the classes found so far, by other pairs each time, while that links much; at last
-   every pair within the bound whose sets are still in different classes is decided, so no link is lost.
+4. The pairs are decided by exact intersection of the sorted arrays. Where pairs of a forest fail, the tiles of several
+   classes are read again with wider signatures. A tile with few pairs between its classes within the bound passes on
+   all of them, another one a forest between classes, by other pairs each time, while that links much; at last every
+   pair within the bound whose sets are still in different classes is decided, so no link is lost.
 5. Components of the links give each document the least doc_id of its class.
 
 Null and empty texts have no shingles and link with nothing; repeated rows are copies of one another. Two distinct sets share a
@@ -39,12 +40,14 @@ PERCENT = 75
 #: Prefix shingles of more sets than this are common and go last in the order.
 COMMON = 32
 MAX_SIGNATURE_BITS = 4096
-#: Signatures are so many times as wide where all pairs apart are looked at, for a bound close to the overlap itself.
+#: Signatures are so many times as wide after the first forest, for a bound close to the overlap itself.
 LAST_SCALE = 4
 #: Prefix hashes dealt to one range.
 RANGE_HASHES = 4_000_000
 #: Rounds of a spanning forest between classes stop when a round links less than this share of its pairs.
 WORTH_ANOTHER = 0.2
+#: A tile passes on all its pairs between classes while they are at most so many per set, beyond that a forest first.
+FEW_APART = 32
 #: Text scanned at once; the arrays of a scan take some fifty times as much.
 SCAN_BYTES = 1 << 20
 
@@ -298,8 +301,8 @@ class Tile:
                     out.append((i, j))
         return out
 
-    def apart(self) -> list[tuple[int, int]]:
-        """All pairs that may link and bear different labels."""
+    def apart(self, most: int | None = None) -> list[tuple[int, int]] | None:
+        """All pairs that may link and bear different labels, or None if they are more than ``most``."""
         out = []
         if (self.labels == self.labels[0]).all():
             return out
@@ -307,18 +310,24 @@ class Tile:
             rest = np.arange(i + 1, len(self.names))
             hit = self.near(i, rest[self.labels[rest] != self.labels[i]])
             out += [(i, j) for j in hit.tolist()]
+            if most is not None and len(out) > most:
+                return None
         return out
 
 
 def _tile_pairs(tiles: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Distinct pairs ``a, b`` to decide: forests of sets (turn 0), of classes (turn > 0), or all apart (turn < 0)."""
+    """Distinct pairs ``a, b`` to decide: forests of sets (turn 0), all apart, but a forest of classes where those are
+    many (turn > 0), or all apart (turn < 0). A pair of a set with itself marks a tile that may hold more pairs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
             if len(rows) < 2 or not any(r[2] for r in rows):
                 return []
             t = Tile(rows, percent)
-            found = t.forest() if not turn else t.between(turn, joined) if turn > 0 else t.apart()
+            found = t.apart(FEW_APART * len(rows) if turn > 0 else None) if turn else t.forest()
+            if found is None:
+                found = [*t.between(turn, joined), (0, 0)]
             return [(min(a, b), max(a, b)) for i, j in found
                     for a, b in [(int(t.names[i]), int(t.names[j]))]]
 
@@ -395,7 +404,7 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     paired = materialize(listed.join(ends, "name", "left_semi"), "paired")
     # every set that may link with another stands in a pair of a forest: these are all the sets ever compared
     sets = materialize(_of_sets(rows, paired, np.ndarray.tobytes), "sets")
-    labels, decided, turn = None, None, 0
+    labels, decided, wide, turn, more = None, None, None, 0, True
     while True:
         new = materialize(_decide(pairs, sets, percent), "decided")
         decided = new if decided is None else decided.unionAll(new)
@@ -405,17 +414,16 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             labels = materialize(components(good), "labels")
         elif n_good:
             labels = materialize(merge_components(labels, good), "labels")
-        if turn < 0 or n_good == n_all and not turn:
+        if not more or n_good == n_all and not turn:
             break  # all pairs decided, or the first forest holds as it is
         turn = turn + 1 if n_good > WORTH_ANOTHER * n_all else -1
         mixed = materialize(apart(labels), "mixed")
-        if turn > 0:
-            pairs = _tile_pairs(tiles(mixed, signatures), percent, turn)
-        else:
+        if wide is None:
             again = listed.join(mixed.select("name").distinct(), "name", "left_semi")
-            wide = _of_sets(rows, materialize(again, "again"), lambda s: signature(s, LAST_SCALE))
-            pairs = _tile_pairs(tiles(mixed, wide), percent, turn)
-        pairs = materialize(pairs.join(decided.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+            wide = materialize(_of_sets(rows, materialize(again, "again"), lambda s: signature(s, LAST_SCALE)), "wide")
+        found = materialize(_tile_pairs(tiles(mixed, wide), percent, turn), "found")
+        more = not found.filter("a = b").isEmpty()
+        pairs = found.filter("a <> b").join(decided.select("a", "b"), ["a", "b"], "left_anti")
     named = named.join(labels.withColumnsRenamed({"node": "name"}), "name", "left") \
         .withColumn("label", F.coalesce("label", "name"))
     least = named.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
