@@ -379,27 +379,26 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     named = scanned.filter("part = -1").select("doc_id", "n", "name")
     lists = materialize(_lists(rows, bits, percent, cells), "lists")
     firsts = named.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("first"))
-    listed = materialize(firsts.join(lists.select("name").distinct(), "name", "left_semi"), "listed")
-    signatures = materialize(_of_sets(rows, listed, signature), "signatures")
-
     edges = band_edges(percent, max(2, (named.agg(F.max("n")).first()[0] or 0) + 1))
     bounds = F.array(*[F.lit(e).cast("long") for e in edges])
     band = F.size(F.filter(bounds, lambda e: e <= F.col("n")))
 
-    def tiles(listing: DataFrame, signed: DataFrame) -> DataFrame:
-        homes = listing.join(signed.withColumnRenamed("value", "signature"), "name")
-        return homes.withColumn("role", F.explode(F.array(F.lit(0), F.lit(1)))) \
-            .withColumn("band", band + F.col("role")).withColumn("home", F.col("role") == 0)
+    def tiles(labels: DataFrame | None) -> DataFrame:
+        """Rows of the tiles in which sets of different labels may meet (without labels: any two sets), no signatures yet."""
+        named = lists.withColumn("label", F.col("name")) if labels is None else lists.join(
+            labels.withColumnsRenamed({"node": "name"}), "name", "left").withColumn("label", F.coalesce("label", "name"))
+        rows = named.withColumn("role", F.explode(F.array(F.lit(0), F.lit(1)))) \
+            .withColumn("band", band + F.col("role")).withColumn("home", F.col("role") == 0).drop("role")
+        mixed = rows.groupBy("list", "band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("home").alias("h"))
+        return rows.join(mixed.filter("h and x <> y").select("list", "band"), ["list", "band"], "left_semi")
 
-    def apart(labels: DataFrame) -> DataFrame:
-        """Lists whose sets bear different labels."""
-        now = lists.join(labels.withColumnsRenamed({"node": "name"}), "name", "left") \
-            .withColumn("label", F.coalesce("label", "name"))
-        mixed = now.groupBy("list").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y")
-        return now.join(mixed.select("list"), "list", "left_semi")
+    def signed(rows: DataFrame, signatures: DataFrame) -> DataFrame:
+        return rows.join(signatures.withColumnRenamed("value", "signature"), "name")
 
-    first = tiles(lists.withColumn("label", F.lit(0).cast("long")), signatures)
-    pairs = materialize(_tile_pairs(first, percent, 0), "pairs")
+    first = materialize(tiles(None), "tiles")
+    listed = materialize(firsts.join(first.select("name").distinct(), "name", "left_semi"), "listed")
+    signatures = materialize(_of_sets(rows, listed, signature), "signatures")
+    pairs = materialize(_tile_pairs(signed(first, signatures), percent, 0), "pairs")
     ends = pairs.select(F.col("a").alias("name")).unionAll(pairs.select("b")).distinct()
     paired = materialize(listed.join(ends, "name", "left_semi"), "paired")
     # every set that may link with another stands in a pair of a forest: these are all the sets ever compared
@@ -417,11 +416,11 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if not more or n_good == n_all and not turn:
             break  # all pairs decided, or the first forest holds as it is
         turn = turn + 1 if n_good > WORTH_ANOTHER * n_all else -1
-        mixed = materialize(apart(labels), "mixed")
+        mixed = materialize(tiles(labels), "mixed")
         if wide is None:
             again = listed.join(mixed.select("name").distinct(), "name", "left_semi")
             wide = materialize(_of_sets(rows, materialize(again, "again"), lambda s: signature(s, LAST_SCALE)), "wide")
-        found = materialize(_tile_pairs(tiles(mixed, wide), percent, turn), "found")
+        found = materialize(_tile_pairs(signed(mixed, wide), percent, turn), "found")
         more = not found.filter("a = b").isEmpty()
         pairs = found.filter("a <> b").join(decided.select("a", "b"), ["a", "b"], "left_anti")
     named = named.join(labels.withColumnsRenamed({"node": "name"}), "name", "left") \
