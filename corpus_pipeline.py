@@ -57,7 +57,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("toxicity", drop_toxic), ("ngram_jaccard_join", keep_one_of_each), ("suffix_dedup", cut_repeats),
           ("source_mixing", mix), ("packing", pack)]
 
-#: The fitted model, the tokenizer and the hash orders are beyond SQL: see tests/llm/test_pipeline.py.
+#: The fitted model, the tokenizer and the hash orders are beyond SQL: see tests/llm/test_joins_and_repeats.py.
 ORACLE_SQL = None
 
 
