@@ -163,6 +163,27 @@ def test_machine_learns_an_interaction():
     assert np.mean([(a > 0) == (b == 1) for a, b in zip(z, labels[1000:])]) > 0.9
 
 
+def test_machine_learns_an_interaction_with_production_constants():
+    rng = random.Random(5)
+    docs, labels = [], []
+    for _ in range(3000):
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        docs.append({f"w{rng.randrange(300)}q" for _ in range(40)} | ({"insult"} if insult else {"praise"})
+                    | ({"group"} if group else {"object"}))
+        labels.append(int(insult == group))  # no single word says anything
+    m = toxicity.fit(docs[:2000], labels[:2000])
+    index = {int(h): i for i, h in enumerate(m.hashes)}
+    assert {toxicity.term_hashes(w)[0] for w in ("insult", "praise", "group", "object")} <= set(index)
+    z = [m.logit(np.array(sorted({index[h] for w in d for h in toxicity.term_hashes(w) if h in index}), np.int64))
+         for d in docs[2000:]]
+    assert np.mean([(a > 0) == (b == 1) for a, b in zip(z, labels[2000:])]) > 0.9
+
+
+def test_machine_without_telling_terms_has_the_share_of_toxic_rows():
+    m = toxicity.fit([{f"w{i % 7}"} for i in range(140)], [int(i < 70) for i in range(140)])
+    assert not len(m.hashes) and abs(m.logit(np.zeros(0, np.int64))) < 1
+
+
 def test_op3_held_out_accuracy(spark):
     path = "/root/testdata/sf0.1"
     rows = queries.op3_toxicity(spark, path).join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id").collect()
