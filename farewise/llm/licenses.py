@@ -2,7 +2,11 @@
 
 The canonical form lower-cases A-Z, drops copyright lines, turns ASCII punctuation and white space into single
 spaces and writes equivalent spellings one way; its SHA-256 is the digest. A document's whole text is looked up, and
-so is each of its lines that names a licence, since short notices stand on a line of their own.
+so is each of its lines, since short notices stand on a line of their own.
+
+The known texts are those below and ``license_texts/``: whole texts (``index.tsv``: file, id, first words after the
+title) and names (``names.tsv``), from which titles and short notices are made. A text that names its holder anywhere
+but in a copyright line (BSD-3-Clause: "neither the name of ...") is known only with the names in the files.
 
 Null, empty and punctuation-only texts have a null digest and match nothing. Repeated rows give one row each.
 ``known`` may hold several ids of one digest: the smallest is reported.
@@ -10,6 +14,9 @@ Null, empty and punctuation-only texts have a null digest and match nothing. Rep
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +54,10 @@ INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHA
 SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR
 PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH
 THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_ISC = ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies.\n\n" + _ISC_TAIL)
+_0BSD = ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+         "granted.\n\n" + _ISC_TAIL)
 _ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be
 held liable for any damages arising from the use of this software.
 
@@ -61,15 +72,39 @@ not required.
 software.
 
 3. This notice may not be removed or altered from any source distribution."""
+TEXTS = Path(__file__).with_name("license_texts")
+#: Short notices made of each name, and of each id.
+NAME_NOTICES = ["Released under the {}.", "Licensed under the {}.", "This work is licensed under the {}.",
+                "This work is licensed under a {}.", "This project is licensed under the {}.", "License: {}",
+                "Licensed under {}.", "Released under {}."]
+ID_NOTICES = ["SPDX-License-Identifier: {}", "License: {}"]
+
+
+def _rows(name: str) -> list[list[str]]:
+    return [r.split("\t") for r in (TEXTS / name).read_text(encoding="utf-8").splitlines()[1:]]
+
+
+def shipped_texts() -> list[tuple[str, str]]:
+    """(id, text) of the data files: whole texts with and without their titles, and short notices."""
+    names = _rows("names.tsv")
+    found = []
+    for file, license_id, body in _rows("index.tsv"):
+        text = (TEXTS / file).read_text(encoding="utf-8")
+        found.append((license_id, text))
+        if body:
+            rest = text[re.search(r"\s+".join(map(re.escape, body.split())), text).start():]
+            found += [(license_id, rest), *((i, f"{n}\n\n{rest}") for i, n in names if i == license_id and n)]
+    found += [(i, notice.format(n)) for i, n in names if n for notice in NAME_NOTICES]
+    found += [(i, notice.format(i)) for i in dict.fromkeys(i for i, _ in names) for notice in ID_NOTICES]
+    return list(dict.fromkeys(found))
+
+
 KNOWN = [
     ("MIT", "MIT License\n" + _MIT_BODY),
     ("MIT", "The MIT License (MIT)\n" + _MIT_BODY),
     ("MIT", _MIT_BODY),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
-            "hereby granted, provided that the above copyright notice and this permission notice appear in all "
-            "copies.\n\n" + _ISC_TAIL),
-    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
-             "hereby granted.\n\n" + _ISC_TAIL),
+    ("ISC", _ISC),
+    ("0BSD", _0BSD),
     ("Zlib", _ZLIB),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -79,6 +114,11 @@ KNOWN = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("ISC", "ISC License\n" + _ISC),
+    ("ISC", "The ISC License\n" + _ISC),
+    ("0BSD", "BSD Zero Clause License\n" + _0BSD),
+    ("Zlib", "zlib License\n" + _ZLIB),
+    *shipped_texts(),
 ]
 
 
@@ -120,9 +160,7 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None, *, id_col: str
     """
     look = known_digests(known if known is not None else default_known(docs.sparkSession))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    names = F.col("line").rlike("[Ll][Ii][Cc][Ee][Nn]")
-    lines = (rows.filter(F.col("text").rlike("[Ll][Ii][Cc][Ee][Nn]"))
-             .select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter(names)
+    lines = (rows.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter("trim(line) <> ''")
              .select("doc_id", digest(F.col("line")).alias("digest")).filter("digest is not null")
              .join(look, "digest").groupBy("doc_id")
              .agg(F.array_join(F.sort_array(F.collect_set("license_id")), ",").alias("notice_ids")))

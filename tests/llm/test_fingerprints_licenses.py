@@ -93,3 +93,24 @@ def test_license_edge_rows(spark):
     assert [by[i].digest for i in (3, 4, 5)] == [None] * 3
     assert by[6].license_id is None and by[6].notice_ids == "MIT" and by[7].license_id is None
     assert licenses.license_scan(docs.limit(0)).count() == 0
+
+
+def test_whole_texts_and_lines_without_the_word(spark):
+    text = lambda name: (licenses.TEXTS / name).read_text(encoding="utf-8")
+    files = {"Apache-2.0": "Apache-2.0.txt", "BSD-2-Clause": "BSD-2-Clause.txt", "BSD-3-Clause": "BSD-3-Clause.txt",
+             "GPL-2.0": "GPL-2.0.txt", "GPL-3.0": "GPL-3.0.txt", "LGPL-2.1": "LGPL-2.1.txt", "LGPL-3.0": "LGPL-3.0.txt",
+             "MPL-2.0": "MPL-2.0.txt", "Unlicense": "Unlicense.txt", "CC0-1.0": "CC0-1.0.txt", "CC-BY-SA-4.0": "CC-BY-SA-4.0.txt"}
+    rows = [(i, text(f).upper(), n) for i, (n, f) in enumerate(files.items())]
+    gpl = text("GPL-3.0.txt")
+    rows += [(20, gpl[gpl.index("Everyone is permitted"):], "GPL-3.0"),
+             (21, "Copyright 2020 Some One\n\n" + text("Apache-2.0~notice.txt"), "Apache-2.0"),
+             (22, "BSD 2-Clause License\n\nCopyright (c) 2020, Some One\nAll rights reserved.\n\n"
+              + text("BSD-2-Clause.txt").split("\n", 2)[2], "BSD-2-Clause")]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in licenses.license_scan(docs).collect()}
+    assert got == {i: n for i, _, n in rows}
+    lines = spark.createDataFrame([(1, "a\n" + licenses._ISC.replace("\n", " ") + "\nb"), (2, "x\nAll mine, ask me\n")],
+                                  "doc_id long, text string")
+    assert {r.doc_id: r.notice_ids for r in licenses.license_scan(lines).collect()} == {1: "ISC", 2: None}
+    own = spark.createDataFrame([("own", "All mine: ask me!")], "license_id string, text string")
+    assert {r.doc_id: r.notice_ids for r in licenses.license_scan(lines, own).collect()} == {1: None, 2: "own"}
