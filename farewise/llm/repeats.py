@@ -7,7 +7,9 @@
    distinct segments are laid end to end and their suffixes sorted by induction (``suffixes``); windows that agree with
    a neighbour in suffix order over all 200 bytes, compared byte by byte, repeat, and so does every window of a segment
    that stands twice. Shards are read in anchor order and sorted piece by piece, so a task holds a few megabytes of
-   text; Spark's external sort brings the pieces together from disk.
+   text; Spark's external sort brings the pieces together from disk. Anchors of more than ``HEAVY_BYTES`` (a passage
+   that many documents share, each in its own context) are dealt again: their distinct segments are counted, the windows
+   of these are dealt and counted by digest, and positions are joined back to the segments only then.
 4. Repeating windows are joined into ranges of bytes per document and cut out.
 
 Matches never cross documents; null and empty texts have no bytes; texts under 200 bytes lose nothing. Repeated rows
@@ -35,8 +37,12 @@ LENGTH = 200
 GRAM = 50
 #: Anchors counted in one task, on average.
 RANGE_ANCHORS = 500_000
-#: Text laid end to end for one sort; whole anchors, so a single anchor's segments may exceed it.
+#: Text laid end to end for one sort, but for the last anchor's.
 SHARD_BYTES = 1 << 19
+#: Anchors whose segments and positions take more are dealt by windows.
+HEAVY_BYTES = SHARD_BYTES
+#: Windows that stand in more distinct segments are joined by broadcast: at most one in so many windows.
+COMMON_WINDOWS = 10_000
 #: Text scanned at once; the arrays of a scan take about a hundred times as much.
 SCAN_BYTES = 1 << 19
 #: Long texts are scanned in pieces of this many window starts.
@@ -241,6 +247,61 @@ def _windows(segments: DataFrame, length: int) -> DataFrame:
         .mapInArrow(run, "key long, lo long, hi long")
 
 
+def heavy_anchors(segments: DataFrame, heavy_bytes: int) -> DataFrame:
+    """``anchor`` of those whose segments and positions take more than ``heavy_bytes``."""
+    size = F.octet_length("segment") + F.size("keys") * 16
+    return segments.groupBy("anchor").agg(F.sum(size).alias("n")).filter(F.col("n") > heavy_bytes).select("anchor")
+
+
+def _dealt_windows(segments: DataFrame, length: int) -> DataFrame:
+    """The same as ``_windows``, dealt by windows instead of anchors; equal SHA-256 digests count as equal bytes."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                out: tuple[list, list, list] = ([], [], [])
+                for i, x in zip(part.column("id").to_pylist(), part.column("segment").to_pylist()):
+                    for at in range(len(x) - length + 1):
+                        out[0].append(i)
+                        out[1].append(at)
+                        out[2].append(hashlib.sha256(x[at:at + length]).digest())
+                yield pa.record_batch({"id": pa.array(out[0], pa.int64()), "at": pa.array(out[1], pa.int32()),
+                                       "window": pa.array(out[2], pa.binary())})
+
+    def hit_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = []
+            for ats in batch.column("ats").to_pylist():
+                at = np.array(ats, np.int64)
+                lo, hi = join_ranges(at, at + length)
+                spans.append([{"a": a, "b": b} for a, b in zip(lo.tolist(), hi.tolist())])
+            yield pa.record_batch({"id": batch.column("id"), "hits": pa.array(
+                spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))})
+
+    named = segments.withColumn("segment_sha", F.sha2("segment", 256))
+    distinct = named.groupBy("segment_sha").agg(F.first("segment").alias("segment"), F.sum(F.size("keys")).alias("copies"))
+    distinct = materialize(distinct.withColumn("id", F.monotonically_increasing_id()), "heavy-segments")
+    windows = materialize(distinct.select("id", "segment").mapInArrow(cut, "id long, at int, window binary"),
+                          "heavy-windows")
+    counts = materialize(windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1"), "heavy-counts")
+    common = F.broadcast(counts.filter(F.col("n") > COMMON_WINDOWS).select("window"))
+    rest = windows.join(common, "window", "left_anti") \
+        .join(counts.filter(F.col("n") <= COMMON_WINDOWS).select("window"), "window")
+    found = rest.unionByName(windows.join(common, "window")).join(
+        distinct.filter("copies > 1").select("id"), "id", "left_anti")
+    hits = found.groupBy("id").agg(F.collect_list("at").alias("ats")) \
+        .mapInArrow(hit_ranges, "id long, hits array<struct<a: long, b: long>>")
+    part = distinct.select("id", "segment_sha").join(hits, "id").select("segment_sha", "hits")
+    whole = distinct.filter("copies > 1").select("segment_sha", F.array(F.struct(
+        F.lit(0).cast("long").alias("a"), F.octet_length("segment").cast("long").alias("b"))).alias("hits"))
+    placed = named.select("segment_sha", "keys", "starts").join(part.unionByName(whole), "segment_sha")
+    return placed.select("hits", F.explode(F.arrays_zip("keys", "starts")).alias("place")) \
+        .select("place", F.explode("hits").alias("hit")) \
+        .select(F.col("place.keys").alias("key"), (F.col("place.starts") + F.col("hit.a")).alias("lo"),
+                (F.col("place.starts") + F.col("hit.b")).alias("hi"))
+
+
 def join_ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal ranges of a union of ranges."""
     order = np.argsort(lo, kind="stable")
@@ -255,7 +316,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-                 gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+                 gram: int = GRAM, heavy_bytes: int = HEAVY_BYTES) -> tuple[DataFrame, DataFrame]:
     """(every row's ``doc_id, key, digest, n_bytes, whole``, the ranges ``key, spans`` of the rows not ``whole``).
 
     ``whole`` marks rows removed in full as copies of one another. ``docs`` is read several times, so pass a table.
@@ -274,7 +335,13 @@ def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     single = drop_keys(long, materialize(spare, "spare"), "key")
     anchors = materialize(_repeated_anchors(single, bits, length, gram), "anchors")
     touched = keep_keys(long, anchors.select("key"), "key").join(anchors, "key")
-    ranges = _windows(_segments(touched, bits, length, gram), length)
+    segments = materialize(_segments(touched, bits, length, gram), "segments")
+    heavy = materialize(heavy_anchors(segments, heavy_bytes), "heavy")
+    if heavy.isEmpty():
+        ranges = _windows(segments, length)
+    else:
+        ranges = _windows(segments.join(heavy, "anchor", "left_anti"), length) \
+            .unionByName(_dealt_windows(segments.join(heavy, "anchor", "left_semi"), length))
     spans = ranges.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     return named, materialize(spans, "spans")
 
@@ -304,9 +371,9 @@ def cut_texts(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-                   gram: int = GRAM) -> DataFrame:
+                   gram: int = GRAM, heavy_bytes: int = HEAVY_BYTES) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row."""
-    named, spans = find_repeats(docs, id_col=id_col, text_col=text_col, length=length, gram=gram)
+    named, spans = find_repeats(docs, id_col=id_col, text_col=text_col, length=length, gram=gram, heavy_bytes=heavy_bytes)
     whole = named.select("key").where("whole").distinct()
     cut = cut_texts(docs, spans.join(whole, "key", "left_anti"), id_col=id_col, text_col=text_col).drop("kept")
     out = named.join(cut.dropDuplicates(["key"]), "key", "left")

@@ -140,6 +140,25 @@ def test_repeats_edge_rows(spark):
     assert {r.text for r in cut.collect() if r.doc_id in (3, 8)} == {"", "short"}
 
 
+def test_heavy_anchors_are_dealt_by_windows(spark, monkeypatch):
+    rng = random.Random(11)
+    passage = "".join(rng.choices("abcdefgh", k=60))
+    rows = [(i, "".join(rng.choices("abcdefgh", k=rng.randint(0, 40))) + passage[:rng.randint(30, 60)]
+             + "".join(rng.choices("abcdefgh", k=rng.randint(0, 40)))) for i in range(250)]
+    rows += [(i, "zz" * 30 + passage * 2) for i in (900, 901)] + [(910, "ab" * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_repeats(rows, 24)
+    for heavy in (0, 2000, 1 << 40):  # every anchor, those of the passage, none
+        got = repeats.remove_repeats(df, length=24, gram=8, heavy_bytes=heavy).collect()
+        assert sorted([tuple(r) for r in got], key=str) == want
+    sorted_at_once = []
+    plain = repeats._windows
+    monkeypatch.setattr(repeats, "_windows", lambda s, n: sorted_at_once.append(s) or plain(s, n))
+    repeats.remove_repeats(df, length=24, gram=8, heavy_bytes=2000).collect()
+    size = F.sum(F.octet_length("segment") + F.size("keys") * 16)
+    assert all(r.n <= 2000 for r in sorted_at_once[0].groupBy("anchor").agg(size.alias("n")).collect())
+
+
 # -- toxicity ------------------------------------------------------------------------------------------------------
 
 def test_machine_learns_an_interaction():
