@@ -74,3 +74,9 @@ def test_forest_same_seed_same_result_and_beats_linear_on_nonlinear_fare(spark):
     assert m1 == m2
     lin, rf = m1[ml.METRIC_NAMES[ml.PRED0]], m1[ml.METRIC_NAMES[ml.PRED1]]
     assert rf.MAE < lin.MAE and rf.RMSE < lin.RMSE
+
+
+def test_registered_forest_has_the_published_size():
+    from farewise.plans import catalog
+
+    assert catalog.FOREST_TEST["num_trees"] == 200 and catalog.FOREST_TEST["max_depth"] == 30
