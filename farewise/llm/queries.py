@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farewise.llm import fingerprints, jaccard, licenses, mixing, packing, repeats, token_counts, token_files, topk, toxicity, words
+from farewise.llm import (alignment, fingerprints, jaccard, licenses, mixing, packing, ranked, repeats, simhash, token_counts,
+                          token_files, topk, toxicity, words)
 from farewise.llm.common import table
 from farewise.session import materialize, scratch_path
 
@@ -59,9 +60,24 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"), words.tokenizer_path("byte_bpe_50k.json"),
+                                     words.tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_counts, op2_maxscore, op3_toxicity, op4_jaccard_join, op5_packing, op6_mixing,
-                                  op7_fingerprints, op8_repeats, op9_token_files, op10_license_scan)}
+                                  op7_fingerprints, op8_repeats, op9_token_files, op10_license_scan, op11_ranked_search,
+                                  op12_simhash, op13_alignment)}
 
 #: DuckDB statements of the queries that SQL can express.
-ORACLE: dict[str, str] = {"op2_maxscore": topk.ORACLE, "op10_license_scan": licenses.oracle()}
+ORACLE: dict[str, str] = {"op2_maxscore": topk.ORACLE, "op10_license_scan": licenses.oracle(),
+                          "op11_ranked_search": ranked.ORACLE}
