@@ -4,10 +4,9 @@
    documents bear it; its multiplicity weighs its pair counts.
 2. Both tokenizers see the text with one leading space (B adds it itself). Where both have a token that ends at the same byte,
    the text is cut into groups, and the two tokens that end there are linked. Tokens are never empty, so a group has one link.
-3. A text is cut into pieces before each space that follows other text and is not the last character. A's pre-tokenizer
-   ends a match there (``words`` states why); B has no piece with a space mark after other text (tested when the file is loaded), so its
-   merges never reach across. Both have a token end at each cut: the groups of the text are those of its pieces, and pieces repeat, so each is
-   aligned once per worker and remembered in a bounded table that keeps what is in use.
+   A slice of texts is aligned at once: its tokens' ends are running sums over both id arrays, its common ends a look-up.
+3. A text of more than ``SEGMENT_CHARS`` is given to B in segments that start at a space after other text, so that B never
+   holds more: B has no piece with a space mark after other text (tested when the file is loaded), so its merges never reach across.
 4. Tasks sum their pair counts, weighted; Spark sums them over tasks. Two tokens that end together have one's bytes at the
    end of the other's, so there are at most as many pairs as the two vocabularies have bytes (times the ids that share their bytes):
    this table, whose size does not depend on the corpus, goes to all tasks.
@@ -35,129 +34,139 @@ from farewise.llm import words
 from farewise.llm.common import id_text, text_slices
 from farewise.session import materialize
 
-#: Pieces remembered per Python worker, twice over (about 400 bytes each); longer pieces are aligned anew each time.
-CACHE_PIECES = 120_000
-CACHE_CHARS = 64
+#: Pieces that A's encoder remembers per Python worker.
+CACHE_PIECES = 300_000
+#: Characters of a text given to B at once (and the rest up to the next cut).
+SEGMENT_CHARS = 32_768
+#: Text aligned at once; the arrays of a slice take some eighty times as much.
+SLICE_BYTES = 1 << 20
 #: Entries of a task's pair counts held before they are summed.
-HELD_PAIRS = 4_000_000
-MARK = "▁"
+HELD_PAIRS = 1_000_000
+MARK = "\u2581"
 
-_CUT = re.compile(r"(?<=\S)(?= .)", re.DOTALL)
+_CUT = re.compile(r"(?<=[^\s\u2581]) (?=.)", re.DOTALL)
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
-def token_bytes_a(path: str) -> list[bytes]:
-    """Bytes of each id of a byte-level vocabulary."""
+class Vocabulary:
+    """Bytes of the ids of a tokenizer, one after another."""
+
+    def __init__(self, tokens: list[bytes]):
+        if not all(tokens):
+            raise ValueError("a vocabulary holds an empty token")
+        self.tokens = tokens
+        self.size = np.array([len(t) for t in tokens], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        n = self.size[ids]
+        return self.bytes[np.repeat(self.start[ids] - np.cumsum(n) + n, n) + np.arange(n.sum())].tobytes()
+
+
+def vocabulary_a(path: str) -> Vocabulary:
+    """A byte-level vocabulary; other entries are written as they are."""
     tok, symbols = words.load(path), words.byte_symbols()
     out = [b""] * tok.get_vocab_size(with_added_tokens=True)
     for token, i in tok.get_vocab(with_added_tokens=True).items():
         out[i] = bytes(symbols[c] for c in token) if all(c in symbols for c in token) else token.encode()
-    return out
+    return Vocabulary(out)
 
 
-def token_bytes_b(model) -> list[bytes]:
-    """Bytes of each id of a piece vocabulary: U+2581 is a space, <0xHH> a byte."""
+def vocabulary_b(model) -> Vocabulary:
+    """A piece vocabulary: U+2581 is a space, <0xHH> a byte."""
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-    return [bytes([int(m[1], 16)]) if (m := _BYTE.fullmatch(p)) else p.replace(MARK, " ").encode() for p in pieces]
-
-
-def aligned(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> tuple[list[str], list[int]]:
-    """The groups of two token sequences of equal bytes as text, and per group the linked ids as ``a << 32 | b``."""
-    groups, links = [], []
-    i = j = start_a = start_b = 0
-    end_a, end_b = size_a[a[0]], size_b[b[0]]
-    while True:
-        if end_a < end_b:
-            i += 1
-            end_a += size_a[a[i]]
-        elif end_b < end_a:
-            j += 1
-            end_b += size_b[b[j]]
-        else:
-            groups.append(",".join(map(str, a[start_a:i + 1])) + "|" + ",".join(map(str, b[start_b:j + 1])))
-            links.append(a[i] << 32 | b[j])
-            i, j = i + 1, j + 1
-            if i == len(a):
-                return groups, links
-            start_a, start_b = i, j
-            end_a += size_a[a[i]]
-            end_b += size_b[b[j]]
+    return Vocabulary([bytes([int(m[1], 16)]) if (m := _BYTE.fullmatch(p)) else p.replace(MARK, " ").encode() for p in pieces])
+
+
+def group_texts(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``a1,a2|b1;a3|b2,b3;`` as bytes from ids and the marks of each group's last tokens; and where each token of B ends."""
+    group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+    before_a, before_b = (np.append(0, np.flatnonzero(x) + 1) for x in (last_a, last_b))
+    slot_a, slot_b = np.arange(len(a)) + before_b[group_a], np.arange(len(b)) + before_a[group_b + 1]
+    ids, mark = np.empty(len(a) + len(b), np.int64), np.empty(len(a) + len(b), np.uint8)
+    ids[slot_a], ids[slot_b] = a, b
+    mark[slot_a], mark[slot_b] = np.where(last_a, ord("|"), ord(",")), np.where(last_b, ord(";"), ord(","))
+    digits, most = np.ones(len(ids), np.int64), int(ids.max())
+    power = 10
+    while power <= most:
+        digits += ids >= power
+        power *= 10
+    ends = np.cumsum(digits + 1)
+    out = np.empty(ends[-1], np.uint8)
+    out[ends - 1] = mark
+    at, left = ends - 2, ids
+    while len(at):
+        out[at] = 48 + left % 10
+        left = left // 10
+        more = left > 0
+        at, left = at[more] - 1, left[more]
+    return out, ends[slot_b]
 
 
 class Aligner:
     """Groups and links of whole texts under two tokenizer files."""
 
-    def __init__(self, path_a: str, path_b: str, cache_pieces: int = CACHE_PIECES):
+    def __init__(self, path_a: str, path_b: str, cache_pieces: int = CACHE_PIECES, segment_chars: int = SEGMENT_CHARS):
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self.a = words.PieceEncoder(path_a, cache_pieces)
+        self.enc = words.PieceEncoder(path_a, cache_pieces)
         plain = Tokenizer.from_file(path_a)
         plain.no_truncation()
         plain.no_padding()
         plain.encode_special_tokens = True  # their strings are ordinary text
-        self.a.tok = plain
-        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.bytes_a, self.bytes_b = token_bytes_a(path_a), token_bytes_b(self.b)
-        if not all(self.bytes_a) or not all(self.bytes_b):
-            raise ValueError("a vocabulary holds an empty token")
-        self.size_a, self.size_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
-        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        inner = any(MARK in p.lstrip(MARK) for p in pieces)
-        self.cuts = self.a.mode == "byte" and not inner and self.b.encode("") == [] \
-            and self.b.encode(["x  y z"]) == [self.b.encode("x") + self.b.encode(" y") + self.b.encode("z")]
-        self.cap = cache_pieces
-        self.young: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
-
-    def pieces(self, spaced: str) -> list[str]:
-        """Cuts of a text that starts with its added space; every piece starts with a space."""
-        if not self.cuts or words._ODD.search(spaced) or MARK in spaced:
-            return [spaced]
-        return _CUT.split(spaced)
-
-    def _align_all(self, pieces: list[str]) -> list[tuple | None]:
-        """(tokens of A, of B, groups, packed links) of each piece; None where the joined tokens are not the piece."""
-        out = []
-        kind = self.a.dtype
-        for piece, raw, b in zip(pieces, self.a.encode(pieces), self.b.encode([p[1:] for p in pieces], num_threads=1)):
-            a, whole = np.frombuffer(raw, kind).tolist(), piece.encode()
-            if b"".join([self.bytes_a[i] for i in a]) != whole or b"".join([self.bytes_b[i] for i in b]) != whole:
-                out.append(None)
-                continue
-            groups, links = aligned(a, b, self.size_a, self.size_b)
-            out.append((len(a), len(b), ";".join(groups), np.array(links, "<u8").tobytes()))
-        return out
-
-    def align(self, texts: list[str]) -> list[tuple[int, int, str, bytes]]:
-        """(tokens of A, of B, groups, packed links) of each text; (0, 0, '', b'') for a text without tokens."""
-        cut = [self.pieces(" " + text) if text else [] for text in texts]
-        missing = {p for pieces in cut for p in pieces} - self.young.keys()
-        if len(self.young) + len(missing) > self.cap:
-            self.old, self.young = self.young, {}
-            missing = {p for pieces in cut for p in pieces}
-        young, old, new, once = self.young, self.old, [], {}
-        for p in missing:
-            if p in old:
-                young[p] = old[p]
-            else:
-                new.append(p)
-        for lo in range(0, len(new), 4096):
-            some = new[lo:lo + 4096]
-            for p, made in zip(some, self._align_all(some)):
-                (young if len(p) <= CACHE_CHARS else once)[p] = made
-        known = young | once if once else young
-        out = []
-        for text, pieces in zip(texts, cut):
-            parts = [known[p] for p in pieces]
-            if None in parts and len(parts) > 1:
-                parts = self._align_all([" " + text])
-            if not parts or None in parts:
-                out.append((0, 0, "", b""))
-                continue
-            n_a, n_b, groups, links = zip(*parts)
-            out.append((sum(n_a), sum(n_b), ";".join(groups), b"".join(links)))
-        return out
+        self.enc.tok = plain
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        self.a, self.b = vocabulary_a(path_a), vocabulary_b(self.model)
+        self.segment = segment_chars
+        inner = any(b" " in t.lstrip(b" ") for t in self.b.tokens)
+        self.cuts = not inner and self.model.encode("x  y z") == [i for t in ("x", " y", "z") for i in self.model.encode(t)]
+
+    def segments(self, text: str) -> list[str]:
+        """Parts of a text between spaces that B's merges do not cross; the spaces are those B puts before each part."""
+        out, lo = [], 0
+        while self.cuts and len(text) - lo > self.segment and (cut := _CUT.search(text, lo + self.segment)):
+            out.append(text[lo:cut.start()])
+            lo = cut.end()
+        return [*out, text[lo:]]
+
+    def _ids_b(self, texts: list[str]) -> list[np.ndarray]:
+        parts = [self.segments(t) for t in texts]
+        flat = [p for some in parts for p in some]
+        made: list[np.ndarray] = []
+        for lo in range(0, len(flat), 64):
+            made += [np.array(x, np.int64) for x in self.model.encode(flat[lo:lo + 64], num_threads=1)]
+        ids = iter(made)
+        return [np.concatenate([next(ids) for _ in some]) for some in parts]
+
+    def align(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """Per text its tokens of A, of B and groups, and the digest of its groups; all links in order as ``a << 32 | b``."""
+        counts, digests = np.zeros((len(texts), 3), np.int64), [""] * len(texts)
+        live = [i for i, t in enumerate(texts) if t]
+        ids_a = [np.frombuffer(x, self.enc.dtype).astype(np.int64) for x in self.enc.encode([" " + texts[i] for i in live])]
+        kept, all_a, all_b = [], [], []
+        for i, a, b in zip(live, ids_a, self._ids_b([texts[i] for i in live])):
+            whole = (" " + texts[i]).encode()
+            if self.a.joined(a) == whole and self.b.joined(b) == whole:
+                kept.append(i)
+                all_a.append(a)
+                all_b.append(b)
+        if not kept:
+            return counts, digests, np.zeros(0, np.uint64)
+        counts[kept, 0], counts[kept, 1] = [len(a) for a in all_a], [len(b) for b in all_b]
+        a, b = np.concatenate(all_a), np.concatenate(all_b)
+        end_a, end_b = np.cumsum(self.a.size[a]), np.cumsum(self.b.size[b])
+        ends = np.zeros((2, end_a[-1] + 1), bool)
+        ends[0, end_a] = ends[1, end_b] = True
+        last_a, last_b = ends[1, end_a], ends[0, end_b]
+        counts[kept, 2] = np.add.reduceat(last_a, np.append(0, np.cumsum(counts[kept, 0])[:-1]), dtype=np.int64)
+        written, stops = group_texts(a, b, last_a, last_b)
+        lo, view = 0, memoryview(written)
+        for i, hi in zip(kept, stops[np.cumsum(counts[kept, 1]) - 1].tolist()):
+            digests[i] = hashlib.sha256(view[lo:hi - 1]).hexdigest()
+            lo = hi
+        return counts, digests, a[last_a].astype(np.uint64) << np.uint64(32) | b[last_b].astype(np.uint64)
 
 
 @lru_cache(maxsize=1)
@@ -194,17 +203,15 @@ def _align_texts(texts: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, pairs = aligner(path_a, path_b), PairCounts()
-        for batch in text_slices(batches):
-            made = both.align(batch.column("text").to_pylist())
-            sizes = np.array([len(m[3]) // 8 for m in made], np.int64)
-            pairs.add(np.frombuffer(b"".join([m[3] for m in made]), np.uint64),
-                      np.repeat(batch.column("copies").to_numpy(), sizes))
-            digests = [hashlib.sha256(m[2].encode()).hexdigest() if m[0] else "" for m in made]
+        for batch in text_slices(batches, limit=SLICE_BYTES):
+            counts, digests, links = both.align(batch.column("text").to_pylist())
+            pairs.add(links, np.repeat(batch.column("copies").to_numpy(), counts[:, 2]))
+            stops = np.cumsum(counts[:, 2]).tolist()
+            packed = [links[lo:hi].tobytes() for lo, hi in zip([0, *stops], stops)]
             yield pa.record_batch({
-                "text_key": batch.column("text_key"), "n_a": pa.array([m[0] for m in made], pa.int64()),
-                "n_b": pa.array([m[1] for m in made], pa.int64()), "n_groups": pa.array(sizes),
-                "groups_sha256": pa.array(digests, pa.string()),
-                "links": pa.array([m[3] for m in made], pa.binary()), "counts": pa.nulls(len(made), pa.binary())})
+                "text_key": batch.column("text_key"), **{c: pa.array(counts[:, j]) for j, c in enumerate(("n_a", "n_b", "n_groups"))},
+                "groups_sha256": pa.array(digests, pa.string()), "links": pa.array(packed, pa.binary()),
+                "counts": pa.nulls(len(packed), pa.binary())})
         keys, sums = pairs.total()
         if len(keys):
             yield pa.record_batch({
