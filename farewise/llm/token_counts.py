@@ -34,6 +34,9 @@ TOKEN_LIMIT = 2048
 #: After white space that no tokenizer drops half of, before other text: cuts of either set of rules.
 _STABLE = {"spaced": re.compile(r"(?<=[ \n\t])(?=\S)"), "byte": re.compile(r"(?<=\S)(?= \S)")}
 
+#: Special strings, and characters that are white space to one library only: their offsets are not trusted.
+_ODD = re.compile("<\\||[\x00\x1c-\x1f\x85\u180e]")
+
 
 class Chunks:
     """Overlapping chunks of one text and the splices between them."""
@@ -103,7 +106,7 @@ def count_text(path: str, text: str, huge: int = HUGE_CHARS, chunk: int = CHUNK_
                overlap: int = OVERLAP_CHARS) -> int:
     """Tokens of one text."""
     enc = words.encoder(path)
-    if len(text) <= huge or enc.mode == "whole" or "<|" in text or words._ODD.search(text):
+    if len(text) <= huge or enc.mode == "whole" or _ODD.search(text):
         return len(enc.encode([text])[0]) // enc.dtype.itemsize
     return sum(len(part) for part in Chunks(enc.tok, enc.mode, text, chunk, overlap).ids())
 
