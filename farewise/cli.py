@@ -133,7 +133,7 @@ def main(argv=None) -> None:
     p.add_argument("--out", required=True)
     p.add_argument("--only", nargs="*")
     p.add_argument("--min-trips", type=int, default=MIN_GROUP_TRIPS)
-    p.add_argument("--percentiles", choices=["bracket", "kll", "sketch", "exact"], default=DEFAULT.percentile_method)
+    p.add_argument("--percentiles", choices=["digits", "bracket", "kll", "sketch", "exact"], default=DEFAULT.percentile_method)
     p.add_argument("--accuracy", type=int, default=DEFAULT.percentile_accuracy, help="percentile_approx accuracy")
     p.add_argument("--kll-k", type=int, default=DEFAULT.kll_k, help="KLL sketch size (8..65535)")
     p = sub.add_parser("ml-prepare")

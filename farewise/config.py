@@ -55,20 +55,15 @@ LINEAR_REPORT_NAME = "Distance-only"
 FOREST_REPORT_NAME = "Context-aware RF"
 # --- end of fixed values ---
 
-# Percentiles (see operators/quantiles.py): "bracket" (exact and repeatable at any size: sketches give
-# brackets, a second scan ranks the values inside), "kll" (the sketches alone, one scan; exact below ~k rows
+# Percentiles (see operators/quantiles.py): "digits" (exact and repeatable at any size: three scans of hash aggregates
+# select the value digit by digit), "bracket" (the same result in two scans with sketches), "kll" (the sketches alone, one scan; exact below ~k rows
 # per group, random beyond), "sketch" (percentile_approx; exact below ~accuracy / 2 rows) or "exact"
 # (distributed rank selection over all distinct values).
 # A KLL buffer holds about k doubles: k = 16384 is ~128 KB per group buffer, with rank error of order 1e-4.
-PERCENTILE_METHOD = "bracket"
+PERCENTILE_METHOD = "digits"
 KLL_K = 16384
 PERCENTILE_ACCURACY = 1_000_000
 
-# Money and distance carry at most 4 decimals; they are aggregated as whole
-# units of 1e-4 in a long (exact, independent of summation order, primitive
-# arithmetic; a long holds sums up to 9.2e14 currency units / miles).
-MEASURE_SCALE = 10_000
-
 
 @dataclass(frozen=True)
 class TripColumns:

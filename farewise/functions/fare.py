@@ -1,4 +1,4 @@
-"""Fare arithmetic: ratios, component sums, code decoding, regimes, exact measures."""
+"""Fare arithmetic: ratios, component sums, code decoding, regimes."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from farewise.config import MEASURE_SCALE
-
 
 def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -54,30 +52,3 @@ def bucketize(col: str | Column, edges: Sequence[float], labels: Sequence[str])
     for edge, label in zip(edges[1:], labels[1:-1]):
         expr = expr.when(c <= F.lit(edge), F.lit(label))
     return expr.otherwise(F.lit(labels[-1]))
-
-
-def measure(col: str | Column) -> Column:
-    """A money / distance column as whole units of 1 / MEASURE_SCALE (bigint); null for NaN and infinities."""
-    return F.round(F.when(_finite(col), _c(col)) * F.lit(float(MEASURE_SCALE))).cast("long")
-
-
-def _finite(col: str | Column) -> Column:
-    return F.abs(_c(col).cast("double")) < F.lit(float("inf"))
-
-
-def _unless_odd(col: str | Column, exact: Column, plain: Column) -> Column:
-    """The exact statistic, or what plain doubles give where a group holds NaN or infinities."""
-    return F.when(F.max(~_finite(col)), plain).otherwise(exact)
-
-
-def round_measure_sum(col: str | Column, digits: int = 2) -> Column:
-    """Exact sum of a measure, rounded HALF_UP."""
-    exact = F.round(F.try_divide(F.sum(measure(col)), F.lit(float(MEASURE_SCALE))), digits)
-    return _unless_odd(col, exact, F.sum(_c(col).cast("double")))
-
-
-def round_measure_avg(col: str | Column, digits: int = 2) -> Column:
-    """Mean of a measure from its exact sum and count, rounded HALF_UP."""
-    units = measure(col)
-    exact = F.round(F.try_divide(F.try_divide(F.sum(units), F.count(units)), F.lit(float(MEASURE_SCALE))), digits)
-    return _unless_odd(col, exact, F.avg(_c(col).cast("double")))

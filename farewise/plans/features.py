@@ -11,6 +11,7 @@ from farewise.functions import (
 )
 from farewise.operators import clean, group_stats, with_group_stat
 from farewise.operators.profiles import FARE_PER_MILE
+from farewise.session import materialize
 
 REGIME = "distance_regime"
 HOUR = "pickup_hour"
@@ -71,7 +72,8 @@ def with_baseline_deviation(df: DataFrame, cfg: FareConfig = DEFAULT, baseline:
     shuffled for the join.
     """
     c = cfg.cols
-    stats = regime_rate_baseline(df, cfg) if baseline is None else baseline.select(REGIME, MEDIAN_RATE)
+    # written: the statistics of the result scan the trips more than once, and would derive the baseline each time
+    stats = materialize(regime_rate_baseline(df, cfg), "baseline") if baseline is None else baseline.select(REGIME, MEDIAN_RATE)
     joined = with_group_stat(df, stats, [REGIME], max_groups=len(cfg.regime_labels))
     expected = F.col(c.distance) * F.col(MEDIAN_RATE)
     return joined.withColumn("expected_fare_baseline", expected).withColumns({

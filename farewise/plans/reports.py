@@ -10,9 +10,9 @@ Each report is three parts:
 
 A single report computes its statistics with ``group_stats``; the runner
 (``plans.runner``) computes the statistics of every report of a profile in
-one GROUPING SETS pass over one scan. Money and distance are aggregated as
-exact 1e-4 units in a long (independent of partitioning); durations from
-whole seconds.
+one GROUPING SETS pass over one scan. Money and distance are summed exactly
+(``functions.exact_sum``: independent of partitioning; NaN and infinities come out
+as a plain sum gives them); durations from whole seconds.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farewise.config import (
-    DEFAULT, MEASURE_SCALE, MIN_GROUP_TRIPS, P_HIGH, P_LOW, P_MEDIAN, PAYMENT_LABELS, PAYMENT_OTHER,
+    DEFAULT, MIN_GROUP_TRIPS, P_HIGH, P_LOW, P_MEDIAN, PAYMENT_LABELS, PAYMENT_OTHER,
     TOP_DEVIATION_GRIDS, TOP_PICKUP_GRIDS, TOP_TOLL_GRIDS, FareConfig,
 )
-from farewise.functions import decode, duration_seconds, grid_bin, measure, within_bbox
+from farewise.functions import decode, duration_seconds, grid_bin, within_bbox
 from farewise.operators import group_stats, group_stats_sets, top_k
 from farewise.operators import within_bbox as keep_within_bbox
 from farewise.plans.features import (
@@ -42,7 +42,7 @@ CELL_KEYS = (REGIME, LAT_BIN, LON_BIN)
 # ---------------------------------------------------------------- profile frames
 
 def analytics_frame(trips: DataFrame, cfg: FareConfig = DEFAULT, mapping: Mapping | None = None) -> DataFrame:
-    """Analytics profile with hour, weekend, payment label, measure units, and grid
+    """Analytics profile with hour, weekend, payment label, measures, and grid
     cells of pickups inside the bounding box (null outside)."""
     c = cfg.cols
     inside = within_bbox(c.pickup_lat, c.pickup_lon, cfg.bbox_lat, cfg.bbox_lon)
@@ -51,10 +51,10 @@ def analytics_frame(trips: DataFrame, cfg: FareConfig = DEFAULT, mapping: Mappin
         decode(c.payment, PAYMENT_LABELS if mapping is None else mapping, PAYMENT_OTHER).alias(PAYMENT),
         F.when(inside, grid_bin(c.pickup_lat, cfg.grid_digits)).alias(LAT_BIN),
         F.when(inside, grid_bin(c.pickup_lon, cfg.grid_digits)).alias(LON_BIN),
-        measure(c.distance).alias("_u_dist"),
+        F.col(c.distance).alias("_dist"),
         duration_seconds(c.pickup_ts, c.dropoff_ts).alias("_secs"),
-        measure(c.total).alias("_u_total"),
-        measure(c.tip).alias("_u_tip"),
+        F.col(c.total).alias("_total"),
+        F.col(c.tip).alias("_tip"),
     )
 
 
@@ -78,33 +78,29 @@ FRAMES: dict[str, Callable[..., DataFrame]] = {
 
 # ---------------------------------------------------------------- finishing projections
 
-def _money(col: str, digits: int = 2):
-    return F.round(F.try_divide(F.col(col), F.lit(float(MEASURE_SCALE))), digits)
-
-
 def _hourly(st: DataFrame, cfg: FareConfig) -> DataFrame:
     return st.select(
         HOUR, F.col("trips").alias("total_trips"),
-        _money("_mean_dist").alias("avg_trip_distance_miles"),
+        F.round("_mean_dist", 2).alias("avg_trip_distance_miles"),
         F.round(F.col("_mean_secs") / F.lit(60.0), 2).alias("avg_trip_duration_mins"),
-        _money("_sum_total").alias("total_revenue_usd"),
+        F.round("_sum_total", 2).alias("total_revenue_usd"),
     ).orderBy(HOUR)
 
 
 def _weekend(st: DataFrame, cfg: FareConfig) -> DataFrame:
-    return st.select(WEEKEND, HOUR, "trips", _money("_mean_total").alias("avg_total_amount_usd")) \
+    return st.select(WEEKEND, HOUR, "trips", F.round("_mean_total", 2).alias("avg_total_amount_usd")) \
         .orderBy(WEEKEND, HOUR)
 
 
 def _payment(st: DataFrame, cfg: FareConfig) -> DataFrame:
-    return st.select(PAYMENT, "trips", _money("_sum_total").alias("revenue_usd"),
-                     _money("_mean_tip").alias("avg_tip_usd")).orderBy(F.desc("trips"), PAYMENT)
+    return st.select(PAYMENT, "trips", F.round("_sum_total", 2).alias("revenue_usd"),
+                     F.round("_mean_tip", 2).alias("avg_tip_usd")).orderBy(F.desc("trips"), PAYMENT)
 
 
 def _pickup_grids(st: DataFrame, cfg: FareConfig, k: int = TOP_PICKUP_GRIDS) -> DataFrame:
     # pickups outside the box form the (null, null) cell, which is not a cell
     cells = st.filter(F.col(LAT_BIN).isNotNull()).select(
-        LAT_BIN, LON_BIN, "trips", _money("_mean_total").alias("avg_total_amount_usd"))
+        LAT_BIN, LON_BIN, "trips", F.round("_mean_total", 2).alias("avg_total_amount_usd"))
     return top_k(cells, [F.desc("trips")], k, [LAT_BIN, LON_BIN])
 
 
@@ -159,14 +155,14 @@ _TOLLS = {"_tolls50": ("tolls", P_MEDIAN), "_tolls90": ("tolls", P_HIGH)}
 
 SPECS: dict[str, ReportSpec] = {
     "hourly_demand_revenue": ReportSpec(
-        "analytics", (HOUR,), _hourly, sums={"_sum_total": "_u_total"},
-        means={"_mean_dist": "_u_dist", "_mean_secs": "_secs"}),
+        "analytics", (HOUR,), _hourly, sums={"_sum_total": "_total"},
+        means={"_mean_dist": "_dist", "_mean_secs": "_secs"}),
     "weekend_vs_weekday_hourly": ReportSpec(
-        "analytics", (WEEKEND, HOUR), _weekend, means={"_mean_total": "_u_total"}),
+        "analytics", (WEEKEND, HOUR), _weekend, means={"_mean_total": "_total"}),
     "payment_split": ReportSpec(
-        "analytics", (PAYMENT,), _payment, sums={"_sum_total": "_u_total"}, means={"_mean_tip": "_u_tip"}),
+        "analytics", (PAYMENT,), _payment, sums={"_sum_total": "_total"}, means={"_mean_tip": "_tip"}),
     "top_pickup_grids": ReportSpec(
-        "analytics", (LAT_BIN, LON_BIN), _pickup_grids, means={"_mean_total": "_u_total"}),
+        "analytics", (LAT_BIN, LON_BIN), _pickup_grids, means={"_mean_total": "_total"}),
     "deviation_by_time": ReportSpec(
         "deviation", TIME_KEYS, _deviation_time, means={"_mean_dev": "fare_deviation"}, quantiles=_ABS),
     "deviation_top_grids": ReportSpec(
@@ -186,15 +182,18 @@ def spec_stats(frame: DataFrame, names: list[str], cfg: FareConfig = DEFAULT) ->
     specs = [SPECS[n] for n in names]
     sets: list[tuple[str, ...]] = []
     sums, means, quantiles = {}, {}, {}
+    reads: dict[int, list[str]] = {}
     for s in specs:
         if s.keys not in sets:
             sets.append(s.keys)
+        some = reads.setdefault(sets.index(s.keys), [])
+        some += [c for c in dict.fromkeys(c for c, _ in s.quantiles.values()) if c not in some]
         sums.update(s.sums)
         means.update(s.means)
         quantiles.update(s.quantiles)
     stats = group_stats_sets(frame, [list(k) for k in sets], count_as="trips", sums=sums, means=means,
                              quantiles=quantiles, method=cfg.percentile_method, accuracy=cfg.percentile_accuracy,
-                             kll_k=cfg.kll_k)
+                             kll_k=cfg.kll_k, reads=reads)
     return stats, {n: sets.index(SPECS[n].keys) for n in names}
 
 
@@ -214,7 +213,7 @@ def _single(name: str, trips: DataFrame, cfg: FareConfig, frame: DataFrame | Non
     frame = FRAMES[spec.profile](trips, cfg) if frame is None else frame
     stats = group_stats(frame, list(spec.keys), count_as="trips", sums=spec.sums, means=spec.means,
                         quantiles=spec.quantiles, method=cfg.percentile_method, accuracy=cfg.percentile_accuracy,
-                        kll_k=cfg.kll_k)
+                        kll_k=cfg.kll_k, min_rows=params.get("min_trips", 1) if spec.grid_params else 1)
     return finish(name, stats, cfg, **params)
 
 

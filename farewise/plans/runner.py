@@ -28,14 +28,15 @@ from farewise.config import (
     DEFAULT, MIN_GROUP_TRIPS, P_HIGH, P_LOW, P_MEDIAN, PAYMENT_LABELS, PAYMENT_OTHER, FareConfig,
 )
 from farewise.functions import (
-    bucketize, decode, duration_seconds, grid_bin, is_weekend, measure, pickup_hour, share, sum_components,
+    bucketize, decode, duration_seconds, grid_bin, is_weekend, pickup_hour, share, sum_components,
     unit_rate,
 )
 from farewise.functions import within_bbox as in_bbox
-from farewise.operators import SET_COL, clean, group_stats, group_stats_sets, with_group_stat
+from farewise.operators import SET_COL, clean, group_stats_sets, with_group_stat
 from farewise.operators.profiles import FARE_PER_MILE
 from farewise.plans import reports as R
 from farewise.plans.features import HOUR, LAT_BIN, LON_BIN, MEDIAN_RATE, REGIME, WEEKEND
+from farewise.session import materialize
 
 REPORT_NAMES = [
     "hourly_demand_revenue", "weekend_vs_weekday_hourly", "payment_split", "top_pickup_grids",
@@ -101,8 +102,8 @@ def first_pass_frame(trips: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:
         decode(c.payment, PAYMENT_LABELS, PAYMENT_OTHER).alias(R.PAYMENT),
         F.when(a & inside, grid_bin(c.pickup_lat, cfg.grid_digits)).alias(LAT_BIN),
         F.when(a & inside, grid_bin(c.pickup_lon, cfg.grid_digits)).alias(LON_BIN),
-        F.when(a, measure(c.distance)).alias("_u_dist"), F.when(a, secs).alias("_secs"),
-        F.when(a, measure(c.total)).alias("_u_total"), F.when(a, measure(c.tip)).alias("_u_tip"),
+        F.when(a, F.col(c.distance)).alias("_dist"), F.when(a, secs).alias("_secs"),
+        F.when(a, F.col(c.total)).alias("_total"), F.when(a, F.col(c.tip)).alias("_tip"),
         F.when(a, F.lit(1)).otherwise(F.lit(0)).alias("_one_ana"),
         bucketize(c.distance, cfg.regime_edges, cfg.regime_labels).alias(REGIME),
         F.when(b, rate).alias("_rate_b"), F.when(F.col("_devf"), rate).alias("_rate_dev"),
@@ -110,24 +111,25 @@ def first_pass_frame(trips: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:
     )
 
 
+#: Key set, row-count column, means and percentiles that each report of scan 2 reads.
+_SCAN2 = {
+    "regime_deviation_summary": ((REGIME,), "_rows", {"_avg": "_dev_b"},
+                                 {"_p50": ("_dev_b", P_MEDIAN), "_p90": ("_dev_b", P_HIGH), "_p10": ("_dev_b", P_LOW)}),
+    "deviation_by_time": (R.TIME_KEYS, "_n_dev", {"_mean_dev": "_dev_d"},
+                          {"_abs50": ("_abs_d", P_MEDIAN), "_abs90": ("_abs_d", P_HIGH)}),
+    "deviation_top_grids": (R.CELL_KEYS, "_n_dev", {}, {"_abs50": ("_abs_d", P_MEDIAN), "_abs90": ("_abs_d", P_HIGH)}),
+    "decomposition_by_time": (R.TIME_KEYS, "_n_dec", {}, {
+        "_fixed50": ("_m_fixed_fees", P_MEDIAN), "_tolls50": ("_m_tolls", P_MEDIAN),
+        "_share50": ("_m_fixed_fee_share", P_MEDIAN), "_toll_share90": ("_m_toll_share", P_HIGH)}),
+    "toll_heavy_grids": (R.CELL_KEYS, "_n_dec", {}, {"_tolls50": ("_m_tolls", P_MEDIAN), "_tolls90": ("_m_tolls", P_HIGH)}),
+}
+
+
 def _fare_reports(trips: DataFrame, cfg: FareConfig, names: list[str], min_trips: int, persist: bool,
-                  out: dict[str, DataFrame], cached: list[DataFrame], baselines: DataFrame | None = None) -> None:
+                  out: dict[str, DataFrame], cached: list[DataFrame], baselines: DataFrame) -> None:
     c = cfg.cols
     fares = fares_frame(trips, cfg)
-    if baselines is None:
-        # R5 and both regime baselines
-        baselines = group_stats(
-            fares.withColumn("_rate_dev", F.when(F.col("_dev"), F.col(FARE_PER_MILE))), [REGIME], count_as="trips",
-            quantiles={MEDIAN_RATE: (FARE_PER_MILE, P_MEDIAN), "_median_dev": ("_rate_dev", P_MEDIAN)},
-            method=cfg.percentile_method, accuracy=cfg.percentile_accuracy, kll_k=cfg.kll_k)
-        if persist:
-            baselines = baselines.persist()
-            cached.append(baselines)
-    if "regime_baseline" in names:
-        out["regime_baseline"] = baselines.select(REGIME, MEDIAN_RATE, "trips").orderBy(REGIME)
     rest = [n for n in names if n != "regime_baseline"]
-    if not rest:
-        return
     # scan 2: R6-R10 from one GROUPING SETS aggregate over profile-masked columns
     joined = with_group_stat(fares, baselines.select(REGIME, MEDIAN_RATE, "_median_dev"), [REGIME],
                              max_groups=len(cfg.regime_labels))
@@ -141,35 +143,36 @@ def _fare_reports(trips: DataFrame, cfg: FareConfig, names: list[str], min_trips
         F.when(dec, F.lit(1)).otherwise(F.lit(0)).alias("_one_dec"),
         *[F.when(dec, F.col(x)).alias(f"_m_{x}") for x in ("fixed_fees", "tolls", "fixed_fee_share", "toll_share")],
     )
-    time_keys, cell_keys = list(R.TIME_KEYS), list(R.CELL_KEYS)
-    sets = [[REGIME], time_keys, cell_keys]
+    sets: list[tuple[str, ...]] = []
+    means, quantiles, reads = {}, {}, {}
+    for n in rest:
+        keys, _, some_means, some = _SCAN2[n]
+        if keys not in sets:
+            sets.append(keys)
+        means.update(some_means)
+        quantiles.update(some)
+        cols = reads.setdefault(sets.index(keys), [])
+        cols += [x for x in dict.fromkeys(x for x, _ in some.values()) if x not in cols]
+    cells = {sets.index(R.CELL_KEYS): min_trips} if R.CELL_KEYS in sets else {}
     stats = group_stats_sets(
-        masked, sets, count_as="_rows", sums={"_n_dev": "_one_dev", "_n_dec": "_one_dec"},
-        means={"_avg": "_dev_b", "_mean_dev": "_dev_d"},
-        quantiles={"_p50": ("_dev_b", P_MEDIAN), "_p90": ("_dev_b", P_HIGH), "_p10": ("_dev_b", P_LOW),
-                   "_abs50": ("_abs_d", P_MEDIAN), "_abs90": ("_abs_d", P_HIGH),
-                   "_fixed50": ("_m_fixed_fees", P_MEDIAN), "_tolls50": ("_m_tolls", P_MEDIAN),
-                   "_tolls90": ("_m_tolls", P_HIGH), "_share50": ("_m_fixed_fee_share", P_MEDIAN),
-                   "_toll_share90": ("_m_toll_share", P_HIGH)},
-        method=cfg.percentile_method, accuracy=cfg.percentile_accuracy, kll_k=cfg.kll_k)
+        masked, [list(k) for k in sets], count_as="_rows", sums={"_n_dev": "_one_dev", "_n_dec": "_one_dec"}, means=means,
+        quantiles=quantiles, method=cfg.percentile_method, accuracy=cfg.percentile_accuracy, kll_k=cfg.kll_k,
+        reads=reads, min_rows=cells)
     if persist:
         stats = stats.persist()
         cached.append(stats)
 
-    def part(i: int, trips_col: str) -> DataFrame:
-        st = stats.filter(F.col(SET_COL) == F.lit(i)).drop(SET_COL)
-        return st.filter(F.col(trips_col) > 0).withColumn("trips", F.col(trips_col))
-
-    if "regime_deviation_summary" in rest:
-        st = part(0, "_rows")
-        out["regime_deviation_summary"] = st.select(
-            REGIME, "trips", F.round("_avg", 2).alias("avg_deviation"), F.round("_p50", 2).alias("median_deviation"),
-            F.round("_p90", 2).alias("p90_deviation"), F.round("_p10", 2).alias("p10_deviation"),
-        ).orderBy(REGIME)
-    for n, i, count in (("deviation_by_time", 1, "_n_dev"), ("deviation_top_grids", 2, "_n_dev"),
-                        ("decomposition_by_time", 1, "_n_dec"), ("toll_heavy_grids", 2, "_n_dec")):
-        if n in rest:
-            out[n] = R.finish(n, part(i, count), cfg, min_trips=min_trips)
+    for n in rest:
+        keys, count, _, _ = _SCAN2[n]
+        st = stats.filter(F.col(SET_COL) == F.lit(sets.index(keys))).drop(SET_COL)
+        st = st.filter(F.col(count) > 0).withColumn("trips", F.col(count))
+        if n == "regime_deviation_summary":
+            out[n] = st.select(
+                REGIME, "trips", F.round("_avg", 2).alias("avg_deviation"), F.round("_p50", 2).alias("median_deviation"),
+                F.round("_p90", 2).alias("p90_deviation"), F.round("_p10", 2).alias("p10_deviation"),
+            ).orderBy(REGIME)
+        else:
+            out[n] = R.finish(n, st, cfg, min_trips=min_trips)
 
 
 def plan_reports(trips: DataFrame, cfg: FareConfig = DEFAULT, names: list[str] | None = None,
@@ -198,9 +201,10 @@ def plan_reports(trips: DataFrame, cfg: FareConfig = DEFAULT, names: list[str] |
         if (REGIME,) not in sets:
             sets.append((REGIME,))
         quantiles = {MEDIAN_RATE: ("_rate_b", P_MEDIAN), "_median_dev": ("_rate_dev", P_MEDIAN)}
+    reads = {i: ["_rate_b", "_rate_dev"] if keys == (REGIME,) else [] for i, keys in enumerate(sets)}
     stats = group_stats_sets(first_pass_frame(trips, cfg), [list(k) for k in sets], sums=sums, means=means,
                              quantiles=quantiles, method=cfg.percentile_method, accuracy=cfg.percentile_accuracy,
-                             kll_k=cfg.kll_k)
+                             kll_k=cfg.kll_k, reads=reads)
     if persist and len(analytics) + (1 if fare else 0) > 1:
         stats = stats.persist()
         cached.append(stats)
@@ -213,7 +217,9 @@ def plan_reports(trips: DataFrame, cfg: FareConfig = DEFAULT, names: list[str] |
         out[n] = R.finish(n, part(R.SPECS[n].keys, "_n_ana"), cfg, min_trips=min_trips)
     if fare:
         baselines = part((REGIME,), "_n_base").select(REGIME, MEDIAN_RATE, "trips", "_median_dev")
-        _fare_reports(trips, cfg, fare, min_trips, persist, out, cached, baselines)
+        out["regime_baseline"] = baselines.select(REGIME, MEDIAN_RATE, "trips").orderBy(REGIME)
+        if fare != ["regime_baseline"]:
+            _fare_reports(trips, cfg, fare, min_trips, persist, out, cached, materialize(baselines, "baselines"))
     return {n: out[n] for n in names}, cached
 
 

@@ -36,7 +36,8 @@ def test_entry_runs_with_stable_schema(spark):
 @pytest.mark.parametrize("name,method", [
     ("hourly_demand_revenue", "kll"), ("payment_split", "kll"), ("regime_deviation_summary", "kll"),
     ("deviation_by_time", "kll"), ("decomposition_by_time", "kll"), ("deviation_by_time", "exact"),
-    ("decomposition_by_time", "sketch"),
+    ("decomposition_by_time", "sketch"), ("hourly_demand_revenue", "digits"), ("deviation_by_time", "digits"),
+    ("regime_deviation_summary", "digits"),
 ])
 def test_reports_do_not_depend_on_partitioning(spark, name, method):
     """Trips spread over 13 partitions (many map tasks, several salts) give the oracle's answer."""
