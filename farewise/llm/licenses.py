@@ -2,7 +2,8 @@
 
 The canonical form lower-cases A-Z, drops copyright lines, turns ASCII punctuation and white space into single
 spaces and writes equivalent spellings one way; its SHA-256 is the digest. A document's whole text is looked up, and
-so is each of its lines, since short notices stand on a line of their own.
+so is each of its lines, since short notices stand on a line of their own. A line is brought into canonical form only if its first
+word can be the first of a known text (``first_words``, computed from all known texts): no other line can equal one.
 
 The known texts are those below and ``license_texts/``: whole texts (``index.tsv``: file, id, first words after the
 title) and names (``names.tsv``), from which titles and short notices are made. A text that names its holder anywhere
@@ -146,6 +147,27 @@ def known_digests(known: DataFrame) -> DataFrame:
     return made.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
+#: First word of a line as written; everything that the canonical form writes as a space ends a word.
+FIRST_WORD = f"[^{PUNCTUATION[1:-2]}{''.join(x for x, _ in CHARACTERS)}]+"
+
+
+def first_word(line: Column) -> Column:
+    """The first word of a line, lower-cased, in the spelling in which it stands; '' if there is none."""
+    return F.translate(F.regexp_extract(line, FIRST_WORD, 0), UPPER, LOWER)
+
+
+def first_words(known: DataFrame) -> DataFrame:
+    """``word``: all first words, however spelt, of lines whose canonical form may be that of a known text.
+
+    "all" is one of them: a rights line may be dropped at a line end other than the line feed, and what follows comes first.
+    """
+    spark = known.sparkSession
+    first = known.select(F.split(canonical(F.col("text")), " ")[0].alias("word")).filter("word <> ''").distinct()
+    spelt = spark.createDataFrame([(new.split()[0], old.split()[0]) for old, new in SPELLINGS], "word string, old string")
+    return first.unionByName(first.join(spelt, "word").select(F.col("old").alias("word"))) \
+        .unionByName(spark.createDataFrame([("all",)], "word string")).distinct()
+
+
 def default_known(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(KNOWN, "license_id string, text string")
 
@@ -158,9 +180,11 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None, *, id_col: str
     of known texts that are one of its lines. Joins are plain equi-joins; Spark broadcasts the known side only if
     it is below its own size limit.
     """
-    look = known_digests(known if known is not None else default_known(docs.sparkSession))
+    known = default_known(docs.sparkSession) if known is None else known
+    look = known_digests(known)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    lines = (rows.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter("trim(line) <> ''")
+    lines = (rows.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+             .withColumn("word", first_word(F.col("line"))).join(first_words(known), "word", "left_semi")
              .select("doc_id", digest(F.col("line")).alias("digest")).filter("digest is not null")
              .join(look, "digest").groupBy("doc_id")
              .agg(F.array_join(F.sort_array(F.collect_set("license_id")), ",").alias("notice_ids")))
@@ -193,8 +217,7 @@ def oracle() -> str:
     return f"""
 WITH look AS (SELECT {dig('t')} AS digest, min(i) AS license_id FROM (VALUES {values}) k(i, t) GROUP BY 1),
 lines AS (SELECT doc_id, {dig('line')} AS digest
-          FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
-          WHERE regexp_matches(line, '[Ll][Ii][Cc][Ee][Nn]')),
+          FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> ''),
 notices AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notice_ids
             FROM lines JOIN look USING (digest) GROUP BY doc_id),
 whole AS (SELECT doc_id, {dig('text')} AS digest FROM documents)

@@ -114,3 +114,17 @@ def test_whole_texts_and_lines_without_the_word(spark):
     assert {r.doc_id: r.notice_ids for r in licenses.license_scan(lines).collect()} == {1: "ISC", 2: None}
     own = spark.createDataFrame([("own", "All mine: ask me!")], "license_id string, text string")
     assert {r.doc_id: r.notice_ids for r in licenses.license_scan(lines, own).collect()} == {1: None, 2: "own"}
+
+
+def test_no_line_is_lost_by_its_first_word(spark):
+    """Lines that equal a known text only after a spelling, a mark or a rights line is rewritten."""
+    known = spark.createDataFrame([("L1", "Sublicense it."), ("L2", "version 2 only"), ("L3", "License: X"), ("L4", "released freely")],
+                                  "license_id string, text string")
+    lines = ["sub licence IT!", "“sub license” it", "  -- v2 only", "V2  ONLY.", "licence x", " LICENSE - x", "(License:) X?",
+             "All rights reserved.\rReleased freely", "all released freely", "v3 only", "sub it", "", "…", "released, freely"]
+    docs = spark.createDataFrame([(i, f"prose before\n{t}\nprose after") for i, t in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id: r.notice_ids for r in licenses.license_scan(docs, known).collect()}
+    digests = {r.digest: r.license_id for r in licenses.known_digests(known).collect()}
+    plain = spark.createDataFrame(list(enumerate(lines)), "doc_id long, line string")
+    want = {r.doc_id: digests.get(r.digest) for r in plain.select("doc_id", licenses.digest(F.col("line")).alias("digest")).collect()}
+    assert got == want and sum(v is not None for v in want.values()) >= 9
