@@ -21,6 +21,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from farewise.session import materialize
+
 # Equivalent spellings, written as the second of each pair.
 SPELLINGS = [
     ("licence", "license"), ("licenced", "licensed"), ("licences", "licenses"), ("organisation", "organization"),
@@ -147,6 +149,8 @@ def known_digests(known: DataFrame) -> DataFrame:
     return made.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
+#: First words are sent to all tasks while they are at most so many; beyond that the join is left to Spark.
+BROADCAST_WORDS = 100_000
 #: First word of a line as written; everything that the canonical form writes as a space ends a word.
 FIRST_WORD = f"[^{PUNCTUATION[1:-2]}{''.join(x for x, _ in CHARACTERS)}]+"
 
@@ -182,9 +186,12 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None, *, id_col: str
     """
     known = default_known(docs.sparkSession) if known is None else known
     look = known_digests(known)
+    words = materialize(first_words(known), "first-words")
+    if words.count() <= BROADCAST_WORDS:
+        words = F.broadcast(words)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     lines = (rows.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-             .withColumn("word", first_word(F.col("line"))).join(first_words(known), "word", "left_semi")
+             .withColumn("word", first_word(F.col("line"))).join(words, "word", "left_semi")
              .select("doc_id", digest(F.col("line")).alias("digest")).filter("digest is not null")
              .join(look, "digest").groupBy("doc_id")
              .agg(F.array_join(F.sort_array(F.collect_set("license_id")), ",").alias("notice_ids")))
