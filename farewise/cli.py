@@ -98,8 +98,8 @@ def cmd_ml_train(spark, args) -> None:
     from farewise.sources.report import write_report_csv
 
     ds = spark.read.parquet(args.dataset)
-    params = {"num_trees": args.trees, "max_depth": args.max_depth, "min_instances": args.min_leaf,
-              "max_bins": args.max_bins}
+    params = {"num_trees": args.trees, "min_instances": args.min_leaf, "max_bins": args.max_bins,
+              "max_train_rows": args.max_train_rows}
     _, test = ml.train_and_evaluate(ds, args.key, args.sample_fraction, with_forest=True, forest_params=params,
                                     seed=args.seed)
     models = {name: pred for pred, name in ml.METRIC_NAMES.items()}
@@ -113,14 +113,13 @@ def cmd_residual_report(spark, args) -> None:
     from farewise.sources.report import write_report_csv
 
     res = spark.read.parquet(args.residuals)
-    errs = [ml.ERR0, ml.ERR1]
-    write_report_csv(ml.residuals_overall(res, ml.REPORT_NAMES), os.path.join(args.out, "residuals_overall"))
-    write_report_csv(ml.residuals_by(res, "pickup_hour", errs), os.path.join(args.out, "residuals_by_hour"))
-    write_report_csv(ml.residuals_by(res, "is_weekend", errs), os.path.join(args.out, "residuals_by_weekend"))
-    write_report_csv(ml.residuals_by_regime(res, errs), os.path.join(args.out, "residuals_by_regime"))
+    for name, report in ml.residual_reports(res, ml.REPORT_NAMES).items():
+        write_report_csv(report, os.path.join(args.out, f"residuals_{name}"))
 
 
 def main(argv=None) -> None:
+    from farewise.plans.forest import MAX_TRAIN_ROWS
+
     ap = argparse.ArgumentParser(prog="farewise")
     sub = ap.add_subparsers(dest="cmd", required=True)
     p = sub.add_parser("ingest")
@@ -148,9 +147,9 @@ def main(argv=None) -> None:
     p.add_argument("--key", default=None)
     p.add_argument("--sample-fraction", type=float, default=1.0)
     p.add_argument("--trees", type=int, default=200)
-    p.add_argument("--max-depth", type=int, default=30)
     p.add_argument("--min-leaf", type=int, default=5)
-    p.add_argument("--max-bins", type=int, default=64)
+    p.add_argument("--max-bins", type=int, default=256)
+    p.add_argument("--max-train-rows", type=int, default=MAX_TRAIN_ROWS, help="bound on the rows the forest learns from")
     p.add_argument("--seed", type=int, default=SEED)
     p = sub.add_parser("residual-report")
     p.add_argument("--residuals", required=True)

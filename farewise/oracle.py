@@ -434,3 +434,19 @@ def _odd(name: str) -> str:
 
 for _name in _ODD_COLS:
     ORACLE[f"{_name}_odd"] = ORACLE[f"suite_{_name}_odd"] = _odd(_name)
+
+# One-hot features of the test rows: categories of the training rows by falling frequency, then by label.
+_CATEGORIES = {"is_weekend": "cast(is_weekend as varchar)", "RateCodeID": "cast(RateCodeID as varchar)", "pickup_grid_top": "pickup_grid_top"}
+_ONE_HOT = ",\n".join(
+    f"{c}_codes AS (SELECT list(label ORDER BY n DESC, label) AS labels FROM "
+    f"(SELECT {x} AS label, count(*) AS n FROM split WHERE NOT is_test GROUP BY 1))" for c, x in _CATEGORIES.items())
+ORACLE["one_hot_features"] = _with(MODELLING, _ML, _ONE_HOT) + f"""
+SELECT trip_id, list_concat(
+  [trip_distance::double, pickup_hour::double, fixed_fees::double, tolls::double, trip_duration_mins::double], """ + \
+    "list_concat(" + ", ".join([", ".join(
+        f"(SELECT list_transform(labels, lambda l: case when l = {x} then 1e0 else 0e0 end) FROM {c}_codes)"
+        for c, x in list(_CATEGORIES.items())[:1])]) + ", list_concat(" + ", ".join(
+        f"(SELECT list_transform(labels, lambda l: case when l = {x} then 1e0 else 0e0 end) FROM {c}_codes)"
+        for c, x in list(_CATEGORIES.items())[1:]) + """))) AS features
+FROM split WHERE is_test
+"""

@@ -1,11 +1,11 @@
 """Modelling on Spark: the modelling table, a deterministic split, a distance-only
-linear model, a context-aware random forest (``pyspark.ml``) and residual reports.
+linear model, a context-aware random forest (``plans.forest``) and residual reports.
 
 Everything stays distributed: the linear fit is one global aggregate
 (``regr_slope`` / ``regr_intercept``, partial aggregation per task) and only
-its two coefficients reach the driver; the forest is ``pyspark.ml``'s
-distributed learner; predictions and residuals are column expressions or
-``transform`` calls on the test split. The published analysis trained on a
+its two coefficients reach the driver; the forest's trees grow in parallel tasks
+from a bounded sample; predictions and residuals are column expressions or one
+pass over the test split. The published analysis trained on a
 1 % pandas sample; here the sample fraction is a parameter (default: all rows).
 """
 
@@ -21,10 +21,11 @@ from farewise.config import (
     TOP_N_CATEGORIES, FareConfig,
 )
 from farewise.functions import bucketize
-from farewise.operators import drop_incomplete, hash_sample, holdout_split, keep_top_n
+from farewise.operators import SET_COL, drop_incomplete, group_stats_sets, hash_sample, holdout_split, keep_top_n
 from farewise.operators.profiles import FARE_PER_MILE, TRIP_DURATION_MINS
-from farewise.operators.sampling import SPLIT_COL, row_key
+from farewise.operators.sampling import SPLIT_COL
 from farewise.plans.features import GRID, HOUR, REGIME, WEEKEND, prepare
+from farewise.plans.forest import fit_forest, predict
 from farewise.session import materialize
 
 LABEL = "label_fare_amount"
@@ -91,7 +92,7 @@ def fit_linear(train: DataFrame, x: str = "trip_distance", y: str = LABEL) -> Li
     return LinearModel(float(row["slope"]), float(row["intercept"]), int(row["n_train"]), x)
 
 
-# ---------------------------------------------------------------- random forest
+# ---------------------------------------------------------------- one-hot encoding
 
 def feature_stages(num_features=NUM_FEATURES, cat_features=CAT_FEATURES, out: str = "features"):
     """Numeric pass-through + one-hot of the categories; unseen categories encode as all zeros.
@@ -114,20 +115,6 @@ def with_category_strings(df: DataFrame, cat_features=CAT_FEATURES) -> DataFrame
     return df.withColumns({f"{c}__str": F.col(c).cast("string") for c in cat_features})
 
 
-def fit_random_forest(train: DataFrame, num_trees: int = 200, max_depth: int = 30, min_instances: int = 5,
-                      max_bins: int = 64, subset: str = "all", seed: int = SEED, max_memory_mb: int = 256,
-                      label: str = LABEL, out: str = PRED1):
-    """Pipeline: category strings -> indexer -> one-hot -> assembler -> RandomForestRegressor."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.regression import RandomForestRegressor
-
-    rf = RandomForestRegressor(featuresCol="features", labelCol=label, predictionCol=out, numTrees=num_trees,
-                               maxDepth=max_depth, minInstancesPerNode=min_instances, maxBins=max_bins,
-                               featureSubsetStrategy=subset, seed=seed, maxMemoryInMB=max_memory_mb,
-                               cacheNodeIds=True)
-    return Pipeline(stages=feature_stages() + [rf]).fit(with_category_strings(train))
-
-
 def encode_features(train: DataFrame, apply_to: DataFrame) -> DataFrame:
     """Fit the encoding on ``train`` and apply it to ``apply_to`` (features as an array column)."""
     from pyspark.ml import Pipeline
@@ -138,19 +125,8 @@ def encode_features(train: DataFrame, apply_to: DataFrame) -> DataFrame:
     return out.withColumn("features", vector_to_array("features", "float64"))
 
 
-def predict_forest(model, df: DataFrame) -> DataFrame:
-    keep = df.columns
-    return model.transform(with_category_strings(df)).select(*keep, PRED1)
-
-
 # ---------------------------------------------------------------- metrics and residuals
 
-def regression_metrics(df: DataFrame, y: str, yhat: str, digits: int = METRIC_DIGITS) -> DataFrame:
-    err = F.col(y) - F.col(yhat)
-    return df.agg(F.round(F.avg(F.abs(err)), digits).alias("MAE"),
-                  F.round(F.sqrt(F.avg(err * err)), digits).alias("RMSE"))
-
-
 def model_metrics(test: DataFrame, models: dict[str, str], sample_fraction: float, y: str = LABEL) -> DataFrame:
     """One row per model: name, sample fraction, MAE, RMSE (one pass over the test split)."""
     aggs = []
@@ -189,6 +165,24 @@ def residuals_by_regime(res: DataFrame, errs: list[str], cfg: FareConfig = DEFAU
     return residuals_by(res, bucketize("trip_distance", cfg.regime_edges, cfg.regime_labels), errs)
 
 
+def residual_reports(res: DataFrame, names: dict[str, str], cfg: FareConfig = DEFAULT,
+                     digits: int = METRIC_DIGITS) -> dict[str, DataFrame]:
+    """``overall``, ``by_hour``, ``by_weekend`` and ``by_regime`` of a residual table from one scan (GROUPING SETS)."""
+    keys = {"by_hour": HOUR, "by_weekend": WEEKEND, "by_regime": REGIME}
+    rows = res.withColumn(REGIME, bucketize("trip_distance", cfg.regime_edges, cfg.regime_labels))
+    stats = materialize(group_stats_sets(rows, [[], *[[k] for k in keys.values()]], means={e: e for e in names}), "residual-cube")
+
+    def part(i: int) -> DataFrame:
+        return stats.filter(F.col(SET_COL) == F.lit(i))
+
+    overall = F.array(*[F.struct(F.lit(label).alias("model"), F.round(F.col(err), digits).alias("avg_abs_error"))
+                        for err, label in names.items()])
+    out = {"overall": part(0).select(F.inline(overall))}
+    for i, (name, key) in enumerate(keys.items()):
+        out[name] = part(i + 1).select(key, *[F.round(F.col(e), digits).alias(e) for e in names]).orderBy(key)
+    return out
+
+
 REPORT_NAMES = {ERR0: LINEAR_REPORT_NAME, ERR1: FOREST_REPORT_NAME}
 METRIC_NAMES = {PRED0: LINEAR_MODEL_NAME, PRED1: FOREST_MODEL_NAME}
 
@@ -202,16 +196,12 @@ def train_and_evaluate(ds: DataFrame, key: str | None, sample_fraction: float =
     report read it, and a lost executor then recomputes nothing upstream.
     """
     split = materialize(split_dataset(ds, key, sample_fraction, seed=seed), "model-split")
-    # A layout that does not depend on file listing order: the forest's
-    # bootstrap follows row order, so the same seed gives the same forest.
-    k = row_key(split, key)
-    split = split.repartition(int(split.sparkSession.conf.get("spark.sql.shuffle.partitions")), k) \
-        .sortWithinPartitions(k)
     train = split.filter(~F.col(SPLIT_COL))
     test = split.filter(F.col(SPLIT_COL))
     linear = fit_linear(train)
     test = test.withColumn(PRED0, linear.predict())
     if with_forest:
-        forest = fit_random_forest(train, seed=seed, **(forest_params or {}))
-        test = predict_forest(forest, test)
+        forest = fit_forest(train, LABEL, NUM_FEATURES, CAT_FEATURES, key, seed=seed, **(forest_params or {}))
+        # written: the metrics and every residual report read the predictions
+        test = materialize(predict(forest, test, NUM_FEATURES, CAT_FEATURES, PRED1), "predictions")
     return linear, test

@@ -28,7 +28,7 @@ def test_stages_end_to_end(spark, capsys):
         assert any(f.endswith(".csv") for f in os.listdir(os.path.join(out, name)))
     ds = os.path.join(base, "ml_fare_dataset")
     cli.main(["ml-prepare", "--trips", trips, "--out", ds, "--top-n", "10", "--partitions", "2"])
-    cli.main(["ml-train", "--dataset", ds, "--out", out, "--trees", "5", "--max-depth", "5"])
+    cli.main(["ml-train", "--dataset", ds, "--out", out, "--trees", "5"])
     metrics = spark.read.option("header", True).csv(os.path.join(out, "ml_metrics")).collect()
     assert len(metrics) == 2
     cli.main(["residual-report", "--residuals", os.path.join(out, "residuals"), "--out", out])

@@ -66,7 +66,7 @@ def test_forest_same_seed_same_result_and_beats_linear_on_nonlinear_fare(spark):
     df = spark.createDataFrame(rows, "trip_id long, label_fare_amount double, trip_distance double, pickup_hour int, "
                                      "is_weekend boolean, RateCodeID int, pickup_grid_top string, fixed_fees double, "
                                      "tolls double, trip_duration_mins double")
-    params = {"num_trees": 10, "max_depth": 6, "max_bins": 32, "max_memory_mb": 64}
+    params = {"num_trees": 10, "max_bins": 32}
     _, t1 = ml.train_and_evaluate(df, "trip_id", forest_params=params)
     _, t2 = ml.train_and_evaluate(df, "trip_id", forest_params=params)
     m1 = {r.model: r for r in ml.model_metrics(t1, {v: k for k, v in ml.METRIC_NAMES.items()}, 1.0).collect()}
@@ -79,4 +79,89 @@ def test_forest_same_seed_same_result_and_beats_linear_on_nonlinear_fare(spark):
 def test_registered_forest_has_the_published_size():
     from farewise.plans import catalog
 
-    assert catalog.FOREST_TEST["num_trees"] == 200 and catalog.FOREST_TEST["max_depth"] == 30
+    assert catalog.FOREST_TEST["num_trees"] == 200 and catalog.FOREST_TEST["min_instances"] == 5
+
+
+def test_a_tree_takes_the_best_split_of_every_node():
+    """Against a plain search over all splits of one-hot and numeric columns on the same bootstrap."""
+    import numpy as np
+    import pandas as pd
+
+    from farewise.plans import forest as f
+
+    rng = np.random.default_rng(4)
+    rows = pd.DataFrame({"x": rng.integers(0, 12, 150).astype(float), "z": rng.random(150).round(2), "c": rng.choice(list("abcd"), 150)})
+    y = rows["x"] * 2 + (rows["c"] == "b") * 7 + rng.random(150)
+    coding = f.make_coding(rows, ["x", "z"], ["c"], 256)
+    tree = f.grow_tree(coding.codes(rows), coding, y.to_numpy(), 5, np.random.default_rng([1, 2]))
+    drawn = np.bincount(np.random.default_rng([1, 2]).integers(0, 150, 150), minlength=150)
+
+    def walk(node, live):
+        w, t = drawn[live], y.to_numpy()[live]
+        n = tree.iloc[node]
+        assert n["value"] == pytest.approx((w * t).sum() / w.sum())
+        best = (w * t).sum() ** 2 / w.sum()
+        options = [rows[c].to_numpy()[live] <= v for c in ("x", "z") for v in rows[c].unique()]
+        options += [rows["c"].to_numpy()[live] == v for v in "abcd"]
+        gains = [(w[o] * t[o]).sum() ** 2 / w[o].sum() + (w[~o] * t[~o]).sum() ** 2 / w[~o].sum()
+                 for o in options if o.sum() >= 5 and (~o).sum() >= 5]
+        if n["col"] < 0:
+            assert all(g <= best * (1 + 2e-9) + 1e-9 for g in gains)
+            return
+        col = ["x", "z", "c"][int(n["col"])]
+        value = rows[col].to_numpy()[live]
+        left = value == coding.labels["c"][int(n["bin"])] if col == "c" else value <= coding.numeric[col][int(n["bin"])]
+        got = (w[left] * t[left]).sum() ** 2 / w[left].sum() + (w[~left] * t[~left]).sum() ** 2 / w[~left].sum()
+        assert got == pytest.approx(max(gains))
+        walk(int(n["left"]), live[left])
+        walk(int(n["left"]) + 1, live[~left])
+
+    walk(0, np.flatnonzero(drawn))
+    assert len(tree) > 10
+
+
+def test_forest_does_not_depend_on_partitions_and_predicts_by_its_table(spark, dataset):
+    from farewise.plans.forest import fit_forest, predict
+
+    args = (ml.LABEL, ml.NUM_FEATURES, ml.CAT_FEATURES, TRIP_KEY)
+    a = fit_forest(dataset.repartition(7), *args, num_trees=7)
+    b = fit_forest(dataset.coalesce(1), *args, num_trees=7)
+    nodes = a.orderBy("tree", "node").collect()
+    assert nodes == b.orderBy("tree", "node").collect()
+    by = {(r.tree, r.node): r for r in nodes}
+
+    def value(row, tree):
+        n = by[tree, 0]
+        while n.feature is not None:
+            v = row[n.feature]
+            go = str(v).lower() == n.category.lower() if n.category is not None else float(v) <= n.threshold
+            n = by[tree, n.left if go else n.right]
+        return n.value
+
+    test = dataset.limit(60).withColumn("RateCodeID", F.when(F.col(TRIP_KEY) % 9 == 0, 77).otherwise(F.col("RateCodeID")))
+    for r in predict(a, test, ml.NUM_FEATURES, ml.CAT_FEATURES, "p").collect():
+        assert r.p == pytest.approx(sum(value(r, t) for t in range(7)) / 7)
+    few = fit_forest(dataset, *args, num_trees=2, max_train_rows=100)
+    assert few.count() < a.count() and fit_forest(dataset.limit(0), *args).count() == 0
+
+
+def test_residual_cube_equals_the_single_reports(dataset):
+    _, test = ml.train_and_evaluate(dataset, TRIP_KEY, with_forest=False)
+    res = ml.residual_table(test, {ml.ERR0: ml.PRED0}, key=TRIP_KEY)
+    cube = ml.residual_reports(res, {ml.ERR0: "linear"})
+    assert cube["overall"].collect() == ml.residuals_overall(res, {ml.ERR0: "linear"}).collect()
+    for name, single in (("by_hour", ml.residuals_by(res, "pickup_hour", [ml.ERR0])),
+                         ("by_weekend", ml.residuals_by(res, "is_weekend", [ml.ERR0])),
+                         ("by_regime", ml.residuals_by_regime(res, [ml.ERR0]))):
+        assert cube[name].collect() == single.collect()
+
+
+def test_linear_plans_neither_shuffle_nor_sort(dataset):
+    import contextlib
+    import io
+
+    _, test = ml.train_and_evaluate(dataset, TRIP_KEY, with_forest=False)
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        test.explain("formatted")
+    assert "Exchange" not in buf.getvalue() and "Sort" not in buf.getvalue()
