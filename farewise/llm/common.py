@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +47,29 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text",
             lo = hi
 
 
+def tidy(*caches) -> None:
+    """Give memory back that a Python worker would keep between tasks: the given caches, Arrow's pool, freed heap."""
+    for cache in caches:
+        cache.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def released(run, *caches):
+    """A ``mapInArrow`` function that leaves its worker tidy when its task ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            tidy(*caches)
+
+    return wrapped
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(all bytes, offsets) of a string or binary column, without copying the texts."""
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)

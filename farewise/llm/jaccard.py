@@ -172,7 +172,7 @@ def _scan_sets(docs: DataFrame, bits: int, percent: int) -> DataFrame:
             yield pa.record_batch({k: pa.array(v, t) for (k, v), t in zip(
                 rows.items(), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))})
 
-    return docs.mapInArrow(run, "part int, doc_id long, n long, name long, low binary")
+    return docs.mapInArrow(common.released(run, _tables), "part int, doc_id long, n long, name long, low binary")
 
 
 def _common_cells(scanned: DataFrame, bits: int, above: int) -> np.ndarray:
@@ -226,7 +226,7 @@ def _lists(docs: DataFrame, bits: int, percent: int, cells: np.ndarray) -> DataF
         return pd.DataFrame({"list": np.repeat(named[many], count[many]).astype(np.int64), "name": names[who[take]],
                              "n": sizes[who[take]]})
 
-    found = docs.mapInArrow(scan, "part int, name long, n long, low binary")
+    found = docs.mapInArrow(common.released(scan, _tables), "part int, name long, n long, low binary")
     found = found.groupBy("part").applyInPandas(gather, "list long, name long, n long")
     return found.dropDuplicates(["list", "name"])
 
@@ -242,7 +242,7 @@ def _of_sets(docs: DataFrame, wanted: DataFrame, make) -> DataFrame:
                 "doc_id": batch.column("doc_id"), "name": pa.array([set_name(s) for s in sets], pa.int64()),
                 "value": pa.array([make(s) for s in sets], pa.binary())})
 
-    made = docs.filter(test(common.cell_of("doc_id"))).mapInArrow(run, "doc_id long, name long, value binary")
+    made = docs.filter(test(common.cell_of("doc_id"))).mapInArrow(common.released(run, _tables), "doc_id long, name long, value binary")
     # the same doc_id and text may stand in several rows
     return made.join(wanted, "name").filter("doc_id = first").select("name", "value").dropDuplicates(["name"])
 
@@ -347,7 +347,7 @@ def _tile_pairs(tiles: DataFrame, percent: int, turn: int) -> DataFrame:
         yield pa.record_batch({n: pa.array([p[k] for p in out], pa.int64()) for k, n in enumerate("ab")})
 
     spread = tiles.repartition("list", "band").sortWithinPartitions("list", "band", "n", "name")
-    return spread.mapInArrow(run, "a long, b long").distinct()
+    return spread.mapInArrow(common.released(run, _tables), "a long, b long").distinct()
 
 
 def _decide(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -366,7 +366,7 @@ def _decide(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = pairs.join(sets.withColumnsRenamed({"name": "a", "value": "x"}), "a")
     return left.join(sets.withColumnsRenamed({"name": "b", "value": "y"}), "b").select("a", "b", "x", "y") \
-        .mapInArrow(run, "a long, b long, linked boolean")
+        .mapInArrow(common.released(run, _tables), "a long, b long, linked boolean")
 
 
 def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT,

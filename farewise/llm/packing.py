@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farewise.llm import words
+from farewise.llm import common, words
 from farewise.llm.common import id_text, text_slices
 from farewise.session import materialize
 
@@ -100,7 +100,7 @@ def cut_pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
             yield pa.record_batch({n: pa.array(x, pa.binary() if n == "ids" else pa.int64())
                                    for n, x in zip(names, zip(*rows))})
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, fields)
+    return id_text(docs, id_col, text_col).mapInArrow(common.released(run, words.encoder, words.load), fields)
 
 
 def pack_pieces(pieces: DataFrame, *, window: int = WINDOW, group_pieces: int = GROUP_PIECES) -> DataFrame:

@@ -142,7 +142,7 @@ def _repeated_anchors(rows: DataFrame, bits: int, length: int, gram: int) -> Dat
         tops = [(np.unique(x[m]).astype(np.uint64) | top).tobytes() if m.any() else None for x, m in zip(lows, many)]
         return pd.DataFrame({"key": got["key"], "tops": tops}).dropna()
 
-    found = rows.mapInArrow(scan, "part int, key long, low binary")
+    found = rows.mapInArrow(common.released(scan, _tables), "part int, key long, low binary")
     found = found.groupBy("part").applyInPandas(repeated, "key long, tops binary")
     return found.groupBy("key").agg(F.collect_list("tops").alias("tops"))
 
@@ -174,7 +174,7 @@ def _segments(rows: DataFrame, bits: int, length: int, gram: int) -> DataFrame:
                 "keys": pa.array([v[0] for v in found.values()], pa.list_(pa.int64())),
                 "starts": pa.array([v[1] for v in found.values()], pa.list_(pa.int64()))})
 
-    return rows.mapInArrow(run, "anchor long, segment binary, keys array<long>, starts array<long>")
+    return rows.mapInArrow(common.released(run, _tables), "anchor long, segment binary, keys array<long>, starts array<long>")
 
 
 def repeated_windows(segments: list[bytes], copies: np.ndarray, length: int) -> list[np.ndarray]:
@@ -244,7 +244,7 @@ def _windows(segments: DataFrame, length: int) -> DataFrame:
             yield sort()
 
     return segments.repartition("anchor").sortWithinPartitions("anchor") \
-        .mapInArrow(run, "key long, lo long, hi long")
+        .mapInArrow(common.released(run, _tables), "key long, lo long, hi long")
 
 
 def heavy_anchors(segments: DataFrame, heavy_bytes: int) -> DataFrame:
@@ -282,7 +282,7 @@ def _dealt_windows(segments: DataFrame, length: int) -> DataFrame:
     named = segments.withColumn("segment_sha", F.sha2("segment", 256))
     distinct = named.groupBy("segment_sha").agg(F.first("segment").alias("segment"), F.sum(F.size("keys")).alias("copies"))
     distinct = materialize(distinct.withColumn("id", F.monotonically_increasing_id()), "heavy-segments")
-    windows = materialize(distinct.select("id", "segment").mapInArrow(cut, "id long, at int, window binary"),
+    windows = materialize(distinct.select("id", "segment").mapInArrow(common.released(cut, _tables), "id long, at int, window binary"),
                           "heavy-windows")
     counts = materialize(windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1"), "heavy-counts")
     common = F.broadcast(counts.filter(F.col("n") > COMMON_WINDOWS).select("window"))
@@ -291,7 +291,7 @@ def _dealt_windows(segments: DataFrame, length: int) -> DataFrame:
     found = rest.unionByName(windows.join(common, "window")).join(
         distinct.filter("copies > 1").select("id"), "id", "left_anti")
     hits = found.groupBy("id").agg(F.collect_list("at").alias("ats")) \
-        .mapInArrow(hit_ranges, "id long, hits array<struct<a: long, b: long>>")
+        .mapInArrow(common.released(hit_ranges, _tables), "id long, hits array<struct<a: long, b: long>>")
     part = distinct.select("id", "segment_sha").join(hits, "id").select("segment_sha", "hits")
     whole = distinct.filter("copies > 1").select("segment_sha", F.array(F.struct(
         F.lit(0).cast("long").alias("a"), F.octet_length("segment").cast("long").alias("b"))).alias("hits"))
@@ -367,7 +367,7 @@ def cut_texts(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text
 
     keyed = _keyed(docs, id_col, text_col).select("key", "text")
     hit = keep_keys(keyed, spans.select("key"), "key").join(spans, "key")
-    return hit.mapInArrow(run, "key long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    return hit.mapInArrow(common.released(run, _tables), "key long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,

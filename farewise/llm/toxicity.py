@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from farewise.llm import common
 from farewise.llm.common import id_text, text_slices
 
 PREFIXES = (4, 5, 6)
@@ -209,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_positive: int = MAX_POSITIV
                 "factors": pa.array([m.factors.tobytes()], pa.binary())})
 
     sample = training_rows(docs, labels, max_positive, max_negative).repartition(1)
-    got = sample.mapInArrow(run, "hashes binary, bias double, weights binary, factors binary").collect()
+    got = sample.mapInArrow(common.released(run), "hashes binary, bias double, weights binary, factors binary").collect()
     if not got:
         return None
     r = got[0]
@@ -253,7 +254,7 @@ def score(docs: DataFrame, machine: Machine | None, *, threshold: float = THRESH
             yield pa.record_batch({**cols, "score": pa.array(scores, pa.float64())})
 
     scored = rows.withColumn(text_col, F.coalesce(F.col(text_col), F.lit(""))) if keep is None else rows
-    got = scored.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    got = scored.mapInArrow(common.released(run), schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
     if keep is not None:
         return got
     return got.select(F.col(id_col).cast("long").alias("doc_id"), is_held_out(F.col(id_col)).alias("held_out"),
