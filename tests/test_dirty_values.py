@@ -52,7 +52,6 @@ def test_exact_sums_are_the_rounded_true_sums_in_any_order(spark):
 
 def test_sums_have_room_for_many_rows(spark):
     """Limb sums of 2^38 rows of the greatest values still fit: the first limb is below 2^24, the others at most 2^23."""
-    from farewise.functions import exact_sum as _  # noqa: F401
     from farewise.functions.exact_sum import LIMIT, limbs
 
     big = math.nextafter(LIMIT, 0)
