@@ -8,10 +8,12 @@
 3. Lists are cut into size-banded tiles: a set stands in the tile of its own band of sizes and, as the smaller
    side, in the next one; sets further apart in size cannot link. Within a tile hashed bitmap signatures (one
    bit flipped per shingle) bound the overlap from above: |x & y| <= (|x| + |y| - bits that differ) / 2. A tile passes on a
-   spanning forest of the pairs within the bound, never all pairs of a group.
+   spanning forest of the pairs within the bound, never all pairs of a group. Sets of one group share many lists, so
+   each set first stands in its largest tile alone; the tiles of all lists then pass on only pairs that join what those
+   forests left apart.
 4. The pairs are decided by exact intersection of the sorted arrays. Where pairs of a forest fail, the tiles of several
    classes are read again with wider signatures. A tile with few pairs between its classes within the bound passes on
-   all of them, another one a forest between classes, by other pairs each time, while that links much; at last every
+   all of those that share no earlier list, another one a forest between classes, by other pairs each time, while that links much; at last every
    pair within the bound whose sets are still in different classes is decided, so no link is lost.
 5. Components of the links give each document the least doc_id of its class.
 
@@ -247,6 +249,19 @@ def _of_sets(docs: DataFrame, wanted: DataFrame, make) -> DataFrame:
     return made.join(wanted, "name").filter("doc_id = first").select("name", "value").dropDuplicates(["name"])
 
 
+def join(joined: dict[int, int], a: int, b: int) -> bool:
+    """Joins two labels in a forest of labels; False if it held them joined before."""
+    ends = []
+    for x in (a, b):
+        while (up := joined.get(x, x)) != x:
+            joined[x] = x = joined.get(up, up)
+        ends.append(x)
+    if ends[0] == ends[1]:
+        return False
+    joined[max(ends)] = min(ends)
+    return True
+
+
 class Tile:
     """Sets of one list and band, smaller to larger, with their signatures."""
 
@@ -257,6 +272,8 @@ class Tile:
         self.labels = np.array([r[4] for r in rows], np.int64)
         width = min(len(r[3]) for r in rows)
         self.bits = np.concatenate([fold(np.frombuffer(r[3], np.uint8)[None, :], width) for r in rows]).view(np.uint64)
+        # lists that the sets share beside this one, as far as they come before it: a pair belongs to its least shared list
+        self.before = [frozenset(r[5]) for r in rows] if rows[0][5] is not None else None
         self.percent = percent
 
     def near(self, i: int, others: np.ndarray) -> np.ndarray:
@@ -265,28 +282,29 @@ class Tile:
         far = np.bitwise_count(self.bits[others] ^ self.bits[i]).sum(axis=1, dtype=np.int64)
         most = np.minimum((n + m - far) // 2, np.minimum(n, m))
         ok = 100 * most >= self.percent * (n + m - most)
-        return others[ok & (self.home[others] | self.home[i])]
+        hit = others[ok & (self.home[others] | self.home[i])]
+        if self.before is None:
+            return hit
+        return hit[[self.before[i].isdisjoint(self.before[j]) for j in hit.tolist()]] if len(hit) else hit
 
-    def forest(self) -> list[tuple[int, int]]:
-        """Pairs that join all sets which may link, each set entered once."""
+    def forest(self, joined: dict[int, int]) -> list[tuple[int, int, int]]:
+        """Pairs that join all sets which may link, each set entered once; none within a label or what ``joined`` joins.
+
+        The third of each is a set that stands for all that the tile joins with the two.
+        """
         out, left = [], np.arange(len(self.names))
         while len(left) > 1:
-            queue, left = [left[0]], left[1:]
+            root, queue, left = int(left[0]), [left[0]], left[1:]
             while queue and len(left):
                 i = queue.pop()
                 hit = self.near(i, left)
-                out += [(i, j) for j in hit.tolist()]
+                out += [(i, j, root) for j in hit.tolist() if join(joined, int(self.labels[i]), int(self.labels[j]))]
                 queue += hit.tolist()
                 left = np.setdiff1d(left, hit, assume_unique=True)
         return out
 
     def between(self, turn: int, joined: dict[int, int]) -> list[tuple[int, int]]:
         """Pairs that may link and join different labels, each two labels joined once in ``joined`` (a task's forest)."""
-        def root(x: int) -> int:
-            while joined.get(x, x) != x:
-                x = joined[x]
-            return x
-
         out, (values, counts) = [], np.unique(self.labels, return_counts=True)
         if len(values) < 2:
             return out
@@ -295,9 +313,7 @@ class Tile:
             hit = self.near(i, np.flatnonzero(self.labels != self.labels[i]))
             # another partner each turn and for each set: a failed pair says little about the next
             for j in hit[np.argsort(spin[hit] ^ spin[i], kind="stable")].tolist():
-                a, b = root(int(self.labels[i])), root(int(self.labels[j]))
-                if a != b:
-                    joined[max(a, b)] = min(a, b)
+                if join(joined, int(self.labels[i]), int(self.labels[j])):
                     out.append((i, j))
         return out
 
@@ -316,7 +332,7 @@ class Tile:
 
 
 def _tile_pairs(tiles: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Distinct pairs ``a, b`` to decide: forests of sets (turn 0), all apart, but a forest of classes where those are
+    """Pairs ``a, b`` to decide, ``root`` for all that a tile's forest joins: forests between labels (turn 0), all apart, but a forest of classes where those are
     many (turn > 0), or all apart (turn < 0). A pair of a set with itself marks a tile that may hold more pairs.
     """
 
@@ -325,29 +341,29 @@ def _tile_pairs(tiles: DataFrame, percent: int, turn: int) -> DataFrame:
             if len(rows) < 2 or not any(r[2] for r in rows):
                 return []
             t = Tile(rows, percent)
-            found = t.apart(FEW_APART * len(rows) if turn > 0 else None) if turn else t.forest()
+            found = t.apart(FEW_APART * len(rows) if turn > 0 else None) if turn else t.forest(joined)
             if found is None:
                 found = [*t.between(turn, joined), (0, 0)]
-            return [(min(a, b), max(a, b)) for i, j in found
+            return [(min(a, b), max(a, b), int(t.names[root[0] if root else i])) for i, j, *root in found
                     for a, b in [(int(t.names[i]), int(t.names[j]))]]
 
         key, rows, out = None, [], set()
         joined: dict[int, int] = {}
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("list", "band", "name", "n", "home", "signature", "label")]
+            cols = [batch.column(c).to_pylist() for c in ("list", "band", "name", "n", "home", "signature", "label", "before")]
             for lst, band, *row in zip(*cols):
                 if (lst, band) != key:
                     out.update(pairs(rows))
                     key, rows = (lst, band), []
                 rows.append(tuple(row))
             if len(out) > 100_000:
-                yield pa.record_batch({n: pa.array([p[k] for p in out], pa.int64()) for k, n in enumerate("ab")})
+                yield pa.record_batch({n: pa.array([p[k] for p in out], pa.int64()) for k, n in enumerate(("a", "b", "root"))})
                 out = set()
         out.update(pairs(rows))
-        yield pa.record_batch({n: pa.array([p[k] for p in out], pa.int64()) for k, n in enumerate("ab")})
+        yield pa.record_batch({n: pa.array([p[k] for p in out], pa.int64()) for k, n in enumerate(("a", "b", "root"))})
 
     spread = tiles.repartition("list", "band").sortWithinPartitions("list", "band", "n", "name")
-    return spread.mapInArrow(common.released(run, _tables), "a long, b long").distinct()
+    return spread.mapInArrow(common.released(run, _tables), "a long, b long, root long")
 
 
 def _decide(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -389,16 +405,24 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             labels.withColumnsRenamed({"node": "name"}), "name", "left").withColumn("label", F.coalesce("label", "name"))
         rows = named.withColumn("role", F.explode(F.array(F.lit(0), F.lit(1)))) \
             .withColumn("band", band + F.col("role")).withColumn("home", F.col("role") == 0).drop("role")
-        mixed = rows.groupBy("list", "band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("home").alias("h"))
-        return rows.join(mixed.filter("h and x <> y").select("list", "band"), ["list", "band"], "left_semi")
+        mixed = rows.groupBy("list", "band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("home").alias("h"),
+                                                 F.count("*").alias("members"))
+        return rows.join(mixed.filter("h and x <> y").select("list", "band", "members"), ["list", "band"])
 
     def signed(rows: DataFrame, signatures: DataFrame) -> DataFrame:
-        return rows.join(signatures.withColumnRenamed("value", "signature"), "name")
+        rows = rows.join(signatures.withColumnRenamed("value", "signature"), "name")
+        if "lists" not in signatures.columns:
+            return rows.withColumn("before", F.lit(None).cast("array<long>"))
+        return rows.withColumn("before", F.filter("lists", lambda x: x < F.col("list"))).drop("lists")
 
     first = materialize(tiles(None), "tiles")
     listed = materialize(firsts.join(first.select("name").distinct(), "name", "left_semi"), "listed")
     signatures = materialize(_of_sets(rows, listed, signature), "signatures")
-    pairs = materialize(_tile_pairs(signed(first, signatures), percent, 0), "pairs")
+    largest = first.groupBy("name").agg(F.max(F.struct("members", "list", "band", "n", "home", "label")).alias("tile"))
+    stars = materialize(_tile_pairs(signed(largest.select("name", "tile.*"), signatures), percent, 0), "stars")
+    presumed = stars.select(F.col("a").alias("node"), F.col("root").alias("label")).unionAll(stars.select("b", "root")).distinct()
+    rest = _tile_pairs(signed(tiles(presumed), signatures), percent, 0)
+    pairs = materialize(stars.unionAll(rest).select("a", "b").distinct(), "pairs")
     ends = pairs.select(F.col("a").alias("name")).unionAll(pairs.select("b")).distinct()
     paired = materialize(listed.join(ends, "name", "left_semi"), "paired")
     # every set that may link with another stands in a pair of a forest: these are all the sets ever compared
@@ -419,8 +443,11 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         mixed = materialize(tiles(labels), "mixed")
         if wide is None:
             again = listed.join(mixed.select("name").distinct(), "name", "left_semi")
-            wide = materialize(_of_sets(rows, materialize(again, "again"), lambda s: signature(s, LAST_SCALE)), "wide")
-        found = materialize(_tile_pairs(signed(mixed, wide), percent, turn), "found")
+            again = materialize(again, "again")
+            shared = mixed.groupBy("name").agg(F.collect_set("list").alias("lists"))
+            wide = _of_sets(rows, again, lambda s: signature(s, LAST_SCALE)).join(shared, "name")
+            wide = materialize(wide, "wide")
+        found = materialize(_tile_pairs(signed(mixed, wide), percent, turn).select("a", "b").distinct(), "found")
         more = not found.filter("a = b").isEmpty()
         pairs = found.filter("a <> b").join(decided.select("a", "b"), ["a", "b"], "left_anti")
     named = named.join(labels.withColumnsRenamed({"node": "name"}), "name", "left") \
