@@ -7,7 +7,8 @@ so far are non-essential: a vector in none of the other, essential, postings can
 traversed; their vectors are kept while partial score plus the bounds left can reach the k-th score, and probed in
 the non-essential terms, largest bound first. The best of all shards are merged per query.
 
-Queries are taken in blocks of about ``QUERY_BLOCK`` by a hash of their id, and only one block at a time is sent to the tasks.
+Queries are taken in blocks of about ``QUERY_BLOCK`` by a hash of their id, and only one block at a time is collected, sent to the tasks
+and searched; its candidates are written before the next one.
 Rows with a null id, a null vector or a null or non-finite component take no part. Rows of one id count once (with
 several vectors: the least). Shorter vectors end in zeros. Ties go to the smaller id. Scores beyond a long saturate.
 """
@@ -82,6 +83,9 @@ class Shard:
         cut = int(np.searchsorted(sums, floor, side="left")) if floor is not None else 0
         others, essential = order[:cut][::-1], order[cut:]
         rows, score = self._essential(query, essential)
+        # a vector in no essential posting of a sparse shard scores what the others give it, below the floor; without a
+        # floor, or with one of zero or less, all terms are essential and it scores zero, which may compete
+        rest = np.setdiff1d(np.arange(len(self.ids)), rows) if floor is None or floor <= 0 else rows[:0]
         left = sums[cut - 1] if cut else 0
         if floor is not None:
             keep = score + left >= floor
@@ -94,10 +98,7 @@ class Shard:
             left = sums[cut - a - len(some) - 1] if cut - a - len(some) else 0
             keep = score + left >= floor
             rows, score = rows[keep], score[keep]
-        # a vector in no essential posting of a sparse shard scores what the others give it: below the floor,
-        # but before there is a floor every vector counts
-        if floor is None and len(rows) < len(self.ids):
-            rest = np.setdiff1d(np.arange(len(self.ids)), rows)
+        if len(rest):
             rows, score = np.concatenate([rows, rest]), np.concatenate([score, np.zeros(len(rest), score.dtype)])
         ids = self.ids[rows]
         mine = ids != own
@@ -146,7 +147,7 @@ def top_k(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vecto
         block = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").collect()
         if block:
             width = max(len(r.w) for r in block)
-            part = search_block(shards, [r.vec_id for r in block], _matrix([r.w for r in block], width), k)
+            part = materialize(search_block(shards, [r.vec_id for r in block], _matrix([r.w for r in block], width), k), "block")
             found = part if found is None else found.unionAll(part)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
