@@ -11,7 +11,9 @@ order of their permutation until the quota is met, the block at the quota's end
 Without a budget every source is taken at least once: the largest source once, the others repeated up to the limit, so no
 document is lost. Sums over sources and blocks are Spark aggregates; no list of sources, blocks or documents
 reaches the driver. Null sources form one source of their own; null and empty texts have no tokens and follow their
-block; repeated rows are dealt alike and each kept. A source without tokens gets one epoch.
+block; repeated rows are dealt alike and each kept. A source without tokens gets one epoch. Extra columns ride along under
+any name; only one that an output is named (``prefix`` and its name) gives way to the output. A quota within a thousandth of whole epochs is
+taken as whole epochs. An empty table gives an empty table; very long texts are documents of their block like any other.
 """
 
 from __future__ import annotations
@@ -104,15 +106,20 @@ def choose(shares: DataFrame, *, entropy_share: float | None = None, max_repetit
 
 def mix_sources(docs: DataFrame, *, source_col: str = "source", id_col: str = "doc_id", tokens: Column | None = None,
                 entropy_share: float | None = None, max_repetition: float | None = None,
-                budget_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
-    """All columns of ``docs`` and ``mix_source, mix_tokens, mix_weight, mix_epoch, mix_block_order, mix_doc_order``.
+                budget_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED,
+                prefix: str = "mix_") -> DataFrame:
+    """All columns of ``docs`` and ``source, tokens, weight, epoch, block_order, doc_order`` with ``prefix`` before each name.
 
     One row per copy taken. ``docs`` is read several times, so pass a table.
     """
-    keep = docs.columns
+    outputs = ["source", "tokens", "weight", "epoch", "block_order", "doc_order"]
+    taken = {(prefix + c).lower() for c in outputs}
+    # the columns of docs ride along as mix_0, mix_1, ...: no name of theirs can meet one used here
+    keep = {f"mix_{i}": c for i, c in enumerate(docs.columns) if c.lower() not in taken}
     src = F.when(F.col(source_col).isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col(source_col).cast("string")))
-    rows = docs.withColumn("mix_source", src) \
-        .withColumn("mix_tokens", tokens if tokens is not None else token_column())
+    rows = docs.select(*[F.col(f"`{c}`").alias(k) for k, c in keep.items()], src.alias("mix_source"),
+                       (tokens if tokens is not None else token_column()).alias("mix_tokens"), F.col(id_col).alias("mix_id"))
+    id_col = "mix_id"
     shares = materialize(rows.groupBy("mix_source").agg(F.sum("mix_tokens").alias("source_tokens")), "shares")
     mix = choose(shares, entropy_share=entropy_share, max_repetition=max_repetition, budget_tokens=budget_tokens)
     if mix is None:
@@ -149,7 +156,8 @@ def mix_sources(docs: DataFrame, *, source_col: str = "source", id_col: str = "d
     copies = F.col("epochs") + F.col("taken").cast("int")
     out = cut.unionByName(rest).filter(copies > 0) \
         .withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), copies - 1)))
-    return out.select(
+    out = out.select(
         *keep, "mix_source", "mix_tokens", "mix_weight", "mix_epoch",
         F.xxhash64(F.lit(seed), F.col("mix_epoch"), F.col("mix_block")).alias("mix_block_order"),
         F.xxhash64(F.lit(seed), F.col("mix_epoch"), F.col(id_col)).alias("mix_doc_order"))
+    return out.select(*[F.col(k).alias(c) for k, c in keep.items()], *[F.col(f"mix_{c}").alias(prefix + c) for c in outputs])

@@ -393,11 +393,11 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     new = materialize(cut.select("key", "kept").dropDuplicates(["key"])
                       .unionAll(whole.select("key", F.lit("").alias("kept"))), "kept")
     names = docs.columns
+    row_key, kept = (common.free_name(names, c) for c in ("repeats_key", "repeats_kept"))
     key = F.xxhash64(F.col(id_col).cast("long"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    rows = docs.withColumn("repeats_key", key)
+    rows = docs.withColumn(row_key, key)
     test = common.may_hold(docs.sparkSession, common.bitmap(new.select(common.cell_of("key").alias("cell"))))
-    hit = test(common.cell_of("repeats_key"))
-    changed = rows.filter(hit).join(new.withColumnsRenamed({"key": "repeats_key", "kept": "repeats_kept"}),
-                                    "repeats_key", "left") \
-        .withColumn(text_col, F.coalesce("repeats_kept", F.col(text_col)))
+    hit = test(common.cell_of(row_key))
+    changed = rows.filter(hit).join(new.withColumnsRenamed({"key": row_key, "kept": kept}), row_key, "left") \
+        .withColumn(text_col, F.coalesce(kept, F.col(text_col)))
     return rows.filter(~hit).select(*names).unionByName(changed.select(*names))

@@ -220,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_positive: int = MAX_POSITIV
 
 def score(docs: DataFrame, machine: Machine | None, *, threshold: float = THRESHOLD,
           id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every row, or the columns ``keep`` with ``score, predicted``.
+    """``doc_id, held_out, score, predicted`` of every row, or the columns ``keep`` (none of these names) with ``score, predicted``.
 
     The machine is broadcast: at most ``MAX_TERMS`` terms of 8 + 4 + 4 * FACTORS bytes.
     """

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from conftest import SF_SMALL
 from farewise.llm import jaccard, mixing, queries, repeats, suffixes, topk, toxicity
+from farewise.session import materialize
 
 
 def documents(spark):
@@ -45,6 +46,19 @@ def test_top_k_edge_rows(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 4 == 0).count() == 0
 
 
+@pytest.mark.parametrize("others", [[[0.0, -1.0]], [[0.0, 0.0]]])
+def test_zero_vectors_compete_below_a_floor_of_zero(spark, others):
+    # the first shard fills the list with scores of -1 or 0, later ones hold zero vectors of smaller ids
+    rows = [(100 + i, [0.0] * 7 + [1.0]) for i in range(4)] + [(i, [0.0] * 8) for i in range(1, 4)] \
+        + [(50 + i, [0.0] * 6 + others[0]) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id") == 100, k=2, scale=1, shard_rows=2).collect()
+    want = sorted((-(v[7]), i) for i, v in rows if i != 100)[:2]
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(i, -s) for s, i in want]
+    low = topk.top_k(df.filter("vec_id < 100 or vec_id = 100"), F.col("vec_id") == 100, k=2, scale=1, shard_rows=2).collect()
+    assert [r.vec_id for r in sorted(low, key=lambda r: r.rank)] == [1, 2]
+
+
 # -- Jaccard classes -----------------------------------------------------------------------------------------------
 
 def brute_classes(texts):
@@ -75,6 +89,18 @@ def test_op4_against_brute_force(spark):
     assert got == brute_classes(texts)
 
 
+def test_a_pair_apart_is_passed_on_by_one_list_only(spark):
+    sig = bytes(8)
+    rows = [(lst, 3, name, 10, True, sig, name, [x for x in (11, 12, 13) if x < lst])
+            for lst in (11, 12, 13) for name in (1, 2, 3)]
+    rows += [(12, 3, 4, 10, True, sig, 4, []), (13, 3, 4, 10, True, sig, 4, [12])]
+    tiles = spark.createDataFrame(rows, "list long, band int, name long, n long, home boolean, signature binary, label long, "
+                                        "before array<long>")
+    # a signature of no bits bounds nothing away
+    pairs = [(r.a, r.b) for r in jaccard._tile_pairs(tiles, 75, -1).collect()]
+    assert sorted(pairs) == [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)]
+
+
 def test_jaccard_large_group_and_edge_rows(spark):
     rng = random.Random(9)
     base = [f"w{k}" for k in range(60)]
@@ -265,6 +291,16 @@ def test_mixing_edge_rows(spark):
     assert mixing.mix_sources(blank, max_repetition=1.5).count() == 1
 
 
+def test_mixing_takes_any_column_names(spark):
+    docs = mixed_docs(spark)
+    odd = ["rest", "epochs", "n_blocks", "room", "cut", "taken", "mix_weight", "MIX_block", "mix_id", "mix_0", "source_tokens", "block_tokens"]
+    clash = docs.withColumns({c: F.lit(f"own {c}") for c in odd})
+    plain = mixing.mix_sources(docs, max_repetition=1.5)
+    got = mixing.mix_sources(clash, max_repetition=1.5)
+    assert Counter(map(tuple, got.select(*plain.columns).collect())) == Counter(map(tuple, plain.collect()))
+    assert got.filter("rest <> 'own rest' or mix_0 <> 'own mix_0'").count() == 0
+
+
 # -- pipeline ------------------------------------------------------------------------------------------------------
 
 def test_pipeline_stages_against_brute_force(spark):
@@ -291,6 +327,27 @@ def test_pipeline_stages_against_brute_force(spark):
     assert {r.doc_id for r in rows.collect()} == {r.doc_id for r in mixed.collect()}
 
 
+def test_pipeline_takes_any_column_names(spark):
+    docs = documents(spark).limit(40)
+    odd = ["score", "predicted", "held_out", "repeats_key", "repeats_kept", "rest", "mix_weight", "mix_epoch", "row_key", "key", "kept"]
+    docs = materialize(docs.withColumns({c: F.lit(f"own {c}") for c in odd}), "odd")
+    names, changed = docs.columns, docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        changed = materialize(stage(spark, changed, SF_SMALL), name)
+        assert changed.columns == names
+        assert changed.filter(" or ".join(f"{c} <> 'own {c}'" for c in odd)).count() == 0
+    assert changed.count() > 0
+
+
+def test_rows_of_one_id_with_unlinked_texts_stay(spark):
+    a, b, c = (" ".join(f"{p}{i}" for i in range(40)) for p in "abc")
+    rows = [(7, a), (7, b), (7, b), (9, a), (8, c), (5, b), (None, a), (3, ""), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row_key", F.lit(1))
+    kept = corpus_pipeline.keep_one_of_each(spark, materialize(docs, "rows"), SF_SMALL).collect()
+    # b stays in row 5 (the least id), a in row 7 and as the text without an id
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(7, a), (8, c), (5, b), (0, a), (3, ""), (3, "")])
+
+
 @pytest.mark.parametrize("empty", [True, False])
 def test_pipeline_edge_rows(spark, empty):
     rows = [(1, None, "en", None, 0), (1, None, "en", None, 0), (2, "", "en", "a", 0), (3, "x y " * 100, None, "a", 400),
