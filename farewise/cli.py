@@ -22,7 +22,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from farewise.config import DEFAULT, MIN_GROUP_TRIPS, SEED, TOP_N_CATEGORIES
-from farewise.session import ensure_checkpoint_dir
+from farewise.session import ensure_checkpoint_dir, scratch_scope
 
 MONEY = {
     "hourly_demand_revenue": ("total_revenue_usd",),
@@ -37,15 +37,19 @@ def _session() -> SparkSession:
 
 
 def cmd_ingest(spark, args) -> None:
-    from farewise.operators import violation_counts
-    from farewise.sources.csv import ingest_counts, ingest_csv, read_ingested
+    from pyspark.sql import types as T
 
-    out = ingest_csv(spark, args.csv, args.out)
-    counts = ingest_counts(spark, out).first().asDict()
-    kept = read_ingested(spark, out)
-    report = {**counts, **violation_counts(kept).first().asDict(), "columns": len(kept.columns)}
+    from farewise.config import trip_schema
+    from farewise.sources.csv import ingest_csv_observed, read_ingested, reject_counts
+
+    schema = trip_schema(timestamp_type=T.TimestampType() if args.timestamps == "zoned" else None)
+    report = ingest_csv_observed(spark, args.csv, args.out, schema, check_header=args.check_header,
+                                 time_zone=args.time_zone)
     print(json.dumps(report))
-    kept.printSchema()
+    if args.reasons:
+        rejects = read_ingested(spark, args.out, rejected=True)
+        print(json.dumps({r["reason"]: r["lines"] for r in reject_counts(rejects, schema, args.time_zone).collect()}))
+    read_ingested(spark, args.out).printSchema()
 
 
 def cmd_check(spark, args) -> None:
@@ -125,6 +129,10 @@ def main(argv=None) -> None:
     p = sub.add_parser("ingest")
     p.add_argument("--csv", required=True)
     p.add_argument("--out", required=True)
+    p.add_argument("--check-header", action="store_true", help="fail on a file whose header differs from the schema")
+    p.add_argument("--timestamps", choices=["wall", "zoned"], default="wall", help="TIMESTAMP_NTZ or TIMESTAMP columns")
+    p.add_argument("--time-zone", default=None, help="zone of TIMESTAMP cells (default: the session's)")
+    p.add_argument("--reasons", action="store_true", help="print the number of rejected lines per reason")
     p = sub.add_parser("check")
     p.add_argument("--trips", required=True)
     p = sub.add_parser("reports")
@@ -156,8 +164,10 @@ def main(argv=None) -> None:
     p.add_argument("--out", required=True)
     args = ap.parse_args(argv)
     spark = _session()
-    {"ingest": cmd_ingest, "check": cmd_check, "reports": cmd_reports, "ml-prepare": cmd_ml_prepare,
-     "ml-train": cmd_ml_train, "residual-report": cmd_residual_report}[args.cmd](spark, args)
+    command = {"ingest": cmd_ingest, "check": cmd_check, "reports": cmd_reports, "ml-prepare": cmd_ml_prepare,
+               "ml-train": cmd_ml_train, "residual-report": cmd_residual_report}[args.cmd]
+    with scratch_scope(spark):  # a stage leaves nothing but its outputs
+        command(spark, args)
 
 
 if __name__ == "__main__":

@@ -21,18 +21,21 @@ def profile_shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).cast("int").alias("columns"))
 
 
+def rule_counts(columns: Sequence[str], rules: Mapping[str, tuple[str, object]] | None = None,
+                within: Column | None = None) -> list[Column]:
+    """Aggregates counting the rows (of ``within``) that break each rule; rules on absent columns are skipped."""
+    rules = DEFAULT_RULES if rules is None else rules
+    present = set(columns)
+    broken = {name: pred(F.col(col)) for name, (col, pred) in rules.items() if col in present}
+    return [F.count_if(F.coalesce(b if within is None else within & b, F.lit(False))).alias(name)
+            for name, b in broken.items()]
+
+
 def violation_counts(df: DataFrame, rules: Mapping[str, tuple[str, object]] | None = None,
                      with_rows: bool = True) -> DataFrame:
     """Count rows breaking each rule in one pass; rules on absent columns are skipped."""
-    rules = DEFAULT_RULES if rules is None else rules
-    present = set(df.columns)
-    exprs: list[Column] = []
-    if with_rows:
-        exprs.append(F.count(F.lit(1)).alias("rows"))
-    for name, (col, pred) in rules.items():
-        if col in present:
-            exprs.append(F.count_if(F.coalesce(pred(F.col(col)), F.lit(False))).alias(name))
-    return df.agg(*exprs)
+    rows = [F.count(F.lit(1)).alias("rows")] if with_rows else []
+    return df.agg(*rows, *rule_counts(df.columns, rules))
 
 
 def preview(df: DataFrame, cols: Sequence[str], n: int, order_by: Sequence[str]) -> DataFrame:

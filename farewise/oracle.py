@@ -144,6 +144,18 @@ SELECT count(*) AS rows,
        count(*) FILTER (WHERE passenger_count < 0) AS negative_passenger_count,
        20::integer AS columns
 FROM trips WHERE NOT {_CSV_BAD}"""
+ORACLE["csv_reject_reasons"] = _with() + f"""
+SELECT trip_id, CASE WHEN trip_id % 37 = 0 AND trip_id % 41 = 0 THEN 'VendorID,fare_amount'
+                     WHEN trip_id % 37 = 0 THEN 'VendorID' ELSE 'fare_amount' END AS reject_reasons
+FROM trips WHERE {_CSV_BAD}"""
+ORACLE["csv_reject_counts"] = _with() + """
+SELECT 'VendorID' AS reason, count(*) AS lines FROM trips WHERE trip_id % 37 = 0 HAVING count(*) > 0
+UNION ALL
+SELECT 'fare_amount', count(*) FROM trips WHERE trip_id % 41 = 0 HAVING count(*) > 0"""
+ORACLE["csv_headers"] = _with() + f"""
+SELECT DISTINCT '{_TRIP_COLS.replace(", ", ",")}' AS header, true AS matches, NULL::integer AS first_difference FROM trips"""
+ORACLE["csv_ingest_instants"] = _with() + f"""
+SELECT trip_id, epoch_us(tpep_pickup_datetime) AS pickup_micros FROM trips WHERE NOT {_CSV_BAD}"""
 ORACLE["preview_head"] = _with() + """
 SELECT trip_id, tpep_pickup_datetime, trip_distance, total_amount FROM trips ORDER BY trip_id LIMIT 5"""
 ORACLE["profile_shape"] = _with() + "SELECT count(*) AS rows, 20::integer AS columns FROM trips"
@@ -362,6 +374,15 @@ pred AS (
 
 ORACLE["ml_fare_dataset"] = _with(MODELLING, _ML) + "SELECT * FROM ds"
 ORACLE["topn_or_other"] = _with(MODELLING, _ML) + "SELECT trip_id, pickup_grid, pickup_grid_top FROM m_top"
+ORACLE["topn_or_other_skewed"] = f"""
+WITH keyed AS (
+  SELECT l_orderkey, l_linenumber,
+         cast(CASE WHEN l_orderkey % 3 = 0 THEN -(l_suppkey % {_TOP_N}) - 1 ELSE l_orderkey END AS varchar) AS skewed_key
+  FROM lineitem
+),
+top AS (SELECT skewed_key AS k FROM keyed GROUP BY 1 ORDER BY count(*) DESC, skewed_key LIMIT {_TOP_N // 2})
+SELECT l_orderkey, l_linenumber, skewed_key, coalesce(k, 'other') AS skewed_key_top
+FROM keyed LEFT JOIN top ON skewed_key = k"""
 ORACLE["hash_sample"] = _with(MODELLING, _ML) + f"""
 SELECT trip_id, label_fare_amount FROM ds WHERE {_hash_unit('sample')} < 0.1e0"""
 ORACLE["holdout_split"] = _with(MODELLING, _ML) + "SELECT trip_id, is_test FROM split"

@@ -12,8 +12,9 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from farewise.config import DEFAULT, P_HIGH, P_LOW, P_MEDIAN, PAYMENT_LABELS, PAYMENT_OTHER
+from farewise.config import DEFAULT, P_HIGH, P_LOW, P_MEDIAN, PAYMENT_LABELS, PAYMENT_OTHER, trip_schema
 from farewise.functions import (
     bucketize, decode, duration_minutes, grid_bin, grid_id, share, sum_components, unit_rate,
 )
@@ -21,12 +22,15 @@ from farewise.operators import (
     bernoulli_sample, clean, drop_incomplete, hash_sample, holdout_split, keep_top_n, percentiles, preview,
     profile_shape, rate_guard, violation_counts, with_fare_per_mile, with_group_stat, within_bbox,
 )
+from farewise.operators.quality import DEFAULT_RULES
 from farewise.plans import modelling as ml
 from farewise.plans import reports
 from farewise.plans.features import GRID, LAT_BIN, LON_BIN, prepare, with_baseline_deviation, with_calendar
 from farewise.session import scratch_path
 from farewise.sources import TRIP_KEY, load_trips, table_path, trips_table
-from farewise.sources.csv import ingest_counts, ingest_csv, read_ingested
+from farewise.sources.csv import (
+    REASONS, file_headers, ingest_counts, ingest_csv, ingest_csv_observed, read_ingested, reject_counts, reject_reasons,
+)
 from farewise.sources.fixture import write_trips_csv
 from farewise.sources.parquet import read_trips_parquet, write_parquet
 from farewise.sources.report import read_report_csv, write_report_csv
@@ -113,9 +117,44 @@ def _q_stream_ingest(spark, sf_dir):
 
 @register("ingest_report")
 def _q_ingest_report(spark, sf_dir):
-    """Shape and rule violations of the kept rows of a CSV ingest (one pass over its output)."""
-    kept = read_ingested(spark, _ingest(spark, sf_dir))
-    return violation_counts(kept).withColumn("columns", F.lit(len(kept.columns)).cast("int"))
+    """Shape and rule violations of the kept rows of a CSV ingest, observed by the writing job."""
+    src, schema = _fixture_csv(spark, sf_dir)
+    seen = ingest_csv_observed(spark, src, scratch_path(spark, "trips-ingest"), schema)
+    names = ["rows", *DEFAULT_RULES, "columns"]
+    ddl = ", ".join(f"{name} {'int' if name == 'columns' else 'long'}" for name in names)
+    return spark.createDataFrame([tuple(seen[name] for name in names)], ddl)
+
+
+@register("csv_reject_reasons")
+def _q_reject_reasons(spark, sf_dir):
+    """Every rejected line with the columns whose cells did not parse."""
+    src, schema = _fixture_csv(spark, sf_dir)
+    rejects = read_ingested(spark, ingest_csv(spark, src, scratch_path(spark, "trips-ingest"), schema), rejected=True)
+    return reject_reasons(rejects, schema).select(TRIP_KEY, F.array_join(REASONS, ",").alias(REASONS))
+
+
+@register("csv_reject_counts")
+def _q_reject_counts(spark, sf_dir):
+    src, schema = _fixture_csv(spark, sf_dir)
+    rejects = read_ingested(spark, ingest_csv(spark, src, scratch_path(spark, "trips-ingest"), schema), rejected=True)
+    return reject_counts(rejects, schema)
+
+
+@register("csv_headers")
+def _q_csv_headers(spark, sf_dir):
+    """The distinct headers of the CSV files, compared with the schema."""
+    src, schema = _fixture_csv(spark, sf_dir)
+    return file_headers(spark, src, schema).select("header", "matches", "first_difference").distinct()
+
+
+@register("csv_ingest_instants")
+def _q_csv_instants(spark, sf_dir):
+    """Pickup cells ingested as TIMESTAMP in a stated zone (UTC), as microseconds since the epoch."""
+    src, _ = _fixture_csv(spark, sf_dir)
+    schema = trip_schema(with_key=TRIP_KEY, timestamp_type=T.TimestampType())
+    out = ingest_csv(spark, src, scratch_path(spark, "trips-ingest"), schema, check_header=True, time_zone="UTC")
+    pickup = DEFAULT.cols.pickup_ts
+    return read_ingested(spark, out).select(TRIP_KEY, F.unix_micros(pickup).alias("pickup_micros"))
 
 
 @register("report_csv_roundtrip")
@@ -446,6 +485,15 @@ def _q_topn(spark, sf_dir):
     return keep_top_n(df, GRID, TOP_N_TEST, "pickup_grid_top").select(TRIP_KEY, GRID, "pickup_grid_top")
 
 
+@register("topn_or_other_skewed")
+def _q_topn_skewed(spark, sf_dir):
+    """Suppliers of every third order, else the order: a few frequent keys among very many rare ones."""
+    li = spark.read.parquet(table_path(sf_dir, "lineitem"))
+    key = F.when(F.col("l_orderkey") % 3 == 0, -(F.col("l_suppkey") % TOP_N_TEST) - 1).otherwise(F.col("l_orderkey"))
+    keyed = li.select("l_orderkey", "l_linenumber", key.cast("string").alias("skewed_key"))
+    return keep_top_n(keyed, "skewed_key", TOP_N_TEST // 2, "skewed_key_top", method="buckets")
+
+
 @register("hash_sample")
 def _q_hash_sample(spark, sf_dir):
     return hash_sample(_dataset(spark, sf_dir), 0.1, key=TRIP_KEY).select(TRIP_KEY, ml.LABEL)

@@ -9,8 +9,6 @@ doubles.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,7 +58,7 @@ TRIP_KEY = "trip_id"
 
 
 def table_path(sf_dir: str, name: str) -> str:
-    return os.path.join(sf_dir, f"{name}.parquet")
+    return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
 def trips_from_events(events: DataFrame) -> DataFrame:
@@ -80,14 +78,6 @@ def load_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TABLES: dict[tuple, str] = {}
 
 
-def _is_local(path: str) -> bool:
-    return path.startswith("file:") or "://" not in path
-
-
-def _local(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
 def trips_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trips of ``sf_dir`` as a Parquet table, like the processed table the reports read.
 
@@ -95,20 +85,12 @@ def trips_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     by the events file, so later queries scan compact Parquet (profile filters
     reach the reader as pushed filters) instead of re-deriving every column.
     """
-    from farewise.session import scratch_path
+    from farewise.session import path_exists, path_stamp, scratch_path
     from farewise.sources.parquet import write_parquet
 
-    events = table_path(sf_dir, "events")
-    try:
-        st = os.stat(events)
-        stamp = (st.st_size, st.st_mtime_ns)
-    except OSError:
-        stamp = ()
-    key = (os.path.abspath(sf_dir), stamp, spark.sparkContext.applicationId)
+    key = (*path_stamp(spark, table_path(sf_dir, "events")), spark.sparkContext.applicationId)
     path = _TABLES.get(key)
-    if path is not None and _is_local(path) and not os.path.exists(os.path.join(_local(path), "_SUCCESS")):
-        path = None  # a local scratch folder was removed meanwhile
-    if path is None:
+    if path is None or not path_exists(spark, f"{path}/_SUCCESS"):  # a scratch folder may have been removed meanwhile
         path = write_parquet(load_trips(spark, sf_dir), scratch_path(spark, "trips"))
         _TABLES[key] = path
     return spark.read.parquet(path)

@@ -12,7 +12,7 @@ from farewise.functions import (
     bucketize, decode, duration_minutes, is_weekend, pickup_hour, sum_components, unit_rate,
 )
 from farewise.operators import (
-    clean, drop_incomplete, keep_top_n, percentiles, preview, profile_shape, rate_guard, top_k,
+    clean, drop_incomplete, keep_top_n, percentiles, preview, profile_shape, rate_guard, top_k, top_keys,
     violation_counts, within_bbox,
 )
 from farewise.plans import reports
@@ -297,3 +297,21 @@ def test_kll_two_level_merge_with_hot_group(spark):
         vs = [v for k, v in rows if k == g]
         assert got[g].n == len(vs)
         assert got[g].p50 == _disc(vs, 0.5) and got[g].p99 == _disc(vs, 0.99)
+
+
+def test_top_keys_by_buckets_equals_the_full_count(spark):
+    from pyspark.sql import functions as F
+
+    # a third of the rows hold three hot keys, the rest some 6,000 keys; nulls take no part
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") % 3 == 0, F.col("id") % 9 - 100).when(F.col("id") % 101 == 0, None)
+        .otherwise(F.col("id") % 6000).alias("k"))
+    for n in (0, 1, 3, 5):                            # beyond three keys the bound does not decide
+        for buckets in (2, 64, 4096):
+            want = [tuple(r) for r in top_keys(rows, "k", n).collect()]
+            assert [tuple(r) for r in top_keys(rows, "k", n, "buckets", buckets).orderBy(F.desc("_n"), "k").collect()] == want
+    assert top_keys(rows.limit(0), "k", 3, "buckets").count() == 0
+    few = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "k string")
+    assert [tuple(r) for r in top_keys(few, "k", 9, "buckets").orderBy("k").collect()] == [("a", 2), ("b", 1)]
+    kept = keep_top_n(few, "k", 1, "top", method="buckets").collect()
+    assert sorted(r.top for r in kept) == ["a", "a", "other", "other"]
