@@ -1,15 +1,18 @@
 """Row filters and the five named cleaning profiles.
 
-Filters on raw columns come first so that Catalyst can push them into the
-Parquet scan; filters on derived columns (duration, fare per mile) follow.
+A profile is one condition over raw columns, stated once: ``clean`` filters by
+it (Catalyst pushes its comparisons into the Parquet scan) and the report
+suite masks values with it.
 The profiles differ on purpose (>= vs >, guards, bounds) and are kept apart.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farewise.config import DEFAULT, FareConfig
@@ -49,54 +52,63 @@ def with_fare_per_mile(df: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:
     return df.withColumn(FARE_PER_MILE, unit_rate(cfg.cols.fare, cfg.cols.distance))
 
 
-def _analytics(df: DataFrame, cfg: FareConfig) -> DataFrame:
+def _known(*cols: str) -> Column:
+    return reduce(and_, [F.col(c).isNotNull() for c in cols])
+
+
+def _analytics(cfg: FareConfig) -> Column:
     c = cfg.cols
-    df = require_not_null(df, [c.pickup_ts, c.dropoff_ts, c.distance, c.total])
-    df = df.filter((F.col(c.distance) >= 0) & (F.col(c.total) >= 0))
-    df = df.withColumn(TRIP_MINUTES, duration_minutes(c.pickup_ts, c.dropoff_ts))
-    return df.filter((F.col(TRIP_MINUTES) > 0) & (F.col(TRIP_MINUTES) < cfg.max_trip_minutes))
+    minutes = duration_minutes(c.pickup_ts, c.dropoff_ts)
+    return (_known(c.pickup_ts, c.dropoff_ts, c.distance, c.total) & (F.col(c.distance) >= 0) & (F.col(c.total) >= 0)
+            & (minutes > 0) & (minutes < cfg.max_trip_minutes))
 
 
-def _baseline(df: DataFrame, cfg: FareConfig) -> DataFrame:
+def _baseline(cfg: FareConfig) -> Column:
     c = cfg.cols
-    df = require_not_null(df, [c.distance, c.fare])
-    return df.filter((F.col(c.distance) > 0) & (F.col(c.fare) >= 0))
+    return _known(c.distance, c.fare) & (F.col(c.distance) > 0) & (F.col(c.fare) >= 0)
 
 
-def _deviation(df: DataFrame, cfg: FareConfig) -> DataFrame:
+def _deviation(cfg: FareConfig) -> Column:
     c = cfg.cols
-    df = require_not_null(df, [c.distance, c.fare, c.pickup_ts])
-    df = df.filter((F.col(c.distance) > 0) & (F.col(c.fare) > 0))
-    return rate_guard(with_fare_per_mile(df, cfg), cfg=cfg)
+    rate = unit_rate(c.fare, c.distance)
+    return (_known(c.distance, c.fare, c.pickup_ts) & (F.col(c.distance) > 0) & (F.col(c.fare) > 0)
+            & (rate >= cfg.rate_guard[0]) & (rate <= cfg.rate_guard[1]))
 
 
-def _decomposition(df: DataFrame, cfg: FareConfig) -> DataFrame:
+def _decomposition(cfg: FareConfig) -> Column:
     c = cfg.cols
-    df = require_not_null(df, [c.pickup_ts, c.pickup_lat, c.pickup_lon])
-    df = df.filter((F.col(c.distance) > 0) & (F.col(c.fare) > 0))
-    df = within_bbox(df, cfg)
-    return rate_guard(with_fare_per_mile(df, cfg), cfg=cfg)
+    return (_deviation(cfg) & _known(c.pickup_lat, c.pickup_lon)
+            & bbox_predicate(c.pickup_lat, c.pickup_lon, cfg.bbox_lat, cfg.bbox_lon))
 
 
-def _modelling(df: DataFrame, cfg: FareConfig) -> DataFrame:
+def _modelling(cfg: FareConfig) -> Column:
     c = cfg.cols
-    df = require_not_null(df, [c.distance, c.fare, c.pickup_ts, c.dropoff_ts, c.pickup_lat, c.pickup_lon])
-    df = df.filter((F.col(c.distance) > 0) & (F.col(c.fare) > 0))
-    df = within_bbox(df, cfg)
-    df = rate_guard(with_fare_per_mile(df, cfg), cfg=cfg)
-    df = df.withColumn(TRIP_DURATION_MINS, duration_minutes(c.pickup_ts, c.dropoff_ts))
-    return df.filter((F.col(TRIP_DURATION_MINS) > 0) & (F.col(TRIP_DURATION_MINS) <= cfg.max_trip_minutes))
+    minutes = duration_minutes(c.pickup_ts, c.dropoff_ts)
+    return _decomposition(cfg) & _known(c.dropoff_ts) & (minutes > 0) & (minutes <= cfg.max_trip_minutes)
 
 
+#: Profile -> (rows it keeps, names of the columns it adds).
 PROFILES = {
-    "analytics": _analytics,
-    "baseline": _baseline,
-    "deviation": _deviation,
-    "decomposition": _decomposition,
-    "modelling": _modelling,
+    "analytics": (_analytics, (TRIP_MINUTES,)),
+    "baseline": (_baseline, ()),
+    "deviation": (_deviation, (FARE_PER_MILE,)),
+    "decomposition": (_decomposition, (FARE_PER_MILE,)),
+    "modelling": (_modelling, (FARE_PER_MILE, TRIP_DURATION_MINS)),
 }
 
 
+def _profile(profile: str):
+    try:
+        return PROFILES[profile]
+    except KeyError:
+        raise ValueError(f"unknown profile {profile!r}; choose from {sorted(PROFILES)}") from None
+
+
+def profile_predicate(profile: str, cfg: FareConfig = DEFAULT) -> Column:
+    """The rows that a profile keeps, as one condition (null where a compared value is null)."""
+    return _profile(profile)[0](cfg)
+
+
 def clean(df: DataFrame, profile: str, cfg: FareConfig = DEFAULT) -> DataFrame:
     """Apply a named cleaning profile.
 
@@ -109,8 +121,9 @@ def clean(df: DataFrame, profile: str, cfg: FareConfig = DEFAULT) -> DataFrame:
     modelling      decomposition + dropoff not null; 0 < trip_duration_mins <= 180
                    (adds ``fare_per_mile``, ``trip_duration_mins``)
     """
-    try:
-        step = PROFILES[profile]
-    except KeyError:
-        raise ValueError(f"unknown profile {profile!r}; choose from {sorted(PROFILES)}") from None
-    return step(df, cfg)
+    predicate, added = _profile(profile)
+    c = cfg.cols
+    derived = {FARE_PER_MILE: unit_rate(c.fare, c.distance), TRIP_MINUTES: duration_minutes(c.pickup_ts, c.dropoff_ts),
+               TRIP_DURATION_MINS: duration_minutes(c.pickup_ts, c.dropoff_ts)}
+    kept = df.filter(predicate(cfg))
+    return kept.withColumns({name: derived[name] for name in added}) if added else kept

@@ -33,7 +33,7 @@ from farewise.functions import (
 )
 from farewise.functions import within_bbox as in_bbox
 from farewise.operators import SET_COL, clean, group_stats_sets, with_group_stat
-from farewise.operators.profiles import FARE_PER_MILE
+from farewise.operators.profiles import FARE_PER_MILE, profile_predicate
 from farewise.plans import reports as R
 from farewise.plans.features import HOUR, LAT_BIN, LON_BIN, MEDIAN_RATE, REGIME, WEEKEND
 from farewise.session import materialize
@@ -52,16 +52,11 @@ _FARE_REPORTS = ("regime_baseline", "regime_deviation_summary", "deviation_by_ti
 def fares_frame(trips: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:
     """Baseline-profile rows with the features of R5-R10 and membership flags of the
     deviation profile (``_dev``) and the decomposition profile (``_dec``).
-
-    deviation = baseline and fare > 0 and pickup time known and the rate guard;
-    decomposition = deviation and pickup inside the bounding box.
     """
     c = cfg.cols
-    lo, hi = cfg.rate_guard
     rate = F.col(FARE_PER_MILE)
     base = clean(trips, "baseline", cfg).withColumn(FARE_PER_MILE, unit_rate(c.fare, c.distance))
-    dev = (F.col(c.fare) > 0) & F.col(c.pickup_ts).isNotNull() & (rate >= lo) & (rate <= hi)
-    dec = dev & in_bbox(c.pickup_lat, c.pickup_lon, cfg.bbox_lat, cfg.bbox_lon)
+    dev, dec = profile_predicate("deviation", cfg), profile_predicate("decomposition", cfg)
     fixed = sum_components([c.extra, c.mta_tax, c.surcharge])
     tolls = F.coalesce(F.col(c.tolls), F.lit(0.0))
     return base.select(
@@ -82,15 +77,9 @@ def first_pass_frame(trips: DataFrame, cfg: FareConfig = DEFAULT) -> DataFrame:
     baselines (the deviation baseline over the deviation-profile rows).
     """
     c = cfg.cols
-    lo, hi = cfg.rate_guard
     secs = duration_seconds(c.pickup_ts, c.dropoff_ts)
-    minutes = secs / F.lit(60.0)
-    ana = (F.col(c.pickup_ts).isNotNull() & F.col(c.dropoff_ts).isNotNull() & F.col(c.distance).isNotNull()
-           & F.col(c.total).isNotNull() & (F.col(c.distance) >= 0) & (F.col(c.total) >= 0)
-           & (minutes > 0) & (minutes < F.lit(cfg.max_trip_minutes)))
-    base = F.col(c.distance).isNotNull() & F.col(c.fare).isNotNull() & (F.col(c.distance) > 0) & (F.col(c.fare) >= 0)
+    ana, base, dev = (profile_predicate(p, cfg) for p in ("analytics", "baseline", "deviation"))
     rate = unit_rate(c.fare, c.distance)
-    dev = base & (F.col(c.fare) > 0) & F.col(c.pickup_ts).isNotNull() & (rate >= lo) & (rate <= hi)
     inside = in_bbox(c.pickup_lat, c.pickup_lon, cfg.bbox_lat, cfg.bbox_lon)
     # distance >= 0 is implied by both profiles and, unlike their OR, reaches the Parquet reader
     flagged = trips.filter(F.col(c.distance) >= 0).withColumns({
