@@ -285,10 +285,10 @@ def _dealt_windows(segments: DataFrame, length: int) -> DataFrame:
     windows = materialize(distinct.select("id", "segment").mapInArrow(common.released(cut, _tables), "id long, at int, window binary"),
                           "heavy-windows")
     counts = materialize(windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1"), "heavy-counts")
-    common = F.broadcast(counts.filter(F.col("n") > COMMON_WINDOWS).select("window"))
-    rest = windows.join(common, "window", "left_anti") \
+    frequent = F.broadcast(counts.filter(F.col("n") > COMMON_WINDOWS).select("window"))
+    rest = windows.join(frequent, "window", "left_anti") \
         .join(counts.filter(F.col("n") <= COMMON_WINDOWS).select("window"), "window")
-    found = rest.unionByName(windows.join(common, "window")).join(
+    found = rest.unionByName(windows.join(frequent, "window")).join(
         distinct.filter("copies > 1").select("id"), "id", "left_anti")
     hits = found.groupBy("id").agg(F.collect_list("at").alias("ats")) \
         .mapInArrow(common.released(hit_ranges, _tables), "id long, hits array<struct<a: long, b: long>>")

@@ -185,6 +185,16 @@ def test_heavy_anchors_are_dealt_by_windows(spark, monkeypatch):
     assert all(r.n <= 2000 for r in sorted_at_once[0].groupBy("anchor").agg(size.alias("n")).collect())
 
 
+def test_texts_with_heavy_anchors_are_cut(spark, monkeypatch):
+    passage = "".join(random.Random(12).choices("abcdefgh", k=60))
+    rows = [(i, chr(65 + i) * 3 + passage + chr(65 + i) * 2) for i in range(20)] + [(30, "short"), (31, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = repeats.heavy_anchors
+    monkeypatch.setattr(repeats, "heavy_anchors", lambda segments, _: plain(segments, 0))
+    got = {r.doc_id: r.text for r in repeats.without_repeats(df, length=24, gram=8).collect()}
+    assert got == {i: chr(65 + i) * 5 for i in range(20)} | {30: "short", 31: None}
+
+
 # -- toxicity ------------------------------------------------------------------------------------------------------
 
 def test_machine_learns_an_interaction():
