@@ -145,6 +145,22 @@ def test_forest_does_not_depend_on_partitions_and_predicts_by_its_table(spark, d
     assert few.count() < a.count() and fit_forest(dataset.limit(0), *args).count() == 0
 
 
+def test_the_node_table_does_not_reach_the_driver(spark, dataset, monkeypatch):
+    """Prediction collects 14 bytes a node, packed in tasks, and a forest without nodes predicts nothing."""
+    from farewise.plans import forest as f
+
+    args = (ml.NUM_FEATURES, ml.CAT_FEATURES)
+    nodes = f.fit_forest(dataset, ml.LABEL, *args, TRIP_KEY, num_trees=6)
+    monkeypatch.setattr(type(nodes), "toPandas", None)
+    packed, _ = f.pack_trees(nodes, *args)
+    size = {r.tree: len(r.packed) for r in packed.collect()}
+    assert size == {r.tree: 14 * r["count"] for r in nodes.groupBy("tree").count().collect()} and len(size) == 6
+    means = f.predict(nodes, dataset, *args, "p").agg(F.avg("p").alias("p"), F.avg(ml.LABEL).alias("y")).first()
+    assert means.p == pytest.approx(means.y, rel=0.05)
+    none = f.predict(nodes.limit(0), dataset.limit(3), *args, "p").collect()
+    assert [r.p for r in none] == [None] * 3
+
+
 def test_residual_cube_equals_the_single_reports(dataset):
     _, test = ml.train_and_evaluate(dataset, TRIP_KEY, with_forest=False)
     res = ml.residual_table(test, {ml.ERR0: ml.PRED0}, key=TRIP_KEY)
