@@ -7,11 +7,12 @@ seed alone, so the forest does not depend on partitions or lost executors. No li
 
 The forest is the node table ``tree, node, feature, threshold, category, left, right, value``, written as Parquet. It has at most
 num_trees * 2 * rows / min_instances nodes, a bound that does not grow with the data, so prediction sends it to the tasks. Tasks pack
-it first, a tree at a time, into 14 bytes a node: only these reach the driver, never the table (2 million nodes: 28 MB).
+it first, a tree at a time, into 14 bytes a node (2 million nodes: 28 MB) and deflate them: only these reach the driver, never the table.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -162,18 +163,36 @@ def pack_trees(nodes: DataFrame, num_cols: Sequence[str], cat_cols: Sequence[str
     return nodes.groupBy("tree").applyInPandas(pack, "tree int, packed binary"), labels
 
 
+def deflated(tree: bytes) -> bytes:
+    """A packed tree, one field of all its nodes after the other, deflated."""
+    nodes = np.frombuffer(tree, PACKED)
+    return zlib.compress(b"".join(nodes[k].tobytes() for k in PACKED.names))
+
+
+def inflated(tree: bytes) -> np.ndarray:
+    """The nodes of a deflated tree as ``PACKED`` records."""
+    raw = zlib.decompress(tree)
+    out, at = np.empty(len(raw) // PACKED.itemsize, PACKED), 0
+    for k in PACKED.names:
+        out[k] = np.frombuffer(raw, PACKED[k], len(out), at)
+        at += len(out) * PACKED[k].itemsize
+    return out
+
+
 def predict(nodes: DataFrame, df: DataFrame, num_cols: Sequence[str], cat_cols: Sequence[str], out: str) -> DataFrame:
     """``df`` with the mean over all trees as ``out``; its other columns pass through the tasks unchanged."""
     cols = [*num_cols, *cat_cols]
     packed, labels = pack_trees(nodes, num_cols, cat_cols)
-    trees = [r.packed for r in sorted(packed.collect())]  # bounded, see the module
-    roots = np.cumsum([0, *[len(t) // PACKED.itemsize for t in trees]])[:-1]
-    shared = df.sparkSession.sparkContext.broadcast((roots, b"".join(trees)))
+    small = F.pandas_udf(lambda trees: trees.map(deflated), "binary")
+    trees = packed.select("tree", small("packed").alias("packed")).collect()  # bounded, see the module
+    shared = df.sparkSession.sparkContext.broadcast([bytes(r.packed) for r in sorted(trees)])
+    del trees
     n_num = len(num_cols)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        roots, trees = shared.value
-        forest = np.frombuffer(trees, PACKED)
+        trees = [inflated(t) for t in shared.value]
+        roots = np.cumsum([0, *[len(t) for t in trees]])[:-1]
+        forest = np.concatenate([np.empty(0, PACKED), *trees])
         col, cut, left = (np.ascontiguousarray(forest[k]) for k in PACKED.names)
         for batch in batches:
             x = np.empty((len(batch), len(cols)))

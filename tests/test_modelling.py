@@ -161,6 +161,17 @@ def test_the_node_table_does_not_reach_the_driver(spark, dataset, monkeypatch):
     assert [r.p for r in none] == [None] * 3
 
 
+def test_trees_reach_the_driver_deflated(spark, dataset):
+    """A tree comes back as it was, and takes less than 10 of its 14 bytes a node."""
+    from farewise.plans import forest as f
+
+    args = (ml.NUM_FEATURES, ml.CAT_FEATURES)
+    nodes = f.fit_forest(dataset, ml.LABEL, *args, TRIP_KEY, num_trees=2)
+    for r in f.pack_trees(nodes, *args)[0].collect():
+        tree = bytes(r.packed)
+        assert f.inflated(f.deflated(tree)).tobytes() == tree and len(f.deflated(tree)) < 10 / 14 * len(tree)
+
+
 def test_residual_cube_equals_the_single_reports(dataset):
     _, test = ml.train_and_evaluate(dataset, TRIP_KEY, with_forest=False)
     res = ml.residual_table(test, {ml.ERR0: ml.PRED0}, key=TRIP_KEY)
