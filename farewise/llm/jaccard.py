@@ -10,10 +10,10 @@
    bit flipped per shingle) bound the overlap from above: |x & y| <= (|x| + |y| - bits that differ) / 2. A tile passes on a
    spanning forest of the pairs within the bound, never all pairs of a group. Sets of one group share many lists, so
    each set first stands in its largest tile alone; the tiles of all lists then pass on only pairs that join what those
-   forests left apart.
+   forests left apart. A set that has no other within the bound in a tile leaves this tile for good.
 4. The pairs are decided by exact intersection of the sorted arrays. Where pairs of a forest fail, the tiles of several
    classes are read again with wider signatures. A tile with few pairs between its classes within the bound passes on
-   all of those that share no earlier list, another one a forest between classes, by other pairs each time, while that links much; at last every
+   all of those that share no earlier list and is done, another one a forest between classes, by other pairs each time, while that links much; at last every
    pair within the bound whose sets are still in different classes is decided, so no link is lost.
 5. Components of the links give each document the least doc_id of its class.
 
@@ -190,7 +190,10 @@ def _common_cells(scanned: DataFrame, bits: int, above: int) -> np.ndarray:
 
 
 def _lists(docs: DataFrame, bits: int, percent: int, cells: np.ndarray) -> DataFrame:
-    """``list, name, n``: the distinct lists of two or more sets that share a prefix shingle."""
+    """``list, name, n``: the distinct lists of two or more sets that share a prefix shingle.
+
+    A list ends where the sizes leave so wide a gap that no set before it can link with one behind it.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(cells)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,9 +217,10 @@ def _lists(docs: DataFrame, bits: int, percent: int, cells: np.ndarray) -> DataF
         parts = [np.frombuffer(b, np.uint32) for b in rows["low"]]
         who = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         low = np.concatenate(parts)
-        order = np.lexsort((who, low))
+        order = np.lexsort((sizes[who], low))
         low, who = low[order], who[order]
-        at = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
+        size = sizes[who]
+        at = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (100 * size[:-1] < percent * size[1:])])
         count = np.diff(np.r_[at, len(low)])
         with np.errstate(over="ignore"):
             named = np.add.reduceat(mix64(names[who].astype(np.uint64)), at)
@@ -234,7 +238,7 @@ def _lists(docs: DataFrame, bits: int, percent: int, cells: np.ndarray) -> DataF
 
 
 def _of_sets(docs: DataFrame, wanted: DataFrame, make) -> DataFrame:
-    """``name, value`` with value = make(set) of each wanted (name, first): one scan, one shuffle of what is wanted."""
+    """``name, value`` with value = make(set) of each wanted (name, first, and more that is kept): one scan, one shuffle of what is wanted."""
     test = common.may_hold(docs.sparkSession, common.bitmap(wanted.select(common.cell_of("first").alias("cell"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,8 +249,8 @@ def _of_sets(docs: DataFrame, wanted: DataFrame, make) -> DataFrame:
                 "value": pa.array([make(s) for s in sets], pa.binary())})
 
     made = docs.filter(test(common.cell_of("doc_id"))).mapInArrow(common.released(run, _tables), "doc_id long, name long, value binary")
-    # the same doc_id and text may stand in several rows
-    return made.join(wanted, "name").filter("doc_id = first").select("name", "value").dropDuplicates(["name"])
+    # the same doc_id and text may stand in several rows; by both keys of the join, for no second shuffle of the values
+    return made.join(wanted, "name").filter("doc_id = first").dropDuplicates(["name", "doc_id"]).drop("doc_id", "first")
 
 
 def join(joined: dict[int, int], a: int, b: int) -> bool:
@@ -290,17 +294,21 @@ class Tile:
     def forest(self, joined: dict[int, int]) -> list[tuple[int, int, int]]:
         """Pairs that join all sets which may link, each set entered once; none within a label or what ``joined`` joins.
 
-        The third of each is a set that stands for all that the tile joins with the two.
+        The third of each is a set that stands for all that the tile joins with the two. ``alone`` gets the sets that may link with none.
         """
-        out, left = [], np.arange(len(self.names))
+        out, left, self.alone = [], np.arange(len(self.names)), []
         while len(left) > 1:
             root, queue, left = int(left[0]), [left[0]], left[1:]
+            rest = len(left)
             while queue and len(left):
                 i = queue.pop()
                 hit = self.near(i, left)
                 out += [(i, j, root) for j in hit.tolist() if join(joined, int(self.labels[i]), int(self.labels[j]))]
                 queue += hit.tolist()
                 left = np.setdiff1d(left, hit, assume_unique=True)
+            if len(left) == rest:
+                self.alone.append(root)
+        self.alone += left.tolist()
         return out
 
     def between(self, turn: int, joined: dict[int, int]) -> list[tuple[int, int]]:
@@ -331,21 +339,27 @@ class Tile:
         return out
 
 
-def _tile_pairs(tiles: DataFrame, percent: int, turn: int) -> DataFrame:
+def _tile_pairs(tiles: DataFrame, percent: int, turn: int, alone: bool = False) -> DataFrame:
     """Pairs ``a, b`` to decide, ``root`` for all that a tile's forest joins: forests between labels (turn 0), all apart, but a forest of classes where those are
-    many (turn > 0), or all apart (turn < 0). A pair of a set with itself marks a tile that may hold more pairs.
+    many (turn > 0), or all apart (turn < 0). A pair of a set with itself marks a tile (``list``, ``band``) that may hold more pairs.
+    With ``alone`` (turn 0) such rows name the sets that may link with none in that tile.
     """
+    fields = {"a": pa.int64(), "b": pa.int64(), "root": pa.int64(), "list": pa.int64(), "band": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
+        def pairs(tile: tuple, rows: list[tuple]) -> list[tuple]:
             if len(rows) < 2 or not any(r[2] for r in rows):
                 return []
             t = Tile(rows, percent)
             found = t.apart(FEW_APART * len(rows) if turn > 0 else None) if turn else t.forest(joined)
-            if found is None:
-                found = [*t.between(turn, joined), (0, 0)]
-            return [(min(a, b), max(a, b), int(t.names[root[0] if root else i])) for i, j, *root in found
+            marked = t.names[:1] if found is None else t.names[t.alone] if alone else t.names[:0]
+            found = t.between(turn, joined) if found is None else found
+            found = [(min(a, b), max(a, b), int(t.names[root[0] if root else i]), None, None) for i, j, *root in found
                     for a, b in [(int(t.names[i]), int(t.names[j]))]]
+            return found + [(a, a, a, *tile) for a in marked.tolist()]
+
+        def batch_of(out: set) -> pa.RecordBatch:
+            return pa.record_batch({n: pa.array([p[k] for p in out], t) for k, (n, t) in enumerate(fields.items())})
 
         key, rows, out = None, [], set()
         joined: dict[int, int] = {}
@@ -353,17 +367,17 @@ def _tile_pairs(tiles: DataFrame, percent: int, turn: int) -> DataFrame:
             cols = [batch.column(c).to_pylist() for c in ("list", "band", "name", "n", "home", "signature", "label", "before")]
             for lst, band, *row in zip(*cols):
                 if (lst, band) != key:
-                    out.update(pairs(rows))
+                    out.update(pairs(key, rows))
                     key, rows = (lst, band), []
                 rows.append(tuple(row))
             if len(out) > 100_000:
-                yield pa.record_batch({n: pa.array([p[k] for p in out], pa.int64()) for k, n in enumerate(("a", "b", "root"))})
+                yield batch_of(out)
                 out = set()
-        out.update(pairs(rows))
-        yield pa.record_batch({n: pa.array([p[k] for p in out], pa.int64()) for k, n in enumerate(("a", "b", "root"))})
+        out.update(pairs(key, rows))
+        yield batch_of(out)
 
     spread = tiles.repartition("list", "band").sortWithinPartitions("list", "band", "n", "name")
-    return spread.mapInArrow(common.released(run, _tables), "a long, b long, root long")
+    return spread.mapInArrow(common.released(run, _tables), "a long, b long, root long, list long, band int")
 
 
 def _decide(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -385,6 +399,13 @@ def _decide(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .mapInArrow(common.released(run, _tables), "a long, b long, linked boolean")
 
 
+def _sets_of(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets of some pairs, and a few others: the rest need not be shuffled."""
+    ends = pairs.select(F.col("a").alias("name")).unionAll(pairs.select("b"))
+    test = common.may_hold(sets.sparkSession, common.bitmap(ends.select(common.cell_of("name").alias("cell"))))
+    return sets.filter(test(common.cell_of("name")))
+
+
 def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT,
                     common_above: int = COMMON) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row. ``docs`` is read several times, so pass a table."""
@@ -399,37 +420,40 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     bounds = F.array(*[F.lit(e).cast("long") for e in edges])
     band = F.size(F.filter(bounds, lambda e: e <= F.col("n")))
 
-    def tiles(labels: DataFrame | None) -> DataFrame:
-        """Rows of the tiles in which sets of different labels may meet (without labels: any two sets), no signatures yet."""
-        named = lists.withColumn("label", F.col("name")) if labels is None else lists.join(
-            labels.withColumnsRenamed({"node": "name"}), "name", "left").withColumn("label", F.coalesce("label", "name"))
-        rows = named.withColumn("role", F.explode(F.array(F.lit(0), F.lit(1)))) \
-            .withColumn("band", band + F.col("role")).withColumn("home", F.col("role") == 0).drop("role")
+    def mixed_tiles(rows: DataFrame) -> DataFrame:
+        """Rows of the tiles in which sets of different labels may meet, no signatures yet."""
         mixed = rows.groupBy("list", "band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("home").alias("h"),
                                                  F.count("*").alias("members"))
         return rows.join(mixed.filter("h and x <> y").select("list", "band", "members"), ["list", "band"])
 
+    def tiles(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        labels = labels.withColumnsRenamed({"node": "name"})
+        return mixed_tiles(rows.drop("label", "members").join(labels, "name", "left").withColumn("label", F.coalesce("label", "name")))
+
     def signed(rows: DataFrame, signatures: DataFrame) -> DataFrame:
         rows = rows.join(signatures.withColumnRenamed("value", "signature"), "name")
         if "lists" not in signatures.columns:
             return rows.withColumn("before", F.lit(None).cast("array<long>"))
         return rows.withColumn("before", F.filter("lists", lambda x: x < F.col("list"))).drop("lists")
 
-    first = materialize(tiles(None), "tiles")
+    spread = lists.withColumn("label", F.col("name")).withColumn("role", F.explode(F.array(F.lit(0), F.lit(1)))) \
+        .withColumn("band", band + F.col("role")).withColumn("home", F.col("role") == 0).drop("role")
+    first = materialize(mixed_tiles(spread), "tiles")
     listed = materialize(firsts.join(first.select("name").distinct(), "name", "left_semi"), "listed")
     signatures = materialize(_of_sets(rows, listed, signature), "signatures")
     largest = first.groupBy("name").agg(F.max(F.struct("members", "list", "band", "n", "home", "label")).alias("tile"))
     stars = materialize(_tile_pairs(signed(largest.select("name", "tile.*"), signatures), percent, 0), "stars")
     presumed = stars.select(F.col("a").alias("node"), F.col("root").alias("label")).unionAll(stars.select("b", "root")).distinct()
-    rest = _tile_pairs(signed(tiles(presumed), signatures), percent, 0)
-    pairs = materialize(stars.unionAll(rest).select("a", "b").distinct(), "pairs")
+    rest = materialize(_tile_pairs(signed(tiles(first, presumed), signatures), percent, 0, alone=True), "rest")
+    pairs = materialize(stars.unionAll(rest.filter("list is null")).select("a", "b").distinct(), "pairs")
+    alone = rest.filter("list is not null").select("list", "band", F.col("a").alias("name"))
     ends = pairs.select(F.col("a").alias("name")).unionAll(pairs.select("b")).distinct()
     paired = materialize(listed.join(ends, "name", "left_semi"), "paired")
     # every set that may link with another stands in a pair of a forest: these are all the sets ever compared
     sets = materialize(_of_sets(rows, paired, np.ndarray.tobytes), "sets")
-    labels, decided, wide, turn, more = None, None, None, 0, True
+    labels, decided, near, wide, turn, more = None, None, None, None, 0, True
     while True:
-        new = materialize(_decide(pairs, sets, percent), "decided")
+        new = materialize(_decide(pairs, sets if decided is None else _sets_of(sets, pairs), percent), "decided")
         decided = new if decided is None else decided.unionAll(new)
         good = new.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
         n_good, n_all = good.count(), new.count()
@@ -440,16 +464,20 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if not more or n_good == n_all and not turn:
             break  # all pairs decided, or the first forest holds as it is
         turn = turn + 1 if n_good > WORTH_ANOTHER * n_all else -1
-        mixed = materialize(tiles(labels), "mixed")
+        if near is None:
+            near = materialize(first.join(alone, ["list", "band", "name"], "left_anti"), "near")
+        mixed = materialize(tiles(near, labels), "mixed")
         if wide is None:
-            again = listed.join(mixed.select("name").distinct(), "name", "left_semi")
-            again = materialize(again, "again")
             shared = mixed.groupBy("name").agg(F.collect_set("list").alias("lists"))
-            wide = _of_sets(rows, again, lambda s: signature(s, LAST_SCALE)).join(shared, "name")
-            wide = materialize(wide, "wide")
-        found = materialize(_tile_pairs(signed(mixed, wide), percent, turn).select("a", "b").distinct(), "found")
-        more = not found.filter("a = b").isEmpty()
-        pairs = found.filter("a <> b").join(decided.select("a", "b"), ["a", "b"], "left_anti")
+            again = materialize(listed.join(shared, "name"), "again")
+            wide = materialize(_of_sets(rows, again, lambda s: signature(s, LAST_SCALE)), "wide")
+        found = materialize(_tile_pairs(signed(mixed, wide), percent, turn), "found")
+        marked = found.filter("a = b").select("list", "band")
+        more = not marked.isEmpty()
+        # a tile without a mark has passed on every pair of its own
+        near = mixed.join(marked, ["list", "band"], "left_semi")
+        pairs = found.filter("a <> b").select("a", "b").distinct().join(decided.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
     named = named.join(labels.withColumnsRenamed({"node": "name"}), "name", "left") \
         .withColumn("label", F.coalesce("label", "name"))
     least = named.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))

@@ -101,6 +101,32 @@ def test_a_pair_apart_is_passed_on_by_one_list_only(spark):
     assert sorted(pairs) == [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)]
 
 
+def test_lists_end_at_gaps_of_size(spark):
+    texts = [(k, " ".join(f"w{i}" for i in range(k))) for k in (14, 16, 60, 64, 70, 400, 420)]  # nested, so all share shingles
+    rows = jaccard.id_text(spark.createDataFrame(texts, "doc_id long, text string"))
+    lists = {}
+    for r in jaccard._lists(rows, 6, 75, np.zeros(1 << jaccard.FILTER_BITS, bool)).collect():
+        lists.setdefault(r.list, []).append(r.n)
+    assert any(max(n) == 416 for n in lists.values()) and any(max(n) == 66 for n in lists.values())
+    for n in lists.values():
+        n.sort()
+        assert len(n) > 1 and all(100 * a >= 75 * b for a, b in zip(n, n[1:]))
+
+
+def test_tiles_name_sets_without_partners_and_mark_what_is_left(spark):
+    fields = "list long, band int, name long, n long, home boolean, signature binary, label long, before array<long>"
+    near, far = bytes(8), b"\xff" * 8
+    rows = [(11, 3, 1, 10, True, near, 1, None), (11, 3, 2, 10, True, near, 2, None), (11, 3, 3, 10, True, far, 3, None),
+            (12, 3, 1, 10, True, near, 1, None), (12, 3, 3, 10, True, far, 3, None)]
+    got = jaccard._tile_pairs(spark.createDataFrame(rows, fields), 75, 0, alone=True).collect()
+    assert sorted((r.a, r.b) for r in got if r.list is None) == [(1, 2)]
+    assert sorted((r.list, r.band, r.a) for r in got if r.list is not None) == [(11, 3, 3), (12, 3, 1), (12, 3, 3)]
+    rows = [(lst, 3, k, 10, True, near, k, []) for lst, most in ((11, 3 * jaccard.FEW_APART), (12, 3)) for k in range(most)]
+    got = jaccard._tile_pairs(spark.createDataFrame(rows, fields), 75, 1).collect()
+    assert [(r.list, r.band) for r in got if r.a == r.b] == [(11, 3)]
+    assert {(0, 1), (0, 2), (1, 2)} <= {(r.a, r.b) for r in got}
+
+
 def test_jaccard_large_group_and_edge_rows(spark):
     rng = random.Random(9)
     base = [f"w{k}" for k in range(60)]
