@@ -11,6 +11,7 @@ pair of which one tells among the rows that hold the other (``PAIR_Z``), however
 than ``MIN_DOCS`` training rows are left out, and so are all beyond the ``MAX_TERMS`` most telling, so the model has a
 fixed bound. Pairs are sought among whole words, not among prefixes. It is fitted in one task with AdaGrad on a bounded sample: all labelled rows with the
 fold's share of them, or about ``MAX_POSITIVE`` toxic and ``MAX_NEGATIVE`` other rows by a hash of the id if there are more.
+The rows' texts are cut into distinct words where they lie; that task holds each word of the sample once, and rows as numbers.
 
 Labels are learned only from rows with crc32(doc_id as text) mod 3 other than 1; scores see the text alone. Null and
 empty texts get the score of no terms. Without labelled rows of both kinds every score is 0. A doc_id labelled twice
@@ -20,8 +21,8 @@ counts as toxic if any of its labels is; repeated documents are each scored (and
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -93,10 +94,11 @@ def pair_z(held: list[np.ndarray], y: np.ndarray, alone: np.ndarray) -> np.ndarr
     best = np.zeros(n_words)
     order = np.argsort(-y, kind="stable")  # toxic rows first
     sizes = np.array([len(held[i]) for i in order])
-    flat = np.concatenate([*[held[i] for i in order], np.zeros(0, np.int64)]).astype(np.int64)
+    flat = np.concatenate([*[held[i] for i in order], np.zeros(0, np.int32)], dtype=np.int32)
     start = np.r_[0, np.cumsum(sizes)]
     by_word = np.argsort(flat, kind="stable")
-    doc = np.repeat(np.arange(len(order)), sizes)[by_word]
+    doc = np.repeat(np.arange(len(order), dtype=np.int32), sizes)[by_word]
+    del by_word
     edge = np.r_[0, np.cumsum(np.bincount(flat, minlength=n_words))]
     n_toxic = int(y.sum())
     for a in range(n_words):
@@ -117,35 +119,59 @@ def pair_z(held: list[np.ndarray], y: np.ndarray, alone: np.ndarray) -> np.ndarr
     return best
 
 
-def fit(docs: list[set[str]], labels: list[int], seed: int = SEED) -> Machine | None:
-    """Fit a machine to word sets; None if the labels are all alike."""
+def numbered(docs: Iterable[Iterable[str]]) -> tuple[list[str], list[np.ndarray]]:
+    """The distinct words of all rows, and each row's words as their numbers there."""
+    number: dict[str, int] = {}
+    held = [np.array([number.setdefault(w, len(number)) for w in d], np.int32) for d in docs]
+    return list(number), held
+
+
+def fit(docs: Iterable[Iterable[str]], labels: list[int], seed: int = SEED) -> Machine | None:
+    """Fit a machine to rows of distinct words; None if the labels are all alike."""
+    return fit_numbered(*numbered(docs), labels, seed)
+
+
+def fit_numbered(words: list[str], docs: list[np.ndarray], labels: list[int], seed: int = SEED) -> Machine | None:
+    """The same for rows given as numbers of ``words``."""
     y = np.array(labels, np.float64)
     if not len(y) or y.min() == y.max():
         return None
-    seen: Counter[str] = Counter()
-    for d in docs:
-        seen.update(d)
-    known = {w: term_hashes(w) for w in seen}
-    held = [np.unique(np.array([h for w in d for h in known[w]], np.uint64)) for d in docs]
-    hashes, counts = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
-    toxic = np.unique(np.concatenate([*[h for h, t in zip(held, y) if t], hashes]), return_counts=True)[1] - 1
+    flat, edge = array("Q"), array("q", [0])
+    for word in words:
+        flat.extend(term_hashes(word))
+        edge.append(len(flat))
+    hashes, term = np.unique(np.frombuffer(flat, np.uint64), return_inverse=True)
+    term, edge = term.astype(np.int32), np.frombuffer(edge, np.int64)
+    del flat
+
+    def terms_of(d: np.ndarray) -> np.ndarray:
+        sizes = edge[d + 1] - edge[d]
+        return term[np.repeat(edge[d + 1] - np.cumsum(sizes), sizes) + np.arange(sizes.sum())]
+
+    counts, toxic, seen = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64), np.zeros(len(words), np.int64)
+    for d, t in zip(docs, y):
+        seen[d] += 1
+        h = np.unique(terms_of(d))
+        counts[h] += 1
+        toxic[h] += t > 0
     pooled = counts / len(y)
     spread = np.sqrt(pooled * (1 - pooled) * (1 / y.sum() + 1 / (len(y) - y.sum()))) + 1e-12
     z = np.abs(toxic / y.sum() - (counts - toxic) / (len(y) - y.sum())) / spread
-    number = {w: i for i, w in enumerate(sorted(w for w in seen if seen[w] >= MIN_DOCS))}
-    at = np.searchsorted(hashes, np.array([known[w][0] for w in number], np.uint64))
-    paired = pair_z([np.array([number[w] for w in d if w in number], np.int64) for d in docs], y, z[at] >= MIN_Z)
+    usual = np.flatnonzero(seen >= MIN_DOCS)
+    at = term[edge[usual]]  # a word's own hash is the first of its terms
+    number = np.full(len(words), -1, np.int32)
+    number[usual] = np.arange(len(usual))
+    paired = pair_z([n[n >= 0] for n in (number[d] for d in docs)], y, z[at] >= MIN_Z)
     told = np.where(z >= MIN_Z, z, 0)
     told[at] = np.maximum(told[at], np.where(paired >= PAIR_Z, paired, 0))
     told[z >= MIN_Z] += 1e-12  # kept even where MIN_Z is 0
     keep = np.lexsort((hashes, -told))[:MAX_TERMS]
-    hashes = np.sort(hashes[keep[(counts[keep] >= MIN_DOCS) & (told[keep] > 0)]])
-    del known, seen, number
-    rows = []
-    for h in held:
-        at = np.searchsorted(hashes, h)
-        at[at == len(hashes)] = 0
-        rows.append(at[hashes[at] == h] if len(hashes) else at[:0])
+    keep = np.sort(keep[(counts[keep] >= MIN_DOCS) & (told[keep] > 0)])  # by hash, as the terms are
+    hashes = hashes[keep]
+    number = np.full(len(told), -1, np.int32)
+    number[keep] = np.arange(len(keep))
+    rows = [np.unique(n[n >= 0]) for n in (number[terms_of(d)] for d in docs)]
+    del term, edge, number
     rng = np.random.default_rng(seed)
     n = len(hashes)
     w, v, b = np.zeros(n), rng.normal(0, 0.01, (n, FACTORS)), float(np.log(y.mean() / (1 - y.mean())))
@@ -196,20 +222,31 @@ def train(docs: DataFrame, labels: DataFrame, *, max_positive: int = MAX_POSITIV
           max_negative: int = MAX_NEGATIVE) -> Machine | None:
     """Fit on the sample in one task; the model comes back as one row of a bounded size."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            rows += [(i, y, words_of(t)) for i, t, y in zip(*(batch.column(c).to_pylist()
-                                                           for c in ("doc_id", "text", "toxic")))]
-        rows.sort(key=lambda r: (r[0], r[1], len(r[2])))
-        m = fit([r[2] for r in rows], [r[1] for r in rows])
+            found = [" ".join(words_of(t)) for t in batch.column("text").to_pylist()]
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "words": pa.array(found, pa.string())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[tuple[int, int]] = []
+
+        def docs() -> Iterator[list[str]]:
+            for batch in text_slices(batches, "words"):
+                keys.extend(zip(batch.column("doc_id").to_pylist(), batch.column("toxic").to_pylist()))
+                for x in batch.column("words").to_pylist():
+                    yield x.split()
+
+        names, held = numbered(docs())
+        order = sorted(range(len(keys)), key=lambda r: (*keys[r], len(held[r])))
+        m = fit_numbered(names, [held[r] for r in order], [keys[r][1] for r in order])
         if m is not None:
             yield pa.record_batch({
                 "hashes": pa.array([m.hashes.tobytes()], pa.binary()), "bias": pa.array([m.bias], pa.float64()),
                 "weights": pa.array([m.weights.tobytes()], pa.binary()),
                 "factors": pa.array([m.factors.tobytes()], pa.binary())})
 
-    sample = training_rows(docs, labels, max_positive, max_negative).repartition(1)
+    sample = training_rows(docs, labels, max_positive, max_negative)
+    sample = sample.mapInArrow(common.released(cut), "doc_id long, toxic int, words string").repartition(1)
     got = sample.mapInArrow(common.released(run), "hashes binary, bias double, weights binary, factors binary").collect()
     if not got:
         return None

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -265,6 +266,34 @@ def test_machine_without_telling_terms_has_the_share_of_toxic_rows():
     assert not len(m.hashes) and abs(m.logit(np.zeros(0, np.int64))) < 1
 
 
+def test_fit_holds_each_word_once():
+    rng = random.Random(9)
+    words = [f"{rng.getrandbits(40):x}" for _ in range(4000)]
+    docs = [[*rng.sample(words, 300), "insult" if i % 2 else "praise"] for i in range(600)]
+    labels = [i % 2 for i in range(600)]
+    toxicity.fit([{"a"}, {"b"}], [0, 1])  # what is loaded at first use does not count
+    tracemalloc.start()
+    try:
+        m = toxicity.fit(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 60 * 600 * 301  # bytes for each word of a row; held as lists of hashes, rows took 110
+    index = {int(h): i for i, h in enumerate(m.hashes)}
+    assert {toxicity.term_hashes(w)[0] for w in ("insult", "praise")} <= set(index)
+    z = [m.logit(np.array(sorted({index[h] for w in d for h in toxicity.term_hashes(w) if h in index}), np.int64)) for d in docs]
+    assert [x > 0 for x in z] == [t == 1 for t in labels]
+
+
+def test_machine_is_the_same_for_numbers_in_any_order():
+    rng = random.Random(3)
+    docs = [{f"w{rng.randrange(200)}" for _ in range(30)} | {"bad" if i % 3 == 0 else "good"} for i in range(400)]
+    labels = [int(i % 3 == 0) for i in range(400)]
+    first, again = toxicity.fit(docs, labels), toxicity.fit([sorted(d) for d in docs], labels)
+    assert len(first.hashes) and first.bias == again.bias
+    assert all((getattr(first, c) == getattr(again, c)).all() for c in ("hashes", "weights", "factors"))
+
+
 def test_op3_held_out_accuracy(spark):
     path = "/root/testdata/sf0.1"
     rows = queries.op3_toxicity(spark, path).join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id").collect()
