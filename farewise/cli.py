@@ -122,8 +122,6 @@ def cmd_residual_report(spark, args) -> None:
 
 
 def main(argv=None) -> None:
-    from farewise.plans.forest import MAX_TRAIN_ROWS
-
     ap = argparse.ArgumentParser(prog="farewise")
     sub = ap.add_subparsers(dest="cmd", required=True)
     p = sub.add_parser("ingest")
@@ -157,7 +155,7 @@ def main(argv=None) -> None:
     p.add_argument("--trees", type=int, default=200)
     p.add_argument("--min-leaf", type=int, default=5)
     p.add_argument("--max-bins", type=int, default=256)
-    p.add_argument("--max-train-rows", type=int, default=MAX_TRAIN_ROWS, help="bound on the rows the forest learns from")
+    p.add_argument("--max-train-rows", type=int, default=None, help="learn the forest from a hash sample of about so many rows (default: all)")
     p.add_argument("--seed", type=int, default=SEED)
     p = sub.add_parser("residual-report")
     p.add_argument("--residuals", required=True)

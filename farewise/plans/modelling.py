@@ -4,7 +4,7 @@ linear model, a context-aware random forest (``plans.forest``) and residual repo
 Everything stays distributed: the linear fit is one global aggregate
 (``regr_slope`` / ``regr_intercept``, partial aggregation per task) and only
 its two coefficients reach the driver; the forest's trees grow in parallel tasks
-from a bounded sample; predictions and residuals are column expressions or one
+from every training row; predictions and residuals are column expressions or one
 pass over the test split. The published analysis trained on a
 1 % pandas sample; here the sample fraction is a parameter (default: all rows).
 """

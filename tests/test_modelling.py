@@ -192,3 +192,32 @@ def test_linear_plans_neither_shuffle_nor_sort(dataset):
     with contextlib.redirect_stdout(buf):
         test.explain("formatted")
     assert "Exchange" not in buf.getvalue() and "Sort" not in buf.getvalue()
+
+
+def _many_rows(spark, n):
+    """Rows in key order, more than one block of them; the labels depend on the last rows too."""
+    key = F.col("id")
+    cols = {"trip_distance": (key * 7919 % 1500) / 100.0, "pickup_hour": key % 24, "fixed_fees": key % 3 / 2.0, "tolls": F.lit(0.0),
+            "trip_duration_mins": (key * 37 % 11400) / 60.0, "is_weekend": key % 7 >= 5, "RateCodeID": key % 5, "pickup_grid_top": key % 4}
+    return spark.range(n).select("id", *[v.alias(k) for k, v in cols.items()]).withColumn(
+        ml.LABEL, F.col("trip_distance") * 2 + F.col("pickup_hour") % 5 + F.col("id") / 1000.0).repartition(5)
+
+
+def test_forest_learns_from_every_row(spark):
+    """The mean at a tree's root is that of draws of all 70,000 rows; no bound on the rows is registered or the default."""
+    import inspect
+
+    import numpy as np
+
+    from farewise.plans import catalog
+    from farewise.plans import forest as f
+
+    assert "max_train_rows" not in catalog.FOREST_TEST and inspect.signature(f.fit_forest).parameters["max_train_rows"].default is None
+    n = 70_000
+    rows = _many_rows(spark, n)
+    nodes = f.fit_forest(rows, ml.LABEL, ml.NUM_FEATURES, ml.CAT_FEATURES, "id", num_trees=2, min_instances=2000)
+    y = np.array([r[0] for r in rows.orderBy("id").select(ml.LABEL).collect()])
+    for r in nodes.filter("node = 0").collect():
+        drawn = np.concatenate([f.draws(42, r.tree, block, n) for block in range(2)])
+        assert drawn.sum() == n and r.value == pytest.approx((drawn * y).sum() / n, rel=1e-12)
+    assert nodes.filter("node = 0").count() == 2
