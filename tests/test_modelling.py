@@ -236,3 +236,17 @@ def test_trees_grown_in_parts_are_the_trees_grown_whole(spark, dataset, monkeypa
     assert ends[0] == ends[1] and parts.count() == whole.count()
     a, b = (ml.residual_table(f.predict(n, dataset, *args, ml.PRED1), {ml.ERR1: ml.PRED1}, key=TRIP_KEY) for n in (whole, parts))
     assert sorted(a.collect()) == sorted(b.collect()) and a.count() == dataset.count()
+
+
+def test_bins_are_quantiles_of_all_rows(spark):
+    """Edges and labels found by counts over a table are those of all its rows in memory."""
+    import numpy as np
+
+    from farewise.plans import forest as f
+
+    rows = _many_rows(spark, 60_000).select("trip_distance", "trip_duration_mins", "pickup_hour", F.col("RateCodeID").cast("string").alias("c"))
+    rows = rows.withColumn("pickup_hour", F.col("pickup_hour").cast("double"))
+    nums = ("trip_distance", "trip_duration_mins", "pickup_hour")
+    found, want = f.find_coding(rows, nums, ("c",), 64), f.make_coding(rows.toPandas(), nums, ("c",), 64)
+    assert found.labels == want.labels and all(np.array_equal(found.numeric[c], want.numeric[c]) for c in nums)
+    assert [found.size(c) for c in nums] == [64, 64, 24]
