@@ -250,3 +250,18 @@ def test_bins_are_quantiles_of_all_rows(spark):
     found, want = f.find_coding(rows, nums, ("c",), 64), f.make_coding(rows.toPandas(), nums, ("c",), 64)
     assert found.labels == want.labels and all(np.array_equal(found.numeric[c], want.numeric[c]) for c in nums)
     assert [found.size(c) for c in nums] == [64, 64, 24]
+
+
+def test_a_bootstrap_draws_from_all_blocks():
+    """As many draws as rows, the plain bootstrap of one block, and shares of blocks that differ by tree."""
+    import numpy as np
+
+    from farewise.plans import forest as f
+
+    assert np.array_equal(f.draws(42, 3, 0, 50_000), np.bincount(np.random.default_rng([42, 3]).integers(0, 50_000, 50_000), minlength=50_000))
+    n = 5 * 65_536 + 100
+    some = [[f.draws(42, tree, block, n) for block in range(6)] for tree in range(3)]
+    assert all(sum(d.sum() for d in tree) == n and [len(d) for d in tree] == [65_536] * 5 + [100] for tree in some)
+    assert all(abs(d.sum() - len(d)) < 6 * len(d) ** 0.5 for tree in some for d in tree)
+    assert len({tuple(d.sum() for d in tree) for tree in some}) == 3
+    assert abs(np.mean(some[0][0] == 0) - np.exp(-1)) < 0.01
