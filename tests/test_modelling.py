@@ -265,3 +265,26 @@ def test_a_bootstrap_draws_from_all_blocks():
     assert all(abs(d.sum() - len(d)) < 6 * len(d) ** 0.5 for tree in some for d in tree)
     assert len({tuple(d.sum() for d in tree) for tree in some}) == 3
     assert abs(np.mean(some[0][0] == 0) - np.exp(-1)) < 0.01
+
+
+def test_rows_predicted_in_blocks_keep_their_columns(spark):
+    """More rows than a block, in several partitions: every row comes back once, with its columns and the mean over its trees."""
+    from farewise.plans import forest as f
+
+    rows = _many_rows(spark, 20_000).withColumns({"at": F.timestamp_seconds("id"), "d": F.col("id").cast("decimal(12,2)"), "none": F.lit(None).cast("int")})
+    args = (ml.NUM_FEATURES, ml.CAT_FEATURES)
+    nodes = f.fit_forest(rows, ml.LABEL, *args, "id", num_trees=2, min_instances=500)
+    got = f.predict(nodes, rows, *args, "p")
+    assert got.dtypes == [*rows.dtypes, ("p", "double")]
+    assert got.drop("p").exceptAll(rows).isEmpty() and got.count() == 20_000
+    by = {(r.tree, r.node): r for r in nodes.collect()}
+
+    def value(row, tree):
+        n = by[tree, 0]
+        while n.feature is not None:
+            v = row[n.feature]
+            n = by[tree, n.left if (str(v).lower() == n.category.lower() if n.category is not None else float(v) <= n.threshold) else n.right]
+        return n.value
+
+    for r in got.filter("id % 97 = 5").collect():
+        assert r.p == (value(r, 0) + value(r, 1)) / 2
